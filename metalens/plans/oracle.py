@@ -75,3 +75,93 @@ SELECT logs_name, count(*) AS n FROM evaluations GROUP BY logs_name"""
 
 ORACLE["regret_rows"] = with_fixtures("evaluations") + "," + _REGRET + """
 SELECT eval_id, dataset_id, pipeline_id, round(regret, 10) AS regret FROM r"""
+
+# --- step 3 -------------------------------------------------------------------
+
+_VALID = "score IS NOT NULL AND NOT isnan(score) AND score < 1e6"
+_PROCESSED = with_fixtures("results") + f""",
+v AS (SELECT * FROM results WHERE {_VALID}),
+fill AS (SELECT dataset_id, min(score) - 0.01 AS fill_value FROM v GROUP BY dataset_id),
+best AS (SELECT metalearner_name, dataset_id, max(score) AS score FROM v WHERE slot <= 5 GROUP BY 1, 2),
+grid AS (SELECT l.metalearner_name, d.dataset_id
+         FROM (SELECT DISTINCT metalearner_name FROM results) l CROSS JOIN (SELECT DISTINCT dataset_id FROM results) d),
+p AS (SELECT g.metalearner_name, g.dataset_id, coalesce(b.score, f.fill_value) AS score, b.score IS NULL AS filled
+      FROM grid g LEFT JOIN fill f USING (dataset_id) LEFT JOIN best b USING (metalearner_name, dataset_id)),
+rk AS (SELECT *, rank() OVER (PARTITION BY dataset_id ORDER BY score DESC)
+                 + (count(*) OVER (PARTITION BY dataset_id, score) - 1) / 2.0 AS rank FROM p)"""
+
+ORACLE["best_of_first5"] = with_fixtures("results") + f"""
+SELECT metalearner_name, dataset_id, max(score) AS score FROM results WHERE slot <= 5 AND {_VALID} GROUP BY 1, 2"""
+
+ORACLE["grid_fill_missing"] = _PROCESSED + """
+SELECT metalearner_name, dataset_id, round(score, 10) AS score, filled FROM p"""
+
+ORACLE["regret_mean_std"] = with_fixtures("results") + f""",
+v AS (SELECT * FROM results WHERE {_VALID}),
+bounds AS (SELECT dataset_id, min(score) AS lo, max(score) AS hi FROM v GROUP BY 1),
+r AS (SELECT metalearner_name, dataset_id, slot,
+             CASE WHEN {_VALID} THEN (CASE WHEN hi = lo THEN 0.0 ELSE abs(hi - score) / abs(lo - hi) END)
+                  ELSE 1.0 END AS regret
+      FROM results LEFT JOIN bounds USING (dataset_id) WHERE slot <= 25),
+grid AS (SELECT l.metalearner_name, d.dataset_id
+         FROM (SELECT DISTINCT metalearner_name FROM results) l CROSS JOIN (SELECT DISTINCT dataset_id FROM results) d),
+slots AS (SELECT * FROM grid CROSS JOIN (SELECT range AS slot FROM range(1, 26)) s),
+padded AS (SELECT s.metalearner_name, s.dataset_id, coalesce(r.regret, 1.0) AS regret
+           FROM slots s LEFT JOIN r USING (metalearner_name, dataset_id, slot)),
+pp AS (SELECT metalearner_name, dataset_id, avg(regret) AS m, stddev_samp(regret) AS sd FROM padded GROUP BY 1, 2)
+SELECT metalearner_name, round(avg(m), 10) AS regret_mean, round(avg(sd), 10) AS regret_std FROM pp GROUP BY 1"""
+
+ORACLE["avg_ranks"] = _PROCESSED + """
+SELECT metalearner_name, round(avg(rank), 10) AS avg_rank, count(*) AS n_datasets FROM rk GROUP BY 1"""
+
+ORACLE["friedman"] = _PROCESSED + """,
+rs AS (SELECT metalearner_name, sum(rank) AS r FROM rk GROUP BY 1),
+tt AS (SELECT dataset_id, score, count(*) AS t FROM p GROUP BY 1, 2),
+a AS (SELECT sum(r * r) AS ssbn, count(*) AS k FROM rs),
+b AS (SELECT sum(t * t * t - t) AS tie, count(DISTINCT dataset_id) AS n FROM tt)
+SELECT n AS n_datasets, k AS n_learners,
+       round((12.0 / (n * k * (k + 1)) * ssbn - 3.0 * n * (k + 1)) / (1 - tie / (n * k * (k * k - 1))), 10) AS statistic
+FROM a, b"""
+
+ORACLE["pivot_scores"] = _PROCESSED + """
+SELECT dataset_id,
+       max(CASE WHEN metalearner_name = 'click' THEN score END) AS click,
+       max(CASE WHEN metalearner_name = 'error' THEN score END) AS error,
+       max(CASE WHEN metalearner_name = 'purchase' THEN score END) AS purchase,
+       max(CASE WHEN metalearner_name = 'signup' THEN score END) AS signup,
+       max(CASE WHEN metalearner_name = 'view' THEN score END) AS view
+FROM p GROUP BY dataset_id"""
+
+ORACLE["learner_positions"] = _PROCESSED + """
+SELECT metalearner_name, dataset_id,
+       row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, metalearner_name) AS position FROM p"""
+
+ORACLE["running_best"] = with_fixtures("run_log") + """
+SELECT run_id, eval_no, score,
+       max(score) OVER (PARTITION BY run_id ORDER BY eval_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_so_far
+FROM run_log"""
+
+ORACLE["gap_seconds"] = with_fixtures("run_log") + """
+SELECT run_id, eval_no,
+       date_diff('microsecond', lag(ts) OVER (PARTITION BY run_id ORDER BY eval_no), ts) / 1e6 AS gap_seconds
+FROM run_log"""
+
+ORACLE["timing_fit"] = with_fixtures("run_log") + """,
+d AS (SELECT run_id, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS duration,
+             CAST(count(*) AS double) AS n_evals FROM run_log GROUP BY 1)
+SELECT round(regr_slope(duration, n_evals), 6) AS slope, round(regr_intercept(duration, n_evals), 6) AS intercept,
+       round(regr_r2(duration, n_evals), 10) AS r2, CAST(regr_count(duration, n_evals) AS bigint) AS n FROM d"""
+
+ORACLE["run_methods"] = with_fixtures("evaluations") + """
+SELECT method, count(*) AS n FROM (
+  SELECT CASE WHEN logs_name LIKE '%AsynchronousSuccessiveHalving%' THEN 'AsynchronousSuccessiveHalving'
+              WHEN logs_name LIKE '%AsyncEA%' THEN 'AsyncEA'
+              WHEN logs_name LIKE '%RandomSearch%' THEN 'RandomSearch' END AS method
+  FROM evaluations) t GROUP BY method"""
+
+ORACLE["clip_recode"] = with_fixtures("results") + """
+SELECT metalearner_name, CASE dataset_id WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE dataset_id END AS dataset_id, slot,
+       CASE WHEN score >= -0.5 THEN score END AS score FROM results"""
+
+ORACLE["log_loss"] = with_fixtures("probs") + """
+SELECT round(-avg(ln(least(greatest(p_true, 1e-15), 1 - 1e-15))), 10) AS log_loss, count(*) AS n_rows FROM probs"""

@@ -124,3 +124,119 @@ def q_value_counts(spark, sf):
 def q_regret_rows(spark, sf):
     r = recommend.with_regret(_evals(spark, sf), METRIC)
     return r.select("eval_id", "dataset_id", "pipeline_id", rnd("regret").alias("regret"))
+
+
+# --- step 3: analysis of results ----------------------------------------------
+
+# The learner names of the results stand-in (events.event_type).
+LEARNERS = ["click", "error", "purchase", "signup", "view"]
+BEST_OF = 5
+N_SLOTS = 25
+RECODE = {1: 2, 2: 1}
+
+
+def _processed(spark, sf):
+    from metalens.operators.analysis import processed_scores
+    return processed_scores(fixture(spark, sf, "results"), BEST_OF)
+
+
+@register("best_of_first5")
+def q_best_of_first5(spark, sf):
+    from metalens.operators.analysis import best_of_first
+    return best_of_first(fixture(spark, sf, "results"), BEST_OF)
+
+
+@register("grid_fill_missing")
+def q_grid_fill_missing(spark, sf):
+    return _processed(spark, sf).withColumn("score", rnd("score"))
+
+
+@register("regret_mean_std")
+def q_regret_mean_std(spark, sf):
+    from metalens.operators.analysis import regret_summary
+    out = regret_summary(fixture(spark, sf, "results"), N_SLOTS)
+    return out.select("metalearner_name", rnd("regret_mean").alias("regret_mean"),
+                      rnd("regret_std").alias("regret_std"))
+
+
+@register("avg_ranks")
+def q_avg_ranks(spark, sf):
+    from metalens.operators.analysis import average_ranks
+    out = average_ranks(_processed(spark, sf))
+    return out.select("metalearner_name", rnd("avg_rank").alias("avg_rank"),
+                      F.col("n_datasets").cast("long").alias("n_datasets"))
+
+
+@register("friedman")
+def q_friedman(spark, sf):
+    from metalens.operators.analysis import friedman_statistic
+    out = friedman_statistic(_processed(spark, sf))
+    return out.withColumn("statistic", rnd("statistic"))
+
+
+@register("friedman_pvalue")
+def q_friedman_pvalue(spark, sf):
+    from metalens.operators.analysis import friedman_test
+    return friedman_test(_processed(spark, sf))
+
+
+@register("pivot_scores")
+def q_pivot_scores(spark, sf):
+    from metalens.operators.analysis import pivot_learners
+    return pivot_learners(_processed(spark, sf), LEARNERS)
+
+
+@register("learner_positions")
+def q_learner_positions(spark, sf):
+    from metalens.operators.analysis import learner_positions
+    out = learner_positions(_processed(spark, sf))
+    return out.select("metalearner_name", "dataset_id", F.col("position").cast("long").alias("position"))
+
+
+@register("running_best")
+def q_running_best(spark, sf):
+    from metalens.operators.sequence import running_max
+    log = fixture(spark, sf, "run_log").select("run_id", "eval_no", "score")
+    return running_max(log, "run_id", "eval_no", "score", "best_so_far", block_size=256)
+
+
+@register("gap_seconds")
+def q_gap_seconds(spark, sf):
+    from metalens.operators.sequence import gap_seconds
+    log = fixture(spark, sf, "run_log").select("run_id", "eval_no", "ts")
+    return gap_seconds(log, "run_id", "eval_no", "ts", block_size=256).select("run_id", "eval_no", "gap_seconds")
+
+
+@register("timing_fit")
+def q_timing_fit(spark, sf):
+    from metalens.operators.analysis import linear_fit
+    from metalens.operators.sequence import seconds_between
+    log = fixture(spark, sf, "run_log")
+    durations = log.groupBy("run_id").agg(seconds_between(F.min("ts"), F.max("ts")).alias("duration"))
+    sizes = log.groupBy("run_id").agg(F.count(F.lit(1)).cast("double").alias("n_evals"))
+    fit = linear_fit(durations.join(sizes, "run_id"), "duration", "n_evals")
+    # Durations are ~1e6 s: keep 6 decimals (about 13 significant digits).
+    return fit.select(rnd("slope", 6).alias("slope"), rnd("intercept", 6).alias("intercept"),
+                      rnd("r2", 10).alias("r2"), F.col("n").cast("long").alias("n"))
+
+
+@register("run_methods")
+def q_run_methods(spark, sf):
+    from metalens.operators.analysis import search_method
+    return (_evals(spark, sf).select(search_method("logs_name").alias("method"))
+            .groupBy("method").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("clip_recode")
+def q_clip_recode(spark, sf):
+    from metalens.operators.analysis import clip_scores, recode
+    res = fixture(spark, sf, "results")
+    return res.select("metalearner_name", recode("dataset_id", RECODE).alias("dataset_id"), "slot",
+                      clip_scores("score").alias("score"))
+
+
+@register("log_loss")
+def q_log_loss(spark, sf):
+    from metalens.operators.analysis import log_loss
+    out = log_loss(fixture(spark, sf, "probs"))
+    return out.select(rnd("log_loss").alias("log_loss"), "n_rows")
