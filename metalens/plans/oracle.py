@@ -165,3 +165,70 @@ SELECT metalearner_name, CASE dataset_id WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE datase
 
 ORACLE["log_loss"] = with_fixtures("probs") + """
 SELECT round(-avg(ln(least(greatest(p_true, 1e-15), 1 - 1e-15))), 10) AS log_loss, count(*) AS n_rows FROM probs"""
+
+# --- step 4 -------------------------------------------------------------------
+
+_SIMS = with_fixtures("evaluations", "vectors", "pipelines") + """,
+x AS (SELECT dataset_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM vectors),
+q AS (SELECT pos, x AS q FROM x WHERE dataset_id = 0),
+qn AS (SELECT sum(q * q) AS qq FROM q),
+sims AS (SELECT x.dataset_id, sum(x.x * q.q) / (sqrt(sum(x.x * x.x)) * sqrt(max(qn.qq))) AS cosine,
+                sqrt(sum((x.x - q.q) * (x.x - q.q))) AS euclidean
+         FROM x JOIN q USING (pos), qn
+         WHERE x.dataset_id <> 0 AND x.dataset_id IN (SELECT dataset_id FROM evaluations)
+         GROUP BY x.dataset_id)"""
+
+ORACLE["similarity_all"] = _SIMS + """
+SELECT dataset_id, round(cosine, 10) AS cosine, round(euclidean, 10) AS euclidean,
+       round(exp(-euclidean), 10) AS kernel FROM sims"""
+
+ORACLE["cosine_topk"] = _SIMS + """,
+s AS (SELECT dataset_id, round(cosine, 10) AS cosine FROM sims)
+SELECT row_number() OVER (ORDER BY cosine DESC, dataset_id) AS rank, dataset_id, cosine
+FROM s ORDER BY cosine DESC, dataset_id LIMIT 5"""
+
+ORACLE["euclid_topk"] = _SIMS + """,
+s AS (SELECT dataset_id, round(euclidean, 10) AS euclidean FROM sims)
+SELECT row_number() OVER (ORDER BY euclidean, dataset_id) AS rank, dataset_id, euclidean
+FROM s ORDER BY euclidean, dataset_id LIMIT 5"""
+
+ORACLE["vector_pairs"] = """
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos,
+                  len(embedding) AS n FROM embeddings),
+pr AS (SELECT a.vec_id, sum(a.x * b.x) AS dot, sum(a.x * a.x) AS aa, sum(b.x * b.x) AS bb,
+              sum((a.x - b.x) * (a.x - b.x)) AS dd, max(a.n) = max(b.n) AS same_length
+       FROM x a JOIN x b ON b.vec_id = a.vec_id + 1 AND a.pos = b.pos GROUP BY a.vec_id)
+SELECT vec_id, round(CASE WHEN sqrt(aa) * sqrt(bb) > 0 THEN dot / (sqrt(aa) * sqrt(bb)) END, 10) AS cosine,
+       round(sqrt(dd), 10) AS euclidean, round(exp(-sqrt(dd)), 10) AS kernel, same_length FROM pr"""
+
+_UTIL = _SIMS + f""",
+e AS (SELECT * FROM evaluations WHERE metric = '{METRIC}' AND dataset_id <> 0),
+b AS (SELECT dataset_id, min(score) AS min_score, max(score) AS max_score FROM e GROUP BY dataset_id),
+r AS (SELECT e.*, CASE WHEN max_score = min_score THEN 0.0
+                       ELSE abs(max_score - score) / abs(min_score - max_score) END AS regret
+      FROM e JOIN b USING (dataset_id)),
+u AS (SELECT pipeline_id, avg(s.cosine * (1 - regret)) AS utility, count(*) AS n
+      FROM r JOIN sims s USING (dataset_id) GROUP BY pipeline_id),
+us AS (SELECT p.pipeline_id, round(coalesce(u.utility, 0.0), 10) AS utility, coalesce(u.n, 0) AS n_evals
+       FROM pipelines p LEFT JOIN u USING (pipeline_id))"""
+
+ORACLE["utility_scores"] = _UTIL + "\nSELECT * FROM us"
+
+ORACLE["utility_topk"] = _UTIL + f"""
+SELECT row_number() OVER (ORDER BY utility DESC, pipeline_id) AS rank, pipeline_id, utility
+FROM us ORDER BY utility DESC, pipeline_id LIMIT {TOTAL_N_CONFIGS}"""
+
+ORACLE["top_similarity_slice"] = _SIMS + f""",
+near AS (SELECT dataset_id, row_number() OVER (ORDER BY round(cosine, 10) DESC, dataset_id) AS sim_rank
+         FROM sims ORDER BY round(cosine, 10) DESC, dataset_id LIMIT 5),
+best AS (SELECT dataset_id, pipeline_id, max(score) AS best FROM evaluations
+         WHERE metric = '{METRIC}' AND dataset_id <> 0 AND dataset_id IN (SELECT dataset_id FROM near)
+         GROUP BY 1, 2),
+ranked AS (SELECT b.*, n.sim_rank,
+                  row_number() OVER (PARTITION BY b.dataset_id ORDER BY best DESC, pipeline_id) AS pos
+           FROM best b JOIN near n USING (dataset_id)),
+keyed AS (SELECT *, (pos - 1) // 5 AS rnd FROM ranked WHERE pos <= 25),
+firsts AS (SELECT pipeline_id, arg_min(dataset_id, (rnd, sim_rank, pos)) AS dataset_id,
+                  min((rnd, sim_rank, pos)) AS k FROM keyed GROUP BY pipeline_id)
+SELECT row_number() OVER (ORDER BY k) AS rank, pipeline_id, dataset_id
+FROM firsts ORDER BY k LIMIT {TOTAL_N_CONFIGS}"""

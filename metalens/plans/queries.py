@@ -240,3 +240,79 @@ def q_log_loss(spark, sf):
     from metalens.operators.analysis import log_loss
     out = log_loss(fixture(spark, sf, "probs"))
     return out.select(rnd("log_loss").alias("log_loss"), "n_rows")
+
+
+# --- step 4: similarity and similarity-based recommenders ------------------------
+
+QUERY_DATASET = 0
+N_SIMILAR = 5
+
+
+def _similarities(spark, sf):
+    """One-vs-all similarity of the query dataset to the other known datasets."""
+    from metalens.operators.similarity import one_vs_all
+    ev = _evals(spark, sf)
+    vec = fixture(spark, sf, "vectors")
+    stored = recommend.known_vectors(vec.filter(F.col("dataset_id") != QUERY_DATASET), ev)
+    query = vec.filter(F.col("dataset_id") == QUERY_DATASET)
+    return one_vs_all(stored, query)
+
+
+def _mdbase_evals(spark, sf):
+    """Evaluations of the datasets other than the query dataset."""
+    return _evals(spark, sf).filter(F.col("dataset_id") != QUERY_DATASET)
+
+
+@register("similarity_all")
+def q_similarity_all(spark, sf):
+    s = _similarities(spark, sf)
+    return s.select("dataset_id", rnd("cosine").alias("cosine"), rnd("euclidean").alias("euclidean"),
+                    rnd("kernel").alias("kernel"))
+
+
+@register("cosine_topk")
+def q_cosine_topk(spark, sf):
+    from metalens.operators.similarity import most_similar
+    s = _similarities(spark, sf).withColumn("cosine", rnd("cosine"))
+    return most_similar(s, N_SIMILAR, "cosine").select("rank", "dataset_id", "cosine")
+
+
+@register("euclid_topk")
+def q_euclid_topk(spark, sf):
+    from metalens.operators.similarity import most_similar
+    s = _similarities(spark, sf).withColumn("euclidean", rnd("euclidean"))
+    return most_similar(s, N_SIMILAR, "euclidean").select("rank", "dataset_id", "euclidean")
+
+
+@register("vector_pairs")
+def q_vector_pairs(spark, sf):
+    from metalens.functions import vectors as V
+    from metalens.sources.tables import table
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    nxt = emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    pairs = emb.join(nxt, "vec_id")
+    return pairs.select("vec_id", rnd(V.cosine_similarity("embedding", "other")).alias("cosine"),
+                        rnd(V.euclidean_distance("embedding", "other")).alias("euclidean"),
+                        rnd(V.kernel_similarity("embedding", "other")).alias("kernel"),
+                        V.same_length("embedding", "other").alias("same_length"))
+
+
+@register("utility_scores")
+def q_utility_scores(spark, sf):
+    return recommend.utility_scores(_mdbase_evals(spark, sf), fixture(spark, sf, "pipelines"),
+                                    _similarities(spark, sf), METRIC)
+
+
+@register("utility_topk")
+def q_utility_topk(spark, sf):
+    scores = recommend.utility_scores(_mdbase_evals(spark, sf), fixture(spark, sf, "pipelines"),
+                                      _similarities(spark, sf), METRIC)
+    return recommend.utility_online(scores, TOTAL_N_CONFIGS)
+
+
+@register("top_similarity_slice")
+def q_top_similarity_slice(spark, sf):
+    from metalens.operators.similarity import most_similar
+    s = _similarities(spark, sf).withColumn("cosine", rnd("cosine"))
+    nearest = most_similar(s, N_SIMILAR, "cosine")
+    return recommend.top_similarity(_mdbase_evals(spark, sf), nearest, TOTAL_N_CONFIGS, METRIC)

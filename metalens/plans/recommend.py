@@ -53,3 +53,60 @@ def average_regret_online(offline: DataFrame, total_n_configs: int = 25, min_eva
     """Top ``total_n_configs`` pipelines having at least ``min_evals`` evaluations."""
     eligible = offline.filter(F.col("n_evals") >= min_evals)
     return top_k(eligible, total_n_configs, "ranking_score").select("rank", "pipeline_id", "ranking_score", "n_evals")
+
+
+def known_vectors(vectors: DataFrame, evals: DataFrame, id_col: str = "dataset_id") -> DataFrame:
+    """Stored characterizations restricted to datasets present in the evaluations."""
+    return vectors.join(evals.select(id_col), id_col, "left_semi")
+
+
+def utility_scores(evals: DataFrame, pipelines: DataFrame, sims: DataFrame, metric: str = "neg_log_loss",
+                   higher_is_better: bool = True, sim_col: str = "cosine") -> DataFrame:
+    """Per pipeline: mean over its evaluations of ``similarity * (1 - regret)``.
+
+    Only datasets with a similarity take part (inner join of the evaluations
+    with the one-row-per-dataset similarity table); lookup pipelines without
+    such evaluations get utility 0.
+    """
+    r = with_regret(evals, metric).join(sims.select("dataset_id", sim_col), "dataset_id")
+    per_pipe = (r.groupBy("pipeline_id")
+                .agg(F.avg(F.col(sim_col) * ranking_score("regret", higher_is_better)).alias("utility"),
+                     F.count(F.lit(1)).alias("n_evals")))
+    return (pipelines.select("pipeline_id").join(per_pipe, "pipeline_id", "left")
+            .select("pipeline_id", rnd(F.coalesce("utility", F.lit(0.0))).alias("utility"),
+                    F.coalesce("n_evals", F.lit(0)).cast("long").alias("n_evals")))
+
+
+def utility_online(scores: DataFrame, total_n_configs: int = 25) -> DataFrame:
+    return top_k(scores, total_n_configs, "utility").select("rank", "pipeline_id", "utility")
+
+
+def top_similarity(evals: DataFrame, nearest: DataFrame, total_n_configs: int = 25, metric: str = "neg_log_loss",
+                   score_col: str = "score") -> DataFrame:
+    """Recommendations taken in turn from the most similar datasets.
+
+    ``nearest`` holds (dataset_id, rank) of the ``n`` most similar datasets.
+    Each takes ``c = total // n`` pipelines per round from its own ranking
+    (distinct pipelines by best score), rounds advance the offset, and a
+    pipeline already taken is skipped; the first ``total`` picks are kept. A
+    dataset never needs more than ``ceil(total / c) * c`` of its own pipelines,
+    so each ranking is cut there (partial window limit before the shuffle).
+    """
+    n = nearest.count()  # bounded by the requested number of datasets
+    if n == 0:
+        return evals.sparkSession.createDataFrame([], "rank long, pipeline_id long, dataset_id long")
+    c = max(total_n_configs // n, 1)
+    depth = -(-total_n_configs // c) * c
+    near = F.broadcast(nearest.select("dataset_id", F.col("rank").alias("sim_rank")))
+    best = (evals.filter(F.col("metric") == metric).join(near.select("dataset_id"), "dataset_id", "left_semi")
+            .groupBy("dataset_id", "pipeline_id").agg(F.max(score_col).alias("best")))
+    w = Window.partitionBy("dataset_id").orderBy(F.col("best").desc(), F.col("pipeline_id").asc())
+    ranked = (best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= depth)
+              .join(near, "dataset_id")
+              .withColumn("round", F.floor((F.col("pos") - 1) / F.lit(c))))
+    first = (ranked.groupBy("pipeline_id")
+             .agg(F.min(F.struct("round", "sim_rank", "pos", "dataset_id")).alias("k")))
+    order = [F.col("k.round"), F.col("k.sim_rank"), F.col("k.pos")]
+    picked = first.orderBy(*order).limit(total_n_configs)
+    return picked.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"),
+                         "pipeline_id", F.col("k.dataset_id").alias("dataset_id"))
