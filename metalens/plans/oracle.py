@@ -232,3 +232,74 @@ firsts AS (SELECT pipeline_id, arg_min(dataset_id, (rnd, sim_rank, pos)) AS data
                   min((rnd, sim_rank, pos)) AS k FROM keyed GROUP BY pipeline_id)
 SELECT row_number() OVER (ORDER BY k) AS rank, pipeline_id, dataset_id
 FROM firsts ORDER BY k LIMIT {TOTAL_N_CONFIGS}"""
+
+# --- step 5 -------------------------------------------------------------------
+
+_MATRIX = with_fixtures("evaluations") + "," + _TOPN + f""",
+cands AS (SELECT DISTINCT pipeline_id FROM t WHERE position <= 5),
+perf AS (SELECT dataset_id, pipeline_id, avg(score) AS score FROM evaluations
+         WHERE metric = '{METRIC}' AND pipeline_id IN (SELECT pipeline_id FROM cands) GROUP BY 1, 2),
+pb AS (SELECT dataset_id, min(score) AS lo, max(score) AS hi FROM perf GROUP BY 1),
+m AS (SELECT dataset_id, pipeline_id,
+             round(CASE WHEN hi = lo THEN 0.0 ELSE abs(hi - score) / abs(lo - hi) END, 10) AS regret
+      FROM perf JOIN pb USING (dataset_id))"""
+
+ORACLE["results_matrix_regret"] = _MATRIX + "\nSELECT * FROM m"
+
+
+def _portfolio_sql(k: int) -> str:
+    parts = [_MATRIX + """,
+c AS (SELECT DISTINCT pipeline_id FROM m),
+b0 AS (SELECT DISTINCT dataset_id, 1.0 AS best FROM m)"""]
+    for i in range(1, k + 1):
+        excl = " AND ".join(f"c.pipeline_id <> (SELECT pipeline_id FROM p{j})" for j in range(1, i)) or "TRUE"
+        parts.append(f"""g{i} AS (SELECT c.pipeline_id,
+                round(coalesce(sum(greatest(b.best - m.regret, 0.0)), 0.0), 10) AS gain
+         FROM c LEFT JOIN m ON m.pipeline_id = c.pipeline_id LEFT JOIN b{i - 1} b ON b.dataset_id = m.dataset_id
+         WHERE {excl} GROUP BY c.pipeline_id),
+p{i} AS (SELECT pipeline_id, gain FROM g{i} ORDER BY gain DESC, pipeline_id LIMIT 1),
+b{i} AS (SELECT b.dataset_id, least(b.best, coalesce(m.regret, 1.0)) AS best FROM b{i - 1} b
+         LEFT JOIN m ON m.dataset_id = b.dataset_id AND m.pipeline_id = (SELECT pipeline_id FROM p{i}))""")
+    sel = []
+    for i in range(1, k + 1):
+        tot = "(SELECT count(*) FROM b0)" + "".join(f" - (SELECT gain FROM p{j})" for j in range(1, i + 1))
+        sel.append(f"SELECT {i} AS position, pipeline_id, gain, round({tot}, 10) AS total_regret FROM p{i}")
+    return ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(sel)
+
+
+ORACLE["portfolio_k3"] = _portfolio_sql(3)
+
+# --- step 6 -------------------------------------------------------------------
+
+_LODO = with_fixtures("evaluations", "pipelines") + "," + _REGRET + f""",
+h AS (SELECT DISTINCT dataset_id AS held_out_id FROM e),
+hp AS (SELECT h.held_out_id, p.pipeline_id FROM h CROSS JOIN pipelines p),
+a AS (SELECT h.held_out_id, r.pipeline_id, avg(1 - r.regret) AS s, count(*) AS n
+      FROM h JOIN r ON r.dataset_id <> h.held_out_id GROUP BY 1, 2),
+sc AS (SELECT hp.held_out_id, hp.pipeline_id, round(coalesce(a.s, 0.0), 10) AS ranking_score,
+              coalesce(a.n, 0) AS n_evals
+       FROM hp LEFT JOIN a USING (held_out_id, pipeline_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY held_out_id ORDER BY ranking_score DESC, pipeline_id) AS rank
+       FROM sc WHERE n_evals >= {MIN_EVALS}),
+own AS (SELECT dataset_id AS held_out_id, pipeline_id, avg(score) AS heldout_score FROM e GROUP BY 1, 2),
+recs AS (SELECT rk.held_out_id, rk.rank, rk.pipeline_id, rk.ranking_score, rk.n_evals, own.heldout_score
+         FROM rk LEFT JOIN own USING (held_out_id, pipeline_id) WHERE rk.rank <= {TOTAL_N_CONFIGS})"""
+
+ORACLE["lodo_avg_regret"] = _LODO + "\nSELECT * FROM recs"
+
+ORACLE["lodo_summary"] = _LODO + """,
+bb AS (SELECT held_out_id, max(heldout_score) AS best_score, count(heldout_score) AS n_scored FROM recs GROUP BY 1)
+SELECT bb.held_out_id, best_score, n_scored,
+       round(CASE WHEN best_score IS NULL THEN 1.0 WHEN b.max_score = b.min_score THEN 0.0
+                  ELSE abs(b.max_score - best_score) / abs(b.min_score - b.max_score) END, 10) AS regret
+FROM bb JOIN b ON b.dataset_id = bb.held_out_id"""
+
+ORACLE["kept_pipelines"] = with_fixtures("evaluations", "pipelines") + """
+SELECT * FROM pipelines WHERE pipeline_id IN (SELECT pipeline_id FROM evaluations WHERE dataset_id NOT IN (0, 1, 2))"""
+
+ORACLE["holdout_split"] = with_fixtures("samples") + """,
+s AS (SELECT dataset_id,
+             CAST((CAST(row_id AS HUGEINT) * 2654435761 + 7) % 4294967296 AS DOUBLE) / 4294967296.0 < 0.8 AS is_train
+      FROM samples)
+SELECT dataset_id, sum(CAST(is_train AS BIGINT)) AS n_train, sum(CAST(NOT is_train AS BIGINT)) AS n_test
+FROM s GROUP BY dataset_id"""

@@ -316,3 +316,60 @@ def q_top_similarity_slice(spark, sf):
     s = _similarities(spark, sf).withColumn("cosine", rnd("cosine"))
     nearest = most_similar(s, N_SIMILAR, "cosine")
     return recommend.top_similarity(_mdbase_evals(spark, sf), nearest, TOTAL_N_CONFIGS, METRIC)
+
+
+# --- step 5: results matrix and greedy portfolio -------------------------------
+
+PORTFOLIO_K = 3
+MATRIX_N = 5
+
+
+@register("results_matrix_regret")
+def q_results_matrix_regret(spark, sf):
+    m = recommend.results_matrix(_evals(spark, sf), MATRIX_N, METRIC)
+    return m.select("dataset_id", "pipeline_id", rnd("regret").alias("regret"))
+
+
+@register("portfolio_k3")
+def q_portfolio_k3(spark, sf):
+    from metalens.operators.portfolio import greedy_portfolio
+    m = recommend.results_matrix(_evals(spark, sf), MATRIX_N, METRIC).withColumn("regret", rnd("regret"))
+    return greedy_portfolio(m, PORTFOLIO_K)
+
+
+# --- step 6: leave-one-dataset-out ----------------------------------------------
+
+HELD_OUT = [0, 1, 2]
+
+
+@register("lodo_avg_regret")
+def q_lodo_avg_regret(spark, sf):
+    from metalens.plans.lodo import lodo_average_regret
+    return lodo_average_regret(_evals(spark, sf), fixture(spark, sf, "pipelines"), TOTAL_N_CONFIGS, MIN_EVALS, METRIC)
+
+
+@register("lodo_summary")
+def q_lodo_summary(spark, sf):
+    from metalens.plans.lodo import lodo_average_regret, lodo_summary
+    ev = _evals(spark, sf)
+    recs = lodo_average_regret(ev, fixture(spark, sf, "pipelines"), TOTAL_N_CONFIGS, MIN_EVALS, METRIC)
+    out = lodo_summary(recs, ev, METRIC)
+    return out.select("held_out_id", "best_score", "n_scored", rnd("regret").alias("regret"))
+
+
+@register("kept_pipelines")
+def q_kept_pipelines(spark, sf):
+    from metalens.operators.views import all_but, partial_view
+    ev = _evals(spark, sf)
+    ds = dataset_lookup(ev)
+    keep = all_but(ds.select("dataset_id"), spark.createDataFrame([(i,) for i in HELD_OUT], "dataset_id long"))
+    view = partial_view(ev, ds, fixture(spark, sf, "pipelines"), keep)
+    return view.pipelines
+
+
+@register("holdout_split")
+def q_holdout_split(spark, sf):
+    from metalens.operators.views import holdout_split
+    s = holdout_split(fixture(spark, sf, "samples"), "row_id", 0.8, seed=7)
+    return s.groupBy("dataset_id").agg(F.sum(F.col("is_train").cast("long")).alias("n_train"),
+                                       F.sum((~F.col("is_train")).cast("long")).alias("n_test"))

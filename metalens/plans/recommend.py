@@ -110,3 +110,25 @@ def top_similarity(evals: DataFrame, nearest: DataFrame, total_n_configs: int =
     picked = first.orderBy(*order).limit(total_n_configs)
     return picked.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"),
                          "pipeline_id", F.col("k.dataset_id").alias("dataset_id"))
+
+
+def results_matrix(evals: DataFrame, n_pipes: int, metric: str = "neg_log_loss",
+                   higher_is_better: bool = True) -> DataFrame:
+    """Regret of each candidate pipeline on each dataset (long form).
+
+    Candidates are the union of every dataset's top ``n_pipes`` pipelines. A
+    candidate's score on a dataset is the mean of its evaluations there (the
+    stored stand-in for a fresh k-fold fit); regret is normalised by the
+    dataset's min and max over candidate scores. Cells without a score are
+    absent and mean regret 1 (failure).
+    """
+    from metalens.operators.store import candidate_set
+    e = evals.filter(F.col("metric") == metric)
+    cands = candidate_set(evals, n_pipes, metric)
+    perf = (e.join(cands, "pipeline_id", "left_semi")
+            .groupBy("dataset_id", "pipeline_id").agg(F.avg("score").alias("score")))
+    r = perf.join(dataset_bounds(perf), "dataset_id").withColumn(
+        "regret", normalized_regret("score", "min_score", "max_score"))
+    if not higher_is_better:
+        r = r.withColumn("regret", F.lit(1.0) - F.col("regret"))
+    return r.select("dataset_id", "pipeline_id", "regret")
