@@ -303,3 +303,83 @@ s AS (SELECT dataset_id,
       FROM samples)
 SELECT dataset_id, sum(CAST(is_train AS BIGINT)) AS n_train, sum(CAST(NOT is_train AS BIGINT)) AS n_test
 FROM s GROUP BY dataset_id"""
+
+# --- step 7 -------------------------------------------------------------------
+
+_CELLS = with_fixtures("samples") + """,
+cells AS (
+  SELECT CAST(dataset_id AS BIGINT) AS dataset_id, row_id, 'num_total' AS attr, false AS is_cat,
+         CAST(num_total AS DOUBLE) AS num_val, CAST(NULL AS VARCHAR) AS cat_val FROM samples
+  UNION ALL SELECT CAST(dataset_id AS BIGINT), row_id, 'num_bal', false, CAST(num_bal AS DOUBLE), NULL FROM samples
+  UNION ALL SELECT CAST(dataset_id AS BIGINT), row_id, 'cat_prio', true, NULL, cat_prio FROM samples
+  UNION ALL SELECT CAST(dataset_id AS BIGINT), row_id, 'cat_seg', true, NULL, cat_seg FROM samples),
+labels AS (SELECT CAST(dataset_id AS BIGINT) AS dataset_id, row_id, y FROM samples),
+ast AS (SELECT dataset_id, attr, bool_or(is_cat) AS is_cat,
+               sum(CASE WHEN num_val IS NULL AND cat_val IS NULL THEN 1 ELSE 0 END) AS n_missing,
+               count(DISTINCT cat_val) + max(CASE WHEN is_cat AND cat_val IS NULL THEN 1 ELSE 0 END) AS n_categories
+        FROM cells GROUP BY 1, 2),
+mu AS (SELECT dataset_id, attr, avg(num_val) AS m FROM cells WHERE NOT is_cat GROUP BY 1, 2),
+mom AS (SELECT c.dataset_id, c.attr,
+               avg(power(num_val - m, 3)) / power(avg(power(num_val - m, 2)), 1.5) AS skewness,
+               avg(power(num_val - m, 4)) / power(avg(power(num_val - m, 2)), 2) - 3 AS kurtosis
+        FROM cells c JOIN mu USING (dataset_id, attr) WHERE NOT c.is_cat AND num_val IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _long_sql(d: str) -> str:
+    return f"""
+SELECT dataset_id, name, round(coalesce(CASE WHEN isfinite(value) THEN value ELSE 0 END, 0), 8) AS value
+FROM (UNPIVOT ({d}) ON COLUMNS(* EXCLUDE (dataset_id)) INTO NAME name VALUE value)"""
+
+
+ORACLE["mf_simple"] = _CELLS + """,
+inst AS (SELECT dataset_id, count(*) AS nr_inst, count(DISTINCT y) AS nr_class FROM labels GROUP BY 1),
+attrs AS (SELECT dataset_id, count(*) AS nr_attr, sum(CASE WHEN is_cat THEN 1 ELSE 0 END) AS nr_cat,
+                 sum(CASE WHEN is_cat THEN 0 ELSE 1 END) AS nr_num FROM ast GROUP BY 1),
+d AS (SELECT dataset_id, CAST(nr_inst AS DOUBLE) AS nr_inst, ln(nr_inst) AS log_nr_inst,
+             CAST(nr_attr AS DOUBLE) AS nr_attr, ln(nr_attr) AS log_nr_attr, CAST(nr_class AS DOUBLE) AS nr_class,
+             CAST(nr_cat AS DOUBLE) AS nr_cat, CAST(nr_num AS DOUBLE) AS nr_num,
+             coalesce(CASE WHEN nr_num <> 0 THEN nr_cat / nr_num END, 0) AS cat_to_num,
+             coalesce(CASE WHEN nr_cat <> 0 THEN nr_num / nr_cat END, 0) AS num_to_cat,
+             nr_attr / nr_inst AS attr_to_inst, ln(nr_attr / nr_inst) AS log_attr_to_inst,
+             nr_inst / nr_attr AS inst_to_attr, ln(nr_inst / nr_attr) AS log_inst_to_attr
+      FROM inst JOIN attrs USING (dataset_id))""" + _long_sql("SELECT * FROM d")
+
+ORACLE["mf_class"] = _CELLS + """,
+cn AS (SELECT dataset_id, y, count(*) AS n FROM labels GROUP BY 1, 2),
+p AS (SELECT dataset_id, n / sum(n) OVER (PARTITION BY dataset_id) AS p FROM cn),
+d AS (SELECT dataset_id, -sum(p * log2(p)) AS class_ent, min(p) AS "freq_class.min", max(p) AS "freq_class.max",
+             avg(p) AS "freq_class.mean", stddev_samp(p) AS "freq_class.sd" FROM p GROUP BY 1)""" + _long_sql("SELECT * FROM d")
+
+ORACLE["mf_moments"] = _CELLS + """,
+z AS (SELECT dataset_id, coalesce(CASE WHEN isfinite(kurtosis) THEN kurtosis ELSE 0 END, 0) AS k,
+             coalesce(CASE WHEN isfinite(skewness) THEN skewness ELSE 0 END, 0) AS s
+      FROM ast JOIN mom USING (dataset_id, attr) WHERE NOT ast.is_cat),
+d AS (SELECT dataset_id, min(k) AS "kurtosis.min", max(k) AS "kurtosis.max", avg(k) AS "kurtosis.mean",
+             stddev_samp(k) AS "kurtosis.sd", min(s) AS "skewness.min", max(s) AS "skewness.max",
+             avg(s) AS "skewness.mean", stddev_samp(s) AS "skewness.sd" FROM z GROUP BY 1)""" + _long_sql("SELECT * FROM d")
+
+ORACLE["mf_missing"] = _CELLS + """,
+rw AS (SELECT dataset_id, row_id, max(CASE WHEN num_val IS NULL AND cat_val IS NULL THEN 1 ELSE 0 END) AS m
+       FROM cells GROUP BY 1, 2),
+rs AS (SELECT dataset_id, sum(m) AS nr_rows_with_missval, count(*) AS n_rows FROM rw GROUP BY 1),
+cs AS (SELECT dataset_id, sum(CASE WHEN n_missing > 0 THEN 1 ELSE 0 END) AS nr_cols_with_missval, count(*) AS n_cols,
+              sum(n_missing) AS n_miss_values FROM ast GROUP BY 1),
+d AS (SELECT dataset_id, CAST(nr_rows_with_missval AS DOUBLE) AS nr_rows_with_missval,
+             nr_rows_with_missval / n_rows AS miss_rows_perc,
+             CAST(nr_cols_with_missval AS DOUBLE) AS nr_cols_with_missval, nr_cols_with_missval / n_cols AS miss_cols_perc,
+             CAST(n_miss_values AS DOUBLE) AS n_miss_values, n_miss_values / (n_rows * n_cols) AS perc_miss_values
+      FROM rs JOIN cs USING (dataset_id))""" + _long_sql("SELECT * FROM d")
+
+ORACLE["mf_categorical"] = _CELLS + """,
+d AS (SELECT dataset_id,
+             CAST(min(CASE WHEN is_cat THEN n_categories END) AS DOUBLE) AS "categorical_values.min",
+             CAST(max(CASE WHEN is_cat THEN n_categories END) AS DOUBLE) AS "categorical_values.max",
+             avg(CASE WHEN is_cat THEN n_categories END) AS "categorical_values.mean",
+             stddev_pop(CASE WHEN is_cat THEN n_categories END) AS "categorical_values.std",
+             CAST(sum(CASE WHEN is_cat THEN n_categories END) AS DOUBLE) AS "categorical_values.total"
+      FROM ast GROUP BY 1)""" + _long_sql("SELECT * FROM d")
+
+ORACLE["feasible_features"] = _CELLS + """,
+f AS (SELECT dataset_id, 'kurtosis.' || attr AS name, kurtosis AS value FROM mom
+      UNION ALL SELECT dataset_id, 'skewness.' || attr, skewness FROM mom)
+SELECT name FROM f GROUP BY name HAVING bool_and(value IS NOT NULL AND isfinite(value))"""

@@ -373,3 +373,62 @@ def q_holdout_split(spark, sf):
     s = holdout_split(fixture(spark, sf, "samples"), "row_id", 0.8, seed=7)
     return s.groupBy("dataset_id").agg(F.sum(F.col("is_train").cast("long")).alias("n_train"),
                                        F.sum((~F.col("is_train")).cast("long")).alias("n_test"))
+
+
+# --- step 7: dataset meta-features ----------------------------------------------
+
+NUMERIC_ATTRS = ["num_total", "num_bal"]
+CATEGORICAL_ATTRS = ["cat_prio", "cat_seg"]
+
+
+def _cells_labels(spark, sf):
+    from metalens.operators.metafeatures import labels_of, to_cells
+    s = fixture(spark, sf, "samples")
+    return to_cells(s, NUMERIC_ATTRS, CATEGORICAL_ATTRS), labels_of(s, "y")
+
+
+def _rounded(df):
+    return df.withColumn("value", rnd("value", 8))
+
+
+@register("mf_simple")
+def q_mf_simple(spark, sf):
+    from metalens.operators.metafeatures import simple_features
+    return _rounded(simple_features(*_cells_labels(spark, sf)))
+
+
+@register("mf_class")
+def q_mf_class(spark, sf):
+    from metalens.operators.metafeatures import class_features
+    return _rounded(class_features(_cells_labels(spark, sf)[1]))
+
+
+@register("mf_moments")
+def q_mf_moments(spark, sf):
+    from metalens.operators.metafeatures import moment_features
+    return _rounded(moment_features(_cells_labels(spark, sf)[0]))
+
+
+@register("mf_missing")
+def q_mf_missing(spark, sf):
+    from metalens.operators.metafeatures import missing_features
+    return _rounded(missing_features(_cells_labels(spark, sf)[0]))
+
+
+@register("mf_categorical")
+def q_mf_categorical(spark, sf):
+    from metalens.operators.metafeatures import categorical_features
+    return _rounded(categorical_features(_cells_labels(spark, sf)[0]))
+
+
+@register("feasible_features")
+def q_feasible_features(spark, sf):
+    """Feature names finite on every dataset, before zeroing of the moment features."""
+    from metalens.operators.metafeatures import attribute_stats, feasible_features
+    cells, _ = _cells_labels(spark, sf)
+    a = attribute_stats(cells).filter(~F.col("is_cat"))
+    raw = a.select("dataset_id", F.explode(F.array(
+        F.struct(F.concat(F.lit("kurtosis."), F.col("attr")).alias("name"), F.col("kurtosis").alias("value")),
+        F.struct(F.concat(F.lit("skewness."), F.col("attr")).alias("name"), F.col("skewness").alias("value"))))
+        .alias("f")).select("dataset_id", "f.*")
+    return feasible_features(raw)
