@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from metalens.plans.queries import METRIC, MIN_EVALS, SELECTED_DATASETS, SELECTED_RUNS, TOP_N, TOTAL_N_CONFIGS
-from metalens.sources.tables import with_fixtures
+from metalens.sources.tables import FIXTURE_SQL, with_fixtures
 
 ORACLE: dict[str, str] = {}
 
@@ -383,3 +383,70 @@ ORACLE["feasible_features"] = _CELLS + """,
 f AS (SELECT dataset_id, 'kurtosis.' || attr AS name, kurtosis AS value FROM mom
       UNION ALL SELECT dataset_id, 'skewness.' || attr, skewness FROM mom)
 SELECT name FROM f GROUP BY name HAVING bool_and(value IS NOT NULL AND isfinite(value))"""
+
+# --- step 8 -------------------------------------------------------------------
+
+_STEPS = with_fixtures("pipelines") + r""",
+raw AS (SELECT pipeline_id, unnest(list_reverse(regexp_extract_all(pipeline, '([A-Za-z]\w*)\(', 1))) AS algorithm,
+               generate_subscripts(regexp_extract_all(pipeline, '([A-Za-z]\w*)\(', 1), 1) AS i FROM pipelines),
+steps AS (SELECT pipeline_id, CAST(row_number() OVER (PARTITION BY pipeline_id ORDER BY i) - 1 AS BIGINT) AS pos, algorithm
+          FROM raw WHERE algorithm NOT IN ('ord-enc', 'oh-enc', 'imputation')),
+params AS (SELECT pipeline_id,
+                  unnest(regexp_extract_all(pipeline, '([A-Za-z]\w*)\.(\w+)=([^,)]+)', 1)) AS algorithm,
+                  unnest(regexp_extract_all(pipeline, '([A-Za-z]\w*)\.(\w+)=([^,)]+)', 2)) AS param,
+                  trim(unnest(regexp_extract_all(pipeline, '([A-Za-z]\w*)\.(\w+)=([^,)]+)', 3))) AS value
+           FROM pipelines)"""
+
+ORACLE["config_steps"] = _STEPS + "\nSELECT * FROM steps"
+ORACLE["config_params"] = _STEPS + "\nSELECT * FROM params"
+ORACLE["params_in_space"] = _STEPS + """
+SELECT * FROM params WHERE (algorithm, param) IN (VALUES ('Tree', 'depth'), ('Forest', 'n'), ('Pca', 'k'))"""
+
+_BITS = _STEPS + """,
+vocab AS (SELECT * FROM (VALUES ('Bayes', 0), ('Forest', 1), ('Pca', 2), ('Scaler', 3), ('Tree', 4)) v(algorithm, idx)),
+s AS (SELECT steps.*, vocab.idx FROM steps JOIN vocab USING (algorithm)),
+succ AS (SELECT pipeline_id, 5 + idx * 5 + lead(idx) OVER (PARTITION BY pipeline_id ORDER BY pos) AS idx,
+                algorithm || '-->' || lead(algorithm) OVER (PARTITION BY pipeline_id ORDER BY pos) AS feature FROM s),
+bits AS (SELECT DISTINCT pipeline_id, CAST(idx AS BIGINT) AS idx, feature FROM (
+           SELECT pipeline_id, idx, algorithm AS feature FROM s
+           UNION ALL SELECT * FROM succ WHERE idx IS NOT NULL) u)"""
+
+ORACLE["algo_bits"] = _BITS + "\nSELECT * FROM bits"
+ORACLE["algo_successors"] = _BITS + "\nSELECT * FROM bits WHERE idx >= 5"
+
+ORACLE["rankml_hashes"] = _STEPS + """,
+kv AS (SELECT pipeline_id, algorithm, list_sort(list(param || '=' || value)) AS kv FROM params GROUP BY 1, 2),
+txt AS (SELECT s.pipeline_id, s.pos, s.algorithm || '(' || coalesce(array_to_string(kv.kv, ', '), '') || ')' AS text
+        FROM steps s LEFT JOIN kv USING (pipeline_id, algorithm)),
+n AS (SELECT pipeline_id, count(*) AS n FROM steps GROUP BY 1),
+slots AS (SELECT pipeline_id, n, unnest(range(0, (SELECT max(n) FROM n))) AS pos FROM n),
+rev AS (SELECT txt.pipeline_id, n.n - 1 - txt.pos AS pos, md5(text) AS hash FROM txt JOIN n USING (pipeline_id))
+SELECT slots.pipeline_id, CAST(slots.pos AS BIGINT) AS pos, coalesce(rev.hash, md5('')) AS hash
+FROM slots LEFT JOIN rev USING (pipeline_id, pos)"""
+
+ORACLE["longest_pipeline"] = _STEPS + """
+SELECT max(n) AS longest FROM (SELECT pipeline_id, count(*) AS n FROM steps GROUP BY 1) t"""
+
+ORACLE["assign_ids"] = with_fixtures("pipelines") + """,
+names AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0
+            THEN concat('Tree(data, Tree.depth=', CAST(p_size AS varchar(20)), ')')
+            WHEN p_partkey % 3 = 1
+            THEN concat('Bayes(Scaler(data), Bayes.alpha=', CAST(p_size AS varchar(20)), ')')
+            ELSE concat('Forest(Pca(data, Pca.k=', CAST(p_size AS varchar(20)), '), Forest.n=10)')
+       END AS pipeline FROM part),
+unseen AS (SELECT pipeline FROM names WHERE pipeline NOT IN (SELECT pipeline FROM pipelines))
+SELECT pipeline, (SELECT max(pipeline_id) FROM pipelines) + row_number() OVER (ORDER BY pipeline) AS pipeline_id
+FROM unseen"""
+
+ORACLE["pipeline_buckets"] = with_fixtures("pipelines") + """
+SELECT pipeline_id, (200003 * pipeline_id + 200131) % 1000 AS bucket FROM pipelines"""
+
+ORACLE["skip_rules"] = _STEPS + """,
+evaluations AS (""" + FIXTURE_SQL["evaluations"] + """),
+samples AS (""" + FIXTURE_SQL["samples"] + """),""" + _TOPN + """,
+sizes AS (SELECT CAST(dataset_id AS BIGINT) AS dataset_id, count(*) AS n_rows, 4 AS n_cols FROM samples GROUP BY 1),
+recs AS (SELECT dataset_id, pipeline_id, position FROM t WHERE position <= 5),
+flag AS (SELECT r.dataset_id, r.pipeline_id FROM recs r JOIN sizes z USING (dataset_id)
+         WHERE (z.n_rows * z.n_cols > 2400 AND r.pipeline_id IN (SELECT pipeline_id FROM steps WHERE algorithm = 'Forest'))
+            OR (z.n_cols > 3 AND r.pipeline_id IN (SELECT pipeline_id FROM steps WHERE algorithm = 'Pca')))
+SELECT * FROM recs WHERE (dataset_id, pipeline_id) NOT IN (SELECT (dataset_id, pipeline_id) FROM flag)"""

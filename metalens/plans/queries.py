@@ -432,3 +432,94 @@ def q_feasible_features(spark, sf):
         F.struct(F.concat(F.lit("skewness."), F.col("attr")).alias("name"), F.col("skewness").alias("value"))))
         .alias("f")).select("dataset_id", "f.*")
     return feasible_features(raw)
+
+
+# --- step 8: pipeline parsing and characterizations ------------------------------
+
+# The algorithm vocabulary (search space) of the stand-in pipelines.
+VOCABULARY = ["Bayes", "Forest", "Pca", "Scaler", "Tree"]
+# Skip rules applied to the stand-in pipelines (algorithm, predicate on dataset size).
+SKIP_RULES = [("Forest", "n_rows * n_cols > 2400"), ("Pca", "n_cols > 3")]
+SEARCH_SPACE = [("Tree", "depth"), ("Forest", "n"), ("Pca", "k")]
+
+
+def _steps(spark, sf):
+    from metalens.operators.configs import parse_steps
+    return parse_steps(fixture(spark, sf, "pipelines"))
+
+
+def _params(spark, sf):
+    from metalens.operators.configs import parse_params
+    return parse_params(fixture(spark, sf, "pipelines"))
+
+
+@register("config_steps")
+def q_config_steps(spark, sf):
+    return _steps(spark, sf)
+
+
+@register("config_params")
+def q_config_params(spark, sf):
+    return _params(spark, sf)
+
+
+@register("params_in_space")
+def q_params_in_space(spark, sf):
+    from metalens.operators.configs import params_in_space
+    space = spark.createDataFrame(SEARCH_SPACE, "algorithm string, param string")
+    return params_in_space(_params(spark, sf), space)
+
+
+@register("algo_bits")
+def q_algo_bits(spark, sf):
+    from metalens.operators.configs import algorithm_bits
+    return algorithm_bits(_steps(spark, sf), VOCABULARY)
+
+
+@register("algo_successors")
+def q_algo_successors(spark, sf):
+    from metalens.operators.configs import algorithm_bits
+    n = len(VOCABULARY)
+    return algorithm_bits(_steps(spark, sf), VOCABULARY).filter(F.col("idx") >= n)
+
+
+@register("rankml_hashes")
+def q_rankml_hashes(spark, sf):
+    from metalens.operators.configs import step_hashes
+    return step_hashes(_steps(spark, sf), _params(spark, sf))
+
+
+@register("longest_pipeline")
+def q_longest_pipeline(spark, sf):
+    from metalens.operators.configs import longest_pipeline
+    return longest_pipeline(_steps(spark, sf)).select(F.col("longest").cast("long").alias("longest"))
+
+
+def all_pipeline_names(spark, sf):
+    """Pipeline strings of every part (the stand-in rule without its id cut)."""
+    from metalens.sources.tables import FIXTURE_SQL, bind_sql
+    sql = FIXTURE_SQL["pipelines"].replace("FROM part WHERE p_partkey < 200", "FROM part")
+    return spark.sql(bind_sql(sql, sf)).select("pipeline")
+
+
+@register("assign_ids")
+def q_assign_ids(spark, sf):
+    return store.assign_new_ids(fixture(spark, sf, "pipelines"), all_pipeline_names(spark, sf),
+                                "pipeline", "pipeline_id")
+
+
+@register("pipeline_buckets")
+def q_pipeline_buckets(spark, sf):
+    from metalens.functions.configs import bucket_of
+    return fixture(spark, sf, "pipelines").select("pipeline_id", bucket_of("pipeline_id").alias("bucket"))
+
+
+@register("skip_rules")
+def q_skip_rules(spark, sf):
+    from metalens.operators.configs import apply_skip_rules
+    recs = store.top_n_per_dataset(_evals(spark, sf), TOP_N, METRIC).select("dataset_id", "pipeline_id", "position")
+    s = fixture(spark, sf, "samples")
+    sizes = s.groupBy(F.col("dataset_id").cast("long").alias("dataset_id")).agg(
+        F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(NUMERIC_ATTRS) + len(CATEGORICAL_ATTRS)))
+    out = apply_skip_rules(recs, _steps(spark, sf), sizes, SKIP_RULES)
+    return out.withColumn("position", F.col("position").cast("long"))
