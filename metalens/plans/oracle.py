@@ -450,3 +450,62 @@ flag AS (SELECT r.dataset_id, r.pipeline_id FROM recs r JOIN sizes z USING (data
          WHERE (z.n_rows * z.n_cols > 2400 AND r.pipeline_id IN (SELECT pipeline_id FROM steps WHERE algorithm = 'Forest'))
             OR (z.n_cols > 3 AND r.pipeline_id IN (SELECT pipeline_id FROM steps WHERE algorithm = 'Pca')))
 SELECT * FROM recs WHERE (dataset_id, pipeline_id) NOT IN (SELECT (dataset_id, pipeline_id) FROM flag)"""
+
+# --- step 9 -------------------------------------------------------------------
+
+_SUB = _CELLS + """,
+bt AS (SELECT range AS batch FROM range(0, 3)),
+rows_b AS (SELECT l.dataset_id, b.batch, l.row_id,
+                  (CAST(l.row_id AS HUGEINT) * 2654435761 + 11 + b.batch * 7919) % 4294967296 AS h
+           FROM labels l CROSS JOIN bt b),
+srows AS (SELECT dataset_id, batch, row_id FROM (
+            SELECT *, row_number() OVER (PARTITION BY dataset_id, batch ORDER BY h, row_id) AS rn FROM rows_b) t
+          WHERE rn <= 256),
+attrs AS (SELECT dataset_id, attr, dense_rank() OVER (PARTITION BY dataset_id ORDER BY attr) AS ai
+          FROM (SELECT DISTINCT dataset_id, attr FROM cells WHERE NOT is_cat) a),
+feats AS (SELECT dataset_id, batch, attr FROM (
+            SELECT a.dataset_id, b.batch, a.attr,
+                   row_number() OVER (PARTITION BY a.dataset_id, b.batch
+                                      ORDER BY (CAST(a.ai AS HUGEINT) * 2654435761 + 11 + b.batch * 7919 + 1) % 4294967296, a.attr) AS rn
+            FROM attrs a CROSS JOIN bt b) t WHERE rn <= 16),
+cls AS (SELECT dataset_id, y, dense_rank() OVER (PARTITION BY dataset_id ORDER BY y) - 1 AS class_idx
+        FROM (SELECT DISTINCT dataset_id, y FROM labels) c),
+scls AS (SELECT dataset_id, batch, class_idx, y FROM (
+           SELECT c.*, b.batch,
+                  row_number() OVER (PARTITION BY c.dataset_id, b.batch
+                                     ORDER BY (CAST(c.class_idx AS HUGEINT) * 2654435761 + 11 + b.batch * 7919 + 2) % 4294967296, c.class_idx) AS rn
+           FROM cls c CROSS JOIN bt b) t WHERE rn <= 3),
+imp0 AS (SELECT c.dataset_id, c.attr, c.row_id, coalesce(c.num_val, m.m) AS x
+        FROM cells c JOIN mu m USING (dataset_id, attr) WHERE NOT c.is_cat),
+ib AS (SELECT dataset_id, attr, min(x) AS lo, max(x) AS hi FROM imp0 GROUP BY 1, 2),
+imp AS (SELECT dataset_id, attr, row_id, CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.0 END AS x
+        FROM imp0 JOIN ib USING (dataset_id, attr)),
+xs AS (SELECT i.dataset_id, r.batch, i.attr, i.row_id, i.x FROM imp i
+       JOIN srows r USING (dataset_id, row_id) JOIN feats f ON f.dataset_id = i.dataset_id AND f.batch = r.batch AND f.attr = i.attr),
+oh AS (SELECT r.dataset_id, r.batch, r.row_id, s.class_idx, CAST(l.y = s.y AS DOUBLE) AS y
+       FROM srows r JOIN labels l USING (dataset_id, row_id) JOIN scls s ON s.dataset_id = r.dataset_id AND s.batch = r.batch),
+pairs AS (SELECT xs.*, oh.class_idx, oh.y FROM xs JOIN oh USING (dataset_id, batch, row_id))"""
+
+ORACLE["subtable_sample"] = _SUB + "\nSELECT dataset_id, CAST(batch AS BIGINT) AS batch, row_id FROM srows"
+
+ORACLE["flatten_pairs"] = _SUB + """
+SELECT dataset_id, CAST(batch AS BIGINT) AS batch, count(*) AS n_pairs, round(sum(x), 8) AS sum_x, sum(y) AS sum_y
+FROM pairs GROUP BY 1, 2"""
+
+ORACLE["pool_means"] = _SUB + """,
+cf AS (SELECT dataset_id, batch, class_idx, attr, avg(x) AS x, avg(y) AS y, avg(x * y) AS xy, avg(x * x) AS xx
+       FROM pairs GROUP BY 1, 2, 3, 4),
+pb AS (SELECT dataset_id, batch, avg(x) AS x, avg(y) AS y, avg(xy) AS xy, avg(xx) AS xx FROM cf GROUP BY 1, 2),
+pd AS (SELECT dataset_id, avg(x) AS x, avg(y) AS y, avg(xy) AS xy, avg(xx) AS xx, count(*) AS nb FROM pb GROUP BY 1)
+SELECT dataset_id, CAST(dim AS BIGINT) AS dim, 'batch_' || CAST(nb AS VARCHAR) || '_dim' || CAST(dim AS VARCHAR) AS name,
+       round(value, 10) AS value
+FROM (SELECT dataset_id, nb, 0 AS dim, x AS value FROM pd UNION ALL SELECT dataset_id, nb, 1, y FROM pd
+      UNION ALL SELECT dataset_id, nb, 2, xy FROM pd UNION ALL SELECT dataset_id, nb, 3, xx FROM pd) u"""
+
+ORACLE["minmax_scaled"] = _CELLS + """,
+imp AS (SELECT c.dataset_id, c.attr, coalesce(c.num_val, m.m) AS x FROM cells c JOIN mu m USING (dataset_id, attr)
+        WHERE NOT c.is_cat),
+bnd AS (SELECT dataset_id, attr, min(x) AS lo, max(x) AS hi FROM imp GROUP BY 1, 2)
+SELECT dataset_id, attr, round(avg(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.0 END), 8) AS mean_scaled,
+       count(*) AS n
+FROM imp JOIN bnd USING (dataset_id, attr) GROUP BY 1, 2"""

@@ -523,3 +523,42 @@ def q_skip_rules(spark, sf):
         F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(NUMERIC_ATTRS) + len(CATEGORICAL_ATTRS)))
     out = apply_skip_rules(recs, _steps(spark, sf), sizes, SKIP_RULES)
     return out.withColumn("position", F.col("position").cast("long"))
+
+
+# --- step 9: sub-table sampling and pooling --------------------------------------
+
+N_BATCHES = 3
+SAMPLE_SEED = 11
+
+
+@register("subtable_sample")
+def q_subtable_sample(spark, sf):
+    from metalens.operators.subtables import sample_rows
+    _, labels = _cells_labels(spark, sf)
+    return sample_rows(labels, N_BATCHES, SAMPLE_SEED)
+
+
+@register("flatten_pairs")
+def q_flatten_pairs(spark, sf):
+    from metalens.operators.subtables import flatten_pairs
+    cells, labels = _cells_labels(spark, sf)
+    p = flatten_pairs(cells, labels, N_BATCHES, SAMPLE_SEED)
+    return p.groupBy("dataset_id", "batch").agg(F.count(F.lit(1)).alias("n_pairs"),
+                                                rnd(F.sum("x"), 8).alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@register("pool_means")
+def q_pool_means(spark, sf):
+    from metalens.operators.subtables import flatten_pairs, pooled_vectors
+    cells, labels = _cells_labels(spark, sf)
+    out = pooled_vectors(flatten_pairs(cells, labels, N_BATCHES, SAMPLE_SEED))
+    return out.withColumn("value", rnd("value", 10))
+
+
+@register("minmax_scaled")
+def q_minmax_scaled(spark, sf):
+    from metalens.operators.subtables import impute_mean, minmax_scale
+    cells, _ = _cells_labels(spark, sf)
+    s = minmax_scale(impute_mean(cells))
+    return s.groupBy("dataset_id", "attr").agg(rnd(F.avg("num_val"), 8).alias("mean_scaled"),
+                                               F.count(F.lit(1)).alias("n"))
