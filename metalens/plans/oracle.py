@@ -509,3 +509,17 @@ bnd AS (SELECT dataset_id, attr, min(x) AS lo, max(x) AS hi FROM imp GROUP BY 1,
 SELECT dataset_id, attr, round(avg(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.0 END), 8) AS mean_scaled,
        count(*) AS n
 FROM imp JOIN bnd USING (dataset_id, attr) GROUP BY 1, 2"""
+
+# --- characterization stores -----------------------------------------------------
+
+ORACLE["list_characterizations"] = _CELLS + """,
+vectors AS (""" + FIXTURE_SQL["vectors"] + """)
+SELECT 'embedding' AS method, count(DISTINCT dataset_id) AS n FROM vectors
+UNION ALL SELECT 'simple', count(DISTINCT dataset_id) FROM labels"""
+
+ORACLE["char_lookup_ordered"] = with_fixtures("vectors") + """,
+req AS (SELECT * FROM (VALUES (0, 5), (1, 3), (2, 5), (3, 0), (4, 39), (5, 12)) v(req_pos, dataset_id))
+SELECT CAST(req_pos AS BIGINT) AS req_pos, CAST(req.dataset_id AS BIGINT) AS dataset_id,
+       CAST(len(embedding) AS BIGINT) AS n_dims,
+       round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: CAST(x AS DOUBLE))), lambda a, b: a + b), 8) AS value_sum
+FROM req JOIN vectors USING (dataset_id)"""

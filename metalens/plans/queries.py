@@ -562,3 +562,38 @@ def q_minmax_scaled(spark, sf):
     s = minmax_scale(impute_mean(cells))
     return s.groupBy("dataset_id", "attr").agg(rnd(F.avg("num_val"), 8).alias("mean_scaled"),
                                                F.count(F.lit(1)).alias("n"))
+
+
+# --- characterization stores ---------------------------------------------------------
+
+REQUESTED_IDS = [5, 3, 5, 0, 39, 12]
+
+
+def _embedding_chars(spark, sf):
+    v = fixture(spark, sf, "vectors")
+    return v.select(F.lit("embedding").alias("method"), "dataset_id",
+                    F.col("embedding").cast("array<double>").alias("values"),
+                    F.transform("embedding", lambda x, i: F.concat(F.lit("dim"), i.cast("string"))).alias("names"))
+
+
+def _simple_chars(spark, sf):
+    from metalens.operators.metafeatures import simple_features
+    long = simple_features(*_cells_labels(spark, sf))
+    packed = long.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("kv"))
+    return packed.select(F.lit("simple").alias("method"), "dataset_id",
+                         F.col("kv.value").alias("values"), F.col("kv.name").alias("names"))
+
+
+@register("list_characterizations")
+def q_list_characterizations(spark, sf):
+    from metalens.sources.metastore import list_characterizations
+    chars = _embedding_chars(spark, sf).unionByName(_simple_chars(spark, sf))
+    return list_characterizations(chars).select("method", F.col("n").cast("long").alias("n"))
+
+
+@register("char_lookup_ordered")
+def q_char_lookup_ordered(spark, sf):
+    from metalens.sources.metastore import ordered_lookup
+    out = ordered_lookup(_embedding_chars(spark, sf), REQUESTED_IDS)
+    return out.select("req_pos", "dataset_id", F.size("values").cast("long").alias("n_dims"),
+                      rnd(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 8).alias("value_sum"))
