@@ -36,7 +36,7 @@ ORACLE["get_df_by_names"] = with_fixtures("evaluations", "pipelines") + f"""
 SELECT * FROM evaluations
 WHERE dataset_id IN ({_DS})
   AND pipeline_id IN (SELECT pipeline_id FROM pipelines WHERE pipeline IN
-      ('Tree(data, Tree.depth=10)', 'Bayes(Scaler(data), Bayes.alpha=3)', 'Forest(Pca(data, Pca.k=5), Forest.n=10)'))"""
+      (SELECT pipeline FROM pipelines WHERE pipeline_id IN (10, 11, 12)))"""
 
 ORACLE["avg_equivalent"] = with_fixtures("evaluations") + """,
 d AS (SELECT dataset_id, pipeline_id, score, metric, logs_name, min(eval_id) AS eval_id

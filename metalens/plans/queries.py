@@ -29,6 +29,7 @@ SELECTED_RUNS = ["d1_AsyncEA", "d2_RandomSearch", "d3_AsynchronousSuccessiveHalv
 TOP_N = 5
 TOTAL_N_CONFIGS = 25
 MIN_EVALS = 10
+NAMED_PIPELINE_IDS = [10, 11, 12]
 
 
 def register(name: str):
@@ -74,8 +75,9 @@ def q_get_df_by_names(spark, sf):
     ev = _evals(spark, sf)
     pipes = fixture(spark, sf, "pipelines")
     names = [f"d{i}" for i in SELECTED_DATASETS]
-    pipe_names = ["Tree(data, Tree.depth=10)", "Bayes(Scaler(data), Bayes.alpha=3)",
-                  "Forest(Pca(data, Pca.k=5), Forest.n=10)"]
+    # The requested pipeline names are those of a few lookup ids (three strings).
+    pipe_names = [r[0] for r in pipes.filter(F.col("pipeline_id").isin(NAMED_PIPELINE_IDS))
+                  .select("pipeline").distinct().collect()]
     return store.get_df_by_names(ev, dataset_lookup(ev), names, pipes, pipe_names)
 
 

@@ -39,8 +39,7 @@ class MetaStore:
         spark.createDataFrame([], schemas.DATASET_LOOKUP).write.parquet(f"{root}/datasets")
         spark.createDataFrame([], schemas.PIPELINE_LOOKUP).write.parquet(f"{root}/pipelines")
         spark.createDataFrame([], schemas.CHARACTERIZATIONS).write.partitionBy("method").parquet(f"{root}/dataset_chars")
-        pc = schemas.CHARACTERIZATIONS
-        spark.createDataFrame([], pc).withColumnRenamed("dataset_id", "pipeline_id").write.partitionBy(
+        spark.createDataFrame([], schemas.PIPELINE_CHARACTERIZATIONS).write.partitionBy(
             "method").parquet(f"{root}/pipeline_chars")
         return cls(spark, root)
 
@@ -54,10 +53,10 @@ class MetaStore:
         return self.spark.read.schema(schemas.PIPELINE_LOOKUP).parquet(self._p("pipelines"))
 
     def dataset_chars(self) -> DataFrame:
-        return self.spark.read.parquet(self._p("dataset_chars"))
+        return self.spark.read.schema(schemas.CHARACTERIZATIONS).parquet(self._p("dataset_chars"))
 
     def pipeline_chars(self) -> DataFrame:
-        return self.spark.read.parquet(self._p("pipeline_chars"))
+        return self.spark.read.schema(schemas.PIPELINE_CHARACTERIZATIONS).parquet(self._p("pipeline_chars"))
 
     # ---- lookups ------------------------------------------------------------------
     def list_datasets(self, by: str = "both") -> DataFrame:
@@ -126,7 +125,8 @@ class MetaStore:
         existing = self.pipeline_chars().filter(F.col("method") == method)
         store.check_no_overlap(existing, chars, "pipeline_id")
         self._check_names(existing, chars)
-        (chars.select(F.lit(method).alias("method"), "pipeline_id", "values", "names")
+        (chars.select(F.lit(method).alias("method"), "pipeline_id",
+                      F.col("values").cast("array<string>").alias("values"), "names")
          .write.mode("append").partitionBy("method").parquet(self._p("pipeline_chars")))
 
     @staticmethod

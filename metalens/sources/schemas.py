@@ -32,3 +32,10 @@ RESULTS = T.StructType([
     T.StructField("dataset_id", T.LongType(), False),
     T.StructField("score", T.DoubleType(), True),
 ])
+
+PIPELINE_CHARACTERIZATIONS = T.StructType([
+    T.StructField("method", T.StringType(), False),
+    T.StructField("pipeline_id", T.LongType(), False),
+    T.StructField("values", T.ArrayType(T.StringType()), False),
+    T.StructField("names", T.ArrayType(T.StringType()), False),
+])
