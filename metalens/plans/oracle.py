@@ -523,3 +523,46 @@ SELECT CAST(req_pos AS BIGINT) AS req_pos, CAST(req.dataset_id AS BIGINT) AS dat
        CAST(len(embedding) AS BIGINT) AS n_dims,
        round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: CAST(x AS DOUBLE))), lambda a, b: a + b), 8) AS value_sum
 FROM req JOIN vectors USING (dataset_id)"""
+
+# --- step 10 ------------------------------------------------------------------
+
+ORACLE["ltr_frame"] = _BITS + """,
+evaluations AS (""" + FIXTURE_SQL["evaluations"] + """),
+vectors AS (""" + FIXTURE_SQL["vectors"] + """),
+t AS (SELECT dataset_id, pipeline_id, score,
+             row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, pipeline_id, eval_id) AS position
+      FROM evaluations WHERE metric = 'neg_log_loss' AND dataset_id <> 0),
+lab AS (SELECT dataset_id AS qid, dataset_id, pipeline_id,
+               CAST(count(*) OVER (PARTITION BY dataset_id) - position + 1 AS DOUBLE) AS relevance
+        FROM t WHERE position <= 10),
+pv AS (SELECT pipeline_id, count(*) AS n_on FROM bits GROUP BY 1),
+dv AS (SELECT dataset_id, len(embedding) AS nd,
+              list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: CAST(x AS DOUBLE))), lambda a, b: a + b) AS ds
+       FROM vectors)
+SELECT lab.qid, lab.dataset_id, lab.pipeline_id, lab.relevance, CAST(dv.nd + 30 AS BIGINT) AS n_features,
+       round(dv.ds + pv.n_on, 6) AS feature_sum
+FROM lab JOIN dv USING (dataset_id) JOIN pv USING (pipeline_id)"""
+
+ORACLE["dense_rank_ties"] = _AVG_REGRET + f""",
+sc AS (SELECT pipeline_id, round(ranking_score, 1) AS predicted FROM off),
+dr AS (SELECT *, dense_rank() OVER (ORDER BY predicted DESC) AS dense_rank FROM sc),
+bs AS (SELECT dataset_id, max(score) AS best FROM e GROUP BY 1),
+gp AS (SELECT pipeline_id, avg(best - score) AS gap FROM e JOIN bs USING (dataset_id) GROUP BY 1),
+j AS (SELECT dr.*, gp.gap FROM dr LEFT JOIN gp USING (pipeline_id))
+SELECT row_number() OVER (ORDER BY dense_rank, gap NULLS LAST, pipeline_id) AS rank, pipeline_id, dense_rank,
+       predicted, round(gap, 10) AS gap
+FROM j ORDER BY dense_rank, gap NULLS LAST, pipeline_id LIMIT {TOTAL_N_CONFIGS}"""
+
+ORACLE["learner_utility"] = _UTIL + f"""
+SELECT row_number() OVER (ORDER BY utility DESC, pipeline_id) AS rank, pipeline_id, utility AS score
+FROM us ORDER BY utility DESC, pipeline_id LIMIT {TOTAL_N_CONFIGS}"""
+
+_MATRIX_KEPT = _MATRIX.replace("FROM evaluations WHERE metric = '" + METRIC + "')",
+                               "FROM evaluations WHERE metric = '" + METRIC + "' AND dataset_id <> 0)").replace(
+    "FROM evaluations\n         WHERE metric = '" + METRIC + "' AND pipeline_id IN",
+    "FROM evaluations\n         WHERE metric = '" + METRIC + "' AND dataset_id <> 0 AND pipeline_id IN")
+ORACLE["learner_portfolio"] = _portfolio_sql(3).replace(_MATRIX, _MATRIX_KEPT).replace(
+    "SELECT 1 AS position, pipeline_id, gain, round(", "SELECT 1 AS rank, pipeline_id, round(").replace(
+    "SELECT 2 AS position, pipeline_id, gain, round(", "SELECT 2 AS rank, pipeline_id, round(").replace(
+    "SELECT 3 AS position, pipeline_id, gain, round(", "SELECT 3 AS rank, pipeline_id, round(").replace(
+    ", 10) AS total_regret FROM p", ", 10) AS score FROM p")

@@ -599,3 +599,75 @@ def q_char_lookup_ordered(spark, sf):
     out = ordered_lookup(_embedding_chars(spark, sf), REQUESTED_IDS)
     return out.select("req_pos", "dataset_id", F.size("values").cast("long").alias("n_dims"),
                       rnd(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 8).alias("value_sum"))
+
+
+# --- step 10: learned ranking ----------------------------------------------------------
+
+RANK_N_MODELS = 10
+
+
+def _pipe_vecs(spark, sf):
+    from metalens.operators.configs import algorithm_vectors
+    return algorithm_vectors(_steps(spark, sf), VOCABULARY).withColumnRenamed("vector", "values")
+
+
+def _dataset_vecs(spark, sf):
+    return fixture(spark, sf, "vectors").select("dataset_id", F.col("embedding").alias("values"))
+
+
+@register("ltr_frame")
+def q_ltr_frame(spark, sf):
+    from metalens.plans.rankml import training_frame
+    f = training_frame(_mdbase_evals(spark, sf), _dataset_vecs(spark, sf), _pipe_vecs(spark, sf), RANK_N_MODELS, METRIC)
+    return f.select("qid", "dataset_id", "pipeline_id", "relevance", F.size("features").cast("long").alias("n_features"),
+                    rnd(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"))
+
+
+@register("dense_rank_ties")
+def q_dense_rank_ties(spark, sf):
+    """Ranked top-k on a coarse score (one decimal of the average-regret score),
+    so that many pipelines share a rank and the gap tie-break decides."""
+    from metalens.plans.rankml import ranked_top_k
+    ev = _evals(spark, sf)
+    off = recommend.average_regret_offline(ev, fixture(spark, sf, "pipelines"), METRIC)
+    scored = off.select("pipeline_id", F.round("ranking_score", 1).alias("predicted"))
+    out = ranked_top_k(scored, ev, TOTAL_N_CONFIGS, "predicted", METRIC)
+    return out.withColumn("gap", rnd("gap"))
+
+
+@register("rankml_topk")
+def q_rankml_topk(spark, sf):
+    from metalens.plans.rankml import candidate_frame, fit_ranker, ranked_top_k, score_candidates, training_frame
+    ev = _mdbase_evals(spark, sf)
+    pv = _pipe_vecs(spark, sf)
+    frame = training_frame(ev, _dataset_vecs(spark, sf), pv, RANK_N_MODELS, METRIC)
+    model = fit_ranker(frame)
+    q = fixture(spark, sf, "vectors").filter(F.col("dataset_id") == QUERY_DATASET).select("embedding").first()
+    cands = candidate_frame(ev, pv, list(q[0]) if q else [], RANK_N_MODELS, METRIC)
+    return ranked_top_k(score_candidates(model, cands), ev, TOTAL_N_CONFIGS, "predicted", METRIC)
+
+
+# --- learner API over a leave-out view ----------------------------------------------------
+
+def _view(spark, sf):
+    from metalens.operators.views import all_but, partial_view
+    ev = _evals(spark, sf)
+    ds = dataset_lookup(ev)
+    keep = all_but(ds.select("dataset_id"), spark.createDataFrame([(QUERY_DATASET,)], "dataset_id long"))
+    return partial_view(ev, ds, fixture(spark, sf, "pipelines"), keep,
+                        dataset_chars=fixture(spark, sf, "vectors"))
+
+
+@register("learner_utility")
+def q_learner_utility(spark, sf):
+    from metalens.plans.learners import UtilityEstimateLearner, call_with_supported
+    lrn = UtilityEstimateLearner(metric=METRIC).fit(_view(spark, sf))
+    q = fixture(spark, sf, "vectors").filter(F.col("dataset_id") == QUERY_DATASET)
+    return call_with_supported(lrn.recommend, query_vector=q, total_n_configs=TOTAL_N_CONFIGS, min_evals=MIN_EVALS)
+
+
+@register("learner_portfolio")
+def q_learner_portfolio(spark, sf):
+    from metalens.plans.learners import PortfolioLearner
+    lrn = PortfolioLearner(metric=METRIC, portfolio_size=PORTFOLIO_K, n_pipes=MATRIX_N).fit(_view(spark, sf))
+    return lrn.recommend(total_n_configs=PORTFOLIO_K).withColumn("score", rnd("score"))
