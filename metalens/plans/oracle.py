@@ -566,3 +566,22 @@ ORACLE["learner_portfolio"] = _portfolio_sql(3).replace(_MATRIX, _MATRIX_KEPT).r
     "SELECT 2 AS position, pipeline_id, gain, round(", "SELECT 2 AS rank, pipeline_id, round(").replace(
     "SELECT 3 AS position, pipeline_id, gain, round(", "SELECT 3 AS rank, pipeline_id, round(").replace(
     ", 10) AS total_regret FROM p", ", 10) AS score FROM p")
+
+ORACLE["dataset_sizes"] = _CELLS + """,
+evaluations AS (""" + FIXTURE_SQL["evaluations"] + """),
+inst AS (SELECT dataset_id, count(*) AS n_rows, count(DISTINCT y) AS n_classes FROM labels GROUP BY 1),
+feats AS (SELECT dataset_id, count(DISTINCT attr) AS n_features FROM cells GROUP BY 1),
+ev AS (SELECT dataset_id, count(*) AS n_evals FROM evaluations GROUP BY 1)
+SELECT dataset_id, n_rows, n_features, n_classes, n_rows * (n_features + n_classes) AS n_cells,
+       coalesce(n_evals, 0) AS n_evals
+FROM inst JOIN feats USING (dataset_id) LEFT JOIN ev USING (dataset_id)"""
+
+ORACLE["learner_subset"] = with_fixtures("results") + """
+SELECT * FROM results WHERE metalearner_name NOT LIKE '%ew%'
+  AND dataset_id IN (0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32, 34, 36)"""
+
+ORACLE["warm_start_list"] = ORACLE["skip_rules"].replace("WHERE position <= 5),\nflag AS", "WHERE position <= 10),\nflag AS").replace(
+    "SELECT * FROM recs WHERE (dataset_id, pipeline_id) NOT IN (SELECT (dataset_id, pipeline_id) FROM flag)",
+    """SELECT dataset_id, slot, pipeline_id FROM (
+  SELECT dataset_id, pipeline_id, row_number() OVER (PARTITION BY dataset_id ORDER BY position) AS slot
+  FROM recs WHERE (dataset_id, pipeline_id) NOT IN (SELECT (dataset_id, pipeline_id) FROM flag)) k WHERE slot <= 5""")

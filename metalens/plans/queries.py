@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metalens.functions.regret import rnd
@@ -671,3 +671,45 @@ def q_learner_portfolio(spark, sf):
     from metalens.plans.learners import PortfolioLearner
     lrn = PortfolioLearner(metric=METRIC, portfolio_size=PORTFOLIO_K, n_pipes=MATRIX_N).fit(_view(spark, sf))
     return lrn.recommend(total_n_configs=PORTFOLIO_K).withColumn("score", rnd("score"))
+
+
+# --- sizes, subsets, warm-start lists --------------------------------------------------------
+
+LEARNER_SUBSET_DATASETS = [0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32, 34, 36]
+
+
+@register("dataset_sizes")
+def q_dataset_sizes(spark, sf):
+    """Per dataset: instances, features, classes, cells = rows * (features + classes)
+    joined with the number of evaluations, ordered by size."""
+    cells, labels = _cells_labels(spark, sf)
+    inst = labels.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("y").alias("n_classes"))
+    feats = cells.groupBy("dataset_id").agg(F.count_distinct("attr").alias("n_features"))
+    evals = _evals(spark, sf).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_evals"))
+    sizes = (inst.join(feats, "dataset_id").join(evals, "dataset_id", "left")
+             .select("dataset_id", F.col("n_rows").cast("long"), F.col("n_features").cast("long"),
+                     F.col("n_classes").cast("long"),
+                     (F.col("n_rows") * (F.col("n_features") + F.col("n_classes"))).cast("long").alias("n_cells"),
+                     F.coalesce("n_evals", F.lit(0)).cast("long").alias("n_evals")))
+    return sizes.orderBy(F.col("n_rows").desc(), F.col("n_features").desc(), F.col("dataset_id"))
+
+
+@register("learner_subset")
+def q_learner_subset(spark, sf):
+    """Results of learners whose name lacks a substring, on a listed dataset subset."""
+    res = fixture(spark, sf, "results")
+    return res.filter(~F.col("metalearner_name").contains("ew") & F.col("dataset_id").isin(LEARNER_SUBSET_DATASETS))
+
+
+@register("warm_start_list")
+def q_warm_start_list(spark, sf):
+    """Kept recommendations after the skip rules, first 5 per dataset."""
+    from metalens.operators.configs import apply_skip_rules
+    recs = store.top_n_per_dataset(_evals(spark, sf), 2 * TOP_N, METRIC).select("dataset_id", "pipeline_id", "position")
+    s = fixture(spark, sf, "samples")
+    sizes = s.groupBy(F.col("dataset_id").cast("long").alias("dataset_id")).agg(
+        F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(NUMERIC_ATTRS) + len(CATEGORICAL_ATTRS)))
+    kept = apply_skip_rules(recs, _steps(spark, sf), sizes, SKIP_RULES)
+    w = Window.partitionBy("dataset_id").orderBy("position")
+    return (kept.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= TOP_N)
+            .select("dataset_id", F.col("slot").cast("long").alias("slot"), "pipeline_id"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metalens.operators import store
@@ -107,6 +107,13 @@ class MetaStore:
         new_pp.unpersist()
         return self.evaluations().join(runs, "logs_name", "left_semi")
 
+    def add_run_top(self, records: DataFrame, n: int) -> DataFrame:
+        """Append only the ``n`` best records (by score, ties by pipeline name)
+        of each run in ``records`` (a finished search run's table part)."""
+        w = Window.partitionBy("logs_name").orderBy(F.col("score").desc(), F.col("pipeline").asc())
+        best = records.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+        return self.add_evaluations(best)
+
     def add_dataset_characterizations(self, method: str, chars: DataFrame) -> None:
         """Append (dataset_id, values, names) for ``method``.
 
