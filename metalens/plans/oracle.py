@@ -585,3 +585,39 @@ ORACLE["warm_start_list"] = ORACLE["skip_rules"].replace("WHERE position <= 5),\
     """SELECT dataset_id, slot, pipeline_id FROM (
   SELECT dataset_id, pipeline_id, row_number() OVER (PARTITION BY dataset_id ORDER BY position) AS slot
   FROM recs WHERE (dataset_id, pipeline_id) NOT IN (SELECT (dataset_id, pipeline_id) FROM flag)) k WHERE slot <= 5""")
+
+# --- landmarkers ----------------------------------------------------------------
+
+ORACLE["stratified_folds"] = _CELLS + """,
+h AS (SELECT dataset_id, row_id, y, (CAST(row_id AS HUGEINT) * 2654435761 + 3) % 4294967296 AS h FROM labels),
+f AS (SELECT dataset_id, y, (row_number() OVER (PARTITION BY dataset_id, y ORDER BY h, row_id) - 1) % 3 AS fold FROM h)
+SELECT dataset_id, CAST(fold AS BIGINT) AS fold, y, count(*) AS n FROM f GROUP BY 1, 2, 3"""
+
+ORACLE["naive_bayes_landmarker"] = _CELLS + """,
+folds AS (SELECT dataset_id, row_id, y, (CAST(row_id AS HUGEINT) * 2654435761 + 3) % 4294967296 % 10 AS fold FROM labels),
+x AS (SELECT c.dataset_id, c.row_id, c.attr, coalesce(c.num_val, m.m) AS x FROM cells c JOIN mu m USING (dataset_id, attr)
+      WHERE NOT c.is_cat),
+xf AS (SELECT x.*, f.fold, f.y FROM x JOIN folds f USING (dataset_id, row_id)),
+fids AS (SELECT DISTINCT dataset_id, fold FROM folds),
+part AS (SELECT dataset_id, fold, y, attr, count(*) AS n_f, sum(x) AS s1_f, sum(x * x) AS s2_f FROM xf GROUP BY 1, 2, 3, 4),
+tot AS (SELECT dataset_id, y, attr, sum(n_f) AS n, sum(s1_f) AS s1, sum(s2_f) AS s2 FROM part GROUP BY 1, 2, 3),
+train AS (SELECT t.dataset_id, fi.fold, t.y, t.attr, t.n - coalesce(p.n_f, 0) AS n,
+                 t.s1 - coalesce(p.s1_f, 0) AS s1, t.s2 - coalesce(p.s2_f, 0) AS s2
+          FROM tot t JOIN fids fi USING (dataset_id)
+          LEFT JOIN part p ON p.dataset_id = t.dataset_id AND p.fold = fi.fold AND p.y = t.y AND p.attr = t.attr),
+tr AS (SELECT *, s1 / n AS mu, greatest(s2 / n - (s1 / n) * (s1 / n), 0.0) AS var FROM train WHERE n > 0),
+ov AS (SELECT dataset_id, fold, max(v) * 1e-9 AS eps FROM (
+         SELECT dataset_id, fold, attr,
+                greatest(sum(s2) / sum(n) - (sum(s1) / sum(n)) * (sum(s1) / sum(n)), 0.0) AS v
+         FROM tr GROUP BY 1, 2, 3) o GROUP BY 1, 2),
+cls AS (SELECT dataset_id, fold, y, ln(n_c / sum(n_c) OVER (PARTITION BY dataset_id, fold)) AS log_prior FROM (
+          SELECT dataset_id, fold, y, max(n) AS n_c FROM tr GROUP BY 1, 2, 3) c),
+st AS (SELECT tr.dataset_id, tr.fold, tr.y, tr.attr, tr.mu, tr.var + ov.eps AS var FROM tr JOIN ov USING (dataset_id, fold)),
+ll AS (SELECT xf.dataset_id, xf.fold, xf.row_id, xf.y AS y_true, st.y,
+              sum(-0.5 * ln(2 * pi()) - 0.5 * ln(st.var) - (xf.x - st.mu) * (xf.x - st.mu) / (2 * st.var)) AS ll
+       FROM xf JOIN st ON st.dataset_id = xf.dataset_id AND st.fold = xf.fold AND st.attr = xf.attr
+       GROUP BY 1, 2, 3, 4, 5),
+post AS (SELECT ll.*, ll.ll + cls.log_prior AS post FROM ll JOIN cls USING (dataset_id, fold, y)),
+pred AS (SELECT dataset_id, fold, row_id, y_true, arg_max(y, (post, y)) AS y_hat FROM post GROUP BY 1, 2, 3, 4),
+acc AS (SELECT dataset_id, fold, avg(CAST(y_hat = y_true AS DOUBLE)) AS acc FROM pred GROUP BY 1, 2)
+SELECT dataset_id, round(avg(acc), 10) AS value FROM acc GROUP BY 1"""

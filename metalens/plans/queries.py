@@ -713,3 +713,25 @@ def q_warm_start_list(spark, sf):
     w = Window.partitionBy("dataset_id").orderBy("position")
     return (kept.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= TOP_N)
             .select("dataset_id", F.col("slot").cast("long").alias("slot"), "pipeline_id"))
+
+
+# --- landmarkers ------------------------------------------------------------------------------
+
+N_FOLDS = 10
+FOLD_SEED = 3
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf):
+    from metalens.operators.landmarkers import stratified_folds
+    _, labels = _cells_labels(spark, sf)
+    f = stratified_folds(labels, 3, FOLD_SEED, block_bits=28)
+    return f.groupBy("dataset_id", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("naive_bayes_landmarker")
+def q_naive_bayes_landmarker(spark, sf):
+    from metalens.operators.landmarkers import hash_folds, naive_bayes_accuracy
+    cells, labels = _cells_labels(spark, sf)
+    out = naive_bayes_accuracy(cells, hash_folds(labels, N_FOLDS, FOLD_SEED))
+    return out.select("dataset_id", rnd("value").alias("value"))
