@@ -735,3 +735,31 @@ def q_naive_bayes_landmarker(spark, sf):
     cells, labels = _cells_labels(spark, sf)
     out = naive_bayes_accuracy(cells, hash_folds(labels, N_FOLDS, FOLD_SEED))
     return out.select("dataset_id", rnd("value").alias("value"))
+
+
+# --- fitting recommended pipelines (pyspark.ml) ---------------------------------------------
+
+SCORED_RECOMMENDATIONS = 3
+
+
+def _scored(spark, sf, folds):
+    from metalens.operators.modeling import dataset_frame, score_recommendations
+    cells, labels = _cells_labels(spark, sf)
+    frame = dataset_frame(cells, labels, QUERY_DATASET, NUMERIC_ATTRS)
+    rest = _mdbase_evals(spark, sf)
+    off = recommend.average_regret_offline(rest, fixture(spark, sf, "pipelines"), METRIC)
+    recs = [r["pipeline_id"] for r in recommend.average_regret_online(off, SCORED_RECOMMENDATIONS, MIN_EVALS)
+            .orderBy("rank").collect()]
+    return score_recommendations(spark, recs, frame, _steps(spark, sf), _params(spark, sf), len(NUMERIC_ATTRS), folds)
+
+
+@register("fit_score_recommended")
+def q_fit_score_recommended(spark, sf):
+    """Hold-out (80/20) negative log loss of the top average-regret recommendations on the new dataset."""
+    return _scored(spark, sf, None)
+
+
+@register("kfold_score_recommended")
+def q_kfold_score_recommended(spark, sf):
+    """Same recommendations scored by 3-fold mean negative log loss."""
+    return _scored(spark, sf, 3)
