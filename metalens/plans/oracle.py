@@ -621,3 +621,39 @@ post AS (SELECT ll.*, ll.ll + cls.log_prior AS post FROM ll JOIN cls USING (data
 pred AS (SELECT dataset_id, fold, row_id, y_true, arg_max(y, (post, y)) AS y_hat FROM post GROUP BY 1, 2, 3, 4),
 acc AS (SELECT dataset_id, fold, avg(CAST(y_hat = y_true AS DOUBLE)) AS acc FROM pred GROUP BY 1, 2)
 SELECT dataset_id, round(avg(acc), 10) AS value FROM acc GROUP BY 1"""
+
+ORACLE["node_landmarkers"] = _CELLS + """,
+folds AS (SELECT dataset_id, row_id, y, (CAST(row_id AS HUGEINT) * 2654435761 + 3) % 4294967296 % 10 AS fold FROM labels),
+x AS (SELECT c.dataset_id, c.row_id, c.attr, coalesce(c.num_val, m.m) AS x FROM cells c JOIN mu m USING (dataset_id, attr)
+      WHERE NOT c.is_cat),
+bd AS (SELECT dataset_id, attr, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1, 2),
+bx AS (SELECT x.*, f.fold, f.y,
+              CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 32), 31) ELSE 0 END AS bin
+       FROM x JOIN bd USING (dataset_id, attr) JOIN folds f USING (dataset_id, row_id)),
+fids AS (SELECT DISTINCT dataset_id, fold FROM folds),
+part AS (SELECT dataset_id, fold, attr, bin, y, count(*) AS n_f FROM bx GROUP BY ALL),
+tot AS (SELECT dataset_id, attr, bin, y, sum(n_f) AS n FROM part GROUP BY ALL),
+train AS (SELECT t.dataset_id, fi.fold, t.attr, t.bin, t.y, t.n - coalesce(p.n_f, 0) AS n
+          FROM tot t JOIN fids fi USING (dataset_id)
+          LEFT JOIN part p ON p.dataset_id = t.dataset_id AND p.fold = fi.fold AND p.attr = t.attr
+                          AND p.bin = t.bin AND p.y = t.y),
+edges AS (SELECT range AS edge FROM range(0, 31)),
+sides AS (SELECT t.dataset_id, t.fold, t.attr, t.y, e.edge,
+                 sum(CASE WHEN t.bin <= e.edge THEN t.n ELSE 0 END) AS l, sum(t.n) AS tt
+          FROM train t CROSS JOIN edges e GROUP BY ALL),
+sp AS (SELECT dataset_id, fold, attr, edge, sum(l) AS nl, sum(l * l) AS sql, sum(tt - l) AS nr,
+              sum((tt - l) * (tt - l)) AS sqr, arg_max(y, (l, y)) AS ly, arg_max(y, (tt - l, y)) AS ry
+       FROM sides GROUP BY ALL),
+split AS (SELECT *, (nl - sql / nl) + (nr - sqr / nr) AS imp FROM sp WHERE nl > 0 AND nr > 0),
+attrs AS (SELECT dataset_id, attr, dense_rank() OVER (PARTITION BY dataset_id ORDER BY attr) AS ai
+          FROM (SELECT DISTINCT dataset_id, attr FROM cells WHERE NOT is_cat) a),
+pick AS (SELECT dataset_id, arg_min(attr, ((CAST(ai AS HUGEINT) * 2654435761 + 3 + dataset_id) % 4294967296, attr)) AS attr
+         FROM attrs GROUP BY 1),
+cand AS (SELECT 'best_node' AS name, * FROM split
+         UNION ALL SELECT 'random_node', s.* FROM split s JOIN pick p USING (dataset_id, attr)),
+best AS (SELECT name, dataset_id, fold, arg_min((attr, edge, ly, ry), (imp, attr, edge)) AS s FROM cand GROUP BY ALL),
+acc AS (SELECT b.name, b.dataset_id, b.fold,
+               avg(CAST((CASE WHEN bx.bin <= b.s[2] THEN b.s[3] ELSE b.s[4] END) = bx.y AS DOUBLE)) AS acc
+        FROM best b JOIN bx ON bx.dataset_id = b.dataset_id AND bx.fold = b.fold AND bx.attr = b.s[1]
+        GROUP BY ALL)
+SELECT dataset_id, name, round(avg(acc), 10) AS value FROM acc GROUP BY ALL"""

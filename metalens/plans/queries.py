@@ -763,3 +763,11 @@ def q_fit_score_recommended(spark, sf):
 def q_kfold_score_recommended(spark, sf):
     """Same recommendations scored by 3-fold mean negative log loss."""
     return _scored(spark, sf, 3)
+
+
+@register("node_landmarkers")
+def q_node_landmarkers(spark, sf):
+    from metalens.operators.landmarkers import decision_stumps, hash_folds
+    cells, labels = _cells_labels(spark, sf)
+    out = decision_stumps(cells, hash_folds(labels, N_FOLDS, FOLD_SEED), 32, seed=FOLD_SEED)
+    return out.withColumn("value", rnd("value"))
