@@ -771,3 +771,13 @@ def q_node_landmarkers(spark, sf):
     cells, labels = _cells_labels(spark, sf)
     out = decision_stumps(cells, hash_folds(labels, N_FOLDS, FOLD_SEED), 32, seed=FOLD_SEED)
     return out.withColumn("value", rnd("value"))
+
+
+@register("pca_landmarkers")
+def q_pca_landmarkers(spark, sf):
+    """First-component statistics per dataset (one PCA fit per dataset, one projection job)."""
+    from metalens.operators.landmarkers import pca_features
+    cells, labels = _cells_labels(spark, sf)
+    ids = [r[0] for r in labels.select("dataset_id").distinct().collect()]  # the dataset dimension
+    out = pca_features(cells, {i: NUMERIC_ATTRS for i in ids})
+    return out.withColumn("value", rnd("value", 6))
