@@ -781,3 +781,11 @@ def q_pca_landmarkers(spark, sf):
     ids = [r[0] for r in labels.select("dataset_id").distinct().collect()]  # the dataset dimension
     out = pca_features(cells, {i: NUMERIC_ATTRS for i in ids})
     return out.withColumn("value", rnd("value", 6))
+
+
+@register("lda_landmarker")
+def q_lda_landmarker(spark, sf):
+    from metalens.operators.landmarkers import hash_folds, linear_discriminant_accuracy
+    cells, labels = _cells_labels(spark, sf)
+    out = linear_discriminant_accuracy(cells, hash_folds(labels, N_FOLDS, FOLD_SEED), NUMERIC_ATTRS)
+    return out.select("dataset_id", rnd("value", 6).alias("value"))
