@@ -185,3 +185,85 @@ def test_regret_summary_pads_to_slots(spark):
     import statistics
     assert out["a"][0] == pytest.approx(0.75) and out["a"][1] == pytest.approx(statistics.stdev([1, 0, 1, 1]))
     assert out["b"][0] == pytest.approx(0.875) and out["b"][1] == pytest.approx(statistics.stdev([0.5, 1, 1, 1]))
+
+
+def _tiny_cells(spark, seed=1, n=60):
+    rnd = random.Random(seed)
+    rows, labels = [], []
+    for ds in range(2):
+        for r in range(n):
+            y = rnd.choice("abc")
+            shift = {"a": 0.0, "b": 1.5, "c": 3.0}[y]
+            a, b = rnd.gauss(shift, 1.0), rnd.gauss(-shift, 2.0)
+            rows += [(ds, ds * 1000 + r, "a", False, a, None), (ds, ds * 1000 + r, "b", False, b, None)]
+            labels.append((ds, ds * 1000 + r, y))
+    cells = spark.createDataFrame(rows, "dataset_id long, row_id long, attr string, is_cat boolean, num_val double, cat_val string")
+    lab = spark.createDataFrame(labels, "dataset_id long, row_id long, y string")
+    return cells, lab, rows, labels
+
+
+def test_lda_matches_numpy(spark):
+    import numpy as np
+    from metalens.operators.landmarkers import hash_folds, linear_discriminant_accuracy
+    cells, lab, rows, labels = _tiny_cells(spark)
+    folds = hash_folds(lab, 3, 0)
+    got = {r["dataset_id"]: r["value"] for r in linear_discriminant_accuracy(cells, folds, ["a", "b"]).collect()}
+    fmap = {(r["dataset_id"], r["row_id"]): r["fold"] for r in folds.collect()}
+    feat = {}
+    for ds, rid, attr, _, v, _ in rows:
+        feat.setdefault((ds, rid), {})[attr] = v
+    for ds in range(2):
+        items = [(rid, np.array([feat[(ds, rid)]["a"], feat[(ds, rid)]["b"]]), y) for d, rid, y in labels if d == ds]
+        accs = []
+        for f in range(3):
+            tr = [(x, y) for rid, x, y in items if fmap[(ds, rid)] != f]
+            te = [(x, y) for rid, x, y in items if fmap[(ds, rid)] == f]
+            cls = sorted({y for _, y in tr})
+            mus = {c: np.mean([x for x, y in tr if y == c], axis=0) for c in cls}
+            sw = sum(np.outer(x - mus[y], x - mus[y]) for x, y in tr) / (len(tr) - len(cls))
+            inv = np.linalg.pinv(sw)
+            pri = {c: sum(1 for _, y in tr if y == c) / len(tr) for c in cls}
+            def pred(x):
+                return max(cls, key=lambda c: (x @ inv @ mus[c] - 0.5 * mus[c] @ inv @ mus[c] + np.log(pri[c]), c))
+            accs.append(np.mean([pred(x) == y for x, y in te]))
+        assert got[ds] == pytest.approx(float(np.mean(accs)), abs=1e-9)
+
+
+def test_pca_first_component_statistics(spark):
+    import numpy as np
+    from metalens.operators.landmarkers import pca_features
+    cells, _, rows, _ = _tiny_cells(spark, seed=4, n=200)
+    got = {(r["dataset_id"], r["name"]): r["value"] for r in pca_features(cells, {0: ["a", "b"], 1: ["a", "b"]}).collect()}
+    feat = {}
+    for ds, rid, attr, _, v, _ in rows:
+        feat.setdefault(ds, {}).setdefault(rid, {})[attr] = v
+    for ds in range(2):
+        x = np.array([[v["a"], v["b"]] for v in feat[ds].values()])
+        xc = x - x.mean(axis=0)
+        vals, vecs = np.linalg.eigh(np.cov(xc.T, bias=True))
+        pc = vecs[:, np.argmax(vals)]
+        pc = pc if pc[np.argmax(np.abs(pc))] >= 0 else -pc
+        s = xc @ pc
+        m2, m3, m4 = (s ** 2).mean(), (s ** 3).mean(), (s ** 4).mean()
+        assert got[(ds, "pca.skewness")] == pytest.approx(m3 / m2 ** 1.5, rel=1e-6)
+        assert got[(ds, "pca.kurtosis")] == pytest.approx(m4 / m2 ** 2 - 3, rel=1e-6)
+        assert got[(ds, "pca.95%")] == pytest.approx(float(np.quantile(s, 0.95)), abs=0.05 * s.std())
+
+
+def test_naive_bayes_beats_chance_on_separable_data(spark):
+    from metalens.operators.landmarkers import hash_folds, naive_bayes_accuracy
+    cells, lab, _, _ = _tiny_cells(spark, seed=2, n=150)
+    got = [r["value"] for r in naive_bayes_accuracy(cells, hash_folds(lab, 5, 1)).collect()]
+    assert all(v > 0.6 for v in got)
+
+
+def test_stratified_folds_balance(spark):
+    from metalens.operators.landmarkers import stratified_folds
+    _, lab, _, labels = _tiny_cells(spark, seed=3, n=90)
+    f = stratified_folds(lab, 3, 0, block_bits=29)  # 8 hash blocks
+    counts = {}
+    for r in f.collect():
+        counts.setdefault((r["dataset_id"], r["y"]), []).append(r["fold"])
+    for folds in counts.values():
+        sizes = [folds.count(i) for i in range(3)]
+        assert max(sizes) - min(sizes) <= 1
