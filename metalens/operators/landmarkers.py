@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from metalens.functions.hashing import affine_hash
 from metalens.operators.subtables import impute_mean
+from metalens.session import materialize
 
 
 def hash_folds(labels: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -48,7 +49,8 @@ def naive_bayes_accuracy(cells: DataFrame, folds: DataFrame, var_smoothing: floa
     fold's training rows.
     """
     x = impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x"))
-    xf = x.join(folds, ["dataset_id", "row_id"])
+    # Feeds the fold sums and the test side: written once, scanned once.
+    xf = materialize(x.join(folds, ["dataset_id", "row_id"]))
     # sums per (dataset, fold, class, attr) and per (dataset, class, attr)
     part = xf.groupBy("dataset_id", "fold", "y", "attr").agg(
         F.count(F.lit(1)).alias("n_f"), F.sum("x").alias("s1_f"), F.sum(F.col("x") ** 2).alias("s2_f"))
@@ -106,7 +108,8 @@ def decision_stumps(cells: DataFrame, folds: DataFrame, n_bins: int = 32, seed:
     a seeded hash per dataset). Left counts of every split edge are fixed-width
     conditional sums over the bin counts, so no (bin x class) grid is formed.
     """
-    bx = _bins(cells, n_bins).join(folds, ["dataset_id", "row_id"])
+    # Binned cells with folds feed the split search and the test side: written once.
+    bx = materialize(_bins(cells, n_bins).join(folds, ["dataset_id", "row_id"]))
     part = bx.groupBy("dataset_id", "fold", "attr", "bin", "y").agg(F.count(F.lit(1)).alias("n_f"))
     tot = part.groupBy("dataset_id", "attr", "bin", "y").agg(F.sum("n_f").alias("n"))
     fold_ids = folds.select("dataset_id", "fold").distinct()
@@ -164,7 +167,7 @@ def pca_features(cells: DataFrame, attrs_by_dataset: dict[int, list[str]], accur
     from pyspark.ml.stat import Summarizer
 
     spark = cells.sparkSession
-    x = impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x"))
+    x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
     all_attrs = sorted({a for attrs in attrs_by_dataset.values() for a in attrs})
     d = len(all_attrs)
     wide = x.groupBy("dataset_id", "row_id").pivot("attr", all_attrs).agg(F.first("x"))
@@ -213,7 +216,7 @@ def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list
 
     spark = cells.sparkSession
     d = len(attrs)
-    x = impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x"))
+    x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
     wide = (x.groupBy("dataset_id", "row_id").pivot("attr", attrs).agg(F.first("x"))
             .join(folds, ["dataset_id", "row_id"]))
     arr = F.array(*[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)) for a in attrs])

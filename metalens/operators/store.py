@@ -156,3 +156,23 @@ def check_all_known(known: DataFrame, new: DataFrame, key: str) -> None:
     miss = new.select(key).join(known.select(key), key, "left_anti").distinct().limit(20).collect()
     if miss:
         raise UnknownKeyError(f"unknown {key}: {[r[0] for r in miss]}")
+
+
+def global_row_number(df: DataFrame, order: list, out: str = "row_no") -> DataFrame:
+    """1-based position of each row in a global order, without a
+    single-partition window and without leaving the JVM.
+
+    The range-partitioned sort is tagged with ``monotonically_increasing_id``
+    (partition index in the upper bits) and written once, so the ids are
+    stable; per-partition row counts (one row per partition) give each
+    partition's offset.
+    """
+    from metalens.session import materialize
+    tagged = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("_mid"), 33)
+    sizes = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return (tagged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
+            .drop("_p", "_n", "_m0", "_off", "_mid"))

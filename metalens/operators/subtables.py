@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalens.functions.hashing import affine_hash
+from metalens.session import materialize
 
 # Sub-table sizes of the learned characterization.
 N_ROWS, N_CLASSES, N_FEATURES = 256, 3, 16
@@ -60,9 +61,34 @@ def sample_rows(labels: DataFrame, n_batches: int, seed: int, n_rows: int = N_RO
         "dataset_id", "batch", "row_id")
 
 
-def sample_features(cells: DataFrame, n_batches: int, seed: int, n_features: int = N_FEATURES) -> DataFrame:
+def numeric_stats(cells: DataFrame) -> DataFrame:
+    """One aggregate per (dataset, attr): mean (for imputation) and the
+    min/max of the imputed values (the mean joins the range when a value is
+    missing)."""
+    num = cells.filter(~F.col("is_cat"))
+    st = num.groupBy("dataset_id", "attr").agg(
+        F.avg("num_val").alias("_m"), F.min("num_val").alias("_lo0"), F.max("num_val").alias("_hi0"),
+        F.max(F.col("num_val").isNull().cast("int")).alias("_miss"))
+    return st.select("dataset_id", "attr", "_m",
+                     F.when(F.col("_miss") == 1, F.least("_lo0", "_m")).otherwise(F.col("_lo0")).alias("_lo"),
+                     F.when(F.col("_miss") == 1, F.greatest("_hi0", "_m")).otherwise(F.col("_hi0")).alias("_hi"))
+
+
+def scaled_values(cells: DataFrame, stats: DataFrame, scale: bool = True) -> DataFrame:
+    """Numeric cells, mean-imputed and (optionally) min-max scaled, in one join."""
+    v = (cells.filter(~F.col("is_cat")).join(stats, ["dataset_id", "attr"])
+         .withColumn("num_val", F.coalesce("num_val", "_m")))
+    if scale:
+        v = v.withColumn("num_val", F.when(F.col("_hi") > F.col("_lo"),
+                                           (F.col("num_val") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+                         .otherwise(F.lit(0.0)))
+    return v.drop("_m", "_lo", "_hi")
+
+
+def sample_features(cells: DataFrame, n_batches: int, seed: int, n_features: int = N_FEATURES,
+                    attrs: DataFrame | None = None) -> DataFrame:
     """(dataset_id, batch, attr): up to ``n_features`` numeric attributes per dataset and batch."""
-    attrs = cells.filter(~F.col("is_cat")).select("dataset_id", "attr").distinct()
+    attrs = (attrs if attrs is not None else cells.filter(~F.col("is_cat"))).select("dataset_id", "attr").distinct()
     attrs = attrs.withColumn("_ai", F.dense_rank().over(Window.partitionBy("dataset_id").orderBy("attr")))
     b = _batches(attrs, n_batches).withColumn("_h", affine_hash("_ai", _seed(seed) + 1))
     w = Window.partitionBy("dataset_id", "batch").orderBy("_h", "attr")
@@ -91,10 +117,13 @@ def flatten_pairs(cells: DataFrame, labels: DataFrame, n_batches: int, seed: int
 
     ``x`` is the mean-imputed value, min-max scaled over the whole dataset
     when ``scale`` (so that the pooled x^2 stays on a unit scale)."""
+    # One pass over the cells for means, bounds and the attribute list; the
+    # small result is written once because two branches read it.
+    stats = materialize(numeric_stats(cells))
     rows = sample_rows(labels, n_batches, seed)
-    feats = sample_features(cells, n_batches, seed)
+    feats = sample_features(cells, n_batches, seed, attrs=stats)
     classes = sample_classes(labels, n_batches, seed)
-    values = minmax_scale(impute_mean(cells)) if scale else impute_mean(cells)
+    values = scaled_values(cells, stats, scale)
     x = (values.join(rows, ["dataset_id", "row_id"])
          .join(feats, ["dataset_id", "batch", "attr"])
          .select("dataset_id", "batch", "attr", "row_id", F.col("num_val").alias("x")))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalens.functions.regret import ranking_score, rnd
+from metalens.operators.store import global_row_number
+from metalens.session import materialize
 from metalens.plans.recommend import with_regret
 
 
@@ -33,8 +35,11 @@ def lodo_average_regret(evals: DataFrame, pipelines: DataFrame, k: int = 25, min
     recommended pipeline (null when never evaluated there).
     """
     r = with_regret(evals, metric).withColumn("u", ranking_score("regret", higher_is_better))
-    own = (r.groupBy("dataset_id", "pipeline_id")
-           .agg(F.sum("u").alias("s_own"), F.count(F.lit(1)).alias("c_own"), F.avg("score").alias("own_score")))
+    # The (dataset, pipeline) aggregate feeds every branch below; it is written
+    # once so the evaluations are scanned once.
+    own = materialize(r.groupBy("dataset_id", "pipeline_id")
+                      .agg(F.sum("u").alias("s_own"), F.count(F.lit(1)).alias("c_own"),
+                           F.avg("score").alias("own_score")))
     tot = own.groupBy("pipeline_id").agg(F.sum("s_own").alias("s_all"), F.sum("c_own").alias("c_all"))
     glob = (pipelines.select("pipeline_id").join(tot, "pipeline_id", "left")
             .select("pipeline_id",
@@ -43,11 +48,10 @@ def lodo_average_regret(evals: DataFrame, pipelines: DataFrame, k: int = 25, min
             .withColumn("ranking_score", rnd(F.when(F.col("c_all") > 0, F.col("s_all") / F.col("c_all"))
                                              .otherwise(F.lit(0.0)))))
 
-    # G: eligible pipelines by global score, numbered 1..|G| (one ordered pass
-    # over the pipeline dimension, not over evaluations).
-    g = glob.filter(F.col("c_all") >= min_evals)
-    g = g.withColumn("grank", F.row_number().over(
-        Window.orderBy(F.col("ranking_score").desc(), F.col("pipeline_id").asc())))
+    # G: eligible pipelines by global score, numbered 1..|G| (distributed sort
+    # and zipWithIndex over the pipeline dimension).
+    g = global_row_number(glob.filter(F.col("c_all") >= min_evals),
+                          [F.col("ranking_score").desc(), F.col("pipeline_id").asc()], "grank")
 
     held = own.select(F.col("dataset_id").alias("held_out_id")).distinct()
     mine = own.select(F.col("dataset_id").alias("held_out_id"), "pipeline_id", "s_own", "c_own")

@@ -559,9 +559,9 @@ def q_pool_means(spark, sf):
 
 @register("minmax_scaled")
 def q_minmax_scaled(spark, sf):
-    from metalens.operators.subtables import impute_mean, minmax_scale
+    from metalens.operators.subtables import numeric_stats, scaled_values
     cells, _ = _cells_labels(spark, sf)
-    s = minmax_scale(impute_mean(cells))
+    s = scaled_values(cells, numeric_stats(cells))
     return s.groupBy("dataset_id", "attr").agg(rnd(F.avg("num_val"), 8).alias("mean_scaled"),
                                                F.count(F.lit(1)).alias("n"))
 

@@ -28,6 +28,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("METALENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
@@ -51,3 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="metalens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df):
+    """Write ``df`` once to the reliable checkpoint folder and read it back.
+
+    Used where one intermediate feeds several branches of a plan: Spark does
+    not reuse exchanges whose pruned scans differ, so without this each branch
+    would rescan the source. The written copy also cuts the lineage, so a lost
+    executor re-reads it instead of recomputing from the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

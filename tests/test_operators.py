@@ -267,3 +267,15 @@ def test_stratified_folds_balance(spark):
     for folds in counts.values():
         sizes = [folds.count(i) for i in range(3)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_global_row_number_across_partitions(spark):
+    from metalens.operators.store import global_row_number
+    rnd = random.Random(9)
+    vals = [(i, rnd.randint(0, 50)) for i in range(300)]
+    df = spark.createDataFrame(vals, "id long, v long").repartition(7)
+    out = global_row_number(df, [F.col("v").desc(), F.col("id").asc()], "pos").collect()
+    want = sorted(vals, key=lambda t: (-t[1], t[0]))
+    got = sorted(((r["id"], r["v"]), r["pos"]) for r in out)
+    assert sorted(r["pos"] for r in out) == list(range(1, 301))
+    assert {k: p for k, p in got} == {k: i + 1 for i, k in enumerate(want)}
