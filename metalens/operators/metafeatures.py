@@ -145,7 +145,13 @@ def categorical_features(cells: DataFrame) -> DataFrame:
 
 
 def feature_set(cells: DataFrame, labels: DataFrame, which: str = "feurer") -> DataFrame:
-    """A named set as the union of its parts (long form)."""
+    """A named set as the union of its parts (long form).
+
+    The cells feed several aggregations; they are written once so the source
+    is read once.
+    """
+    from metalens.session import materialize
+    cells = materialize(cells)
     parts = [simple_features(cells, labels), class_features(labels), moment_features(cells)]
     if which == "feurer":
         parts += [missing_features(cells), categorical_features(cells)]

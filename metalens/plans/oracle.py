@@ -657,3 +657,11 @@ acc AS (SELECT b.name, b.dataset_id, b.fold,
         FROM best b JOIN bx ON bx.dataset_id = b.dataset_id AND bx.fold = b.fold AND bx.attr = b.s[1]
         GROUP BY ALL)
 SELECT dataset_id, name, round(avg(acc), 10) AS value FROM acc GROUP BY ALL"""
+
+
+def _union(*names: str) -> str:
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({ORACLE[n]}) AS part_{i}" for i, n in enumerate(names))
+
+
+ORACLE["mf_feurer"] = _union("mf_simple", "mf_class", "mf_moments", "mf_missing", "mf_categorical")
+ORACLE["mf_wistuba"] = _union("mf_simple", "mf_class", "mf_moments")

@@ -789,3 +789,16 @@ def q_lda_landmarker(spark, sf):
     cells, labels = _cells_labels(spark, sf)
     out = linear_discriminant_accuracy(cells, hash_folds(labels, N_FOLDS, FOLD_SEED), NUMERIC_ATTRS)
     return out.select("dataset_id", rnd("value", 6).alias("value"))
+
+
+@register("mf_feurer")
+def q_mf_feurer(spark, sf):
+    """The whole Feurer-style set (simple, class, moments, missing, categorical) in long form."""
+    from metalens.operators.metafeatures import feature_set
+    return _rounded(feature_set(*_cells_labels(spark, sf), which="feurer"))
+
+
+@register("mf_wistuba")
+def q_mf_wistuba(spark, sf):
+    from metalens.operators.metafeatures import feature_set
+    return _rounded(feature_set(*_cells_labels(spark, sf), which="wistuba"))
