@@ -265,3 +265,87 @@ def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list
     return (pred.groupBy("dataset_id", "fold")
             .agg(F.avg((F.col("best.y") == F.col("y_true")).cast("double")).alias("acc"))
             .groupBy("dataset_id").agg(F.avg("acc").alias("value")))
+
+
+def _best_splits(counts: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
+    """Best Gini split (attr, edge) per ``keys`` group from class counts per
+    (keys, attr, bin, y); only splits with rows on both sides."""
+    edges = list(range(n_bins - 1))
+    per_class = counts.groupBy(*keys, "attr", "y").agg(
+        F.sum("n").alias("t"),
+        F.array(*[F.sum(F.when(F.col("bin") <= j, F.col("n")).otherwise(0)) for j in edges]).alias("left"))
+    sides = (per_class.select(*keys, "attr", "y", "t", F.posexplode("left").alias("edge", "l"))
+             .withColumn("r", F.col("t") - F.col("l")))
+    split = sides.groupBy(*keys, "attr", "edge").agg(
+        F.sum("l").alias("nl"), F.sum(F.col("l") * F.col("l")).alias("sql"),
+        F.sum("r").alias("nr"), F.sum(F.col("r") * F.col("r")).alias("sqr"))
+    split = (split.filter((F.col("nl") > 0) & (F.col("nr") > 0))
+             .withColumn("imp", (F.col("nl") - F.col("sql") / F.col("nl")) + (F.col("nr") - F.col("sqr") / F.col("nr"))))
+    return (split.groupBy(*keys).agg(F.min_by(F.struct("attr", "edge"), F.struct("imp", "attr", "edge")).alias("s"))
+            .select(*keys, "s.attr", "s.edge"))
+
+
+def decision_tree_f1(cells: DataFrame, folds: DataFrame, max_depth: int = 8, n_bins: int = 32) -> DataFrame:
+    """Decision-tree landmarker: k-fold macro F1 per dataset (mean over folds).
+
+    Gini trees on equal-width bin edges are grown level by level for every
+    dataset and fold at once. Each row appears once per fold, as a training
+    row (fold != f) or as a test row (fold == f); test rows descend the same
+    splits. A level is: class counts per (dataset, fold, node, attr, bin) from
+    the training rows, the best split per node (fixed-width left sums, no bin x
+    class grid), and the children assignment by one join. The assignment is
+    checkpointed every level so the lineage stays one level long. Impure nodes
+    with a valid split are split until ``max_depth``; a leaf predicts its
+    majority class (ties: smallest label).
+    """
+    from metalens.session import materialize
+
+    bx = materialize(_bins(cells, n_bins).select("dataset_id", "row_id", "attr", "bin"))
+    k_folds = folds.select("dataset_id", "fold").distinct()
+    asg = materialize(
+        folds.select("dataset_id", "row_id", "y", F.col("fold").alias("own_fold"))
+        .join(k_folds.withColumnRenamed("fold", "f"), "dataset_id")
+        .select("dataset_id", F.col("f").alias("fold"), "row_id", "y",
+                (F.col("own_fold") == F.col("f")).alias("is_test"), F.lit(1).cast("long").alias("node")))
+    keys = ["dataset_id", "fold", "node"]
+    majorities, finished = [], []
+    for depth in range(max_depth + 1):
+        train = asg.filter(~F.col("is_test"))
+        node_cls = train.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
+        majority = node_cls.groupBy(*keys).agg(
+            F.min_by("y", F.struct((-F.col("n")).alias("neg_n"), F.col("y"))).alias("y_hat"),
+            F.count(F.lit(1)).alias("n_classes"))
+        majorities.append(majority.select(*keys, "y_hat"))
+        if depth == max_depth:
+            finished.append(asg)
+            break
+        impure = majority.filter(F.col("n_classes") > 1).select(*keys)
+        counts = (train.join(impure, keys, "left_semi").join(bx, ["dataset_id", "row_id"])
+                  .groupBy(*keys, "attr", "bin", "y").agg(F.count(F.lit(1)).alias("n")))
+        splits = materialize(_best_splits(counts, keys, n_bins))
+        finished.append(asg.join(splits, keys, "left_anti"))
+        moved = (asg.join(splits, keys).join(bx, ["dataset_id", "row_id", "attr"])
+                 .select("dataset_id", "fold", "row_id", "y", "is_test",
+                         (F.col("node") * 2 + (F.col("bin") > F.col("edge")).cast("long")).alias("node")))
+        asg = materialize(moved)
+    leaves = majorities[0]
+    for m in majorities[1:]:
+        leaves = leaves.unionByName(m)
+    final = finished[0]
+    for fr in finished[1:]:
+        final = final.unionByName(fr)
+    pred = (final.filter(F.col("is_test")).join(leaves, keys)
+            .select("dataset_id", "fold", "y", "y_hat"))
+    labels = (pred.select("dataset_id", "fold", F.col("y").alias("c"))
+              .unionByName(pred.select("dataset_id", "fold", F.col("y_hat").alias("c"))).distinct())
+    stats = pred.groupBy("dataset_id", "fold").agg(F.count(F.lit(1)).alias("_n"))  # folds with test rows
+    per_c = (labels.join(pred, ["dataset_id", "fold"])
+             .groupBy("dataset_id", "fold", "c").agg(
+                 F.sum(((F.col("y") == F.col("c")) & (F.col("y_hat") == F.col("c"))).cast("long")).alias("tp"),
+                 F.sum(((F.col("y") != F.col("c")) & (F.col("y_hat") == F.col("c"))).cast("long")).alias("fp"),
+                 F.sum(((F.col("y") == F.col("c")) & (F.col("y_hat") != F.col("c"))).cast("long")).alias("fn")))
+    f1 = per_c.withColumn("f1", F.when((2 * F.col("tp") + F.col("fp") + F.col("fn")) > 0,
+                                       2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+                          .otherwise(F.lit(0.0)))
+    macro = f1.groupBy("dataset_id", "fold").agg(F.avg("f1").alias("f1")).join(stats, ["dataset_id", "fold"])
+    return macro.groupBy("dataset_id").agg(F.avg("f1").alias("value"))

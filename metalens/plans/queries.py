@@ -802,3 +802,16 @@ def q_mf_feurer(spark, sf):
 def q_mf_wistuba(spark, sf):
     from metalens.operators.metafeatures import feature_set
     return _rounded(feature_set(*_cells_labels(spark, sf), which="wistuba"))
+
+
+TREE_FOLDS = 5
+TREE_DEPTH = 8
+
+
+@register("tree_landmarker")
+def q_tree_landmarker(spark, sf):
+    """Decision-tree macro F1 (5 folds), all datasets grown level by level at once."""
+    from metalens.operators.landmarkers import decision_tree_f1, hash_folds
+    cells, labels = _cells_labels(spark, sf)
+    out = decision_tree_f1(cells, hash_folds(labels, TREE_FOLDS, FOLD_SEED), TREE_DEPTH)
+    return out.select("dataset_id", rnd("value").alias("value"))

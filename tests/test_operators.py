@@ -279,3 +279,83 @@ def test_global_row_number_across_partitions(spark):
     got = sorted(((r["id"], r["v"]), r["pos"]) for r in out)
     assert sorted(r["pos"] for r in out) == list(range(1, 301))
     assert {k: p for k, p in got} == {k: i + 1 for i, k in enumerate(want)}
+
+
+def _py_tree_f1(rows, labels, fold_of, k, max_depth, n_bins=32):
+    """Reference implementation of the binned Gini tree landmarker in plain Python."""
+    vals = {}
+    for ds, rid, attr, _, v, _ in rows:
+        vals.setdefault(ds, {}).setdefault(rid, {})[attr] = v
+    y_of = {(ds, rid): y for ds, rid, y in labels}
+    out = {}
+    for ds, rmap in vals.items():
+        attrs = sorted(next(iter(rmap.values())))
+        bins = {}
+        for a in attrs:
+            lo, hi = min(r[a] for r in rmap.values()), max(r[a] for r in rmap.values())
+            for rid, r in rmap.items():
+                bins[(rid, a)] = 0 if hi <= lo else min(math.floor((r[a] - lo) / (hi - lo) * n_bins), n_bins - 1)
+        f1s = []
+        for f in range(k):
+            train = [rid for rid in rmap if fold_of[(ds, rid)] != f]
+            test = [rid for rid in rmap if fold_of[(ds, rid)] == f]
+            if not test:
+                continue
+
+            def grow(ids, depth):
+                cnt = {}
+                for rid in ids:
+                    cnt[y_of[(ds, rid)]] = cnt.get(y_of[(ds, rid)], 0) + 1
+                major = min(cnt, key=lambda c: (-cnt[c], c))
+                if depth == max_depth or len(cnt) < 2:
+                    return ("leaf", major)
+                best = None
+                for a in attrs:
+                    for e in range(n_bins - 1):
+                        left = [r for r in ids if bins[(r, a)] <= e]
+                        right = [r for r in ids if bins[(r, a)] > e]
+                        if not left or not right:
+                            continue
+                        def sq(g):
+                            c = {}
+                            for r in g:
+                                c[y_of[(ds, r)]] = c.get(y_of[(ds, r)], 0) + 1
+                            return sum(v * v for v in c.values())
+                        imp = (len(left) - sq(left) / len(left)) + (len(right) - sq(right) / len(right))
+                        if best is None or (imp, a, e) < best[0]:
+                            best = ((imp, a, e), left, right)
+                if best is None:
+                    return ("leaf", major)
+                (_, a, e), left, right = best
+                return ("split", a, e, grow(left, depth + 1), grow(right, depth + 1))
+
+            tree = grow(train, 0)
+
+            def predict(rid):
+                t = tree
+                while t[0] == "split":
+                    t = t[3] if bins[(rid, t[1])] <= t[2] else t[4]
+                return t[1]
+
+            pairs = [(y_of[(ds, r)], predict(r)) for r in test]
+            classes = sorted({p for pr in pairs for p in pr})
+            fs = []
+            for c in classes:
+                tp = sum(1 for y, p in pairs if y == c and p == c)
+                fp = sum(1 for y, p in pairs if y != c and p == c)
+                fn = sum(1 for y, p in pairs if y == c and p != c)
+                fs.append(2 * tp / (2 * tp + fp + fn) if (2 * tp + fp + fn) else 0.0)
+            f1s.append(sum(fs) / len(fs))
+        out[ds] = sum(f1s) / len(f1s)
+    return out
+
+
+def test_decision_tree_f1_matches_plain_python(spark):
+    from metalens.operators.landmarkers import decision_tree_f1, hash_folds
+    cells, lab, rows, labels = _tiny_cells(spark, seed=6, n=45)
+    folds = hash_folds(lab, 3, 2)
+    fold_of = {(r["dataset_id"], r["row_id"]): r["fold"] for r in folds.collect()}
+    got = {r["dataset_id"]: r["value"] for r in decision_tree_f1(cells, folds, max_depth=3).collect()}
+    want = _py_tree_f1(rows, labels, fold_of, 3, 3)
+    for ds in want:
+        assert got[ds] == pytest.approx(want[ds], abs=1e-12)

@@ -40,7 +40,7 @@ def test_every_query_has_an_oracle_or_is_listed():
     no_oracle = set(QUERIES) - set(ORACLE)
     # Model fits and p-values have no SQL equivalent; they are checked in unit tests.
     assert no_oracle <= {"friedman_pvalue", "rankml_topk", "fit_score_recommended", "kfold_score_recommended",
-                         "pca_landmarkers", "lda_landmarker"}, no_oracle
+                         "pca_landmarkers", "lda_landmarker", "tree_landmarker"}, no_oracle
 
 
 def test_entry_runs(spark):
