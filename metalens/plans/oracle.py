@@ -561,6 +561,10 @@ _MATRIX_KEPT = _MATRIX.replace("FROM evaluations WHERE metric = '" + METRIC + "'
                                "FROM evaluations WHERE metric = '" + METRIC + "' AND dataset_id <> 0)").replace(
     "FROM evaluations\n         WHERE metric = '" + METRIC + "' AND pipeline_id IN",
     "FROM evaluations\n         WHERE metric = '" + METRIC + "' AND dataset_id <> 0 AND pipeline_id IN")
+# The learner builds its matrix without rounding the regrets (gains are rounded).
+_MATRIX_KEPT = _MATRIX_KEPT.replace(
+    "round(CASE WHEN hi = lo THEN 0.0 ELSE abs(hi - score) / abs(lo - hi) END, 10) AS regret",
+    "CASE WHEN hi = lo THEN 0.0 ELSE abs(hi - score) / abs(lo - hi) END AS regret")
 ORACLE["learner_portfolio"] = _portfolio_sql(3).replace(_MATRIX, _MATRIX_KEPT).replace(
     "SELECT 1 AS position, pipeline_id, gain, round(", "SELECT 1 AS rank, pipeline_id, round(").replace(
     "SELECT 2 AS position, pipeline_id, gain, round(", "SELECT 2 AS rank, pipeline_id, round(").replace(

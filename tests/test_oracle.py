@@ -15,7 +15,7 @@ ORACLE = entry.oracle_sql()
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        return "nan" if math.isnan(v) else repr(v)  # exact: both sides round in SQL
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if hasattr(v, "isoformat"):
