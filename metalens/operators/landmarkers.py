@@ -91,13 +91,19 @@ def naive_bayes_accuracy(cells: DataFrame, folds: DataFrame, var_smoothing: floa
 
 
 def _bins(cells: DataFrame, n_bins: int) -> DataFrame:
-    """Mean-imputed numeric cells with an equal-width bin 0..n_bins-1 per (dataset, attr)."""
-    x = impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x"))
-    b = x.groupBy("dataset_id", "attr").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    """Mean-imputed numeric cells with an equal-width bin 0..n_bins-1 per (dataset, attr).
+
+    Means and the imputed value range come from one aggregate, joined once.
+    """
+    from metalens.operators.subtables import numeric_stats
+    st = numeric_stats(cells)
+    x = (cells.filter(~F.col("is_cat")).join(st, ["dataset_id", "attr"])
+         .select("dataset_id", "row_id", "attr", F.coalesce("num_val", "_m").alias("x"),
+                 F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
     raw = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(n_bins))
-    return (x.join(b, ["dataset_id", "attr"])
-            .withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(raw, F.lit(n_bins - 1))).otherwise(F.lit(0))
-                        .cast("long")))
+    return (x.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(raw, F.lit(n_bins - 1)))
+                         .otherwise(F.lit(0)).cast("long"))
+            .drop("lo", "hi"))
 
 
 def decision_stumps(cells: DataFrame, folds: DataFrame, n_bins: int = 32, seed: int = 0) -> DataFrame:
