@@ -34,35 +34,32 @@ def best_of_first(results: DataFrame, n: int = 5, score_col: str = "score") -> D
             .groupBy(LEARNER, "dataset_id").agg(F.max(score_col).alias(score_col)))
 
 
-def learner_dataset_grid(results: DataFrame) -> DataFrame:
-    """Every (learner, dataset) pair: the grid the processed table must cover.
-
-    The grid is the output by definition (learners x datasets). It is built by
-    numbering the learner dimension, exploding that index range on each
-    dataset row and an equi-join back to the learner names; the learner
-    dimension is a small vocabulary, so its one count is a bounded action.
-    """
-    learners = results.select(LEARNER).distinct()
-    learners = learners.withColumn("_li", F.dense_rank().over(Window.orderBy(LEARNER)) - 1)
-    n_learners = learners.count()
-    datasets = results.select("dataset_id").distinct()
-    slots = datasets.withColumn("_li", F.explode(F.sequence(F.lit(0), F.lit(max(n_learners - 1, 0)))))
-    if n_learners == 0:
-        slots = slots.limit(0)
-    return slots.join(F.broadcast(learners), "_li").drop("_li")
-
-
 def processed_scores(results: DataFrame, n: int = 5, score_col: str = "score", offset: float = 0.01) -> DataFrame:
     """One score per (learner, dataset): best of the first ``n`` slots, or the
     dataset's minimum valid score minus ``offset`` when the pair has no rows or
     only invalid ones. ``filled`` marks the substituted pairs.
+
+    Every (learner, dataset) pair must appear, so the best scores are pivoted
+    to one row per dataset with a column per learner (the learner names are a
+    small vocabulary: the pivot's value list), missing cells are filled from
+    the dataset's fill value, and the row is unpivoted back to long form. No
+    join builds the grid.
     """
+    learners = [r[0] for r in results.select(LEARNER).distinct().orderBy(LEARNER).collect()]
+    if not learners:
+        return results.sparkSession.createDataFrame(
+            [], f"{LEARNER} string, dataset_id long, {score_col} double, filled boolean")
     best = best_of_first(results, n, score_col)
-    grid = learner_dataset_grid(results).join(dataset_fill_values(results, score_col, offset), "dataset_id", "left")
-    out = grid.join(best, [LEARNER, "dataset_id"], "left")
-    return out.select(LEARNER, "dataset_id",
-                      F.coalesce(F.col(score_col), F.col("fill_value")).alias(score_col),
-                      F.col(score_col).isNull().alias("filled"))
+    datasets = results.select("dataset_id").distinct()
+    wide = (datasets.join(best.groupBy("dataset_id").pivot(LEARNER, learners).agg(F.first(score_col)),
+                          "dataset_id", "left")
+            .join(dataset_fill_values(results, score_col, offset), "dataset_id", "left"))
+    cells = F.array(*[F.struct(F.lit(name).alias(LEARNER), F.col(f"`{name}`").alias("best"))
+                      for name in learners])
+    long = wide.select("dataset_id", "fill_value", F.explode(cells).alias("c"))
+    return long.select(F.col(f"c.{LEARNER}").alias(LEARNER), "dataset_id",
+                       F.coalesce(F.col("c.best"), F.col("fill_value")).alias(score_col),
+                       F.col("c.best").isNull().alias("filled"))
 
 
 def regret_summary(results: DataFrame, n_slots: int = 25, score_col: str = "score") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +154,3 @@ def store_results(spark: SparkSession, results: list[tuple[int, list[float | Non
     write_csv(out, path)
     return out
 
-
-def default_checkpoint_path(spark: SparkSession, name: str) -> str:
-    from metalens.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), name)
