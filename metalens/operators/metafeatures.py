@@ -144,7 +144,7 @@ def categorical_features(cells: DataFrame) -> DataFrame:
     return _long(d, CATEGORICAL_NAMES)
 
 
-def feature_set(cells: DataFrame, labels: DataFrame, which: str = "feurer") -> DataFrame:
+def feature_set(cells: DataFrame, labels: DataFrame, which: str = "full") -> DataFrame:
     """A named set as the union of its parts (long form).
 
     The cells feed several aggregations; they are written once so the source
@@ -153,7 +153,7 @@ def feature_set(cells: DataFrame, labels: DataFrame, which: str = "feurer") -> D
     from metalens.session import materialize
     cells = materialize(cells)
     parts = [simple_features(cells, labels), class_features(labels), moment_features(cells)]
-    if which == "feurer":
+    if which == "full":
         parts += [missing_features(cells), categorical_features(cells)]
     out = parts[0]
     for p in parts[1:]:

@@ -667,5 +667,5 @@ def _union(*names: str) -> str:
     return "\nUNION ALL\n".join(f"SELECT * FROM ({ORACLE[n]}) AS part_{i}" for i, n in enumerate(names))
 
 
-ORACLE["mf_feurer"] = _union("mf_simple", "mf_class", "mf_moments", "mf_missing", "mf_categorical")
-ORACLE["mf_wistuba"] = _union("mf_simple", "mf_class", "mf_moments")
+ORACLE["mf_full"] = _union("mf_simple", "mf_class", "mf_moments", "mf_missing", "mf_categorical")
+ORACLE["mf_basic"] = _union("mf_simple", "mf_class", "mf_moments")

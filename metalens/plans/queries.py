@@ -791,17 +791,17 @@ def q_lda_landmarker(spark, sf):
     return out.select("dataset_id", rnd("value", 6).alias("value"))
 
 
-@register("mf_feurer")
-def q_mf_feurer(spark, sf):
-    """The whole Feurer-style set (simple, class, moments, missing, categorical) in long form."""
+@register("mf_full")
+def q_mf_full(spark, sf):
+    """The full set (simple, class, moments, missing, categorical) in long form."""
     from metalens.operators.metafeatures import feature_set
-    return _rounded(feature_set(*_cells_labels(spark, sf), which="feurer"))
+    return _rounded(feature_set(*_cells_labels(spark, sf), which="full"))
 
 
-@register("mf_wistuba")
-def q_mf_wistuba(spark, sf):
+@register("mf_basic")
+def q_mf_basic(spark, sf):
     from metalens.operators.metafeatures import feature_set
-    return _rounded(feature_set(*_cells_labels(spark, sf), which="wistuba"))
+    return _rounded(feature_set(*_cells_labels(spark, sf), which="basic"))
 
 
 TREE_FOLDS = 5

@@ -60,9 +60,9 @@ def test_read_arff(spark, tmp_dir):
 
 def test_characterization_csv(spark, tmp_dir):
     p = _write(os.path.join(tmp_dir, "c.csv"), "dataset_id,f1,f2\n1,0.5,2\n2,1.5,3\n")
-    df = io.read_characterizations(spark, p, "wistuba")
+    df = io.read_characterizations(spark, p, "basic")
     r = df.orderBy("dataset_id").first()
-    assert r["values"] == [0.5, 2.0] and r["names"] == ["f1", "f2"] and r["method"] == "wistuba"
+    assert r["values"] == [0.5, 2.0] and r["names"] == ["f1", "f2"] and r["method"] == "basic"
 
 
 def test_store_results_drops_empty(spark, tmp_dir):
