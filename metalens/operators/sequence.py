@@ -61,3 +61,21 @@ def gap_seconds(df: DataFrame, key: str, order: str, ts: str, out: str = "gap_se
     """Seconds since the previous row's timestamp; null for a key's first row."""
     prev = previous_value(df, key, order, ts, "_prev_ts", block_size)
     return prev.withColumn(out, seconds_between(F.col("_prev_ts"), F.col(ts))).drop("_prev_ts")
+
+
+def blocked_rank(df: DataFrame, key: str, order: str, out: str = "rank_in_key", block_size: int = 4096) -> DataFrame:
+    """1-based rank of each row within ``key`` by the integer column ``order``
+    (unique within a key), without a per-key window over all rows.
+
+    Rows are grouped into blocks of ``order``; the rank is the number of the
+    key's rows in earlier blocks (per-block counts and a prefix over blocks)
+    plus the row number inside the block.
+    """
+    d = _blocked(df, order, block_size)
+    counts = d.groupBy(key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = counts.select(key, "_blk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"))
+    inner = d.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_blk").orderBy(order)))
+    return (inner.join(prefix, [key, "_blk"])
+            .withColumn(out, (F.col("_before") + F.col("_rn")).cast("long"))
+            .drop("_blk", "_rn", "_before"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalens.functions.regret import ranking_score, rnd
+from metalens.operators.sequence import blocked_rank
 from metalens.operators.store import global_row_number
 from metalens.session import materialize
 from metalens.plans.recommend import with_regret
@@ -56,9 +57,11 @@ def lodo_average_regret(evals: DataFrame, pipelines: DataFrame, k: int = 25, min
     held = own.select(F.col("dataset_id").alias("held_out_id")).distinct()
     mine = own.select(F.col("dataset_id").alias("held_out_id"), "pipeline_id", "s_own", "c_own")
 
-    # j_h from the global positions of E_h's eligible members.
+    # j_h from the global positions of E_h's eligible members; their ranks
+    # inside each held-out dataset come from blocked counts, not a window
+    # over the whole (possibly huge) set.
     eg = mine.join(g.select("pipeline_id", "grank"), "pipeline_id")
-    eg = eg.withColumn("i", F.row_number().over(Window.partitionBy("held_out_id").orderBy("grank")))
+    eg = blocked_rank(eg, "held_out_id", "grank", "i")
     j = eg.groupBy("held_out_id").agg(F.sum(F.when(F.col("grank") - F.col("i") < k, 1).otherwise(0)).alias("j"))
     reach = (held.join(j, "held_out_id", "left")
              .select("held_out_id", (F.lit(k) + F.coalesce("j", F.lit(0))).alias("t")))

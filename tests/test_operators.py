@@ -359,3 +359,14 @@ def test_decision_tree_f1_matches_plain_python(spark):
     want = _py_tree_f1(rows, labels, fold_of, 3, 3)
     for ds in want:
         assert got[ds] == pytest.approx(want[ds], abs=1e-12)
+
+
+def test_blocked_rank_matches_plain_rank(spark):
+    from metalens.operators.sequence import blocked_rank
+    rnd = random.Random(12)
+    rows = [(k, p) for k in range(3) for p in rnd.sample(range(1000), 120)]
+    df = spark.createDataFrame(rows, "k long, p long")
+    got = {(r["k"], r["p"]): r["rank_in_key"] for r in blocked_rank(df, "k", "p", block_size=16).collect()}
+    for k in range(3):
+        for i, p in enumerate(sorted(p for kk, p in rows if kk == k), start=1):
+            assert got[(k, p)] == i
