@@ -106,17 +106,28 @@ def steps_of(steps: DataFrame, params: DataFrame, pipeline_ids: list[int]) -> di
 
 
 def score_recommendations(spark, recs: list[int], frame: DataFrame, steps: DataFrame, params: DataFrame,
-                          n_features: int, folds: int | None = None) -> DataFrame:
-    """(rank, pipeline_id, neg_log_loss) for each recommended pipeline; null when it fails."""
+                          n_features: int, folds: int | None = None, parallelism: int = 4) -> DataFrame:
+    """(rank, pipeline_id, neg_log_loss) for each recommended pipeline; null when it fails.
+
+    The fits are independent Spark jobs; they are submitted from a small
+    thread pool so that several run at once on the cluster (Spark schedules
+    concurrent jobs from different driver threads).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     plans = steps_of(steps, params, recs)
     frame = frame.cache()
-    rows = []
-    for rank, pid in enumerate(recs, start=1):
+
+    def one(item):
+        rank, pid = item
         try:
             pipe = build_pipeline(plans.get(pid, []), n_features)
             score = kfold_score(frame, pipe, folds) if folds else holdout_score(frame, pipe)
         except ValueError:
             score = None
-        rows.append((rank, pid, score))
+        return rank, pid, score
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(recs)))) as pool:
+        rows = list(pool.map(one, enumerate(recs, start=1)))
     frame.unpersist()
     return spark.createDataFrame(rows, "rank long, pipeline_id long, neg_log_loss double")
