@@ -196,7 +196,7 @@ def pca_features(cells: DataFrame, attrs_by_dataset: dict[int, list[str]], accur
         for j, i in enumerate(keep):
             loadings.append((ds, all_attrs[i], float(sign * pc[j]), float(mu[i])))
     w = spark.createDataFrame(loadings, "dataset_id long, attr string, w double, m double")
-    scores = (x.join(F.broadcast(w), ["dataset_id", "attr"])
+    scores = (x.join(w, ["dataset_id", "attr"])
               .groupBy("dataset_id", "row_id").agg(F.sum((F.col("x") - F.col("m")) * F.col("w")).alias("pc")))
     stats = scores.groupBy("dataset_id").agg(
         F.percentile_approx("pc", 0.95, accuracy).alias("pca.95%"),
@@ -264,7 +264,7 @@ def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list
             coef += [(ds, f, y, a, float(w[i]), b) for i, a in enumerate(attrs)]
     cf = spark.createDataFrame(coef, "dataset_id long, fold long, y string, attr string, w double, b double")
     test = x.join(folds.select("dataset_id", "row_id", "fold", F.col("y").alias("y_true")), ["dataset_id", "row_id"])
-    score = (test.join(F.broadcast(cf), ["dataset_id", "fold", "attr"])
+    score = (test.join(cf, ["dataset_id", "fold", "attr"])
              .groupBy("dataset_id", "fold", "row_id", "y_true", "y")
              .agg((F.sum(F.col("x") * F.col("w")) + F.max("b")).alias("delta")))
     pred = score.groupBy("dataset_id", "fold", "row_id", "y_true").agg(F.max(F.struct("delta", "y")).alias("best"))
