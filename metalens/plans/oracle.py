@@ -669,3 +669,10 @@ def _union(*names: str) -> str:
 
 ORACLE["mf_full"] = _union("mf_simple", "mf_class", "mf_moments", "mf_missing", "mf_categorical")
 ORACLE["mf_basic"] = _union("mf_simple", "mf_class", "mf_moments")
+
+ORACLE["learner_report"] = f"""
+SELECT r.metalearner_name, r.regret_mean, r.regret_std, a.avg_rank, w.n_first
+FROM ({ORACLE["regret_mean_std"]}) r
+JOIN ({ORACLE["avg_ranks"]}) a USING (metalearner_name)
+JOIN (SELECT metalearner_name, sum(CAST(position = 1 AS BIGINT)) AS n_first
+      FROM ({ORACLE["learner_positions"]}) lp GROUP BY 1) w USING (metalearner_name)"""

@@ -815,3 +815,17 @@ def q_tree_landmarker(spark, sf):
     cells, labels = _cells_labels(spark, sf)
     out = decision_tree_f1(cells, hash_folds(labels, TREE_FOLDS, FOLD_SEED), TREE_DEPTH)
     return out.select("dataset_id", rnd("value").alias("value"))
+
+
+@register("learner_report")
+def q_learner_report(spark, sf):
+    """Per learner: regret mean and std over 25 slots, average rank and number of first places."""
+    from metalens.operators.analysis import average_ranks, learner_positions, regret_summary
+    res = fixture(spark, sf, "results")
+    processed = _processed(spark, sf)
+    wins = (learner_positions(processed).groupBy("metalearner_name")
+            .agg(F.sum((F.col("position") == 1).cast("long")).alias("n_first")))
+    return (regret_summary(res, N_SLOTS).join(average_ranks(processed), "metalearner_name")
+            .join(wins, "metalearner_name")
+            .select("metalearner_name", rnd("regret_mean").alias("regret_mean"), rnd("regret_std").alias("regret_std"),
+                    rnd("avg_rank").alias("avg_rank"), "n_first"))
