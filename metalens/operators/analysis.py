@@ -228,3 +228,68 @@ def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:
     """Least-squares line y = slope * x + intercept, with R^2 and n."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                   F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
+
+
+def _phi(z: float) -> float:
+    return math.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+
+
+def _Phi(z: float) -> float:
+    return 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
+
+
+def studentized_range_cdf(q: float, k: int, steps: int = 4000, lo: float = -9.0, hi: float = 9.0) -> float:
+    """P(range of k iid standard normals <= q) = k * int phi(z) (Phi(z) - Phi(z - q))^(k-1) dz (Simpson)."""
+    h = (hi - lo) / steps
+    total = 0.0
+    for i in range(steps + 1):
+        z = lo + i * h
+        w = 1 if i in (0, steps) else (4 if i % 2 else 2)
+        total += w * _phi(z) * (_Phi(z) - _Phi(z - q)) ** (k - 1)
+    return k * total * h / 3.0
+
+
+def critical_difference(k: int, n: int, alpha: float = 0.05) -> float:
+    """Nemenyi critical difference of average ranks for k learners on n datasets."""
+    if k < 2 or n < 1:
+        return float("inf")
+    a, b = 0.0, 10.0
+    for _ in range(60):  # bisection for the (1 - alpha) quantile of the studentized range
+        mid = (a + b) / 2
+        if studentized_range_cdf(mid, k) < 1 - alpha:
+            a = mid
+        else:
+            b = mid
+    q_alpha = (a + b) / 2 / math.sqrt(2.0)
+    return q_alpha * math.sqrt(k * (k + 1) / (6.0 * n))
+
+
+def cd_groups(ranks: DataFrame, n_datasets: int, alpha: float = 0.05) -> DataFrame:
+    """Groups of learners whose average ranks differ by less than the critical
+    difference: maximal runs in rank order (the groups a CD diagram draws).
+
+    ``ranks`` is (metalearner_name, avg_rank), one row per learner (a bounded
+    vocabulary). Each learner's run is the learners from it onwards within CD;
+    runs contained in an earlier run are dropped. Returns (group, start,
+    metalearner_name, avg_rank, cd) for groups of two or more learners.
+    """
+    k = ranks.count()  # number of learners: a bounded scalar
+    cd = critical_difference(k, n_datasets, alpha)
+    order = [F.col("avg_rank").asc(), F.col(LEARNER).asc()]
+    w_all = Window.orderBy(*order)
+    w_next = w_all.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    r = (ranks.withColumn("pos", F.row_number().over(w_all))
+         .withColumn("following", F.collect_list("avg_rank").over(w_next)))
+    r = r.withColumn("run_end", F.col("pos") - 1 + F.size(F.filter("following", lambda x: x - F.col("avg_rank") < F.lit(cd))))
+    prev_end = F.coalesce(F.max("run_end").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = (r.withColumn("prev_end", prev_end)
+              .filter((F.col("run_end") > F.col("prev_end")) & (F.col("run_end") > F.col("pos")))
+              .select(F.col("pos").alias("start"), "run_end"))
+    members = r.select("pos", LEARNER, "avg_rank")
+    # A group's positions start..run_end are expanded and joined to the
+    # learners by position (equi-join; one row per learner and group).
+    groups = starts.withColumn("group", F.row_number().over(Window.orderBy("start")))
+    expanded = groups.select("group", "start", F.explode(F.sequence("start", "run_end")).alias("pos"))
+    return (expanded.join(members, "pos")
+            .select(F.col("group").cast("long"), F.col("start").cast("long"), LEARNER, "avg_rank",
+                    F.lit(cd).alias("cd")))

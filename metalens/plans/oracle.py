@@ -676,3 +676,22 @@ FROM ({ORACLE["regret_mean_std"]}) r
 JOIN ({ORACLE["avg_ranks"]}) a USING (metalearner_name)
 JOIN (SELECT metalearner_name, sum(CAST(position = 1 AS BIGINT)) AS n_first
       FROM ({ORACLE["learner_positions"]}) lp GROUP BY 1) w USING (metalearner_name)"""
+
+from metalens.operators.analysis import critical_difference as _cdiff  # noqa: E402
+
+# q_alpha for the five learners of the results stand-in, same function as the Spark side.
+_Q5 = _cdiff(5, 1) / (5 * 6 / 6.0) ** 0.5
+
+ORACLE["cd_groups"] = _PROCESSED + f""",
+ranks AS (SELECT metalearner_name, round(avg(rank), 10) AS avg_rank FROM rk GROUP BY 1),
+kn AS (SELECT (SELECT count(*) FROM ranks) AS k, (SELECT count(DISTINCT dataset_id) FROM p) AS n),
+c AS (SELECT {_Q5!r} * sqrt(k * (k + 1) / (6.0 * n)) AS cd FROM kn),
+r AS (SELECT metalearner_name, avg_rank, row_number() OVER (ORDER BY avg_rank, metalearner_name) AS pos FROM ranks),
+e AS (SELECT a.*, a.pos - 1 + (SELECT count(*) FROM r b, c WHERE b.pos >= a.pos AND b.avg_rank - a.avg_rank < c.cd) AS run_end
+      FROM r a),
+s AS (SELECT *, coalesce(max(run_end) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_end
+      FROM e),
+st AS (SELECT pos AS start, run_end, row_number() OVER (ORDER BY pos) AS grp FROM s
+       WHERE run_end > prev_end AND run_end > pos)
+SELECT st.grp AS "group", st.start, r.metalearner_name, r.avg_rank, round(c.cd, 10) AS cd
+FROM st JOIN r ON r.pos BETWEEN st.start AND st.run_end, c"""

@@ -829,3 +829,13 @@ def q_learner_report(spark, sf):
             .join(wins, "metalearner_name")
             .select("metalearner_name", rnd("regret_mean").alias("regret_mean"), rnd("regret_std").alias("regret_std"),
                     rnd("avg_rank").alias("avg_rank"), "n_first"))
+
+
+@register("cd_groups")
+def q_cd_groups(spark, sf):
+    """Learner groups within the Nemenyi critical difference of average ranks."""
+    from metalens.operators.analysis import average_ranks, cd_groups
+    processed = _processed(spark, sf)
+    ranks = average_ranks(processed).select("metalearner_name", rnd("avg_rank").alias("avg_rank"))
+    n = processed.select(F.count_distinct("dataset_id")).first()[0]  # one bounded scalar
+    return cd_groups(ranks, int(n)).withColumn("cd", rnd("cd"))

@@ -370,3 +370,14 @@ def test_blocked_rank_matches_plain_rank(spark):
     for k in range(3):
         for i, p in enumerate(sorted(p for kk, p in rows if kk == k), start=1):
             assert got[(k, p)] == i
+
+
+def test_cd_groups_two_clusters(spark):
+    from metalens.operators.analysis import cd_groups, critical_difference
+    assert critical_difference(5, 6) / math.sqrt(5 * 6 / 36) == pytest.approx(2.728, abs=1e-3)
+    ranks = spark.createDataFrame([("a", 1.0), ("b", 1.2), ("c", 3.0), ("d", 3.1)],
+                                  "metalearner_name string, avg_rank double")
+    got = {}
+    for r in cd_groups(ranks, 22).collect():
+        got.setdefault(r["group"], set()).add(r["metalearner_name"])
+    assert sorted(map(sorted, got.values())) == [["a", "b"], ["c", "d"]]
