@@ -263,7 +263,7 @@ b{i} AS (SELECT b.dataset_id, least(b.best, coalesce(m.regret, 1.0)) AS best FRO
     sel = []
     for i in range(1, k + 1):
         tot = "(SELECT count(*) FROM b0)" + "".join(f" - (SELECT gain FROM p{j})" for j in range(1, i + 1))
-        sel.append(f"SELECT {i} AS position, pipeline_id, gain, round({tot}, 10) AS total_regret FROM p{i}")
+        sel.append(f"SELECT CAST({i} AS BIGINT) AS position, pipeline_id, gain, round({tot}, 10) AS total_regret FROM p{i}")
     return ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(sel)
 
 
@@ -301,7 +301,8 @@ ORACLE["holdout_split"] = with_fixtures("samples") + """,
 s AS (SELECT dataset_id,
              CAST((CAST(row_id AS HUGEINT) * 2654435761 + 7) % 4294967296 AS DOUBLE) / 4294967296.0 < 0.8 AS is_train
       FROM samples)
-SELECT dataset_id, sum(CAST(is_train AS BIGINT)) AS n_train, sum(CAST(NOT is_train AS BIGINT)) AS n_test
+SELECT dataset_id, CAST(sum(CAST(is_train AS BIGINT)) AS BIGINT) AS n_train,
+       CAST(sum(CAST(NOT is_train AS BIGINT)) AS BIGINT) AS n_test
 FROM s GROUP BY dataset_id"""
 
 # --- step 7 -------------------------------------------------------------------
@@ -566,9 +567,9 @@ _MATRIX_KEPT = _MATRIX_KEPT.replace(
     "round(CASE WHEN hi = lo THEN 0.0 ELSE abs(hi - score) / abs(lo - hi) END, 10) AS regret",
     "CASE WHEN hi = lo THEN 0.0 ELSE abs(hi - score) / abs(lo - hi) END AS regret")
 ORACLE["learner_portfolio"] = _portfolio_sql(3).replace(_MATRIX, _MATRIX_KEPT).replace(
-    "SELECT 1 AS position, pipeline_id, gain, round(", "SELECT 1 AS rank, pipeline_id, round(").replace(
-    "SELECT 2 AS position, pipeline_id, gain, round(", "SELECT 2 AS rank, pipeline_id, round(").replace(
-    "SELECT 3 AS position, pipeline_id, gain, round(", "SELECT 3 AS rank, pipeline_id, round(").replace(
+    "SELECT CAST(1 AS BIGINT) AS position, pipeline_id, gain, round(", "SELECT CAST(1 AS BIGINT) AS rank, pipeline_id, round(").replace(
+    "SELECT CAST(2 AS BIGINT) AS position, pipeline_id, gain, round(", "SELECT CAST(2 AS BIGINT) AS rank, pipeline_id, round(").replace(
+    "SELECT CAST(3 AS BIGINT) AS position, pipeline_id, gain, round(", "SELECT CAST(3 AS BIGINT) AS rank, pipeline_id, round(").replace(
     ", 10) AS total_regret FROM p", ", 10) AS score FROM p")
 
 ORACLE["dataset_sizes"] = _CELLS + """,
@@ -674,7 +675,7 @@ ORACLE["learner_report"] = f"""
 SELECT r.metalearner_name, r.regret_mean, r.regret_std, a.avg_rank, w.n_first
 FROM ({ORACLE["regret_mean_std"]}) r
 JOIN ({ORACLE["avg_ranks"]}) a USING (metalearner_name)
-JOIN (SELECT metalearner_name, sum(CAST(position = 1 AS BIGINT)) AS n_first
+JOIN (SELECT metalearner_name, CAST(sum(CAST(position = 1 AS BIGINT)) AS BIGINT) AS n_first
       FROM ({ORACLE["learner_positions"]}) lp GROUP BY 1) w USING (metalearner_name)"""
 
 from metalens.operators.analysis import critical_difference as _cdiff  # noqa: E402

@@ -233,8 +233,8 @@ def q_run_methods(spark, sf):
 def q_clip_recode(spark, sf):
     from metalens.operators.analysis import clip_scores, recode
     res = fixture(spark, sf, "results")
-    return res.select("metalearner_name", recode("dataset_id", RECODE).alias("dataset_id"), "slot",
-                      clip_scores("score").alias("score"))
+    return res.select("metalearner_name", recode("dataset_id", RECODE).alias("dataset_id"),
+                      F.col("slot").cast("long").alias("slot"), clip_scores("score").alias("score"))
 
 
 @register("log_loss")
@@ -698,7 +698,8 @@ def q_dataset_sizes(spark, sf):
 def q_learner_subset(spark, sf):
     """Results of learners whose name lacks a substring, on a listed dataset subset."""
     res = fixture(spark, sf, "results")
-    return res.filter(~F.col("metalearner_name").contains("ew") & F.col("dataset_id").isin(LEARNER_SUBSET_DATASETS))
+    out = res.filter(~F.col("metalearner_name").contains("ew") & F.col("dataset_id").isin(LEARNER_SUBSET_DATASETS))
+    return out.withColumn("slot", F.col("slot").cast("long"))
 
 
 @register("warm_start_list")

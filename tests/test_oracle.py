@@ -49,10 +49,19 @@ def test_entry_runs(spark):
     assert df.count() >= 0
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(ORACLE[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        spark_type = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(spark_type, spark_type) == types.get(f.name), (f.name, spark_type, types.get(f.name))
     res = duck.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
