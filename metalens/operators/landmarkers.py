@@ -155,46 +155,64 @@ def decision_stumps(cells: DataFrame, folds: DataFrame, n_bins: int = 32, seed:
     return out
 
 
-def pca_features(cells: DataFrame, attrs_by_dataset: dict[int, list[str]], accuracy: int = 10000) -> DataFrame:
+def _row_vectors(x: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Per row, the values of its dataset's own attributes as an array (in the
+    dataset's attribute order), plus the attribute index (dataset_id, attr, idx).
+
+    The width of a row's vector is its dataset's attribute count, not the union
+    of all datasets' attributes.
+    """
+    idx = (x.select("dataset_id", "attr").distinct()
+           .withColumn("idx", F.dense_rank().over(Window.partitionBy("dataset_id").orderBy("attr")) - 1))
+    rows = (x.join(idx, ["dataset_id", "attr"]).groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("kv"))
+            .select(*keys, F.col("kv.x").alias("v")))
+    return rows, idx
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Vector sums of x and of the flattened outer product x x^T per ``keys``
+    (``Summarizer.sum``: element-wise, merged map-side)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    outer = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: a * b)))
+    return (rows.select(*keys, array_to_vector("v").alias("v1"), array_to_vector(outer).alias("v2"))
+            .groupBy(*keys).agg(Summarizer.sum(F.col("v1")).alias("s1"), Summarizer.sum(F.col("v2")).alias("s2"),
+                                F.count(F.lit(1)).alias("n")))
+
+
+def pca_features(cells: DataFrame, attrs_by_dataset: dict | None = None, accuracy: int = 10000) -> DataFrame:
     """pca.95%, pca.skewness, pca.kurtosis of the first principal component.
 
     One aggregation computes, for every dataset at once, the vector sums of x
-    and of the flattened outer product x x^T (``Summarizer.sum``: element-wise,
-    merged map-side, a d + d^2 buffer per dataset). Only these bounded
-    moments reach the driver, where each d x d covariance is decomposed. A
-    second job projects every dataset's centred rows through its loadings
-    (equi-join on attribute) and summarises the scores per dataset; the 0.95
-    quantile uses the bounded-memory ``percentile_approx``. The reference took
-    the scores' first row instead of the first component and percentile 0.95
-    of 100; both are fixed here.
+    and of x x^T over the dataset's own attributes (a d + d^2 buffer per
+    dataset, merged map-side). Only these moments reach the driver, where each
+    d x d covariance is decomposed. A second job projects every dataset's
+    centred rows through its loadings (equi-join on attribute) and summarises
+    the scores per dataset; the 0.95 quantile uses the bounded-memory
+    ``percentile_approx``. The reference took the scores' first row instead of
+    the first component and percentile 0.95 of 100; both are fixed here.
+    ``attrs_by_dataset`` is accepted for compatibility; attributes come from
+    the cells.
     """
     import numpy as np
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
 
     spark = cells.sparkSession
     x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
-    all_attrs = sorted({a for attrs in attrs_by_dataset.values() for a in attrs})
-    d = len(all_attrs)
-    wide = x.groupBy("dataset_id", "row_id").pivot("attr", all_attrs).agg(F.first("x"))
-    arr = F.array(*[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)) for a in all_attrs])
-    outer = F.flatten(F.transform(arr, lambda a: F.transform(arr, lambda b: a * b)))
-    moments = (wide.select("dataset_id", array_to_vector(arr).alias("v"), array_to_vector(outer).alias("vv"))
-               .groupBy("dataset_id")
-               .agg(Summarizer.sum(F.col("v")).alias("s1"), Summarizer.sum(F.col("vv")).alias("s2"),
-                    F.count(F.lit(1)).alias("n")))
-    loadings, means = [], []
-    for r in moments.collect():  # one row per dataset: d + d^2 numbers
+    rows, idx = _row_vectors(x, ["dataset_id", "row_id"])
+    names = {(int(r["dataset_id"]), int(r["idx"])): r["attr"] for r in idx.collect()}  # schema-sized
+    loadings = []
+    for r in _moments(rows, ["dataset_id"]).collect():  # one row per dataset
         ds, n = int(r["dataset_id"]), float(r["n"])
-        s1, s2 = r["s1"].toArray(), r["s2"].toArray().reshape(d, d)
+        s1 = r["s1"].toArray()
+        d = len(s1)
         mu = s1 / n
-        cov = s2 / n - np.outer(mu, mu)
-        keep = [all_attrs.index(a) for a in attrs_by_dataset.get(ds, all_attrs)]
-        vals, vecs = np.linalg.eigh(cov[np.ix_(keep, keep)])
+        cov = r["s2"].toArray().reshape(d, d) / n - np.outer(mu, mu)
+        vals, vecs = np.linalg.eigh(cov)
         pc = vecs[:, int(np.argmax(vals))]
         sign = 1.0 if pc[int(np.argmax(np.abs(pc)))] >= 0 else -1.0  # largest loading positive
-        for j, i in enumerate(keep):
-            loadings.append((ds, all_attrs[i], float(sign * pc[j]), float(mu[i])))
+        loadings += [(ds, names[(ds, i)], float(sign * pc[i]), float(mu[i])) for i in range(d)]
     w = spark.createDataFrame(loadings, "dataset_id long, attr string, w double, m double")
     scores = (x.join(w, ["dataset_id", "attr"])
               .groupBy("dataset_id", "row_id").agg(F.sum((F.col("x") - F.col("m")) * F.col("w")).alias("pc")))
@@ -206,41 +224,33 @@ def pca_features(cells: DataFrame, attrs_by_dataset: dict[int, list[str]], accur
     return stats.select("dataset_id", F.explode(items).alias("i")).select("dataset_id", "i.name", "i.value")
 
 
-def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list[str]) -> DataFrame:
+def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list[str] | None = None) -> DataFrame:
     """Linear discriminant analysis, k-fold accuracy per dataset (mean over folds).
 
-    Per (dataset, fold, class) the vector sums of x and x x^T come from one
-    aggregation; training moments of a fold are the class totals minus that
-    fold's part. Each fold's pooled within-class covariance (d x d) is solved on
-    the driver (bounded: datasets x folds x classes moment rows), giving
-    per-class coefficients that one join applies to the test rows:
+    Per (dataset, fold, class) the vector sums of x and x x^T over the
+    dataset's own attributes come from one aggregation; training moments of a
+    fold are the class totals minus that fold's part. Each fold's pooled
+    within-class covariance (d x d) is solved on the driver, giving per-class
+    coefficients that one join applies to the test rows:
     ``delta_c(x) = x' S^-1 mu_c - mu_c' S^-1 mu_c / 2 + log prior_c``.
+    ``attrs`` is accepted for compatibility; attributes come from the cells.
     """
     import numpy as np
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
 
     spark = cells.sparkSession
-    d = len(attrs)
     x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
-    wide = (x.groupBy("dataset_id", "row_id").pivot("attr", attrs).agg(F.first("x"))
-            .join(folds, ["dataset_id", "row_id"]))
-    arr = F.array(*[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)) for a in attrs])
-    outer = F.flatten(F.transform(arr, lambda a: F.transform(arr, lambda b: a * b)))
-    part = (wide.select("dataset_id", "fold", "y", array_to_vector(arr).alias("v"), array_to_vector(outer).alias("vv"))
-            .groupBy("dataset_id", "fold", "y")
-            .agg(Summarizer.sum(F.col("v")).alias("s1"), Summarizer.sum(F.col("vv")).alias("s2"),
-                 F.count(F.lit(1)).alias("n")).collect())
+    rows, idx = _row_vectors(x, ["dataset_id", "row_id"])
+    names = {(int(r["dataset_id"]), int(r["idx"])): r["attr"] for r in idx.collect()}  # schema-sized
+    part = _moments(rows.join(folds, ["dataset_id", "row_id"]), ["dataset_id", "fold", "y"]).collect()
     parts: dict = {}
     for r in part:
-        parts[(int(r["dataset_id"]), int(r["fold"]), r["y"])] = (
-            float(r["n"]), r["s1"].toArray(), r["s2"].toArray().reshape(d, d))
+        s1 = r["s1"].toArray()
+        d = len(s1)
+        parts[(int(r["dataset_id"]), int(r["fold"]), r["y"])] = (float(r["n"]), s1, r["s2"].toArray().reshape(d, d))
     totals: dict = {}
     for (ds, _, y), (n, s1, s2) in parts.items():
-        t = totals.setdefault((ds, y), [0.0, np.zeros(d), np.zeros((d, d))])
-        t[0] += n
-        t[1] = t[1] + s1
-        t[2] = t[2] + s2
+        t = totals.get((ds, y))
+        totals[(ds, y)] = (n, s1, s2) if t is None else (t[0] + n, t[1] + s1, t[2] + s2)
     fold_ids = sorted({(ds, f) for ds, f, _ in parts})
     coef = []
     for ds, f in fold_ids:
@@ -248,20 +258,20 @@ def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list
         stats = []
         for y in classes:
             n, s1, s2 = totals[(ds, y)]
+            d = len(s1)
             pn, p1, p2 = parts.get((ds, f, y), (0.0, np.zeros(d), np.zeros((d, d))))
             n, s1, s2 = n - pn, s1 - p1, s2 - p2
             if n > 0:
                 stats.append((y, n, s1 / n, s2))
         if not stats:
             continue
-        n_tot = sum(s[1] for s in stats)
+        n_tot = sum(st[1] for st in stats)
         scatter = sum(s2 - n * np.outer(mu, mu) for _, n, mu, s2 in stats)
-        cov = scatter / max(n_tot - len(stats), 1.0)
-        inv = np.linalg.pinv(cov)
+        inv = np.linalg.pinv(scatter / max(n_tot - len(stats), 1.0))
         for y, n, mu, _ in stats:
             w = inv @ mu
             b = float(-0.5 * mu @ w + np.log(n / n_tot))
-            coef += [(ds, f, y, a, float(w[i]), b) for i, a in enumerate(attrs)]
+            coef += [(ds, f, y, names[(ds, i)], float(w[i]), b) for i in range(len(mu))]
     cf = spark.createDataFrame(coef, "dataset_id long, fold long, y string, attr string, w double, b double")
     test = x.join(folds.select("dataset_id", "row_id", "fold", F.col("y").alias("y_true")), ["dataset_id", "row_id"])
     score = (test.join(cf, ["dataset_id", "fold", "attr"])

@@ -778,9 +778,8 @@ def q_node_landmarkers(spark, sf):
 def q_pca_landmarkers(spark, sf):
     """First-component statistics per dataset (one PCA fit per dataset, one projection job)."""
     from metalens.operators.landmarkers import pca_features
-    cells, labels = _cells_labels(spark, sf)
-    ids = [r[0] for r in labels.select("dataset_id").distinct().collect()]  # the dataset dimension
-    out = pca_features(cells, {i: NUMERIC_ATTRS for i in ids})
+    cells, _ = _cells_labels(spark, sf)
+    out = pca_features(cells)
     return out.withColumn("value", rnd("value", 6))
 
 
@@ -788,7 +787,7 @@ def q_pca_landmarkers(spark, sf):
 def q_lda_landmarker(spark, sf):
     from metalens.operators.landmarkers import hash_folds, linear_discriminant_accuracy
     cells, labels = _cells_labels(spark, sf)
-    out = linear_discriminant_accuracy(cells, hash_folds(labels, N_FOLDS, FOLD_SEED), NUMERIC_ATTRS)
+    out = linear_discriminant_accuracy(cells, hash_folds(labels, N_FOLDS, FOLD_SEED))
     return out.select("dataset_id", rnd("value", 6).alias("value"))
 
 

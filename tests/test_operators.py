@@ -381,3 +381,29 @@ def test_cd_groups_two_clusters(spark):
     for r in cd_groups(ranks, 22).collect():
         got.setdefault(r["group"], set()).add(r["metalearner_name"])
     assert sorted(map(sorted, got.values())) == [["a", "b"], ["c", "d"]]
+
+
+def test_pca_with_different_attribute_sets(spark):
+    import numpy as np
+    from metalens.operators.landmarkers import pca_features
+    rnd = random.Random(8)
+    rows = []
+    for ds, attrs in ((0, ["a", "b"]), (1, ["a", "b", "c"])):
+        for r in range(80):
+            base = rnd.gauss(0, 1)
+            for j, a in enumerate(attrs):
+                rows.append((ds, ds * 1000 + r, a, False, base * (j + 1) + rnd.gauss(0, 0.3), None))
+    cells = spark.createDataFrame(rows, "dataset_id long, row_id long, attr string, is_cat boolean, num_val double, cat_val string")
+    got = {(r["dataset_id"], r["name"]): r["value"] for r in pca_features(cells).collect()}
+    for ds in (0, 1):
+        by_row = {}
+        for d, rid, a, _, v, _ in rows:
+            if d == ds:
+                by_row.setdefault(rid, {})[a] = v
+        attrs = sorted(next(iter(by_row.values())))
+        x = np.array([[row[a] for a in attrs] for row in by_row.values()])
+        xc = x - x.mean(axis=0)
+        vals, vecs = np.linalg.eigh(np.cov(xc.T, bias=True))
+        s = xc @ vecs[:, np.argmax(vals)]
+        m2, m4 = (s ** 2).mean(), (s ** 4).mean()
+        assert got[(ds, "pca.kurtosis")] == pytest.approx(m4 / m2 ** 2 - 3, rel=1e-6)
