@@ -203,7 +203,8 @@ def pca_features(cells: DataFrame, attrs_by_dataset: dict | None = None, accurac
     rows, idx = _row_vectors(x, ["dataset_id", "row_id"])
     names = {(int(r["dataset_id"]), int(r["idx"])): r["attr"] for r in idx.collect()}  # schema-sized
     loadings = []
-    for r in _moments(rows, ["dataset_id"]).collect():  # one row per dataset
+    # One row per dataset, streamed: the driver holds one d x d matrix at a time.
+    for r in _moments(rows, ["dataset_id"]).toLocalIterator():
         ds, n = int(r["dataset_id"]), float(r["n"])
         s1 = r["s1"].toArray()
         d = len(s1)
@@ -241,37 +242,49 @@ def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list
     x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
     rows, idx = _row_vectors(x, ["dataset_id", "row_id"])
     names = {(int(r["dataset_id"]), int(r["idx"])): r["attr"] for r in idx.collect()}  # schema-sized
-    part = _moments(rows.join(folds, ["dataset_id", "row_id"]), ["dataset_id", "fold", "y"]).collect()
-    parts: dict = {}
-    for r in part:
+    moments = (_moments(rows.join(folds, ["dataset_id", "row_id"]), ["dataset_id", "fold", "y"])
+               .orderBy("dataset_id", "fold", "y"))
+    coef: list = []
+
+    def solve(ds: int, parts: dict) -> None:
+        """Coefficients of every fold of one dataset from its (fold, class) moments."""
+        totals: dict = {}
+        for (_, y), (n, s1, s2) in parts.items():
+            t = totals.get(y)
+            totals[y] = (n, s1, s2) if t is None else (t[0] + n, t[1] + s1, t[2] + s2)
+        for f in sorted({f for f, _ in parts}):
+            stats = []
+            for y in sorted(totals):
+                n, s1, s2 = totals[y]
+                d = len(s1)
+                pn, p1, p2 = parts.get((f, y), (0.0, np.zeros(d), np.zeros((d, d))))
+                n, s1, s2 = n - pn, s1 - p1, s2 - p2
+                if n > 0:
+                    stats.append((y, n, s1 / n, s2))
+            if not stats:
+                continue
+            n_tot = sum(st[1] for st in stats)
+            scatter = sum(s2 - n * np.outer(mu, mu) for _, n, mu, s2 in stats)
+            inv = np.linalg.pinv(scatter / max(n_tot - len(stats), 1.0))
+            for y, n, mu, _ in stats:
+                w = inv @ mu
+                b = float(-0.5 * mu @ w + np.log(n / n_tot))
+                coef.extend((ds, f, y, names[(ds, i)], float(w[i]), b) for i in range(len(mu)))
+
+    # Moments arrive ordered by dataset; each dataset is solved as soon as its
+    # rows are complete, so the driver holds one dataset's moments at a time.
+    current, parts = None, {}
+    for r in moments.toLocalIterator():
+        ds = int(r["dataset_id"])
+        if current is not None and ds != current:
+            solve(current, parts)
+            parts = {}
+        current = ds
         s1 = r["s1"].toArray()
         d = len(s1)
-        parts[(int(r["dataset_id"]), int(r["fold"]), r["y"])] = (float(r["n"]), s1, r["s2"].toArray().reshape(d, d))
-    totals: dict = {}
-    for (ds, _, y), (n, s1, s2) in parts.items():
-        t = totals.get((ds, y))
-        totals[(ds, y)] = (n, s1, s2) if t is None else (t[0] + n, t[1] + s1, t[2] + s2)
-    fold_ids = sorted({(ds, f) for ds, f, _ in parts})
-    coef = []
-    for ds, f in fold_ids:
-        classes = sorted(y for (dd, y) in totals if dd == ds)
-        stats = []
-        for y in classes:
-            n, s1, s2 = totals[(ds, y)]
-            d = len(s1)
-            pn, p1, p2 = parts.get((ds, f, y), (0.0, np.zeros(d), np.zeros((d, d))))
-            n, s1, s2 = n - pn, s1 - p1, s2 - p2
-            if n > 0:
-                stats.append((y, n, s1 / n, s2))
-        if not stats:
-            continue
-        n_tot = sum(st[1] for st in stats)
-        scatter = sum(s2 - n * np.outer(mu, mu) for _, n, mu, s2 in stats)
-        inv = np.linalg.pinv(scatter / max(n_tot - len(stats), 1.0))
-        for y, n, mu, _ in stats:
-            w = inv @ mu
-            b = float(-0.5 * mu @ w + np.log(n / n_tot))
-            coef += [(ds, f, y, names[(ds, i)], float(w[i]), b) for i in range(len(mu))]
+        parts[(int(r["fold"]), r["y"])] = (float(r["n"]), s1, r["s2"].toArray().reshape(d, d))
+    if current is not None:
+        solve(current, parts)
     cf = spark.createDataFrame(coef, "dataset_id long, fold long, y string, attr string, w double, b double")
     test = x.join(folds.select("dataset_id", "row_id", "fold", F.col("y").alias("y_true")), ["dataset_id", "row_id"])
     score = (test.join(cf, ["dataset_id", "fold", "attr"])
