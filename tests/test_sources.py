@@ -99,3 +99,26 @@ def test_metastore_roundtrip(spark, tmp_dir):
     with pytest.raises(UnknownKeyError):
         ms.get_dataset_characterizations("simple", [7])
     assert ms.list_dataset_characterizations().first()["n"] == 2
+
+
+def test_read_lookup_with_index_and_quoted_names(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "lp.csv"),
+               ',pipeline,pipeline_id\n0,"Tree(data, Tree.depth=3)",0\n1,"Bayes(Scaler(data), Bayes.alpha=1)",1\n')
+    rows = io.read_lookup(spark, p, "pipelines").orderBy("pipeline_id").collect()
+    assert [r["pipeline"] for r in rows] == ["Tree(data, Tree.depth=3)", "Bayes(Scaler(data), Bayes.alpha=1)"]
+    assert [r["pipeline_id"] for r in rows] == [0, 1]
+
+
+def test_metastore_lookups_and_run_top(spark, tmp_dir):
+    ms = MetaStore.create(spark, os.path.join(tmp_dir, "mdb2"))
+    recs = spark.createDataFrame(
+        [("iris", f"P{i}(data)", -0.1 * i, "neg_log_loss", "runA") for i in range(6)],
+        "dataset string, pipeline string, score double, metric string, logs_name string")
+    added = ms.add_run_top(recs, 3)
+    assert sorted(r["pipeline_id"] for r in added.collect()) == [0, 1, 2]
+    assert {r["pipeline"] for r in ms.list_pipelines("name").collect()} == {"P0(data)", "P1(data)", "P2(data)"}
+    assert ms.list_datasets("id").collect()[0]["dataset_id"] == 0
+    assert ms.dataset_exists("iris") and not ms.dataset_exists("wine")
+    assert ms.pipe_exists("P1(data)") and not ms.pipe_exists("P5(data)")
+    with pytest.raises(UnknownKeyError):
+        ms.get_pipeline_id("P5(data)")
