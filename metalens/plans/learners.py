@@ -59,6 +59,7 @@ class UtilityEstimateLearner(Learner):
     metric: str = "neg_log_loss"
     higher_is_better: bool = True
     similarity: str = "cosine"
+    vec_col: str = "embedding"  # "values" for characterizations read from a MetaStore
     view: MetaView | None = field(default=None, repr=False)
 
     def fit(self, view: MetaView, **_) -> UtilityEstimateLearner:
@@ -66,9 +67,9 @@ class UtilityEstimateLearner(Learner):
         return self
 
     def recommend(self, query_vector: DataFrame, total_n_configs: int = 25, **_) -> DataFrame:
-        """``query_vector``: one row with an ``embedding`` column (the new dataset)."""
+        """``query_vector``: one row with the vector column (the new dataset)."""
         stored = recommend.known_vectors(self.view.dataset_chars, self.view.evaluations)
-        sims = one_vs_all(stored, query_vector)
+        sims = one_vs_all(stored, query_vector, vec_col=self.vec_col)
         scores = recommend.utility_scores(self.view.evaluations, self.view.pipelines, sims, self.metric,
                                           self.higher_is_better, self.similarity)
         return recommend.utility_online(scores, total_n_configs).withColumnRenamed("utility", "score")
@@ -79,6 +80,7 @@ class TopSimilarityLearner(Learner):
     metric: str = "neg_log_loss"
     n_datasets: int = 5
     similarity: str = "cosine"
+    vec_col: str = "embedding"
     view: MetaView | None = field(default=None, repr=False)
 
     def fit(self, view: MetaView, **_) -> TopSimilarityLearner:
@@ -87,7 +89,8 @@ class TopSimilarityLearner(Learner):
 
     def recommend(self, query_vector: DataFrame, total_n_configs: int = 25, **_) -> DataFrame:
         stored = recommend.known_vectors(self.view.dataset_chars, self.view.evaluations)
-        nearest = most_similar(one_vs_all(stored, query_vector), self.n_datasets, self.similarity)
+        nearest = most_similar(one_vs_all(stored, query_vector, vec_col=self.vec_col), self.n_datasets,
+                               self.similarity)
         out = recommend.top_similarity(self.view.evaluations, nearest, total_n_configs, self.metric)
         return out.withColumn("score", F.lit(None).cast("double")).select("rank", "pipeline_id", "score")
 

@@ -407,3 +407,21 @@ def test_pca_with_different_attribute_sets(spark):
         s = xc @ vecs[:, np.argmax(vals)]
         m2, m4 = (s ** 2).mean(), (s ** 4).mean()
         assert got[(ds, "pca.kurtosis")] == pytest.approx(m4 / m2 ** 2 - 3, rel=1e-6)
+
+
+def test_similarity_learners_on_store_characterizations(spark):
+    from metalens.operators.views import partial_view
+    from metalens.plans.learners import TopSimilarityLearner, UtilityEstimateLearner
+    rows = [(i, d, p, -0.1 * ((d + p) % 5), "m", "r") for i, (d, p) in
+            enumerate((d, p) for d in range(1, 5) for p in range(6))]
+    ev = spark.createDataFrame(rows, EVAL_DDL)
+    ds = spark.createDataFrame([(f"d{d}", d) for d in range(5)], "dataset string, dataset_id long")
+    pipes = spark.createDataFrame([(f"p{p}", p) for p in range(6)], "pipeline string, pipeline_id long")
+    chars = spark.createDataFrame([("m1", d, [float(d), 1.0], ["a", "b"]) for d in range(5)],
+                                  "method string, dataset_id long, values array<double>, names array<string>")
+    keep = ds.filter("dataset_id > 0").select("dataset_id")
+    view = partial_view(ev, ds, pipes, keep, dataset_chars=chars)
+    q = chars.filter("dataset_id = 0")
+    u = UtilityEstimateLearner(metric="m", vec_col="values").fit(view).recommend(q, total_n_configs=3).collect()
+    t = TopSimilarityLearner(metric="m", n_datasets=2, vec_col="values").fit(view).recommend(q, total_n_configs=4).collect()
+    assert [r["rank"] for r in u] == [1, 2, 3] and len(t) == 4
