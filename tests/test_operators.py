@@ -425,3 +425,20 @@ def test_similarity_learners_on_store_characterizations(spark):
     u = UtilityEstimateLearner(metric="m", vec_col="values").fit(view).recommend(q, total_n_configs=3).collect()
     t = TopSimilarityLearner(metric="m", n_datasets=2, vec_col="values").fit(view).recommend(q, total_n_configs=4).collect()
     assert [r["rank"] for r in u] == [1, 2, 3] and len(t) == 4
+
+
+def test_rankml_learner_mechanics(spark):
+    from metalens.operators.views import partial_view
+    from metalens.plans.learners import RankMLLearner
+    rnd = random.Random(4)
+    rows = [(i, d, p, -rnd.random(), "m", "r") for i, (d, p) in enumerate((d, p) for d in range(1, 6) for p in range(8))]
+    ev = spark.createDataFrame(rows, EVAL_DDL)
+    ds = spark.createDataFrame([(f"d{d}", d) for d in range(6)], "dataset string, dataset_id long")
+    pipes = spark.createDataFrame([(f"p{p}", p) for p in range(8)], "pipeline string, pipeline_id long")
+    dchars = spark.createDataFrame([(d, [float(d), float(d % 2)]) for d in range(6)], "dataset_id long, values array<double>")
+    pchars = spark.createDataFrame([(p, [float(p % 3), float(p % 2)]) for p in range(8)], "pipeline_id long, values array<double>")
+    view = partial_view(ev, ds, pipes, ds.filter("dataset_id > 0").select("dataset_id"), dchars, pchars)
+    lrn = RankMLLearner(metric="m", n_models=4, max_iter=3, max_depth=3).fit(view)
+    out = lrn.recommend([0.0, 0.0], total_n_configs=5, max_n_models=4).orderBy("rank").collect()
+    assert [r["rank"] for r in out] == list(range(1, len(out) + 1)) and 0 < len(out) <= 5
+    assert len({r["pipeline_id"] for r in out}) == len(out)
