@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from metalens.functions.regret import normalized_regret, valid_score
 
@@ -176,15 +174,18 @@ def chi2_sf(x: float, dof: float) -> float:
     return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(a), float(b)) if pd.notna(a) else float("nan") for a, b in zip(x, dof)])
-
-
 def friedman_test(processed: DataFrame, score_col: str = "score") -> DataFrame:
-    """Friedman statistic plus its p-value (chi-square, k - 1 degrees of freedom)."""
+    """Friedman statistic plus its p-value (chi-square, k - 1 degrees of freedom).
+
+    The statistic is one row; its tail probability is computed on the driver
+    and attached as a literal, so no Python worker is involved.
+    """
     s = friedman_statistic(processed, score_col)
-    return s.withColumn("p_value", _chi2_sf_udf(F.col("statistic"), (F.col("n_learners") - 1).cast("double")))
+    row = s.first()
+    if row is None or row["statistic"] is None:
+        return s.withColumn("p_value", F.lit(None).cast("double"))
+    p = chi2_sf(float(row["statistic"]), float(row["n_learners"] - 1))
+    return s.withColumn("p_value", F.lit(p))
 
 
 def pivot_learners(processed: DataFrame, learners: list[str], score_col: str = "score") -> DataFrame:
