@@ -43,6 +43,10 @@ def finite_or_zero(x: Column | str) -> Column:
     return F.when(bad, F.lit(0.0)).otherwise(c)
 
 
+# Scores at or above this bound are treated as invalid.
+VALID_SCORE_BOUND = 1e6
+
+
 def valid_score(score: Column | str) -> Column:
     """Predicate for a usable score: not null, not NaN, below 1e6.
 
@@ -50,4 +54,4 @@ def valid_score(score: Column | str) -> Column:
     drop NaN; the NaN test is spelled out anyway.
     """
     s = F.col(score) if isinstance(score, str) else score
-    return s.isNotNull() & ~F.isnan(s) & (s < F.lit(1e6))
+    return s.isNotNull() & ~F.isnan(s) & (s < F.lit(VALID_SCORE_BOUND))

@@ -32,7 +32,12 @@ def training_frame(evals: DataFrame, dataset_vecs: DataFrame, pipe_vecs: DataFra
                     F.concat("dvec", "pvec").alias("features")))
 
 
-def fit_ranker(frame: DataFrame, max_iter: int = 150, step_size: float = 0.1, max_depth: int = 8,
+# Ranker settings (rounds, step size, depth).
+RANKER_ROUNDS, RANKER_STEP, RANKER_DEPTH = 150, 0.1, 8
+
+
+def fit_ranker(frame: DataFrame, max_iter: int = RANKER_ROUNDS, step_size: float = RANKER_STEP,
+               max_depth: int = RANKER_DEPTH,
                seed: int = 0, checkpoint_interval: int = 10):
     """Pointwise GBT regressor on relevance labels.
 
