@@ -71,15 +71,18 @@ def get_df_by_names(evals: DataFrame, dataset_lookup: DataFrame | None = None, d
 def average_equivalent(evals: DataFrame) -> DataFrame:
     """Drop exact duplicate records, then average equal (dataset, pipeline, metric).
 
-    One output row per group with the mean score, the run name of the group's
+    One output row per group with the mean score (from an exact decimal sum,
+    so it is identical for any partitioning), the run name of the group's
     first record (smallest ``eval_id``) and the number of distinct records
     averaged. Both steps are hash aggregates with map-side partial merge, so a
     hot group never lands whole in one task.
     """
     keys = ["dataset_id", "pipeline_id", "score", "metric", "logs_name"]
     dedup = evals.groupBy(*keys).agg(F.min("eval_id").alias("eval_id"))
+    # Exact decimal sum: the mean does not depend on how rows are partitioned.
+    exact_sum = F.sum(F.col("score").cast("decimal(38,18)")).cast("double")
     return (dedup.groupBy("dataset_id", "pipeline_id", "metric")
-            .agg(F.avg("score").alias("score"),
+            .agg((exact_sum / F.count("score")).alias("score"),
                  F.min_by("logs_name", "eval_id").alias("logs_name"),
                  F.count(F.lit(1)).alias("n_records")))
 

@@ -41,7 +41,8 @@ WHERE dataset_id IN ({_DS})
 ORACLE["avg_equivalent"] = with_fixtures("evaluations") + """,
 d AS (SELECT dataset_id, pipeline_id, score, metric, logs_name, min(eval_id) AS eval_id
       FROM evaluations GROUP BY dataset_id, pipeline_id, score, metric, logs_name)
-SELECT dataset_id, pipeline_id, metric, round(avg(score), 10) AS score,
+SELECT dataset_id, pipeline_id, metric,
+       round(CAST(sum(CAST(score AS DECIMAL(38, 18))) AS DOUBLE) / count(score), 10) AS score,
        arg_min(logs_name, eval_id) AS logs_name, count(*) AS n_records
 FROM d GROUP BY dataset_id, pipeline_id, metric"""
 
