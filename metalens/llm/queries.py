@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, quality_rules, simhash, substring
+from . import decontaminate, packing, quality_rules, simhash, substring, token_store
+from .common import scratch
+
+WORD_TOKENIZER, WORD_END_ID = "word_bpe_49k.json", 1
+BYTE_TOKENIZER, BYTE_END_ID = "byte_bpe_50k.json", 0
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +37,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all ``documents``, written as token files and read back."""
+    path = scratch(spark, "token-store")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(WORD_TOKENIZER), WORD_END_ID)
+    return token_store.with_crc32(token_store.read_tokens(spark, path))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` cut into pieces and packed into sequences of at most 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), BYTE_END_ID, packing.CAPACITY)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits in each of ``documents``."""
     out = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,4 +56,4 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op5_quality_rules, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate)}
