@@ -22,6 +22,45 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM split s LEFT JOIN lost USING (doc_id)
 """
 
+#: Rules of one or two tokens are counted directly; FP-growth must find the same.
+OP4 = r"""
+WITH cut AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (
+  SELECT page_id, url, coalesce(rest, '') AS rest,
+         translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+parts AS (SELECT page_id, url, host, path, rest, string_split(host, '.') AS labels FROM page),
+tokens AS (
+  SELECT page_id, url, path, CASE WHEN host = '' THEN [] ELSE list_distinct(
+    list_transform(range(1, len(labels) + 1), lambda i: 'host=' || array_to_string(labels[i:], '.'))
+    || list_transform(regexp_extract_all(host, '[^.\-]+'), lambda x: 'word=' || x)
+    || list_transform(regexp_extract_all(path, '/([^/]+)', 1), lambda x: 'path=' || regexp_replace(x, '[0-9]+', '0', 'g'))
+    || list_transform(regexp_extract_all(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1), lambda x: 'key=' || x)
+    || list_filter(['type=' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)], lambda x: x <> 'type=')
+    || list_filter(['scheme=' || lower(regexp_extract(url, '^([A-Za-z]+)://', 1))], lambda x: x <> 'scheme=')) END AS ts
+  FROM parts),
+known AS (SELECT doc_id, coalesce(bool_or(quality = 0 OR toxic = 1), false) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+labelled AS (
+  SELECT t.page_id, ts, bad FROM tokens t
+  JOIN known k ON k.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:[/.]|$)', 1) AS BIGINT)),
+size AS (SELECT count(*) AS n, greatest(ceil(greatest(0.002, 10.0 / count(*)) * count(*)), 1) AS least FROM labelled HAVING count(*) >= 10),
+one AS (SELECT page_id, bad, unnest(ts) AS t FROM labelled),
+sets AS (
+  SELECT t AS a, t AS b, count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad FROM one GROUP BY t
+  UNION ALL
+  SELECT x.t, y.t, count(*), count(*) FILTER (WHERE x.bad) FROM one x JOIN one y ON x.page_id = y.page_id AND x.t < y.t GROUP BY ALL),
+rules AS (SELECT a, b FROM sets, size WHERE n_bad >= least AND n_bad >= 0.8 * sets.n),
+blocked AS (SELECT DISTINCT page_id FROM tokens, rules WHERE list_contains(ts, a) AND list_contains(ts, b)),
+given AS (
+  SELECT page_id, max_by(rule, len(rule)) AS rule, max_by(verdict, len(rule)) AS verdict
+  FROM page JOIN (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+                         ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) r(h, p, rule, verdict)
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM page p LEFT JOIN given USING (page_id) LEFT JOIN blocked b USING (page_id)
+"""
+
 OP5 = rf"""
 WITH {_WORDS},
 lines AS (
@@ -77,4 +116,13 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM split s LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE = {"op2_substring": OP2, "op5_quality_rules": OP5, "op8_decontaminate": OP8}
+OP9 = """
+WITH page AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+first AS (SELECT payload_digest, min(page_id) AS first FROM page WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM page p LEFT JOIN first f USING (payload_digest)
+"""
+
+ORACLE = {"op2_substring": OP2, "op4_url_filter": OP4, "op5_quality_rules": OP5, "op8_decontaminate": OP8, "op9_warc": OP9}

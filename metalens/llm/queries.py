@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, packing, quality_rules, simhash, substring, token_store
+from . import decontaminate, packing, quality_rules, simhash, substring, token_store, url_rules, warc
 from .common import scratch
 
 WORD_TOKENIZER, WORD_END_ID = "word_bpe_49k.json", 1
@@ -32,6 +32,21 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+URL_RULES = (
+    url_rules.HostRule("block", "net", "/"),
+    url_rules.HostRule("allow", "example.net", "/en/"),
+    url_rules.HostRule("block", "example.com", "/de/"),
+    url_rules.HostRule("allow", "org", "/fr/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of each of ``pages``."""
+    pages = table(spark, sf_dir, "pages")
+    labelled = url_rules.labelled_urls(pages, table(spark, sf_dir, "labels"))
+    return url_rules.judge_urls(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the cascade's verdict on each of ``documents``."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -56,4 +71,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as WARC archives and read back; payloads of responses are measured again."""
+    path = scratch(spark, "warc")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
+    back = warc.read_warc(spark, path)
+    full = F.col("record_type") == "response"
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc)}
