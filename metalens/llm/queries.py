@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, packing, quality_rules, simhash, substring, token_store, url_rules, warc
+from . import decontaminate, packing, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
 from .common import scratch
 
 WORD_TOKENIZER, WORD_END_ID = "word_bpe_49k.json", 1
@@ -32,6 +32,13 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each of ``documents``, learned from the labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.train(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 URL_RULES = (
     url_rules.HostRule("block", "net", "/"),
     url_rules.HostRule("allow", "example.net", "/en/"),
@@ -84,4 +91,4 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_toxicity, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc)}
