@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metalens.llm import decontaminate, quality_rules, simhash, substring
+from metalens.llm import decontaminate, packing, quality_rules, simhash, substring
 from metalens.llm.common import written
+from metalens.llm.queries import BYTE_END_ID, BYTE_TOKENIZER, tokenizer_path
 from metalens.sources.tables import table
 
 
@@ -33,8 +34,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids with their sequence and place in it."""
+    return packing.pack(docs, tokenizer_path(BYTE_TOKENIZER), BYTE_END_ID)
+
+
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup),
-          ("decontamination", decontamination)]
+          ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
 
 #: Fingerprints need XXH64 and packing needs a tokenizer, which SQL has not.
 ORACLE_SQL = None

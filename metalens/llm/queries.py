@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, packing, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
+from . import decontaminate, packing, quality_model, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
 from .common import scratch
 
 WORD_TOKENIZER, WORD_END_ID = "word_bpe_49k.json", 1
@@ -91,4 +91,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_toxicity, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc)}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each of ``documents`` by co-training; kept if good is at least as likely as not."""
+    scored = quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("kept", F.col("score") >= 0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_toxicity, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc, op10_quality_model)}
