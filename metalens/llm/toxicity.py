@@ -128,12 +128,16 @@ def token_counts(labelled: DataFrame) -> DataFrame:
 
 
 def associated(counts: DataFrame, n_toxic: int, n_clean: int, min_texts: int = 5) -> DataFrame:
-    """``counts`` with smoothed log odds ``odds`` and their z score, for tokens in ``min_texts`` texts."""
-    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    not_t, not_c = n_toxic - F.col("toxic") + 0.5, n_clean - F.col("clean") + 0.5
-    odds = F.log(t * not_c / (c * not_t))
-    return (counts.filter(F.col("toxic") + F.col("clean") >= min_texts).withColumn("odds", odds)
-            .withColumn("z", odds / F.sqrt(1 / t + 1 / c + 1 / not_t + 1 / not_c)))
+    """``counts`` with smoothed log odds ``odds`` and the signed root ``z`` of the G statistic, for tokens in ``min_texts`` texts."""
+    toxic, clean, n = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(n_toxic + n_clean)
+    odds = F.log((toxic + 0.5) * (n_clean - clean + 0.5) / ((clean + 0.5) * (n_toxic - toxic + 0.5)))
+
+    def cell(seen: Column, row: Column, total: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (row * total))).otherwise(0.0)
+
+    has = toxic + clean
+    g = cell(toxic, has, n_toxic) + cell(clean, has, n_clean) + cell(n_toxic - toxic, n - has, n_toxic) + cell(n_clean - clean, n - has, n_clean)
+    return counts.filter(has >= min_texts).withColumn("odds", odds).withColumn("z", F.signum(odds) * F.sqrt(F.greatest(F.lit(0.0), 2 * g)))
 
 
 def voters_of(lexicon: list[str]) -> dict[str, int]:
