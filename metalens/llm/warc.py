@@ -256,7 +256,7 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                         files[name] = size
                     name, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip, 0
-                    out = io.BufferedWriter(where.open_output_stream(f"{base}/{name}"), 1 << 20)
+                    out = io.BufferedWriter(where.open_output_stream(f"{base}/{name}", compression=None), 1 << 20)
                 out.write(data)
                 size += len(data)
         if out is not None:
