@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Text handled at once inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Row groups of written tables; a writing task holds about one in memory.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,10 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage, and a lost executor costs a re-read, not a recomputation.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_local(key: str, make: Callable[[], object]) -> object:
+    """``make()``, once for each Python worker process."""
+    kept = sys.modules.setdefault("_metalens_worker", types.ModuleType("_metalens_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def column(batch: pa.RecordBatch, i: int = 0) -> pa.Array:
     """Column ``i`` as plain strings, null as the empty text."""
     c = batch.column(i)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, text_slices, written
-from .tokens import Encoder, tokenizer_spec, with_end
+from .tokens import ENCODE_BYTES, encoder_for, tokenizer_spec, with_end
 
 CAPACITY = 2048
 
@@ -45,10 +45,10 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPAC
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(spec.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, seen = encoder_for(spec.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = column(batch, 1)
-            for begin, rows in text_slices(texts):
+            for begin, rows in text_slices(texts, ENCODE_BYTES):
                 ids, counts = with_end(*encoder.encode(texts.slice(begin, rows)), end_id)
                 pieces = -(-counts // capacity)
                 row = np.repeat(np.arange(rows), pieces)

@@ -1,6 +1,6 @@
 """Token ids of whole texts, by a tokenizer file of the tokenizers library.
 
-Most of a corpus repeats a few words, so a task encodes each distinct chunk
+Most of a corpus repeats a few words, so a worker encodes each distinct chunk
 once and looks the others up. A text is cut into chunks only where the
 tokenizer's own rules cut as well, so the ids are those of the whole text:
 
@@ -16,6 +16,8 @@ The strings of special tokens are ordinary text.
 from __future__ import annotations
 
 import json
+import os
+import re
 from array import array
 
 import numpy as np
@@ -23,18 +25,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Distinct chunks whose ids a task remembers; beyond, it starts anew.
-MEMORY = 400_000
+from .common import worker_local
+
+#: Text encoded at once.
+ENCODE_BYTES = 2 << 20
+#: Distinct chunks whose ids a worker remembers; beyond, it starts anew.
+MEMORY = 600_000
 
 #: White space and control characters that count differently in different libraries, or would clash with the mark.
 _ODD = r"[\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Letters for which lower case and composition are plain; a chunk of these alone is one word to any of the patterns.
-_PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Letters for which lower case and composition are plain, then signs that no rule treats apart. Each group is one word to the patterns.
+_PARTS = {"spaced": re.compile("(\n)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%#$*&|<>()]+)?").fullmatch,
+          "words": re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%#$*&|<>()]+)?").fullmatch}
 
 #: Byte-level BPE writes each byte as a character: printable Latin-1 ones as themselves, the others in order from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-_SPACE = chr(_BYTE_CHARS[32])
+_ASCII_CHARS = {b: c for b, c in _BYTE_CHARS.items() if b < 128 and b != c}
 
 
 def chunking_of(spec: dict) -> str | None:
@@ -56,9 +63,11 @@ class Encoder:
     """Encodes many texts with one tokenizer; ``spec`` is the tokenizer file's content."""
 
     def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.chunking = chunking_of(json.loads(spec))
+        self.parts = _PARTS.get(self.chunking or "")
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -76,16 +85,21 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         if len(self.known) > MEMORY:
             self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        one, spaced = self.tokenizer.model.tokenize, self.chunking == "spaced"
-        plain = pc.match_substring_regex(pa.array(new, pa.string()), _PLAIN if spaced else _PLAIN.replace(" ?", "")).to_pylist()
-        rest = [c for c, p in zip(new, plain, strict=True) if not p]
-        for c, p in zip(new, plain, strict=True):
-            if p:
-                word = c if spaced else c.lower()
-                chars = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-                self.known[c] = array("i", [t.id for t in one(chars)]).tobytes()
-        self.known.update(zip(rest, self.whole(rest), strict=True))
+        known, rest = self.known, []
+        for c in [c for c in chunks if c not in known]:
+            m = self.parts(c)
+            if m:  # rules that cut by kind of character take these parts one by one
+                known[c] = b"".join([known.get(p) or self._learn_part(p) for p in m.groups() if p])
+            else:
+                rest.append(c)
+        known.update(zip(rest, self.whole(rest), strict=True))
+
+    def _learn_part(self, part: str) -> bytes:
+        """Ids of a part that the rules leave in one piece: the model alone decides on it."""
+        piece = part if self.chunking == "spaced" else part.lower()
+        chars = piece.translate(_ASCII_CHARS) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = self.known[part] = array("i", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); no nulls in ``texts``."""
@@ -113,6 +127,11 @@ class Encoder:
         return out, np.diff(ends[offsets - offsets[0]])
 
 
+def encoder_for(spec: str) -> Encoder:
+    """The worker's encoder; tasks that it runs later go on with what it remembers."""
+    return worker_local(f"encoder {hash(spec)}", lambda: Encoder(spec))
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each text's ids."""
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
