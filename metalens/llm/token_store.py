@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, text_slices
-from .tokens import Encoder, tokenizer_spec, with_end
+from .tokens import ENCODE_BYTES, encoder_for, tokenizer_spec, with_end
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -41,10 +41,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, r
     dealt = source.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(spec.value), TaskContext.get().partitionId(), 0
+        encoder, part, before = encoder_for(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = column(batch, 1)
-            for start, length in text_slices(texts):
+            for start, length in text_slices(texts, ENCODE_BYTES):
                 ids, counts = with_end(*encoder.encode(texts.slice(start, length)), end_id)
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 yield pa.RecordBatch.from_arrays(
