@@ -1,25 +1,16 @@
-"""Portable deterministic hashes (same values in Spark SQL and any SQL engine)."""
+"""Portable deterministic hashes (same values in Spark SQL and any SQL engine with MD5)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Knuth's multiplicative constant and the 2^32 modulus.
-MULTIPLIER = 2654435761
-MODULUS = 4294967296
+MODULUS = 1 << 32
 
 
-def affine_hash(key: Column | str, seed: Column | int = 0) -> Column:
-    """``(key * 2654435761 + seed) mod 2^32`` as a long; a bijection on key mod 2^32.
-
-    Computed in decimal(38,0) so that large keys do not overflow.
-    """
+def seeded_hash(key: Column | str, seed: Column | int = 0) -> Column:
+    """First 32 bits of MD5 of ``seed:key`` as a long: seeds give unrelated orders of the keys."""
     k = F.col(key) if isinstance(key, str) else key
     s = seed if isinstance(seed, Column) else F.lit(seed)
-    return F.pmod(k.cast("decimal(38,0)") * F.lit(MULTIPLIER) + s, F.lit(MODULUS)).cast("long")
-
-
-def unit_hash(key: Column | str, seed: Column | int = 0) -> Column:
-    """``affine_hash / 2^32`` in [0, 1)."""
-    return affine_hash(key, seed).cast("double") / F.lit(float(MODULUS))
+    text = F.concat_ws(":", s.cast("string"), k.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

@@ -48,10 +48,6 @@ VALID_SCORE_BOUND = 1e6
 
 
 def valid_score(score: Column | str) -> Column:
-    """Predicate for a usable score: not null, not NaN, below 1e6.
-
-    Spark orders NaN above every number, so ``score < 1e6`` alone would also
-    drop NaN; the NaN test is spelled out anyway.
-    """
+    """Predicate for a usable score: not null, finite, below 1e6."""
     s = F.col(score) if isinstance(score, str) else score
-    return s.isNotNull() & ~F.isnan(s) & (s < F.lit(VALID_SCORE_BOUND))
+    return s.isNotNull() & ~F.isnan(s) & (s < F.lit(VALID_SCORE_BOUND)) & (s > F.lit(float("-inf")))

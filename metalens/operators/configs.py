@@ -1,8 +1,8 @@
 """Pipeline (configuration) characterizations from a steps table.
 
 ``steps`` has one row per (pipeline_id, pos, algorithm) with pos 0 for the
-first executed step, and ``params`` one row per (pipeline_id, algorithm,
-param, value). Everything is keyed by pipeline_id and computed for all
+first executed step, and ``params`` one row per (pipeline_id, step_no,
+algorithm, param, value). Everything is keyed by pipeline_id and computed for all
 pipelines in one job.
 """
 
@@ -15,9 +15,12 @@ from metalens.functions.configs import PREPROCESSING_STEPS, param_items, step_na
 
 
 def parse_steps(pipes: DataFrame, drop: list[str] | None = None) -> DataFrame:
-    """(pipeline_id, pos, algorithm), preprocessing steps removed, positions renumbered."""
+    """(pipeline_id, pos, algorithm, step_no), preprocessing steps removed.
+
+    ``pos`` is renumbered; ``step_no`` is the place among all steps, by which parameters are found.
+    """
     drop = PREPROCESSING_STEPS if drop is None else drop
-    s = pipes.select("pipeline_id", F.posexplode(step_names("pipeline")).alias("pos", "algorithm"))
+    s = pipes.select("pipeline_id", F.posexplode(step_names("pipeline")).alias("pos", "algorithm")).withColumn("step_no", F.col("pos").cast("long"))
     if drop:
         s = s.filter(~F.col("algorithm").isin(drop))
         w = Window.partitionBy("pipeline_id").orderBy("pos")
@@ -26,14 +29,13 @@ def parse_steps(pipes: DataFrame, drop: list[str] | None = None) -> DataFrame:
 
 
 def parse_params(pipes: DataFrame) -> DataFrame:
-    """(pipeline_id, algorithm, param, value) for every ``Algo.param=value``."""
-    return (pipes.select("pipeline_id", F.explode(param_items("pipeline")).alias("i"))
-            .select("pipeline_id", "i.algorithm", "i.param", F.trim("i.value").alias("value")))
+    """(pipeline_id, step_no, algorithm, param, value) for every ``Algo.param=value`` or ``param=value``."""
+    return pipes.select("pipeline_id", F.explode(param_items("pipeline")).alias("i")).select("pipeline_id", "i.*")
 
 
 def params_in_space(params: DataFrame, space: DataFrame) -> DataFrame:
     """Parameters that belong to the search space (semi-join on algorithm, param)."""
-    return params.join(F.broadcast(space.select("algorithm", "param").distinct()), ["algorithm", "param"], "left_semi")
+    return params.join(space.select("algorithm", "param").distinct(), ["algorithm", "param"], "left_semi")
 
 
 def check_vocabulary(steps: DataFrame, vocabulary: list[str]) -> None:
@@ -81,9 +83,9 @@ def algorithm_vectors(steps: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 def step_text(steps: DataFrame, params: DataFrame) -> DataFrame:
     """Canonical text ``Algo(p1=v1, p2=v2)`` of each step, parameters sorted by name."""
-    p = (params.groupBy("pipeline_id", "algorithm")
+    p = (params.groupBy("pipeline_id", "step_no")
          .agg(F.array_sort(F.collect_list(F.concat("param", F.lit("="), "value"))).alias("kv")))
-    return (steps.join(p, ["pipeline_id", "algorithm"], "left")
+    return (steps.join(p, ["pipeline_id", "step_no"], "left")
             .withColumn("text", F.concat("algorithm", F.lit("("),
                                          F.array_join(F.coalesce("kv", F.array().cast("array<string>")), ", "),
                                          F.lit(")"))))

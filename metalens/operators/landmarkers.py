@@ -12,14 +12,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalens.functions.hashing import affine_hash
+from metalens.functions.hashing import seeded_hash
 from metalens.operators.subtables import impute_mean
 from metalens.session import materialize
 
 
 def hash_folds(labels: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(dataset_id, row_id, y, fold): fold = hash(row_id) mod k."""
-    return labels.withColumn("fold", F.pmod(affine_hash("row_id", seed), F.lit(k)))
+    return labels.withColumn("fold", F.pmod(seeded_hash("row_id", seed), F.lit(k)))
 
 
 def stratified_folds(labels: DataFrame, k: int, seed: int = 0, block_bits: int = 20) -> DataFrame:
@@ -31,7 +31,7 @@ def stratified_folds(labels: DataFrame, k: int, seed: int = 0, block_bits: int =
     prefix over blocks (a small window), plus a row number inside the block.
     A class holding most rows is thus spread over many tasks.
     """
-    h = labels.withColumn("_h", affine_hash("row_id", seed)).withColumn("_b", F.shiftright("_h", block_bits))
+    h = labels.withColumn("_h", seeded_hash("row_id", seed)).withColumn("_b", F.shiftright("_h", block_bits))
     per_blk = h.groupBy("dataset_id", "y", "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy("dataset_id", "y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_blk.select("dataset_id", "y", "_b", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"))
@@ -135,7 +135,7 @@ def decision_stumps(cells: DataFrame, folds: DataFrame, n_bins: int = 32, seed:
              .withColumn("imp", (F.col("nl") - F.col("sql") / F.col("nl")) + (F.col("nr") - F.col("sqr") / F.col("nr"))))
     attrs = cells.filter(~F.col("is_cat")).select("dataset_id", "attr").distinct()
     attrs = attrs.withColumn("_ai", F.dense_rank().over(Window.partitionBy("dataset_id").orderBy("attr")))
-    pick = (attrs.withColumn("_h", affine_hash("_ai", F.lit(seed) + F.col("dataset_id")))
+    pick = (attrs.withColumn("_h", seeded_hash("_ai", F.lit(seed) + F.col("dataset_id")))
             .groupBy("dataset_id").agg(F.min_by("attr", F.struct("_h", "attr")).alias("attr")))
     candidates = {"best_node": split,
                   "random_node": split.join(pick, ["dataset_id", "attr"], "left_semi")}

@@ -10,6 +10,7 @@ labels on their own).
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -74,20 +75,20 @@ def holdout_score(frame: DataFrame, pipeline: Pipeline, train_fraction: float =
     try:
         model = pipeline.fit(s.filter("is_train"))
         return neg_log_loss(model, s.filter(~F.col("is_train")))
-    except Exception:  # noqa: BLE001 - a failing pipeline scores None, as in the reference
+    except IllegalArgumentException:  # a pipeline that can't be fitted scores None; Spark's own failures surface
         return None
 
 
 def kfold_score(frame: DataFrame, pipeline: Pipeline, k: int = 5, seed: int = 0) -> float | None:
     """Mean negative log loss over ``k`` hash folds; None if any fold fails."""
-    from metalens.functions.hashing import affine_hash
-    f = frame.withColumn("fold", F.pmod(affine_hash("row_id", seed), F.lit(k))).cache()
+    from metalens.functions.hashing import seeded_hash
+    f = frame.withColumn("fold", F.pmod(seeded_hash("row_id", seed), F.lit(k))).cache()
     scores = []
     try:
         for i in range(k):
             model = pipeline.fit(f.filter(F.col("fold") != i))
             scores.append(neg_log_loss(model, f.filter(F.col("fold") == i)))
-    except Exception:  # noqa: BLE001
+    except IllegalArgumentException:
         return None
     finally:
         f.unpersist()
@@ -100,7 +101,7 @@ def steps_of(steps: DataFrame, params: DataFrame, pipeline_ids: list[int]) -> di
     p = params.filter(F.col("pipeline_id").isin(pipeline_ids)).collect()
     out: dict[int, list[tuple[str, dict]]] = {}
     for r in sorted(s, key=lambda r: (r["pipeline_id"], r["pos"])):
-        kv = {q["param"]: q["value"] for q in p if q["pipeline_id"] == r["pipeline_id"] and q["algorithm"] == r["algorithm"]}
+        kv = {q["param"]: q["value"] for q in p if q["pipeline_id"] == r["pipeline_id"] and q["step_no"] == r["step_no"]}
         out.setdefault(int(r["pipeline_id"]), []).append((r["algorithm"], kv))
     return out
 

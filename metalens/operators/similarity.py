@@ -24,9 +24,11 @@ def one_vs_all(vectors: DataFrame, query: DataFrame, vec_col: str = "embedding",
 
     ``query`` has one row and the same vector column. Returns dataset_id,
     cosine, euclidean, kernel (``exp(-gamma * euclidean)``), dims. A stored
-    vector whose length differs from the query's is an error (checked by
-    comparing dimension counts with the query's; mismatches are raised).
+    vector whose length differs from the query's is an error (raised by the
+    plan when its row is computed); so is a query that hasn't exactly one row.
     """
+    if query.limit(2).count() != 1:
+        raise ValueError("the query must have exactly one row")
     whole = Window.partitionBy()  # over the query's own dimension rows only
     q = (query.select(F.posexplode(vec_col).alias("pos", "q"))
          .withColumn("q", F.col("q").cast("double"))
@@ -45,19 +47,17 @@ def one_vs_all(vectors: DataFrame, query: DataFrame, vec_col: str = "embedding",
         F.count(F.lit(1)).alias("dims"),
         F.count("q").alias("matched"))
     den = F.sqrt("xx") * F.sqrt("qq")
-    return agg.select(
-        id_col,
-        F.when(den > 0, F.col("dot") / den).alias("cosine"),
-        F.sqrt("dd").alias("euclidean"),
-        F.exp(F.lit(-gamma) * F.sqrt("dd")).alias("kernel"),
-        ((F.col("dims") == F.col("q_dims")) & (F.col("matched") == F.col("dims"))).alias("same_shape"))
+    same_shape = F.coalesce((F.col("dims") == F.col("q_dims")) & (F.col("matched") == F.col("dims")), F.lit(False))
 
+    def checked(value):
+        message = F.concat(F.lit(f"vector length differs from the query for {id_col}: "), F.col(id_col).cast("string"))
+        return F.when(same_shape, value).otherwise(F.raise_error(message).cast("double"))
 
-def check_shapes(sims: DataFrame, id_col: str = "dataset_id") -> None:
-    """Raise when a stored vector's length differs from the query's."""
-    bad = sims.filter(~F.coalesce(F.col("same_shape"), F.lit(False))).select(id_col).limit(20).collect()
-    if bad:
-        raise ValueError(f"vector length differs from the query for {id_col}: {[r[0] for r in bad]}")
+    return agg.select(
+        id_col,
+        checked(F.when(den > 0, F.col("dot") / den)).alias("cosine"),
+        checked(F.sqrt("dd")).alias("euclidean"),
+        checked(F.exp(F.lit(-gamma) * F.sqrt("dd"))).alias("kernel"))
 
 
 def most_similar(sims: DataFrame, n: int, by: str = "cosine", id_col: str = "dataset_id") -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metalens.functions.regret import valid_score
+
 
 class UnknownKeyError(KeyError):
     """A requested name or id is not in the lookup table."""
@@ -61,10 +63,10 @@ def get_df_by_names(evals: DataFrame, dataset_lookup: DataFrame | None = None, d
     out = evals
     if dataset_names is not None:
         ids = ids_for_names(dataset_lookup, dataset_names, "dataset", "dataset_id")
-        out = out.join(F.broadcast(ids), "dataset_id", "left_semi")
+        out = out.join(ids, "dataset_id", "left_semi")
     if pipeline_names is not None:
         ids = ids_for_names(pipeline_lookup, pipeline_names, "pipeline", "pipeline_id")
-        out = out.join(F.broadcast(ids), "pipeline_id", "left_semi")
+        out = out.join(ids, "pipeline_id", "left_semi")
     return out
 
 
@@ -125,8 +127,8 @@ def candidate_set(evals: DataFrame, n: int, metric: str) -> DataFrame:
 
 def dataset_bounds(evals: DataFrame, score_col: str = "score") -> DataFrame:
     """Per-dataset min and max score (hash aggregate, one row per dataset)."""
-    return evals.groupBy("dataset_id").agg(F.min(score_col).alias("min_score"),
-                                           F.max(score_col).alias("max_score"))
+    usable = F.when(valid_score(score_col), F.col(score_col))
+    return evals.groupBy("dataset_id").agg(F.min(usable).alias("min_score"), F.max(usable).alias("max_score"))
 
 
 def assign_new_ids(lookup: DataFrame, names: DataFrame, name_col: str, id_col: str) -> DataFrame:
@@ -134,17 +136,13 @@ def assign_new_ids(lookup: DataFrame, names: DataFrame, name_col: str, id_col: s
 
     Returns (name, id) for the unseen names only; new ids are ``max + 1``,
     ``max + 2``, ... in name order (the reference restarts at the max id and
-    collides; this does not). The dense numbering is ``zipWithIndex`` over the
-    sorted unseen names: two distributed passes, no single-task window.
+    collides; this does not).
     """
-    spark = lookup.sparkSession
-    unseen = (names.select(name_col).distinct()
-              .join(lookup.select(name_col), name_col, "left_anti")
-              .orderBy(name_col))
+    unseen = names.select(name_col).distinct().join(lookup.select(name_col), name_col, "left_anti")
     start = lookup.agg(F.max(id_col)).first()[0]
     start = -1 if start is None else int(start)
-    indexed = unseen.rdd.zipWithIndex().map(lambda t: (t[0][0], start + 1 + t[1]))
-    return spark.createDataFrame(indexed, f"{name_col} string, {id_col} long")
+    numbered = global_row_number(unseen, [F.col(name_col).asc()], "_no")
+    return numbered.select(name_col, (F.col("_no") + F.lit(start)).cast("long").alias(id_col))
 
 
 def check_no_overlap(existing: DataFrame, new: DataFrame, key: str) -> None:

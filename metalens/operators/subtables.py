@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalens.functions.hashing import affine_hash
+from metalens.functions.hashing import seeded_hash
 from metalens.session import materialize
 
 # Sub-table sizes of the learned characterization.
@@ -42,20 +42,10 @@ def impute_mean(cells: DataFrame) -> DataFrame:
             .withColumn("num_val", F.coalesce("num_val", "_m")).drop("_m"))
 
 
-def minmax_scale(cells: DataFrame) -> DataFrame:
-    """Scale each (dataset, attr) to [0, 1]; constant attributes become 0."""
-    b = cells.groupBy("dataset_id", "attr").agg(F.min("num_val").alias("_lo"), F.max("num_val").alias("_hi"))
-    return (cells.join(b, ["dataset_id", "attr"])
-            .withColumn("num_val", F.when(F.col("_hi") > F.col("_lo"),
-                                          (F.col("num_val") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-                        .otherwise(F.lit(0.0)))
-            .drop("_lo", "_hi"))
-
-
 def sample_rows(labels: DataFrame, n_batches: int, seed: int, n_rows: int = N_ROWS) -> DataFrame:
     """(dataset_id, batch, row_id): up to ``n_rows`` instances per dataset and batch."""
     b = _batches(labels.select("dataset_id", "row_id"), n_batches)
-    b = b.withColumn("_h", affine_hash("row_id", _seed(seed)))
+    b = b.withColumn("_h", seeded_hash("row_id", _seed(seed)))
     w = Window.partitionBy("dataset_id", "batch").orderBy("_h", "row_id")
     return b.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_rows).select(
         "dataset_id", "batch", "row_id")
@@ -90,7 +80,7 @@ def sample_features(cells: DataFrame, n_batches: int, seed: int, n_features: int
     """(dataset_id, batch, attr): up to ``n_features`` numeric attributes per dataset and batch."""
     attrs = (attrs if attrs is not None else cells.filter(~F.col("is_cat"))).select("dataset_id", "attr").distinct()
     attrs = attrs.withColumn("_ai", F.dense_rank().over(Window.partitionBy("dataset_id").orderBy("attr")))
-    b = _batches(attrs, n_batches).withColumn("_h", affine_hash("_ai", _seed(seed) + 1))
+    b = _batches(attrs, n_batches).withColumn("_h", seeded_hash("_ai", _seed(seed) + 1))
     w = Window.partitionBy("dataset_id", "batch").orderBy("_h", "attr")
     return b.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_features).select(
         "dataset_id", "batch", "attr")
@@ -105,7 +95,7 @@ def class_index(labels: DataFrame) -> DataFrame:
 
 def sample_classes(labels: DataFrame, n_batches: int, seed: int, n_classes: int = N_CLASSES) -> DataFrame:
     """(dataset_id, batch, class_idx, y): up to ``n_classes`` one-hot columns per batch."""
-    c = _batches(class_index(labels), n_batches).withColumn("_h", affine_hash("class_idx", _seed(seed) + 2))
+    c = _batches(class_index(labels), n_batches).withColumn("_h", seeded_hash("class_idx", _seed(seed) + 2))
     w = Window.partitionBy("dataset_id", "batch").orderBy("_h", "class_idx")
     return c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_classes).select(
         "dataset_id", "batch", "class_idx", "y")

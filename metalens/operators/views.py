@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metalens.functions.hashing import MODULUS, seeded_hash
+
 
 @dataclass(frozen=True)
 class MetaView:
@@ -42,10 +44,9 @@ def all_but(ids: DataFrame, drop: DataFrame, col: str = "dataset_id") -> DataFra
 
 
 def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.8, seed: int = 0) -> DataFrame:
-    """Adds ``is_train``: a deterministic split on a portable affine hash of ``key``.
+    """Adds ``is_train``: a deterministic split on a seeded hash of ``key``.
 
-    ``((key * 2654435761 + seed) mod 2^32) / 2^32 < train_fraction``: the same
-    rows are chosen on every recomputation and by any SQL engine.
+    The same rows are chosen on every recomputation and by any SQL engine;
+    another seed draws other rows.
     """
-    h = F.pmod(F.col(key).cast("decimal(38,0)") * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
-    return df.withColumn("is_train", (h.cast("double") / F.lit(4294967296.0)) < F.lit(train_fraction))
+    return df.withColumn("is_train", seeded_hash(key, seed) / F.lit(float(MODULUS)) < F.lit(train_fraction))

@@ -56,7 +56,7 @@ SELECT dataset_id, position, pipeline_id, eval_id, score FROM t WHERE position <
 
 ORACLE["topn_global"] = with_fixtures("evaluations") + f"""
 SELECT eval_id, dataset_id, pipeline_id, score FROM evaluations
-WHERE dataset_id IN ({_DS}) AND metric = '{METRIC}'
+WHERE metric = '{METRIC}'
 ORDER BY score DESC, pipeline_id, eval_id LIMIT {TOTAL_N_CONFIGS}"""
 
 ORACLE["relevance_labels"] = with_fixtures("evaluations") + "," + _TOPN + f"""
@@ -124,6 +124,10 @@ SELECT n AS n_datasets, k AS n_learners,
        round((12.0 / (n * k * (k + 1)) * ssbn - 3.0 * n * (k + 1)) / (1 - tie / (n * k * (k * k - 1))), 10) AS statistic
 FROM a, b"""
 
+# Five learners give four degrees of freedom, for which the chi-square tail is closed.
+ORACLE["friedman_pvalue"] = f"""
+SELECT n_datasets, n_learners, round(statistic, 8) AS statistic, round(exp(-statistic / 2) * (1 + statistic / 2), 8) AS p_value FROM ({ORACLE["friedman"]})"""
+
 ORACLE["pivot_scores"] = _PROCESSED + """
 SELECT dataset_id,
        max(CASE WHEN metalearner_name = 'click' THEN score END) AS click,
@@ -300,7 +304,7 @@ SELECT * FROM pipelines WHERE pipeline_id IN (SELECT pipeline_id FROM evaluation
 
 ORACLE["holdout_split"] = with_fixtures("samples") + """,
 s AS (SELECT dataset_id,
-             CAST((CAST(row_id AS HUGEINT) * 2654435761 + 7) % 4294967296 AS DOUBLE) / 4294967296.0 < 0.8 AS is_train
+             CAST('0x' || substr(md5(concat_ws(':', 7, row_id)), 1, 8) AS BIGINT) / 4294967296.0 < 0.8 AS is_train
       FROM samples)
 SELECT dataset_id, CAST(sum(CAST(is_train AS BIGINT)) AS BIGINT) AS n_train,
        CAST(sum(CAST(NOT is_train AS BIGINT)) AS BIGINT) AS n_test
@@ -430,12 +434,8 @@ ORACLE["longest_pipeline"] = _STEPS + """
 SELECT max(n) AS longest FROM (SELECT pipeline_id, count(*) AS n FROM steps GROUP BY 1) t"""
 
 ORACLE["assign_ids"] = with_fixtures("pipelines") + """,
-names AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0
-            THEN concat('Tree(data, Tree.depth=', CAST(p_size AS varchar(20)), ')')
-            WHEN p_partkey % 3 = 1
-            THEN concat('Bayes(Scaler(data), Bayes.alpha=', CAST(p_size AS varchar(20)), ')')
-            ELSE concat('Forest(Pca(data, Pca.k=', CAST(p_size AS varchar(20)), '), Forest.n=10)')
-       END AS pipeline FROM part),
+names AS (SELECT pipeline FROM pipelines UNION
+          SELECT concat('Tree(Scaler(data), Tree.depth=', CAST(p_partkey AS varchar(20)), ')') FROM part),
 unseen AS (SELECT pipeline FROM names WHERE pipeline NOT IN (SELECT pipeline FROM pipelines))
 SELECT pipeline, (SELECT max(pipeline_id) FROM pipelines) + row_number() OVER (ORDER BY pipeline) AS pipeline_id
 FROM unseen"""
@@ -458,7 +458,7 @@ SELECT * FROM recs WHERE (dataset_id, pipeline_id) NOT IN (SELECT (dataset_id, p
 _SUB = _CELLS + """,
 bt AS (SELECT range AS batch FROM range(0, 3)),
 rows_b AS (SELECT l.dataset_id, b.batch, l.row_id,
-                  (CAST(l.row_id AS HUGEINT) * 2654435761 + 11 + b.batch * 7919) % 4294967296 AS h
+                  CAST('0x' || substr(md5(concat_ws(':', 11 + b.batch * 7919, l.row_id)), 1, 8) AS BIGINT) AS h
            FROM labels l CROSS JOIN bt b),
 srows AS (SELECT dataset_id, batch, row_id FROM (
             SELECT *, row_number() OVER (PARTITION BY dataset_id, batch ORDER BY h, row_id) AS rn FROM rows_b) t
@@ -468,14 +468,14 @@ attrs AS (SELECT dataset_id, attr, dense_rank() OVER (PARTITION BY dataset_id OR
 feats AS (SELECT dataset_id, batch, attr FROM (
             SELECT a.dataset_id, b.batch, a.attr,
                    row_number() OVER (PARTITION BY a.dataset_id, b.batch
-                                      ORDER BY (CAST(a.ai AS HUGEINT) * 2654435761 + 11 + b.batch * 7919 + 1) % 4294967296, a.attr) AS rn
+                                      ORDER BY CAST('0x' || substr(md5(concat_ws(':', 11 + b.batch * 7919 + 1, a.ai)), 1, 8) AS BIGINT), a.attr) AS rn
             FROM attrs a CROSS JOIN bt b) t WHERE rn <= 16),
 cls AS (SELECT dataset_id, y, dense_rank() OVER (PARTITION BY dataset_id ORDER BY y) - 1 AS class_idx
         FROM (SELECT DISTINCT dataset_id, y FROM labels) c),
 scls AS (SELECT dataset_id, batch, class_idx, y FROM (
            SELECT c.*, b.batch,
                   row_number() OVER (PARTITION BY c.dataset_id, b.batch
-                                     ORDER BY (CAST(c.class_idx AS HUGEINT) * 2654435761 + 11 + b.batch * 7919 + 2) % 4294967296, c.class_idx) AS rn
+                                     ORDER BY CAST('0x' || substr(md5(concat_ws(':', 11 + b.batch * 7919 + 2, c.class_idx)), 1, 8) AS BIGINT), c.class_idx) AS rn
            FROM cls c CROSS JOIN bt b) t WHERE rn <= 3),
 imp0 AS (SELECT c.dataset_id, c.attr, c.row_id, coalesce(c.num_val, m.m) AS x
         FROM cells c JOIN mu m USING (dataset_id, attr) WHERE NOT c.is_cat),
@@ -595,12 +595,12 @@ ORACLE["warm_start_list"] = ORACLE["skip_rules"].replace("WHERE position <= 5),\
 # --- landmarkers ----------------------------------------------------------------
 
 ORACLE["stratified_folds"] = _CELLS + """,
-h AS (SELECT dataset_id, row_id, y, (CAST(row_id AS HUGEINT) * 2654435761 + 3) % 4294967296 AS h FROM labels),
+h AS (SELECT dataset_id, row_id, y, CAST('0x' || substr(md5(concat_ws(':', 3, row_id)), 1, 8) AS BIGINT) AS h FROM labels),
 f AS (SELECT dataset_id, y, (row_number() OVER (PARTITION BY dataset_id, y ORDER BY h, row_id) - 1) % 3 AS fold FROM h)
 SELECT dataset_id, CAST(fold AS BIGINT) AS fold, y, count(*) AS n FROM f GROUP BY 1, 2, 3"""
 
 ORACLE["naive_bayes_landmarker"] = _CELLS + """,
-folds AS (SELECT dataset_id, row_id, y, (CAST(row_id AS HUGEINT) * 2654435761 + 3) % 4294967296 % 10 AS fold FROM labels),
+folds AS (SELECT dataset_id, row_id, y, CAST('0x' || substr(md5(concat_ws(':', 3, row_id)), 1, 8) AS BIGINT) % 10 AS fold FROM labels),
 x AS (SELECT c.dataset_id, c.row_id, c.attr, coalesce(c.num_val, m.m) AS x FROM cells c JOIN mu m USING (dataset_id, attr)
       WHERE NOT c.is_cat),
 xf AS (SELECT x.*, f.fold, f.y FROM x JOIN folds f USING (dataset_id, row_id)),
@@ -629,7 +629,7 @@ acc AS (SELECT dataset_id, fold, avg(CAST(y_hat = y_true AS DOUBLE)) AS acc FROM
 SELECT dataset_id, round(avg(acc), 10) AS value FROM acc GROUP BY 1"""
 
 ORACLE["node_landmarkers"] = _CELLS + """,
-folds AS (SELECT dataset_id, row_id, y, (CAST(row_id AS HUGEINT) * 2654435761 + 3) % 4294967296 % 10 AS fold FROM labels),
+folds AS (SELECT dataset_id, row_id, y, CAST('0x' || substr(md5(concat_ws(':', 3, row_id)), 1, 8) AS BIGINT) % 10 AS fold FROM labels),
 x AS (SELECT c.dataset_id, c.row_id, c.attr, coalesce(c.num_val, m.m) AS x FROM cells c JOIN mu m USING (dataset_id, attr)
       WHERE NOT c.is_cat),
 bd AS (SELECT dataset_id, attr, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1, 2),
@@ -653,7 +653,7 @@ sp AS (SELECT dataset_id, fold, attr, edge, sum(l) AS nl, sum(l * l) AS sql, sum
 split AS (SELECT *, (nl - sql / nl) + (nr - sqr / nr) AS imp FROM sp WHERE nl > 0 AND nr > 0),
 attrs AS (SELECT dataset_id, attr, dense_rank() OVER (PARTITION BY dataset_id ORDER BY attr) AS ai
           FROM (SELECT DISTINCT dataset_id, attr FROM cells WHERE NOT is_cat) a),
-pick AS (SELECT dataset_id, arg_min(attr, ((CAST(ai AS HUGEINT) * 2654435761 + 3 + dataset_id) % 4294967296, attr)) AS attr
+pick AS (SELECT dataset_id, arg_min(attr, (CAST('0x' || substr(md5(concat_ws(':', 3 + dataset_id, ai)), 1, 8) AS BIGINT), attr)) AS attr
          FROM attrs GROUP BY 1),
 cand AS (SELECT 'best_node' AS name, * FROM split
          UNION ALL SELECT 'random_node', s.* FROM split s JOIN pick p USING (dataset_id, attr)),

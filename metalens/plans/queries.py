@@ -96,8 +96,7 @@ def q_topn_per_dataset(spark, sf):
 
 @register("topn_global")
 def q_topn_global(spark, sf):
-    ev = store.get_df(_evals(spark, sf), datasets=SELECTED_DATASETS)
-    return store.top_n_global(ev, TOTAL_N_CONFIGS, METRIC).select("eval_id", "dataset_id", "pipeline_id", "score")
+    return store.top_n_global(_evals(spark, sf), TOTAL_N_CONFIGS, METRIC).select("eval_id", "dataset_id", "pipeline_id", "score")
 
 
 @register("relevance_labels")
@@ -179,7 +178,8 @@ def q_friedman(spark, sf):
 @register("friedman_pvalue")
 def q_friedman_pvalue(spark, sf):
     from metalens.operators.analysis import friedman_test
-    return friedman_test(_processed(spark, sf))
+    out = friedman_test(_processed(spark, sf))
+    return out.withColumn("statistic", rnd("statistic", 8)).withColumn("p_value", rnd("p_value", 8))
 
 
 @register("pivot_scores")
@@ -214,9 +214,9 @@ def q_timing_fit(spark, sf):
     from metalens.operators.analysis import linear_fit
     from metalens.operators.sequence import seconds_between
     log = fixture(spark, sf, "run_log")
-    durations = log.groupBy("run_id").agg(seconds_between(F.min("ts"), F.max("ts")).alias("duration"))
-    sizes = log.groupBy("run_id").agg(F.count(F.lit(1)).cast("double").alias("n_evals"))
-    fit = linear_fit(durations.join(sizes, "run_id"), "duration", "n_evals")
+    runs = log.groupBy("run_id").agg(seconds_between(F.min("ts"), F.max("ts")).alias("duration"),
+                                     F.count(F.lit(1)).cast("double").alias("n_evals"))
+    fit = linear_fit(runs, "duration", "n_evals")
     # Durations are ~1e6 s: keep 6 decimals (about 13 significant digits).
     return fit.select(rnd("slope", 6).alias("slope"), rnd("intercept", 6).alias("intercept"),
                       rnd("r2", 10).alias("r2"), F.col("n").cast("long").alias("n"))
@@ -457,19 +457,19 @@ def _params(spark, sf):
 
 @register("config_steps")
 def q_config_steps(spark, sf):
-    return _steps(spark, sf)
+    return _steps(spark, sf).select("pipeline_id", "pos", "algorithm")
 
 
 @register("config_params")
 def q_config_params(spark, sf):
-    return _params(spark, sf)
+    return _params(spark, sf).select("pipeline_id", "algorithm", "param", "value")
 
 
 @register("params_in_space")
 def q_params_in_space(spark, sf):
     from metalens.operators.configs import params_in_space
     space = spark.createDataFrame(SEARCH_SPACE, "algorithm string, param string")
-    return params_in_space(_params(spark, sf), space)
+    return params_in_space(_params(spark, sf), space).select("pipeline_id", "algorithm", "param", "value")
 
 
 @register("algo_bits")
@@ -498,10 +498,10 @@ def q_longest_pipeline(spark, sf):
 
 
 def all_pipeline_names(spark, sf):
-    """Pipeline strings of every part (the stand-in rule without its id cut)."""
-    from metalens.sources.tables import FIXTURE_SQL, bind_sql
-    sql = FIXTURE_SQL["pipelines"].replace("FROM part WHERE p_partkey < 200", "FROM part")
-    return spark.sql(bind_sql(sql, sf)).select("pipeline")
+    """Pipeline strings of the lookup and, from every part, one that it lacks."""
+    from metalens.sources.tables import bind_sql
+    new = spark.sql(bind_sql("SELECT concat('Tree(Scaler(data), Tree.depth=', CAST(p_partkey AS varchar(20)), ')') AS pipeline FROM part", sf))
+    return fixture(spark, sf, "pipelines").select("pipeline").unionAll(new)
 
 
 @register("assign_ids")
@@ -643,7 +643,7 @@ def q_rankml_topk(spark, sf):
     frame = training_frame(ev, _dataset_vecs(spark, sf), pv, RANK_N_MODELS, METRIC)
     model = fit_ranker(frame)
     q = fixture(spark, sf, "vectors").filter(F.col("dataset_id") == QUERY_DATASET).select("embedding").first()
-    cands = candidate_frame(ev, pv, list(q[0]) if q else [], RANK_N_MODELS, METRIC)
+    cands = candidate_frame(ev, pv, list(q[0]) if q else [], None, METRIC)
     return ranked_top_k(score_candidates(model, cands), ev, TOTAL_N_CONFIGS, "predicted", METRIC)
 
 
@@ -726,7 +726,7 @@ FOLD_SEED = 3
 def q_stratified_folds(spark, sf):
     from metalens.operators.landmarkers import stratified_folds
     _, labels = _cells_labels(spark, sf)
-    f = stratified_folds(labels, 3, FOLD_SEED, block_bits=28)
+    f = stratified_folds(labels, 3, FOLD_SEED)
     return f.groupBy("dataset_id", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
 
 

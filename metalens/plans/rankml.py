@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalens.operators.store import global_row_number, relevance_labels, top_n_per_dataset
+from metalens.operators.store import relevance_labels, top_n_per_dataset
 
 
 def training_frame(evals: DataFrame, dataset_vecs: DataFrame, pipe_vecs: DataFrame, n_models: int,
@@ -86,12 +86,11 @@ def ranked_top_k(scored: DataFrame, evals: DataFrame, k: int, score_col: str = "
     """Top ``k`` by dense rank of ``score_col`` (best first); ties inside a rank
     go to the smaller mean gap to each dataset's best score, then smaller id.
 
-    The dense rank is the global position of each distinct score value
-    (distributed sort, no single-partition window), joined back.
+    The best ``k`` rows hold every distinct score above their last one, so
+    ranks among them are the global ones.
     """
-    values = global_row_number(scored.select(score_col).distinct(), [F.col(score_col).desc()], "dense_rank")
-    ranked = (scored.join(values, score_col).join(mean_gap_to_best(evals, metric), "pipeline_id", "left"))
-    order = [F.col("dense_rank").asc(), F.col("gap").asc_nulls_last(), F.col("pipeline_id").asc()]
+    ranked = scored.join(mean_gap_to_best(evals, metric), "pipeline_id", "left")
+    order = [F.col(score_col).desc(), F.col("gap").asc_nulls_last(), F.col("pipeline_id").asc()]
     top = ranked.orderBy(*order).limit(k)
     return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "pipeline_id",
-                      F.col("dense_rank").cast("long").alias("dense_rank"), score_col, "gap")
+                      F.dense_rank().over(Window.orderBy(F.col(score_col).desc())).cast("long").alias("dense_rank"), score_col, "gap")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalens.functions.regret import normalized_regret, ranking_score, rnd
+from metalens.functions.regret import normalized_regret, ranking_score, regret_or_one, rnd, valid_score
 from metalens.operators.store import dataset_bounds
 
 
 def with_regret(evals: DataFrame, metric: str | None = "neg_log_loss") -> DataFrame:
     """Evaluations of ``metric`` with their per-dataset normalised regret.
 
+    Bounds come from usable scores; a score that isn't usable (null, NaN,
+    infinite) has regret 1.
+
     Per-dataset bounds are a hash aggregate (one row per dataset) joined back
     on ``dataset_id``. AQE broadcasts the bounds when they are small, so the
     raw evaluations are never shuffled by dataset; when they are not small the
@@ -19,7 +22,7 @@ def with_regret(evals: DataFrame, metric: str | None = "neg_log_loss") -> DataFr
     """
     e = evals if metric is None else evals.filter(F.col("metric") == metric)
     return (e.join(dataset_bounds(e), "dataset_id")
-            .withColumn("regret", normalized_regret("score", "min_score", "max_score")))
+            .withColumn("regret", regret_or_one(F.when(valid_score("score"), normalized_regret("score", "min_score", "max_score")))))
 
 
 def average_regret_offline(evals: DataFrame, pipelines: DataFrame, metric: str = "neg_log_loss",

@@ -12,15 +12,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "metalens") -> SparkSession:
     """Session tuned for the plans in this package.
 
+    Master and partition count are left to the submitting cluster unless given.
     AQE stays on so that joins against per-dataset statistics turn into
     broadcast joins only when the runtime size is under the threshold, skewed
     shuffle partitions are split, and small partitions are coalesced.
     """
-    master = master or os.environ.get("METALENS_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("METALENS_SHUFFLE_PARTITIONS", "8"))
     builder = (
-        SparkSession.builder.master(master).appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(parts))
+        SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -31,6 +29,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("METALENS_DRIVER_MEMORY", "16g"))
     )
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -41,7 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is missing (local tests) a fresh folder is made.
+    is; without it this raises. Only a local session (tests) gets a fresh
+    folder of its own.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -49,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="metalens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

@@ -83,8 +83,8 @@ def read_timing_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line_no", F.to_timestamp(F.trim(stamp), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
-def read_evaluation_log(spark: SparkSession, path: str, field: int = 5) -> DataFrame:
-    """``;``-separated log with a header; field ``field`` (1-based) holds a tuple
+def read_evaluation_log(spark: SparkSession, path: str, field: int = 6) -> DataFrame:
+    """``;``-separated log with a header; field ``field`` (1-based: the sixth) holds a tuple
     text ``(score, ...)``: its first item as a double, one row per line."""
     require(spark, path)
     raw = spark.read.option("header", True).option("sep", ";").csv(path)
@@ -121,13 +121,13 @@ def read_arff(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], lis
             fields.append(T.StructField(name, T.StringType(), True))
         else:
             fields.append(T.StructField(name, T.DoubleType(), True))
-    schema = T.StructType(fields)
     data = lines.filter((F.length(F.trim("value")) > 0) & ~F.trim("value").startswith("@")
                         & ~F.trim("value").startswith("%"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    parsed = data.select(F.from_csv(F.regexp_replace("value", r"\?", ""), ddl,
-                                    {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*")
-    return parsed, names, nominal
+    # Fields are read as text first: a lone ? is a missing value, a ? inside a value is not.
+    text = ", ".join(f"`{f.name}` string" for f in fields)
+    single = F.regexp_replace("value", r'(^|,)\s*"((?:[^"\\\\]|\\\\.)*)"\s*(?=,|$)', "$1'$2'")
+    parsed = data.select(F.from_csv(single, text, {"quote": "'", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r")).select("r.*")
+    return parsed.select(*[F.when(F.col(f"`{f.name}`") != "?", F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in fields]), names, nominal
 
 
 def split_features_target(df: DataFrame) -> tuple[DataFrame, DataFrame]:

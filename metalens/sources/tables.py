@@ -20,16 +20,16 @@ DRIVER_TABLES = (
 # Stand-in definitions shared with the test-data notes.
 FIXTURE_SQL: dict[str, str] = {
     "evaluations": """
-SELECT o_orderkey AS eval_id, o_custkey % 40 AS dataset_id,
-       (o_orderkey * 7 + o_custkey) % 200 AS pipeline_id,
+SELECT o_orderkey AS eval_id, o_custkey AS dataset_id,
+       (o_orderkey * 7 + o_custkey) % (SELECT count(*) FROM part) AS pipeline_id,
        -o_totalprice / 1e6 AS score,
        CASE WHEN o_orderstatus IN ('F', 'O') THEN 'neg_log_loss' ELSE 'accuracy' END AS metric,
-       concat('d', CAST(o_custkey % 40 AS varchar(20)), '_',
+       concat('d', CAST(o_custkey AS varchar(20)), '_',
               CASE o_orderkey % 3 WHEN 0 THEN 'AsyncEA' WHEN 1 THEN 'RandomSearch'
                    ELSE 'AsynchronousSuccessiveHalving' END) AS logs_name
 FROM orders""",
     "vectors": """
-SELECT vec_id AS dataset_id, embedding FROM embeddings WHERE vec_id < 40""",
+SELECT vec_id AS dataset_id, embedding FROM embeddings""",
     "samples": """
 SELECT c_nationkey AS dataset_id, o_orderkey AS row_id,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS num_total,
@@ -45,14 +45,12 @@ SELECT p_partkey AS pipeline_id,
             THEN concat('Bayes(Scaler(data), Bayes.alpha=', CAST(p_size AS varchar(20)), ')')
             ELSE concat('Forest(Pca(data, Pca.k=', CAST(p_size AS varchar(20)), '), Forest.n=10)')
        END AS pipeline
-FROM part WHERE p_partkey < 200""",
+FROM part""",
     "results": """
-SELECT metalearner_name, dataset_id, slot, score FROM (
-  SELECT event_type AS metalearner_name, user_id % 38 AS dataset_id,
-         row_number() OVER (PARTITION BY event_type, user_id % 38 ORDER BY event_id) AS slot,
-         CASE WHEN event_id % 11 = 0 THEN NULL ELSE -value / 100 END AS score
-  FROM events) t
-WHERE slot <= 25 AND NOT (metalearner_name = 'error' AND dataset_id = 3)""",
+SELECT event_type AS metalearner_name, user_id AS dataset_id,
+       row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS slot,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE -value / 100 END AS score
+FROM events""",
     "run_log": """
 SELECT user_id AS run_id, event_id AS eval_no, ts, -value / 100 AS score FROM events""",
     "probs": """

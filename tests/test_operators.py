@@ -164,11 +164,75 @@ def test_similarity_symmetry_and_self(spark):
     assert {r["dataset_id"]: r["cosine"] for r in one_vs_all(df, q1).collect()}[0] == pytest.approx(sims[1]["cosine"])
 
 
-def test_shape_mismatch_is_reported(spark):
-    from metalens.operators.similarity import check_shapes, one_vs_all
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "dataset_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        check_shapes(one_vs_all(df, df.filter("dataset_id = 0")))
+def test_shape_mismatch_and_several_query_rows_are_errors(spark):
+    from metalens.operators.similarity import most_similar, one_vs_all
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0]), (2, [1.0])], "dataset_id long, embedding array<double>")
+    q = df.filter("dataset_id = 0")
+    assert one_vs_all(q, q).first()["cosine"] == pytest.approx(1.0)
+    for other in (1, 2):
+        with pytest.raises(Exception, match="vector length differs"):
+            most_similar(one_vs_all(df.filter(f"dataset_id = {other}"), q), 1).collect()
+    for query in (df, df.limit(0)):
+        with pytest.raises(ValueError):
+            one_vs_all(df, query)
+
+
+def test_seeds_batches_and_datasets_draw_differently(spark):
+    from metalens.functions.hashing import seeded_hash
+    from metalens.operators.landmarkers import hash_folds
+    from metalens.operators.subtables import sample_rows
+    from metalens.operators.views import holdout_split
+    rows = spark.range(2000).select(F.lit(1).cast("long").alias("dataset_id"), F.col("id").alias("row_id"), F.lit("a").alias("y"))
+    picks = {b: {r["row_id"] for r in sample_rows(rows, 3, 5).filter(F.col("batch") == b).collect()} for b in range(3)}
+    assert all(len(p) == 256 for p in picks.values())
+    assert all(len(picks[a] & picks[b]) < 80 for a in range(3) for b in range(a))  # chance alone gives about 33
+    train = {s: {r["row_id"] for r in holdout_split(rows, "row_id", 0.8, s).filter("is_train").collect()} for s in (0, 7)}
+    assert all(1500 < len(t) < 1700 for t in train.values()) and len(train[0] & train[7]) < 1400
+    folds = {s: {r["row_id"]: r["fold"] for r in hash_folds(rows, 4, s).collect()} for s in (0, 3)}
+    pairs = {(folds[0][i], folds[3][i]) for i in range(2000)}
+    assert len(pairs) == 16  # no relabelling of the same folds
+    ai = spark.range(1, 40).select(seeded_hash(F.lit(0), F.lit(3) + F.col("id")).alias("a"), seeded_hash(F.lit(1), F.lit(3) + F.col("id")).alias("b"))
+    first = [r["a"] < r["b"] for r in ai.collect()]
+    assert 5 < sum(first) < 35  # no attribute wins in every dataset
+
+
+def test_unusable_scores_leave_others_alone(spark):
+    from metalens.plans.recommend import with_regret
+    rows = [(1, 1, -1.0), (1, 2, -3.0), (1, 3, float("nan")), (1, 4, float("-inf")), (1, 5, None), (1, 6, 2e6), (1, 7, -2.0)]
+    ev = spark.createDataFrame([(d, p, s, "m") for d, p, s in rows], "dataset_id long, pipeline_id long, score double, metric string")
+    got = {r["pipeline_id"]: r["regret"] for r in with_regret(ev, "m").collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0, 6: 1.0, 7: 0.5}
+
+
+PARSED = {
+    "Forest(Poly(Poly(ord-enc(data), Poly.degree=2), Poly.degree=3), alpha=0.1, Forest.layers=(100, 50), Forest.n='a b')": (
+        [("Poly", 1), ("Poly", 2), ("Forest", 3)],
+        [(1, "Poly", "degree", "2"), (2, "Poly", "degree", "3"), (3, "Forest", "alpha", "0.1"), (3, "Forest", "layers", "(100, 50)"), (3, "Forest", "n", "'a b'")]),
+    "Tree(oh-enc(imputation(data)), max_depth=5)": ([("Tree", 2)], [(2, "Tree", "max_depth", "5")]),
+    "Tree(data)": ([("Tree", 0)], []),
+}
+
+
+def test_pipelines_with_repeated_dropped_and_unprefixed_parts(spark):
+    from metalens.operators.configs import parse_params, parse_steps, step_text
+    pipes = spark.createDataFrame(list(enumerate(PARSED)), "pipeline_id long, pipeline string")
+    steps, params = parse_steps(pipes), parse_params(pipes)
+    for i, (want_steps, want_params) in enumerate(PARSED.values()):
+        own = steps.filter(f"pipeline_id = {i}").orderBy("pos").collect()
+        assert [(r["algorithm"], r["step_no"]) for r in own] == want_steps and [r["pos"] for r in own] == list(range(len(own)))
+        got = params.filter(f"pipeline_id = {i}").orderBy("step_no", "param").collect()
+        assert [(r["step_no"], r["algorithm"], r["param"], r["value"]) for r in got] == want_params
+    text = {(r["pipeline_id"], r["pos"]): r["text"] for r in step_text(steps, params).collect()}
+    assert text[0, 0] == "Poly(degree=2)" and text[0, 1] == "Poly(degree=3)" and text[0, 2] == "Forest(alpha=0.1, layers=(100, 50), n='a b')"
+
+
+def test_grid_fill_of_a_missing_pair(spark):
+    from metalens.operators.analysis import processed_scores, regret_summary
+    rows = [("a", 1, 1, -1.0), ("a", 2, 1, -2.0), ("b", 1, 1, -3.0), ("a", 1, 26, 5.0)]
+    res = spark.createDataFrame(rows, "metalearner_name string, dataset_id long, slot int, score double")
+    got = {(r["metalearner_name"], r["dataset_id"]): (r["score"], r["filled"]) for r in processed_scores(res, 5).collect()}
+    assert got["b", 2] == (pytest.approx(-2.01), True) and got["b", 1] == (-3.0, False)
+    assert {r["metalearner_name"] for r in regret_summary(res, 25).collect()} == {"a", "b"}
 
 
 def test_log_loss_with_absent_class(spark):

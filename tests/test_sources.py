@@ -42,7 +42,7 @@ def test_timing_log_and_gaps(spark, tmp_dir):
 
 def test_evaluation_log_first_tuple_item(spark, tmp_dir):
     p = _write(os.path.join(tmp_dir, "e.log"),
-               "a;b;c;d;score;f\n1;x;y;z;(-0.25, 3, 'p');q\n2;x;y;z;(-0.125, 1);q\n")
+               "a;b;c;d;e;score\n1;x;y;z;3.5;(-0.25, 3, 'p')\n2;x;y;z;4.5;(-0.125, 1)\n")
     assert [r["score"] for r in io.read_evaluation_log(spark, p).collect()] == [-0.25, -0.125]
 
 
@@ -54,6 +54,8 @@ def test_read_arff(spark, tmp_dir):
     assert names == ["a", "b c", "class"] and nominal == ["b c", "class"]
     rows = df.collect()
     assert rows[0]["a"] == 1.5 and rows[1]["a"] is None and rows[1]["class"] == "n"
+    q = _write(os.path.join(tmp_dir, "q.arff"), "@relation r\n@attribute a string\n@attribute b string\n@attribute y {p,n}\n@data\n'why?',\"x, y?\",p\n?, ? ,n\n")
+    assert [tuple(r) for r in io.read_arff(spark, q)[0].collect()] == [("why?", "x, y?", "p"), (None, None, "n")]
     x, y = io.split_features_target(df)
     assert x.columns == ["a", "b c"] and y.columns == ["class"]
 
