@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalens.functions.hashing import seeded_hash
-from metalens.operators.subtables import impute_mean
 from metalens.session import materialize
 
 
@@ -48,7 +48,7 @@ def naive_bayes_accuracy(cells: DataFrame, folds: DataFrame, var_smoothing: floa
     variances plus ``var_smoothing`` x the largest attribute variance of the
     fold's training rows.
     """
-    x = impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x"))
+    x = _centred(cells)
     # Feeds the fold sums and the test side: written once, scanned once.
     xf = materialize(x.join(folds, ["dataset_id", "row_id"]))
     # sums per (dataset, fold, class, attr) and per (dataset, class, attr)
@@ -182,41 +182,54 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
                                 F.count(F.lit(1)).alias("n")))
 
 
-def pca_features(cells: DataFrame, attrs_by_dataset: dict | None = None, accuracy: int = 10000) -> DataFrame:
+def _centred(cells: DataFrame) -> DataFrame:
+    """(dataset_id, row_id, attr, x): mean-imputed numeric cells minus their attribute's mean.
+
+    Moments of centred values don't cancel, and no landmarker here depends on the mean.
+    """
+    num = cells.filter(~F.col("is_cat"))
+    means = num.groupBy("dataset_id", "attr").agg(F.avg("num_val").alias("_m"))
+    return num.join(means, ["dataset_id", "attr"]).select(
+        "dataset_id", "row_id", "attr", F.coalesce(F.col("num_val") - F.col("_m"), F.lit(0.0)).alias("x"))
+
+
+def _attribute_lists(idx: DataFrame) -> DataFrame:
+    """(dataset_id, attrs): each dataset's attributes in vector order."""
+    return idx.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("idx", "attr"))).alias("kv")).select("dataset_id", F.col("kv.attr").alias("attrs"))
+
+
+def pca_features(cells: DataFrame, accuracy: int = 10000) -> DataFrame:
     """pca.95%, pca.skewness, pca.kurtosis of the first principal component.
 
-    One aggregation computes, for every dataset at once, the vector sums of x
-    and of x x^T over the dataset's own attributes (a d + d^2 buffer per
-    dataset, merged map-side). Only these moments reach the driver, where each
-    d x d covariance is decomposed. A second job projects every dataset's
-    centred rows through its loadings (equi-join on attribute) and summarises
-    the scores per dataset; the 0.95 quantile uses the bounded-memory
+    One aggregation computes, for every dataset at once, the vector sum of
+    x x^T over the dataset's own attributes (a d^2 buffer per dataset, merged
+    map-side). Each dataset's d x d covariance is decomposed in a task of its
+    own row; the loadings stay a table, by which a join projects every
+    dataset's centred rows. The 0.95 quantile uses the bounded-memory
     ``percentile_approx``. The reference took the scores' first row instead of
     the first component and percentile 0.95 of 100; both are fixed here.
-    ``attrs_by_dataset`` is accepted for compatibility; attributes come from
-    the cells.
     """
-    import numpy as np
-
-    spark = cells.sparkSession
-    x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
+    x = materialize(_centred(cells))
     rows, idx = _row_vectors(x, ["dataset_id", "row_id"])
-    names = {(int(r["dataset_id"]), int(r["idx"])): r["attr"] for r in idx.collect()}  # schema-sized
-    loadings = []
-    # One row per dataset, streamed: the driver holds one d x d matrix at a time.
-    for r in _moments(rows, ["dataset_id"]).toLocalIterator():
-        ds, n = int(r["dataset_id"]), float(r["n"])
-        s1 = r["s1"].toArray()
-        d = len(s1)
-        mu = s1 / n
-        cov = r["s2"].toArray().reshape(d, d) / n - np.outer(mu, mu)
-        vals, vecs = np.linalg.eigh(cov)
-        pc = vecs[:, int(np.argmax(vals))]
-        sign = 1.0 if pc[int(np.argmax(np.abs(pc)))] >= 0 else -1.0  # largest loading positive
-        loadings += [(ds, names[(ds, i)], float(sign * pc[i]), float(mu[i])) for i in range(d)]
-    w = spark.createDataFrame(loadings, "dataset_id long, attr string, w double, m double")
-    scores = (x.join(w, ["dataset_id", "attr"])
-              .groupBy("dataset_id", "row_id").agg(F.sum((F.col("x") - F.col("m")) * F.col("w")).alias("pc")))
+    moments = (_moments(rows, ["dataset_id"]).select("dataset_id", "n", vector_to_array("s2").alias("s2"))
+               .join(_attribute_lists(idx), "dataset_id"))
+
+    def decompose(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                d = len(r.attrs)
+                vals, vecs = np.linalg.eigh(np.asarray(r.s2).reshape(d, d) / r.n)
+                pc = vecs[:, int(np.argmax(vals))]
+                pc = pc if pc[int(np.argmax(np.abs(pc)))] >= 0 else -pc  # largest loading positive
+                out += [(r.dataset_id, a, float(w)) for a, w in zip(r.attrs, pc, strict=True)]
+            yield pd.DataFrame(out, columns=["dataset_id", "attr", "w"])
+
+    w = moments.mapInPandas(decompose, "dataset_id long, attr string, w double")
+    scores = x.join(w, ["dataset_id", "attr"]).groupBy("dataset_id", "row_id").agg(F.sum(F.col("x") * F.col("w")).alias("pc"))
     stats = scores.groupBy("dataset_id").agg(
         F.percentile_approx("pc", 0.95, accuracy).alias("pca.95%"),
         F.skewness("pc").alias("pca.skewness"), F.kurtosis("pc").alias("pca.kurtosis"))
@@ -225,67 +238,48 @@ def pca_features(cells: DataFrame, attrs_by_dataset: dict | None = None, accurac
     return stats.select("dataset_id", F.explode(items).alias("i")).select("dataset_id", "i.name", "i.value")
 
 
-def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame, attrs: list[str] | None = None) -> DataFrame:
+def linear_discriminant_accuracy(cells: DataFrame, folds: DataFrame) -> DataFrame:
     """Linear discriminant analysis, k-fold accuracy per dataset (mean over folds).
 
     Per (dataset, fold, class) the vector sums of x and x x^T over the
     dataset's own attributes come from one aggregation; training moments of a
-    fold are the class totals minus that fold's part. Each fold's pooled
-    within-class covariance (d x d) is solved on the driver, giving per-class
-    coefficients that one join applies to the test rows:
+    fold are the class totals minus that fold's part. A dataset's few moments
+    (folds x classes) are solved as one group, giving per-class coefficients
+    that one join applies to the test rows:
     ``delta_c(x) = x' S^-1 mu_c - mu_c' S^-1 mu_c / 2 + log prior_c``.
-    ``attrs`` is accepted for compatibility; attributes come from the cells.
     """
-    import numpy as np
-
-    spark = cells.sparkSession
-    x = materialize(impute_mean(cells).select("dataset_id", "row_id", "attr", F.col("num_val").alias("x")))
+    x = materialize(_centred(cells))
     rows, idx = _row_vectors(x, ["dataset_id", "row_id"])
-    names = {(int(r["dataset_id"]), int(r["idx"])): r["attr"] for r in idx.collect()}  # schema-sized
     moments = (_moments(rows.join(folds, ["dataset_id", "row_id"]), ["dataset_id", "fold", "y"])
-               .orderBy("dataset_id", "fold", "y"))
-    coef: list = []
-
-    def solve(ds: int, parts: dict) -> None:
-        """Coefficients of every fold of one dataset from its (fold, class) moments."""
-        totals: dict = {}
-        for (_, y), (n, s1, s2) in parts.items():
-            t = totals.get(y)
-            totals[y] = (n, s1, s2) if t is None else (t[0] + n, t[1] + s1, t[2] + s2)
+               .select("dataset_id", "fold", "y", "n", vector_to_array("s1").alias("s1"), vector_to_array("s2").alias("s2"))
+               .join(_attribute_lists(idx), "dataset_id"))
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+
+        attrs = list(pdf["attrs"].iloc[0])
+        d, coef = len(attrs), []
+        parts = {(r.fold, r.y): (float(r.n), np.asarray(r.s1), np.asarray(r.s2).reshape(d, d)) for r in pdf.itertuples(index=False)}
+        nothing = (0.0, np.zeros(d), np.zeros((d, d)))
+        classes = sorted({y for _, y in parts})
+        totals = {y: [sum(m) for m in zip(*[v for (_, c), v in parts.items() if c == y], strict=True)] for y in classes}
         for f in sorted({f for f, _ in parts}):
-            stats = []
-            for y in sorted(totals):
-                n, s1, s2 = totals[y]
-                d = len(s1)
-                pn, p1, p2 = parts.get((f, y), (0.0, np.zeros(d), np.zeros((d, d))))
-                n, s1, s2 = n - pn, s1 - p1, s2 - p2
-                if n > 0:
-                    stats.append((y, n, s1 / n, s2))
-            if not stats:
+            train = {y: [t - p for t, p in zip(totals[y], parts.get((f, y), nothing), strict=True)] for y in classes}
+            train = {y: (n, s1 / n, s2) for y, (n, s1, s2) in train.items() if n > 0}
+            n_all = sum(n for n, _, _ in train.values())
+            if not train:
                 continue
-            n_tot = sum(st[1] for st in stats)
-            scatter = sum(s2 - n * np.outer(mu, mu) for _, n, mu, s2 in stats)
-            inv = np.linalg.pinv(scatter / max(n_tot - len(stats), 1.0))
-            for y, n, mu, _ in stats:
-                w = inv @ mu
-                b = float(-0.5 * mu @ w + np.log(n / n_tot))
-                coef.extend((ds, f, y, names[(ds, i)], float(w[i]), b) for i in range(len(mu)))
-
-    # Moments arrive ordered by dataset; each dataset is solved as soon as its
-    # rows are complete, so the driver holds one dataset's moments at a time.
-    current, parts = None, {}
-    for r in moments.toLocalIterator():
-        ds = int(r["dataset_id"])
-        if current is not None and ds != current:
-            solve(current, parts)
-            parts = {}
-        current = ds
-        s1 = r["s1"].toArray()
-        d = len(s1)
-        parts[(int(r["fold"]), r["y"])] = (float(r["n"]), s1, r["s2"].toArray().reshape(d, d))
-    if current is not None:
-        solve(current, parts)
-    cf = spark.createDataFrame(coef, "dataset_id long, fold long, y string, attr string, w double, b double")
+            scatter = sum(s2 - n * np.outer(mu, mu) for n, mu, s2 in train.values())
+            inverse = np.linalg.pinv(scatter / max(n_all - len(train), 1.0))
+            for y, (n, mu, _) in train.items():
+                w = inverse @ mu
+                coef += [(f, y, a, float(v), float(np.log(n / n_all) - mu @ w / 2)) for a, v in zip(attrs, w, strict=True)]
+        out = pd.DataFrame(coef, columns=["fold", "y", "attr", "w", "b"])
+        out.insert(0, "dataset_id", pdf["dataset_id"].iloc[0])
+        return out
+
+    cf = moments.groupBy("dataset_id").applyInPandas(solve, "dataset_id long, fold long, y string, attr string, w double, b double")
     test = x.join(folds.select("dataset_id", "row_id", "fold", F.col("y").alias("y_true")), ["dataset_id", "row_id"])
     score = (test.join(cf, ["dataset_id", "fold", "attr"])
              .groupBy("dataset_id", "fold", "row_id", "y_true", "y")

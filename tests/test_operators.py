@@ -271,7 +271,7 @@ def test_lda_matches_numpy(spark):
     from metalens.operators.landmarkers import hash_folds, linear_discriminant_accuracy
     cells, lab, rows, labels = _tiny_cells(spark)
     folds = hash_folds(lab, 3, 0)
-    got = {r["dataset_id"]: r["value"] for r in linear_discriminant_accuracy(cells, folds, ["a", "b"]).collect()}
+    got = {r["dataset_id"]: r["value"] for r in linear_discriminant_accuracy(cells, folds).collect()}
     fmap = {(r["dataset_id"], r["row_id"]): r["fold"] for r in folds.collect()}
     feat = {}
     for ds, rid, attr, _, v, _ in rows:
@@ -297,7 +297,7 @@ def test_pca_first_component_statistics(spark):
     import numpy as np
     from metalens.operators.landmarkers import pca_features
     cells, _, rows, _ = _tiny_cells(spark, seed=4, n=200)
-    got = {(r["dataset_id"], r["name"]): r["value"] for r in pca_features(cells, {0: ["a", "b"], 1: ["a", "b"]}).collect()}
+    got = {(r["dataset_id"], r["name"]): r["value"] for r in pca_features(cells).collect()}
     feat = {}
     for ds, rid, attr, _, v, _ in rows:
         feat.setdefault(ds, {}).setdefault(rid, {})[attr] = v
