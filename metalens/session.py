@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -59,13 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def materialize(df):
-    """Write ``df`` once to the reliable checkpoint folder and read it back.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Used where one intermediate feeds several branches of a plan: Spark does
     not reuse exchanges whose pruned scans differ, so without this each branch
-    would rescan the source. The written copy also cuts the lineage, so a lost
-    executor re-reads it instead of recomputing from the source.
+    would rescan the source. Later reads take only the columns they need, the
+    lineage is cut, and a lost executor costs a re-read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
