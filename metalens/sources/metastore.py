@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metalens.operators import store
+from metalens.operators.views import MetaView, partial_view
 from metalens.sources import schemas
-from metalens.sources.io import _exists
+from metalens.sources.io import _exists, read_arff, split_features_target
 
 
 class MetaStore:
@@ -85,6 +86,43 @@ class MetaStore:
             raise store.UnknownKeyError(pipeline)
         return int(r[0])
 
+    # ---- selections ---------------------------------------------------------------
+    def get_df(self, datasets: list | None = None, pipelines: list | None = None, metrics: list[str] | None = None,
+               logs_names: list[str] | None = None, avg_equivalent: bool = False, top_n: int | None = None) -> DataFrame:
+        """Evaluations of the given datasets and pipelines (ids or names), metrics and runs.
+
+        ``avg_equivalent`` averages the distinct scores of equal (dataset,
+        pipeline, metric); ``top_n`` then keeps the best of each dataset and metric
+        (ties: smaller pipeline id).
+        """
+        out = self.evaluations()
+        for wanted, lookup, name, key in ((datasets, self.datasets(), "dataset", "dataset_id"), (pipelines, self.pipelines(), "pipeline", "pipeline_id")):
+            if wanted is None:
+                continue
+            names = [w for w in wanted if isinstance(w, str)]
+            ids = [w for w in wanted if not isinstance(w, str)]
+            if names:
+                ids += [r[0] for r in store.ids_for_names(lookup, names, name, key).collect()]  # the caller's own list
+            out = out.filter(F.col(key).isin(ids))
+        out = store.get_df(out, metrics=metrics, logs_names=logs_names)
+        if avg_equivalent:
+            distinct = out.distinct().groupBy("dataset_id", "pipeline_id", "metric")
+            out = distinct.agg(F.avg("score").alias("score"), F.min("logs_name").alias("logs_name"))
+        if top_n is not None:
+            best = Window.partitionBy("dataset_id", "metric").orderBy(F.col("score").desc(), F.col("pipeline_id").asc(), F.col("logs_name").asc())
+            out = out.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= top_n)
+        return out
+
+    def view(self, keep: DataFrame) -> MetaView:
+        """The store restricted to the dataset ids in ``keep``; nothing is written."""
+        return partial_view(self.evaluations(), self.datasets(), self.pipelines(), keep, self.dataset_chars(), self.pipeline_chars())
+
+    def get_dataset(self, folder: str, dataset_id: int) -> tuple[DataFrame, DataFrame]:
+        """(features, target) of a known dataset, from ``<dataset_id>.arff`` in ``folder``."""
+        if self.datasets().filter(F.col("dataset_id") == dataset_id).isEmpty():
+            raise store.UnknownKeyError(dataset_id)
+        return split_features_target(read_arff(self.spark, f"{folder.rstrip('/')}/{dataset_id}.arff")[0])
+
     # ---- appends --------------------------------------------------------------------
     def add_evaluations(self, records: DataFrame) -> DataFrame:
         """Append (dataset, pipeline, score, metric, logs_name) records.
@@ -143,8 +181,11 @@ class MetaStore:
             raise ValueError("characterization dimension names differ from the stored ones")
 
     # ---- characterization lookups ----------------------------------------------------
-    def list_dataset_characterizations(self) -> DataFrame:
-        return list_characterizations(self.dataset_chars(), "dataset_id")
+    def list_dataset_characterizations(self, methods: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
+        return list_characterizations(_chosen(self.dataset_chars(), methods, ids, "dataset_id"), "dataset_id")
+
+    def list_pipeline_characterizations(self, methods: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
+        return list_characterizations(_chosen(self.pipeline_chars(), methods, ids, "pipeline_id"), "pipeline_id")
 
     def get_dataset_characterizations(self, method: str, ids: list[int]) -> DataFrame:
         return ordered_lookup(self.dataset_chars().filter(F.col("method") == method), ids, "dataset_id")
@@ -153,6 +194,11 @@ class MetaStore:
         return ordered_lookup(self.pipeline_chars().filter(F.col("method") == method), ids, "pipeline_id")
 
 
+def _chosen(chars: DataFrame, methods: list[str] | None, ids: list[int] | None, id_col: str) -> DataFrame:
+    chars = chars if methods is None else chars.filter(F.col("method").isin(list(methods)))
+    return chars if ids is None else chars.filter(F.col(id_col).isin(list(ids)))
+
+
 def list_characterizations(chars: DataFrame, id_col: str = "dataset_id") -> DataFrame:
     """Per method: its ids (sorted) and their count; empty methods do not appear."""
     return chars.groupBy("method").agg(F.array_sort(F.collect_set(id_col)).alias("ids"),

@@ -124,3 +124,33 @@ def test_metastore_lookups_and_run_top(spark, tmp_dir):
     assert ms.pipe_exists("P1(data)") and not ms.pipe_exists("P5(data)")
     with pytest.raises(UnknownKeyError):
         ms.get_pipeline_id("P5(data)")
+
+
+def test_metastore_selections_views_and_listings(spark, tmp_dir):
+    ms = MetaStore.create(spark, os.path.join(tmp_dir, "mdb3"))
+    rows = [("iris", f"P{i}(data)", -0.1 * i, "neg_log_loss", "runA") for i in range(4)]
+    rows += [("wine", "P1(data)", -0.7, "neg_log_loss", "runA"), ("iris", "P3(data)", -0.5, "neg_log_loss", "runA"), ("iris", "P0(data)", 0.9, "accuracy", "runA")]
+    ms.add_evaluations(spark.createDataFrame(rows, "dataset string, pipeline string, score double, metric string, logs_name string"))
+    iris, p3 = ms.get_dataset_id("iris"), ms.get_pipeline_id("P3(data)")
+    assert ms.get_df(datasets=["iris"], metrics=["neg_log_loss"]).count() == 5
+    assert ms.get_df(datasets=[iris], pipelines=["P1(data)", p3]).count() == 3
+    mean = ms.get_df(datasets=[iris], pipelines=[p3], avg_equivalent=True).collect()
+    assert [round(r["score"], 9) for r in mean] == [-0.4]
+    best = ms.get_df(metrics=["neg_log_loss"], top_n=2).orderBy("dataset_id", "position").collect()
+    assert [(r["dataset_id"], round(r["score"], 9), r["position"]) for r in best if r["dataset_id"] == iris] == [(iris, 0.0, 1), (iris, -0.1, 2)]
+    with pytest.raises(UnknownKeyError):
+        ms.get_df(datasets=["nowhere"])
+    chars = spark.createDataFrame([(d, [1.0], ["a"]) for d in (0, 1)], "dataset_id long, values array<double>, names array<string>")
+    ms.add_dataset_characterizations("simple", chars)
+    ms.add_dataset_characterizations("other", chars.filter("dataset_id = 1"))
+    ms.add_pipeline_characterizations("bits", spark.createDataFrame([(p3, ["1"], ["a"])], "pipeline_id long, values array<string>, names array<string>"))
+    assert {(r["method"], r["n"]) for r in ms.list_dataset_characterizations().collect()} == {("simple", 2), ("other", 1)}
+    assert [(r["method"], list(r["ids"])) for r in ms.list_dataset_characterizations(methods=["simple"], ids=[0]).collect()] == [("simple", [0])]
+    assert [(r["method"], list(r["ids"])) for r in ms.list_pipeline_characterizations().collect()] == [("bits", [p3])]
+    view = ms.view(spark.createDataFrame([(iris,)], "dataset_id long"))
+    assert view.evaluations.count() == 6 and view.datasets.count() == 1 and view.pipelines.count() == 4
+    _write(os.path.join(tmp_dir, f"{iris}.arff"), "@relation r\n@attribute a numeric\n@attribute y {p,n}\n@data\n1,p\n2,n\n")
+    x, y = ms.get_dataset(tmp_dir, iris)
+    assert x.columns == ["a"] and [r["y"] for r in y.collect()] == ["p", "n"]
+    with pytest.raises(UnknownKeyError):
+        ms.get_dataset(tmp_dir, 99)
