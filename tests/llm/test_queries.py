@@ -33,7 +33,7 @@ def documents(duck):
 def test_query_equals_its_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    want = duck.execute(ORACLE[name]).fetch_arrow_table()
+    want = duck.sql(ORACLE[name]).to_arrow_table()
     assert sorted(want.column_names) == columns
     rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str)
     assert rows == sorted((tuple(r[c] for c in columns) for r in want.to_pylist()), key=str)
