@@ -116,7 +116,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = spark.sparkContext.broadcast(runs[np.lexsort((runs[:, 1], runs[:, 0]))])
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counted.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["length", "part"])
+    ranked = pieces.join(before.hint("merge"), ["length", "part"])  # grows with the parts, so it is never broadcast
     others = [c for c in pieces.columns if c not in ("length", "part", "nth")]
     source = ranked.select("length", (F.col("before") + F.col("nth")).alias("rank"), *others)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "rank")
