@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 #: Text handled at once inside a task; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Row groups of written tables; a writing task holds about one in memory.
 ROW_GROUP_BYTES = 32 << 20
 
