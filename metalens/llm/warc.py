@@ -8,8 +8,8 @@ or in a gzip archive by the member's skip-length field) and never decoded.
 
 Writing: every task writes its own files and rolls over at ``maxFileBytes``; the
 driver then commits a manifest of the files of tasks that succeeded, so files of
-failed or repeated attempts are never read. With ``compression=gzip`` each
-record is a gzip member of its own.
+failed or repeated attempts are never read. Each record is a gzip member of its
+own, unless ``compression=none`` is given.
 
 Cases: null or empty payloads are empty blocks; a null url has no header; line
 breaks and other control characters in a url are percent-encoded; records of any
@@ -239,7 +239,7 @@ class WarcWritten(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
-        self.gzip = options.get("compression", "none") == "gzip"
+        self.gzip = options.get("compression", "gzip") == "gzip"
         self.limit = int(options.get("maxfilebytes", MAX_FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WarcWritten:
@@ -314,7 +314,7 @@ def read_warc(spark: SparkSession, path: str, columns: str | None = None) -> Dat
     return (reader.schema(columns) if columns else reader).load(path)
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "none", max_file_bytes: int = MAX_FILE_BYTES) -> None:
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", max_file_bytes: int = MAX_FILE_BYTES) -> None:
     """Write records (WRITE_COLUMNS) as archives at ``path``."""
     register(records.sparkSession)
     (records.select(*WRITE_COLUMNS).write.format("warc").mode("append").option("compression", compression)
