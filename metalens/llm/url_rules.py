@@ -85,7 +85,8 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_suppor
     empty = baskets.select(F.lit(0).cast("long").alias("rule_id"), F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
     if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(baskets)
+    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence, numPartitions=parts).fit(baskets)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_tokens))
     tokens = F.array_sort("antecedent")
     return written(rules.select(F.xxhash64(tokens).alias("rule_id"), tokens.alias("tokens"), "confidence", "support"), "url-rules") if n >= min_rows else empty
