@@ -145,15 +145,20 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray | None]:
     yield None
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable by links)."""
+def _rooted(docs: DataFrame, shingle_words: int, max_bits: int, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp, root (the component's least fingerprint), component_id."""
     own = written(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), max_bits, blocks)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable by links)."""
+    return _rooted(docs, shingle_words, max_bits, blocks, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -164,10 +169,11 @@ def fingerprint_hex(fp: Column) -> Column:
 def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with one document of each component: the row with its smallest doc_id.
 
-    Of several rows with that id, the one with the least fingerprint stays.
+    Of several rows with that id, the one with the least fingerprint stays. Components
+    are told apart by their root: unlinked ones can share a component_id, or have none.
     """
-    found = written(near_duplicates(docs, shingle_words, max_bits, blocks), "components")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp"))
+    found = written(_rooted(docs, shingle_words, max_bits, blocks), "components")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
     ids = docs.schema["doc_id"].dataType
     keep = written(first.select(F.col("component_id").cast(ids).alias("doc_id"), "fp"), "kept")
     if not _repeats(found):

@@ -67,6 +67,14 @@ def test_simhash_keep_first_leaves_one_row_of_each_component(spark):
     assert {r.doc_id for r in sh.keep_first(unique).collect()} == {c for _, c in simhash([(r.doc_id, r.text) for r in unique.collect()]).values()}
 
 
+def test_simhash_keep_first_keeps_unlinked_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (None, e), (3, e), (9, e)]
+    kept = sh.keep_first(awkward(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (3, e)], key=str)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i + 1, i) for i in range(70)]
     star = [(1000 + i, 999) for i in range(50)]
