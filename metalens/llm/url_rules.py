@@ -2,8 +2,8 @@
 
 Labelled urls become sets of tokens (host suffixes, host words, path words, file
 type, query keys, scheme). Spark's FP-growth mines the token combinations that
-come with a bad label; only rules of enough confidence and support stay, with at
-most ``max_tokens`` tokens. Urls are matched by an inverted index: each distinct
+come with a bad label; only rules of enough confidence and support stay, of any
+number of tokens, less those that a shorter rule makes needless. Urls are matched by an inverted index: each distinct
 url's tokens are joined with the rules' tokens, and a rule fits a url that has
 as many of the rule's tokens as the rule. Everything runs on DataFrames.
 
@@ -27,6 +27,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CONFIDENCE = 0.8
 #: A rule's tokens and a bad label come together in this share of labelled urls, and in this many.
 MIN_SUPPORT, MIN_ROWS = 0.002, 10
+#: Tokens of a rule in ``mine`` alone, as SQL counts them; ``judge_urls`` takes rules of any size.
 MAX_TOKENS = 2
 BAD = "label=bad"
 
@@ -75,8 +76,8 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS,
-         max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support) from ``labelled`` (url, bad boolean).
+         max_tokens: int | None = MAX_TOKENS) -> DataFrame:
+    """Rules (rule_id, tokens, confidence, support) from ``labelled`` (url, bad boolean); of any size if ``max_tokens`` is None.
 
     A single token that is a rule makes rules that contain it needless; they stay, as they change no verdict.
     """
@@ -87,11 +88,23 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_suppor
         return empty
     parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence, numPartitions=parts).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    if max_tokens is not None:
+        rules = rules.filter(F.size("antecedent") <= max_tokens)
     tokens = F.array_sort("antecedent")
     return written(rules.select(F.xxhash64(tokens).alias("rule_id"), tokens.alias("tokens"), "confidence", "support"), "url-rules") if n >= min_rows else empty
 
 
+def needed(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that hold a rule of one token less and no less confidence.
+
+    That rule stays or holds such a rule itself, so each url keeps its verdict and best confidence.
+    """
+    less = rules.select("rule_id", "confidence", "tokens", F.explode("tokens").alias("token")).select("rule_id", "confidence", F.array_except("tokens", F.array("token")).alias("less"))
+    shorter = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("own"))
+    return rules.join(less.join(shorter, "less").filter("own >= confidence").select("rule_id").distinct(), "rule_id", "left_anti")
+
+
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct ``url`` of ``urls`` that some rule fits, with its best confidence."""
     index = rules.select("rule_id", "confidence", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
@@ -110,10 +123,10 @@ def given_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> Colum
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[HostRule, ...] = (), id_col: str = "page_id", url_col: str = "url",
-               min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS) -> DataFrame:
+               min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, max_tokens: int | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict (the given rule's, else block if a mined rule fits)."""
     page = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    blocked = matched(page, mine(labelled, min_confidence, min_support, min_rows)).select("url", "confidence")
+    blocked = matched(page, needed(mine(labelled, min_confidence, min_support, min_rows, max_tokens))).select("url", "confidence")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = page.join(blocked, "url", "left").withColumn("host", host).withColumn("path", path).withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("given.verdict"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))

@@ -140,6 +140,33 @@ def test_url_rules_match_brute_force_counts(spark):
     assert got == want and want
 
 
+def test_url_rules_of_three_tokens_block(spark):
+    labelled = [(f"http://h{i >> 2 & 1}.com/{"pq"[i >> 1 & 1]}/x{i}?k{i & 1}=1", i % 8 == 7) for i in range(160)]
+    urls = [f"http://h{i >> 2}.com/{"pq"[i >> 1 & 1]}/new?k{i & 1}=2" for i in range(8)]
+    out = url_rules.judge_urls(_pages(spark, urls), spark.createDataFrame(labelled, "url string, bad boolean"))
+    assert [r.verdict for r in out.orderBy("page_id").collect()] == ["allow"] * 7 + ["block"]
+
+
+def test_url_rules_of_any_size_match_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(4)
+    labelled = [(f"http://h{rng.randrange(3)}.com/p{rng.choice('ab')}/{i}?k{rng.randrange(2)}=1&m{rng.randrange(2)}=1", rng.random() < 0.5) for i in range(200)]
+    frame = spark.createDataFrame(labelled, "url string, bad boolean")
+    sets = [(r.url, set(r.t), r.bad) for r in frame.select("url", url_rules.tokens_of(F.col("url")).alias("t"), "bad").collect()]
+    want = {}
+    for tokens in {c for _, s, _ in sets for k in range(1, len(s) + 1) for c in combinations(sorted(s), k)}:
+        n, bad = sum(set(tokens) <= s for _, s, _ in sets), sum(set(tokens) <= s and b for _, s, b in sets)
+        if bad >= 4 and bad / n >= 0.6:
+            want[tokens] = bad / n
+    rules = url_rules.mine(frame, min_confidence=0.6, min_support=0.02, min_rows=3, max_tokens=None)
+    assert {tuple(r.tokens): r.confidence for r in rules.collect()} == pytest.approx(want) and any(len(t) > 3 for t in want)
+    best = {u: max(c for t, c in want.items() if set(t) <= s) for u, s, _ in sets if any(set(t) <= s for t in want)}
+    few = url_rules.needed(rules)
+    assert {r.url: r.confidence for r in url_rules.matched(frame, few).collect()} == pytest.approx(best) and few.count() < len(want)
+
+
 def test_url_filter_of_empty_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     none = spark.createDataFrame([], "url string, bad boolean")
