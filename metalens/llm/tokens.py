@@ -10,7 +10,9 @@ tokenizer's own rules cut as well, so the ids are those of the whole text:
 * "words" (white space is dropped): at ASCII white space.
 * Any other tokenizer encodes whole texts.
 
-The strings of special tokens are ordinary text.
+The strings of added tokens get those tokens' ids, as the library gives them. A
+chunk that holds one is encoded whole; texts are not cut if an added token has
+white space in it or takes in what stands beside it.
 """
 
 from __future__ import annotations
@@ -44,11 +46,18 @@ _BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x f
 _ASCII_CHARS = {b: c for b, c in _BYTE_CHARS.items() if b < 128 and b != c}
 
 
+def added_strings(spec: dict) -> list[str]:
+    """Strings that the tokenizer takes out of a text before its other rules."""
+    return [t["content"] for t in spec.get("added_tokens") or []]
+
+
 def chunking_of(spec: dict) -> str | None:
     """How texts may be cut for the tokenizer that ``spec`` describes."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if spec.get("post_processor") or spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
         return None
+    if any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(re.search(r"\s", t) for t in added_strings(spec)):
+        return None
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
         return "spaced"
     steps, norms = pre.get("pretokenizers") or [{}], (norm or {}).get("normalizers") or []
@@ -65,8 +74,8 @@ class Encoder:
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.chunking = chunking_of(json.loads(spec))
+        content = json.loads(spec)
+        self.chunking, self.added = chunking_of(content), added_strings(content)
         self.parts = _PARTS.get(self.chunking or "")
         self.known: dict[str, bytes] = {}
 
@@ -88,7 +97,7 @@ class Encoder:
         known, rest = self.known, []
         for c in [c for c in chunks if c not in known]:
             m = self.parts(c)
-            if m:  # rules that cut by kind of character take these parts one by one
+            if m and not any(t in c for t in self.added):  # rules that cut by kind of character take these parts one by one
                 known[c] = b"".join([known.get(p) or self._learn_part(p) for p in m.groups() if p])
             else:
                 rest.append(c)

@@ -43,6 +43,30 @@ def test_encoder_gives_the_ids_of_whole_texts(path, spark):
             at += n
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_gives_the_ids_of_the_unmodified_tokenizer(path):
+    rng = random.Random(6)
+    texts = ["one <|endoftext|> two", *ODD_TEXTS, "a<|endoftext|>", "<|endoftext|><|endoftext|>  <|startoftext|>\n<|endoftext|>", "x  <|ENDOFTEXT|> <|endoftext |>", awkward_rows()[-2][1]]
+    texts += ["".join(rng.choice([" ", "  ", "\n", "a", "Bé", ",", "<|", "|>", "\u00a0", "<|endoftext|>", "<|startoftext|>", "endoftext"]) for _ in range(40)) for _ in range(300)]
+    encoder, plain = Encoder(tokenizer_spec(path)), Tokenizer.from_file(path)
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert want[0] == {BYTE: [505, 220, 50256, 734], WORD: [637, 49407, 1237]}[path]
+
+
+def test_encoder_cuts_and_splits_no_added_string():
+    import json
+
+    spec = json.loads(tokenizer_spec(WORD))
+    for change, chunking in (({"content": "endof"}, "words"), ({"content": "end of"}, None), ({"content": "endof", "rstrip": True}, None)):
+        own = json.dumps(spec | {"added_tokens": [spec["added_tokens"][0], spec["added_tokens"][1] | change]})
+        text = "the endof, of end of  text endoftext"
+        encoder = Encoder(own)
+        assert encoder.chunking == chunking and encoder.encode(pa.array([text]))[0].tolist() == Tokenizer.from_str(own).encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_takes_whole_texts_for_other_tokenizers(tmp_path):
     from tokenizers.models import WordLevel
     from tokenizers.pre_tokenizers import Whitespace
