@@ -15,8 +15,9 @@ Only rows for which ``is_held_out`` is false lend their labels. Scores depend on
 the text alone.
 
 Bounds, all parameters: ``max_labelled`` labelled and ``max_unlabelled`` other
-rows to fit on (chosen by hash of doc_id), ``max_features`` tokens with a
-weight, ``LEXICON`` tokens for voters. Vote counts and scores cover all rows.
+rows to fit the classifier on (chosen by hash of doc_id), ``max_features`` tokens
+with a weight, ``LEXICON`` tokens for voters. Token counts and vote counts cover
+all rows that aren't held out, with all their labels; scores cover all rows.
 
 Cases: a null or empty text has no tokens and gets the intercept's score; null
 labels are no labels; a null doc_id is held out; without both classes among the
@@ -256,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
           max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, seed: int = 11) -> ToxicityModel:
     """Fit on the rows of ``docs`` (doc_id, text) that aren't held out, with ``labels`` (doc_id, toxic)."""
     said = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
-    said = written(_chosen(said, max_labelled), "toxic-labels")
+    said = written(said, "toxic-labels")
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     labelled = written(rows.join(said, "doc_id"), "toxic-labelled")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -294,8 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     everything = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unknown.alias("toxic"))
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
     patterns = everything.mapInArrow(observe(False), schema).groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 2^N_VOTERS rows
-    with_label = written(known.mapInArrow(observe(True), schema), "toxic-observed")
-    said_patterns = with_label.groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
+    said_patterns = known.mapInArrow(observe(False), schema).groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
     left = {(r["votes"], -1): r["n"] for r in patterns}
     for r in said_patterns:  # labelled rows count with their label
         left[(r["votes"], -1)] -= r["n"]
@@ -304,9 +304,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     seen, said_as = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
     model = LabelModel().fit(seen, np.array([left[k] for k in keys], float), said_as)
 
-    n_rows = sum(r["n"] for r in patterns)
-    sample = everything.join(said.select("doc_id"), "doc_id", "left_anti").sample(min(1.0, max_unlabelled / max(n_rows, 1)), seed)
-    examples = with_label.unionByName(sample.mapInArrow(observe(True), schema))
+    n_unknown = sum(n for (_, label), n in left.items() if label < 0)
+    sample = everything.join(said.select("doc_id"), "doc_id", "left_anti").sample(min(1.0, max_unlabelled / max(n_unknown, 1)), seed)
+    to_fit = known.join(_chosen(said, max_labelled).select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "toxic")
+    examples = to_fit.mapInArrow(observe(True), schema).unionByName(sample.mapInArrow(observe(True), schema))
     posterior = dict(zip(keys, model.posterior(seen, said_as).tolist(), strict=True))
     table = docs.sparkSession.createDataFrame([(v, label, p) for (v, label), p in posterior.items()], "votes long, label int, p double")
     examples = examples.withColumn("label", F.coalesce("toxic", F.lit(-1))).join(table, ["votes", "label"]).select("tokens", "p")

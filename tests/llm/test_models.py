@@ -49,6 +49,24 @@ def test_toxicity_ignores_labels_of_held_out_rows(spark):
     assert a.weights == pytest.approx(b.weights, abs=1e-9) and a.intercept == pytest.approx(b.intercept, abs=1e-9)  # sums differ in order
 
 
+def test_toxicity_counts_tokens_and_votes_of_all_labelled_rows(spark, monkeypatch):
+    rows = _corpus(500)
+    toxic = [i for i, _, x in rows if x]
+    rare = set(toxic[::5])
+    docs, labels = _frames(spark, [(i, t + " rareslur" if i in rare else t, x) for i, t, x in rows], labelled=0.8)
+    fitted, own = [], toxicity.LabelModel.fit
+
+    def fit(self, patterns, counts, said, *rest):
+        fitted.append((counts.sum(), counts[said >= 0].sum()))
+        return own(self, patterns, counts, said, *rest)
+
+    monkeypatch.setattr(toxicity.LabelModel, "fit", fit)
+    model = toxicity.train(docs, labels, max_labelled=40)
+    assert "rareslur" in model.weights
+    free = ~toxicity.is_held_out(F.col("doc_id"))
+    assert fitted == [(docs.filter(free).count(), labels.filter(free).count())]
+
+
 def test_toxicity_scores_awkward_rows(spark):
     docs, labels = _frames(spark, _corpus(300))
     model = toxicity.train(docs, labels)
