@@ -125,4 +125,48 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first IS NOT NULL AND
 FROM page p LEFT JOIN first f USING (payload_digest)
 """
 
-ORACLE = {"op2_substring": OP2, "op4_url_filter": OP4, "op5_quality_rules": OP5, "op8_decontaminate": OP8, "op9_warc": OP9}
+#: crc32 is spelled out bit by bit; its last bit, inverted at the end, says which rows are touched.
+OP11 = """
+WITH RECURSIVE fields AS (
+  SELECT *, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                        lambda c, b: list_reduce([xor(c, b)] || range(8), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))) & 1 = 1 AS touched,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents),
+texts AS (SELECT *, CASE WHEN touched THEN replace(text, chr(10), '') ELSE text END AS other FROM fields),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS now,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM texts),
+low AS (
+  SELECT 0 AS level, source, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, source, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY level, source, idx // 3, n),
+subroots AS (SELECT source, level AS depth, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, idx, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 3, n),
+runs AS (
+  SELECT coalesce(source, '') AS s, source IS NULL AS missing, level, idx // 3 AS run, list(digest ORDER BY idx) AS kids FROM low WHERE n > 1 GROUP BY source, level, idx // 3
+  UNION ALL
+  SELECT coalesce(source, ''), source IS NULL, depth + h.level, x.run, kids
+  FROM subroots b, (SELECT level, idx // 3 AS run, list(digest ORDER BY idx) AS kids FROM high WHERE n > 1 GROUP BY level, idx // 3) h
+  JOIN (SELECT idx AS leaf, level, idx // CAST(power(3, level + 1) AS BIGINT) AS run FROM (SELECT idx FROM subroots) t(idx), (SELECT DISTINCT level FROM high WHERE n > 1) l) x
+    ON h.level = x.level AND h.run = x.run
+  WHERE x.leaf = b.idx),
+fold AS (
+  SELECT doc_id, coalesce(l.source, '') AS s, l.source IS NULL AS missing, 0 AS level, l.idx, b.depth, b.idx AS place, now AS x, '' AS proof
+  FROM leaves l JOIN subroots b ON l.source IS NOT DISTINCT FROM b.source
+  UNION ALL
+  SELECT doc_id, f.s, f.missing, f.level + 1, CASE WHEN f.level + 1 = depth THEN place ELSE f.idx // 3 END, depth, place,
+         sha256(array_to_string(list_transform(kids, lambda d, i: CASE WHEN i = f.idx % 3 + 1 THEN x ELSE d END), '')),
+         proof || array_to_string(list_filter(kids, lambda d, i: i <> f.idx % 3 + 1), '')
+  FROM (SELECT * REPLACE (CASE WHEN level = 0 AND depth = 0 THEN place ELSE idx END AS idx) FROM fold) f
+  JOIN runs r ON r.s = f.s AND r.missing = f.missing AND r.level = f.level AND r.run = f.idx // 3),
+ends AS (SELECT doc_id, max_by(x, level) AS folded_root, sha256(max_by(proof, level)) AS proof_sha256 FROM fold GROUP BY doc_id)
+SELECT l.doc_id, leaf, b.digest AS subroot, r.digest AS root, proof_sha256, folded_root, folded_root = r.digest AS verified
+FROM leaves l JOIN subroots b ON l.source IS NOT DISTINCT FROM b.source JOIN ends USING (doc_id), (SELECT digest FROM high WHERE n = 1) r
+"""
+
+ORACLE = {"op2_substring": OP2, "op4_url_filter": OP4, "op5_quality_rules": OP5, "op8_decontaminate": OP8, "op9_warc": OP9,
+          "op11_merkle": OP11}

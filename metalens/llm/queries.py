@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, packing, quality_model, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
+from . import decontaminate, merkle, packing, quality_model, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
 from .common import scratch
 
 WORD_TOKENIZER, WORD_END_ID = "word_bpe_49k.json", 1
@@ -97,4 +97,16 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("score") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_toxicity, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc, op10_quality_model)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents`` by source, and a check of a copy in which texts of some ids lack their line breaks."""
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = F.when(touched, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", changed={"text": tampered})
+    found = merkle.folded(F.col("now"), F.col("path"))
+    return rows.select(
+        F.col("id").alias("doc_id"), *(merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")), merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.as_text(found).alias("folded_root"), (found == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_toxicity, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc, op10_quality_model,
+                                  op11_merkle)}
