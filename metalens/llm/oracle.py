@@ -168,5 +168,33 @@ SELECT l.doc_id, leaf, b.digest AS subroot, r.digest AS root, proof_sha256, fold
 FROM leaves l JOIN subroots b ON l.source IS NOT DISTINCT FROM b.source JOIN ends USING (doc_id), (SELECT digest FROM high WHERE n = 1) r
 """
 
+def _lloyd(rounds: int = 5, k: int = 40, seed: int = 2) -> str:
+    """Clustering by measuring every distance; 64 * distance + number orders centroids by distance, then number."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, min(64 * d + c) AS best
+  FROM (SELECT vec_id, c, sum((x.v - m.v) * (x.v - m.v)) AS d FROM x JOIN m{r} m USING (p) GROUP BY vec_id, c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+m{r + 1} AS MATERIALIZED (
+  SELECT m.c, m.p, coalesce((s - ((s % n) + n) % n) // n, m.v) AS v
+  FROM m{r} m LEFT JOIN (SELECT best % 64 AS c, p, sum(v) AS s, count(*) AS n FROM near{r} JOIN x USING (vec_id) GROUP BY best % 64, p) USING (c, p))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS vs FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT vec_id, unnest(vs) AS v, generate_subscripts(vs, 1) AS p FROM kept),
+first AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, vs FROM kept ORDER BY sha256('{seed}:' || vec_id) LIMIT {k}),
+m0 AS MATERIALIZED (SELECT c, unnest(vs) AS v, generate_subscripts(vs, 1) AS p FROM first),{",".join(steps)},
+own AS (SELECT vec_id, CAST(best % 64 AS INTEGER) AS cluster, CAST(best // 64 AS BIGINT) AS distance FROM near{rounds}),
+names AS (SELECT CAST(c AS INTEGER) AS cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM own JOIN names USING (cluster)
+"""
+
+
 ORACLE = {"op2_substring": OP2, "op4_url_filter": OP4, "op5_quality_rules": OP5, "op8_decontaminate": OP8, "op9_warc": OP9,
-          "op11_merkle": OP11}
+          "op11_merkle": OP11, "op13_centroids": _lloyd()}

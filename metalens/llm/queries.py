@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, merkle, packing, quality_model, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
+from . import centroids, decontaminate, merkle, neighbour_graph, packing, quality_model, quality_rules, simhash, substring, token_store, toxicity, url_rules, warc
 from .common import scratch
 
 WORD_TOKENIZER, WORD_END_ID = "word_bpe_49k.json", 1
@@ -108,5 +108,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.as_text(found).alias("folded_root"), (found == F.col("root")).alias("verified"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all ``embeddings`` to each whose vec_id is divisible by 20."""
+    return neighbour_graph.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of ``embeddings``: 40 centroids, 5 rounds."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings")).with_inertia()
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_toxicity, op4_url_filter, op5_quality_rules, op6_token_store, op7_packing, op8_decontaminate, op9_warc, op10_quality_model,
-                                  op11_merkle)}
+                                  op11_merkle, op12_neighbours, op13_centroids)}

@@ -41,7 +41,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_each_operator_has_one_registered_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(ORACLE) <= set(entry.oracle_sql())
 
 
