@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in each shard.
 
 Distinct vectors are dealt to shards by hash. In a shard vectors are inserted in
-growing batches: a greedy beam search through the graph so far proposes
-neighbours (every node that it expanded), and relaxed distance pruning keeps
-diverse ones: walking from the nearest outwards, a candidate goes if it is
+growing batches, long ones first: a greedy beam search through the graph so far
+proposes neighbours (every node that it expanded), and relaxed distance pruning
+keeps diverse ones: walking from the nearest outwards, a candidate goes if it is
 ``RELAX`` times nearer to a kept one than to the new node. Links back are added,
 and a node that gets more than ``DEGREE`` is pruned the same way. A node that
-cannot be reached from the entry gets a link from the nearest reached one, so
+cannot be reached from an entry gets a link from the nearest reached one, so
 every vector is indexed. A query walks each shard's graph with a beam, measures
 what the beam holds in double precision, and the shards' best are merged.
 
@@ -45,6 +45,8 @@ SHARD_ROWS, MIN_SHARDS = 65_536, 16
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 128, 1.2
 #: Nodes expanded at once in a beam; nodes or queries that walk the graph together.
 EXPANDED, TOGETHER = 4, 256
+#: Nodes, evenly spread over the order of insertion, from which a walk starts, so that far groups of near vectors are all in sight.
+ENTRIES = 32
 
 
 class Graph:
@@ -82,12 +84,15 @@ class Graph:
         flat = np.concatenate((q / np.where(top > 0, top, 1), np.zeros((len(q), 1))), axis=1).astype(np.float32)
         return self.walk(flat, beam)[0]
 
-    def walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """Greedy beam search from node 0: (beams, what each round expanded as (query, node, nearness))."""
+    def walk(self, q: np.ndarray, beam: int, size: int | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Greedy beam search through the first ``size`` nodes: (beams, what each round expanded as (query, node, nearness))."""
         n, rows = len(q), np.arange(len(q))
+        start = entries(len(self.x) if size is None else size)[:beam]
         ids, near, done = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32), np.ones((n, beam), bool)
         seen = np.zeros((n, len(self.x)), bool)
-        ids[:, 0], near[:, 0], done[:, 0], seen[:, 0] = 0, q @ self.x[0], False, True
+        first = q @ self.x[start].T
+        order = np.argsort(-first, axis=1, kind="stable")
+        ids[:, :len(start)], near[:, :len(start)], done[:, :len(start)], seen[:, start] = start[order], np.take_along_axis(first, order, axis=1), False, True
         expanded = []
         while len(rows):
             pick = np.argsort(done[rows], axis=1, kind="stable")[:, :EXPANDED]
@@ -125,7 +130,7 @@ class Graph:
         at = 1
         while at < len(self.x):
             new = np.arange(at, min(len(self.x), at + max(1, min(TOGETHER, at // 8))))
-            _, expanded = self.walk(self.x[new], beam)
+            _, expanded = self.walk(self.x[new], beam, at)
             who, node, near = (np.concatenate(a) for a in zip(*expanded, strict=True))
             self._relink(new, who, node, near)
             back = self.links[new]
@@ -180,9 +185,9 @@ class Graph:
         self.links[nodes] = out
 
     def _reach(self, beam: int) -> None:
-        """Link nodes that no path from node 0 leads to."""
+        """Link nodes that no path from an entry leads to."""
         reached = np.zeros(len(self.x), bool)
-        front = np.arange(min(1, len(self.x)))
+        front = entries(len(self.x))
         while True:
             while len(front):
                 reached[front] = True
@@ -203,6 +208,15 @@ class Graph:
             front = lost
 
 
+def entries(size: int) -> np.ndarray:
+    return np.unique(np.linspace(0, size - 1, ENTRIES).astype(np.int64)) if size else np.empty(0, np.int64)
+
+
+def by_norm(x: np.ndarray) -> np.ndarray:
+    """Order of insertion: long vectors, which most inner products favour, first."""
+    return np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, x, key): vectors that take part, as doubles, with a 128-bit hash that names equal ones."""
     x = F.transform(F.col(vec_col).cast("array<double>"), lambda e: e + F.lit(0.0))  # -0.0 becomes 0.0
@@ -243,6 +257,7 @@ def build_index(distinct: DataFrame, n_rows: int, shard_rows: int = SHARD_ROWS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def built(own: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(parts)
+            whole = whole.take(pa.array(by_norm(_matrix(whole.column("x").combine_chunks(), own[1]))))
             keys, least, lists = (whole.column(c).combine_chunks() for c in ("key", "least", "x"))
             links = Graph(_matrix(lists, own[1]), degree, beam, relax).neighbours()
             for at in range(0, len(keys), 4096):
