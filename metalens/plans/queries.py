@@ -738,20 +738,43 @@ def q_naive_bayes_landmarker(spark, sf):
     return out.select("dataset_id", rnd("value").alias("value"))
 
 
+ENCODE_FOLDS = 5
+
+
+def _encoded(spark, sf, one_hot_max):
+    from metalens.operators.encoding import Encoding
+    from metalens.operators.landmarkers import hash_folds
+    cells, labels = _cells_labels(spark, sf)
+    rows = Encoding(cells, hash_folds(labels, ENCODE_FOLDS, FOLD_SEED), one_hot_max=one_hot_max).encoded()
+    return rows.select("dataset_id", "held", "row_id", "size", F.explode("entries").alias("e")).select(
+        "dataset_id", "held", "row_id", F.col("size").cast("long").alias("size"), F.col("e.pos").cast("long").alias("pos"), rnd("e.value", 8).alias("value"))
+
+
+@register("encoded_frame")
+def q_encoded_frame(spark, sf):
+    """Every row of every dataset encoded by the other folds' rows: means and 0/1 columns."""
+    return _encoded(spark, sf, 10)
+
+
+@register("encoded_target")
+def q_encoded_target(spark, sf):
+    """The same with class shares for attributes of more than 3 categories."""
+    return _encoded(spark, sf, 3)
+
+
 # --- fitting recommended pipelines (pyspark.ml) ---------------------------------------------
 
 SCORED_RECOMMENDATIONS = 3
 
 
 def _scored(spark, sf, folds):
-    from metalens.operators.modeling import dataset_frame, score_recommendations
-    cells, labels = _cells_labels(spark, sf)
-    frame = dataset_frame(cells, labels, QUERY_DATASET, NUMERIC_ATTRS)
+    from metalens.operators.modeling import encoded_splits, score_recommendations
+    frame = encoded_splits(*_cells_labels(spark, sf), QUERY_DATASET, folds)
     rest = _mdbase_evals(spark, sf)
     off = recommend.average_regret_offline(rest, fixture(spark, sf, "pipelines"), METRIC)
     recs = [r["pipeline_id"] for r in recommend.average_regret_online(off, SCORED_RECOMMENDATIONS, MIN_EVALS)
             .orderBy("rank").collect()]
-    return score_recommendations(spark, recs, frame, _steps(spark, sf), _params(spark, sf), len(NUMERIC_ATTRS), folds)
+    return score_recommendations(spark, recs, frame, _steps(spark, sf), _params(spark, sf))
 
 
 @register("fit_score_recommended")
