@@ -702,24 +702,24 @@ FROM st JOIN r ON r.pos BETWEEN st.start AND st.run_end, c"""
 def _encoding(one_hot_max: int) -> str:
     """Each held fold's statistics straight from the other folds' rows."""
     return _CELLS + f""",
-folds AS (SELECT dataset_id, row_id, y, CAST('0x' || substr(md5(concat_ws(':', 3, row_id)), 1, 8) AS BIGINT) % 5 AS fold FROM labels),
-f AS (SELECT c.*, fold, y FROM cells c JOIN folds USING (dataset_id, row_id)),
+folds AS MATERIALIZED (SELECT dataset_id, row_id, y, CAST('0x' || substr(md5(concat_ws(':', 3, row_id)), 1, 8) AS BIGINT) % 5 AS fold FROM labels),
+f AS MATERIALIZED (SELECT c.*, fold, y FROM cells c JOIN folds USING (dataset_id, row_id)),
 fids AS (SELECT DISTINCT dataset_id, fold AS held FROM folds),
-train AS (SELECT f.*, held FROM f JOIN fids USING (dataset_id) WHERE fold <> held),
-means AS (SELECT dataset_id, held, attr, coalesce(avg(num_val), 0.0) AS mean FROM train WHERE NOT is_cat GROUP BY ALL),
-cats AS (SELECT dataset_id, held, attr, cat_val, count(*) AS n FROM train WHERE is_cat AND cat_val IS NOT NULL GROUP BY ALL),
-kinds AS (
+train AS MATERIALIZED (SELECT f.*, held FROM f JOIN fids USING (dataset_id) WHERE fold <> held),
+means AS MATERIALIZED (SELECT dataset_id, held, attr, coalesce(avg(num_val), 0.0) AS mean FROM train WHERE NOT is_cat GROUP BY ALL),
+cats AS MATERIALIZED (SELECT dataset_id, held, attr, cat_val, count(*) AS n FROM train WHERE is_cat AND cat_val IS NOT NULL GROUP BY ALL),
+kinds AS MATERIALIZED (
   SELECT dataset_id, held, attr, min(cat_val) AS first_cat, CASE WHEN count(*) <= 2 THEN 'ordinal' WHEN count(*) <= {one_hot_max} THEN 'one_hot' ELSE 'target' END AS kind
   FROM cats GROUP BY ALL),
 ys AS (SELECT dataset_id, held, y, count(*) AS n FROM folds JOIN fids USING (dataset_id) WHERE fold <> held GROUP BY ALL),
-classes AS (SELECT * FROM (SELECT dataset_id, held, y, n / sum(n) OVER w AS share, min(y) OVER w AS first_y FROM ys WINDOW w AS (PARTITION BY dataset_id, held)) WHERE y <> first_y),
+classes AS MATERIALIZED (SELECT * FROM (SELECT dataset_id, held, y, n / sum(n) OVER w AS share, min(y) OVER w AS first_y FROM ys WINDOW w AS (PARTITION BY dataset_id, held)) WHERE y <> first_y),
 names AS (
   SELECT dataset_id, held, attr, '' AS part FROM means UNION ALL SELECT dataset_id, held, attr, '' FROM kinds WHERE kind = 'ordinal'
   UNION ALL SELECT dataset_id, held, attr, cat_val FROM cats JOIN kinds USING (dataset_id, held, attr) WHERE kind = 'one_hot'
   UNION ALL SELECT dataset_id, held, attr, y FROM kinds JOIN classes USING (dataset_id, held) WHERE kind = 'target'),
-pos AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, held ORDER BY attr, part) - 1 AS pos, count(*) OVER (PARTITION BY dataset_id, held) AS size FROM names),
-x AS (SELECT dataset_id, fold AS held, row_id, attr, is_cat, num_val, cat_val FROM f),
-shares AS (
+pos AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dataset_id, held ORDER BY attr, part) - 1 AS pos, count(*) OVER (PARTITION BY dataset_id, held) AS size FROM names),
+x AS MATERIALIZED (SELECT dataset_id, fold AS held, row_id, attr, is_cat, num_val, cat_val FROM f),
+shares AS MATERIALIZED (
   SELECT t.dataset_id, t.held, t.attr, t.cat_val, c.y, (count(*) FILTER (WHERE t.y = c.y) + c.share) / (count(*) + 1) AS share
   FROM train t JOIN classes c USING (dataset_id, held) WHERE is_cat AND cat_val IS NOT NULL GROUP BY t.dataset_id, t.held, t.attr, t.cat_val, c.y, c.share),
 vals AS (
@@ -731,7 +731,7 @@ vals AS (
   SELECT x.dataset_id, x.held, row_id, x.attr, c.y, coalesce(s.share, c.share)
   FROM x JOIN kinds USING (dataset_id, held, attr) JOIN classes c USING (dataset_id, held)
   LEFT JOIN shares s ON s.dataset_id = x.dataset_id AND s.held = x.held AND s.attr = x.attr AND s.cat_val = x.cat_val AND s.y = c.y WHERE kind = 'target')
-SELECT dataset_id, held, row_id, size, pos, round(value, 8) AS value FROM vals JOIN pos USING (dataset_id, held, attr, part) WHERE value <> 0"""
+SELECT dataset_id, held, row_id, size, pos, round(value, 6) AS value FROM vals JOIN pos USING (dataset_id, held, attr, part) WHERE value <> 0"""
 
 
 ORACLE["encoded_frame"] = _encoding(10)

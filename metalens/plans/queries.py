@@ -747,7 +747,7 @@ def _encoded(spark, sf, one_hot_max):
     cells, labels = _cells_labels(spark, sf)
     rows = Encoding(cells, hash_folds(labels, ENCODE_FOLDS, FOLD_SEED), one_hot_max=one_hot_max).encoded()
     return rows.select("dataset_id", "held", "row_id", "size", F.explode("entries").alias("e")).select(
-        "dataset_id", "held", "row_id", F.col("size").cast("long").alias("size"), F.col("e.pos").cast("long").alias("pos"), rnd("e.value", 8).alias("value"))
+        "dataset_id", "held", "row_id", F.col("size").cast("long").alias("size"), F.col("e.pos").cast("long").alias("pos"), rnd("e.value", 6).alias("value"))
 
 
 @register("encoded_frame")
