@@ -36,10 +36,12 @@ from .tokens import ENCODE_BYTES, encoder_for, tokenizer_spec, with_end
 CAPACITY = 2048
 
 
-def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+        with_ids: bool = True) -> DataFrame:
     """Pieces (part, nth, doc_id, piece, start, length, ids_crc32, ids) of at most ``capacity`` ids, written once.
 
     (part, length, nth) is unique: nth counts the pieces of that length in the part.
+    ``with_ids`` tells whether the ids themselves are written, for ``sequences``.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_spec(tokenizer_path))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -60,12 +62,14 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPAC
                 ends = np.concatenate(([0], np.cumsum(length)))
                 data = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
                 crcs = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), part, np.int32)), pa.array(nth), batch.column(0).slice(begin, rows).take(pa.array(row)), pa.array(piece.astype(np.int32)),
-                     pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))],
-                    names=["part", "nth", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                columns = [pa.array(np.full(len(row), part, np.int32)), pa.array(nth), batch.column(0).slice(begin, rows).take(pa.array(row)), pa.array(piece.astype(np.int32)),
+                           pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "nth", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])
 
-    return written(source.mapInArrow(run, "part int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"), "pieces")
+    schema = "part int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return written(source.mapInArrow(run, schema), "pieces")
 
 
 def _counted(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -135,8 +139,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = cut(docs, tokenizer_path, end_id, capacity)
-    return place(pieces.drop("ids"), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = cut(docs, tokenizer_path, end_id, capacity, with_ids=False)
+    return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -7,12 +7,17 @@ tokenizer's own rules cut as well, so the ids are those of the whole text:
 * "spaced" (byte-level BPE, white space goes with what follows it): before a run
   of ASCII white space. Texts with other white space or control characters are
   encoded whole.
-* "words" (white space is dropped): at ASCII white space.
+* "words" (white space is dropped): before a run of ASCII white space.
 * Any other tokenizer encodes whole texts.
 
-The strings of added tokens get those tokens' ids, as the library gives them. A
-chunk that holds one is encoded whole; texts are not cut if an added token has
-white space in it or takes in what stands beside it.
+Chunks that are new are encoded in one call, as one text with an added token
+between them: the library takes added tokens out first, so each chunk gets its
+own ids. The strings of added tokens get those tokens' ids, as the library gives
+them. A chunk that holds one is encoded alone; texts are not cut if an added
+token has white space in it or takes in what stands beside it.
+
+Cases: an empty text has no ids; nulls must be made empty before; very long texts
+are encoded like others, in one slice of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +35,21 @@ from .common import worker_local
 
 #: Text encoded at once.
 ENCODE_BYTES = 2 << 20
-#: Distinct chunks whose ids a worker remembers; beyond, it starts anew.
+#: Distinct chunks whose ids a worker remembers; beyond, it keeps the half that it met most often.
 MEMORY = 600_000
 
 #: White space and control characters that count differently in different libraries, or would clash with the mark.
 _ODD = r"[\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Letters for which lower case and composition are plain, then signs that no rule treats apart. Each group is one word to the patterns.
-_PARTS = {"spaced": re.compile("(\n)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%#$*&|<>()]+)?").fullmatch,
-          "words": re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%#$*&|<>()]+)?").fullmatch}
+#: ASCII white space before which each kind of tokenizer cuts.
+_SPACES = {"spaced": b" \t\n\f\r", "words": b" \t\n\v\f\r"}
+#: Bytes that may be part of what ``_ODD`` finds.
+_ODD_BYTES = bytes([0, 0x0B, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
+
 
-#: Byte-level BPE writes each byte as a character: printable Latin-1 ones as themselves, the others in order from 256.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-_ASCII_CHARS = {b: c for b, c in _BYTE_CHARS.items() if b < 128 and b != c}
+def _table(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
 
 
 def added_strings(spec: dict) -> list[str]:
@@ -68,72 +74,120 @@ def chunking_of(spec: dict) -> str | None:
     return None
 
 
+def separator_of(spec: dict) -> tuple[str, int] | None:
+    """(string, id) of an added token that can stand between texts without changing what is found in them."""
+    added = added_strings(spec)
+    for t in spec.get("added_tokens") or []:
+        mark = t["content"]
+        joins = (a[-n:] == mark[:n] or mark[-n:] == a[:n] for a in added for n in range(1, min(len(a), len(mark)) + (a != mark)))
+        if mark and not any(joins):
+            return mark, t["id"]
+    return None
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the texts, all their bytes)."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0]:offsets[-1]]
+
+
 class Encoder:
     """Encodes many texts with one tokenizer; ``spec`` is the tokenizer file's content."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, memory: int = MEMORY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(spec)
         content = json.loads(spec)
-        self.chunking, self.added = chunking_of(content), added_strings(content)
-        self.parts = _PARTS.get(self.chunking or "")
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, texts: pa.Array) -> pa.Array:
-        if self.chunking == "words":
-            return pc.ascii_split_whitespace(texts)
-        if self.chunking == "spaced":
-            odd = pc.match_substring_regex(texts, _ODD)
-            whole = pc.if_else(odd, "", texts)  # these are put in later
-            return pc.split_pattern(pc.replace_substring_regex(whole, r"[ \t\n\f\r]+", "\x00\\0"), "\x00")
-        raise ValueError(self.chunking)
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, rest = self.known, []
-        for c in [c for c in chunks if c not in known]:
-            m = self.parts(c)
-            if m and not any(t in c for t in self.added):  # rules that cut by kind of character take these parts one by one
-                known[c] = b"".join([known.get(p) or self._learn_part(p) for p in m.groups() if p])
-            else:
-                rest.append(c)
-        known.update(zip(rest, self.whole(rest), strict=True))
-
-    def _learn_part(self, part: str) -> bytes:
-        """Ids of a part that the rules leave in one piece: the model alone decides on it."""
-        piece = part if self.chunking == "spaced" else part.lower()
-        chars = piece.translate(_ASCII_CHARS) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = self.known[part] = array("i", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
-        return ids
+        self.chunking, self.added, self.mark, self.memory = chunking_of(content), added_strings(content), separator_of(content), memory
+        self.known: dict[str, int] = {}  # chunk: its number
+        self.starts, self.sizes, self.met, self.ids = (np.empty(0, np.int64) for _ in range(4))
+        self.ids = self.ids.astype(np.int32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, chunks: list[str], apart: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each) of chunks; ``apart`` if they hold added tokens."""
+        if self.mark is None or apart:
+            own = self.whole(chunks)
+            return np.concatenate([np.empty(0, np.int32), *own]), np.fromiter(map(len, own), np.int64, len(own))
+        mark, mark_id = self.mark
+        ids = self.whole([mark.join(chunks) + mark])[0]
+        is_mark = ids == mark_id
+        return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+
+    def _odd(self, texts: pa.Array, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that have to be encoded whole."""
+        at = np.unique(np.searchsorted(offsets, np.flatnonzero(_table(_ODD_BYTES)[data]), side="right") - 1)
+        found = pc.match_substring_regex(texts.take(pa.array(at)), _ODD) if len(at) else pa.array([], pa.bool_())
+        return at[found.to_numpy(zero_copy_only=False).astype(bool)]
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of distinct chunks; new ones are encoded."""
+        if len(self.known) > self.memory:
+            self._forget()
+        numbers = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh = [chunks[i] for i in new.tolist()]
+            every = "\n".join(fresh)
+            found = [t for t in self.added if t in every]  # rarely any
+            apart = [c for c in fresh if any(t in c for t in found)] if found else []
+            plain = [c for c in fresh if not any(t in c for t in found)] if found else fresh
+            for some in (plain, apart):
+                if some:
+                    ids, sizes = self._encoded(some, some is apart)
+                    self.known.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some)), strict=True))
+                    self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+                    self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+                    self.met = np.concatenate((self.met, np.zeros(len(some), np.int64)))
+            numbers[new] = [self.known[c] for c in fresh]
+        self.met[numbers] += 1
+        return numbers
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.met, kind="stable")[:self.memory // 2])
+        place = np.full(len(self.met), -1)
+        place[kept] = np.arange(len(kept))
+        self.known = {c: n for c, n in zip(self.known, place[list(self.known.values())].tolist(), strict=True) if n >= 0}
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        self.starts, self.sizes, self.met = ends - sizes, sizes, self.met[kept] // 2
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); no nulls in ``texts``."""
         if self.chunking is None:
             own = self.whole(texts.to_pylist())
-            return np.frombuffer(b"".join(own), np.int32), np.array([len(x) // 4 for x in own], np.int64)
-        lists = self._chunks(texts)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        enc = lists.flatten().dictionary_encode()
-        codes, chunks = enc.indices.to_numpy(zero_copy_only=False), enc.dictionary.to_pylist()
-        self._learn(chunks)
-        packed = [self.known[c] for c in chunks]
-        if self.chunking == "spaced":
-            odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
-            if len(odd):  # such a text has been split as an empty one, into one chunk
-                codes = codes.copy()
-                codes[offsets[odd] - offsets[0]] = len(packed) + np.arange(len(odd))
-                packed += self.whole(texts.take(pa.array(odd)).to_pylist())
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        ids, begins = np.frombuffer(b"".join(packed), np.int32), np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        n = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
-        out = ids[np.repeat((begins[codes] - ends[:-1]).astype(kind), n) + np.arange(ends[-1], dtype=kind)]
-        return out, np.diff(ends[offsets - offsets[0]])
+            return np.concatenate([np.empty(0, np.int32), *own]), np.array([len(x) for x in own], np.int64)
+        offsets, data = _bytes_of(texts)
+        odd = self._odd(texts, offsets, data) if self.chunking == "spaced" else np.empty(0, np.int64)
+        if len(odd):  # put in at the end
+            whole = self.whole(texts.take(pa.array(odd)).to_pylist())
+            is_odd = np.zeros(len(texts), bool)
+            is_odd[odd] = True
+            texts = pc.if_else(pa.array(is_odd), "", texts)
+            offsets, data = _bytes_of(texts)
+        space = _table(_SPACES[self.chunking])[data]
+        cut = np.concatenate((space[:1], space[1:] & ~space[:-1]))
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins = np.flatnonzero(cut)
+        ends = np.append(begins, len(data)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+        enc = chunks.dictionary_encode()
+        number = self._numbers(enc.dictionary.to_pylist())[enc.indices.to_numpy(zero_copy_only=False)]
+        n = self.sizes[number]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        kind = np.int32 if max(upto[-1], len(self.ids)) < 1 << 31 else np.int64
+        out = self.ids[np.repeat((self.starts[number] - upto[:-1]).astype(kind), n) + np.arange(upto[-1], dtype=kind)]
+        counts = np.diff(upto[np.searchsorted(begins, offsets)])
+        if len(odd):
+            sizes = np.array([len(x) for x in whole], np.int64)
+            out = np.insert(out, np.repeat(np.cumsum(counts)[odd], sizes), np.concatenate(whole))
+            counts[odd] = sizes
+        return out, counts
 
 
 def encoder_for(spec: str) -> Encoder:

@@ -22,9 +22,7 @@ ODD_TEXTS = ["", " ", "  a", "a  b", "a \n b\n\nc ", "tab\tq\r\nw", "a\x00b c",
 
 
 def _plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -56,6 +54,19 @@ def test_encoder_gives_the_ids_of_the_unmodified_tokenizer(path):
     assert want[0] == {BYTE: [505, 220, 50256, 734], WORD: [637, 49407, 1237]}[path]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_that_forgets_gives_the_same_ids(path):
+    rng = random.Random(13)
+    encoder, plain = Encoder(tokenizer_spec(path), memory=40), _plain(path)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["the", "a\n", "of", f"w{rng.randrange(500)}", "x\u2003y", "<|endoftext|>", "", "é"]) for _ in range(rng.randrange(30))) for _ in range(9)]
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    ids, counts = encoder.encode(pa.array([], pa.string()))
+    assert len(ids) == len(counts) == 0
+
+
 def test_encoder_cuts_and_splits_no_added_string():
     import json
 
