@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from metalens.functions.regret import rnd
 from metalens.operators import store
 from metalens.plans import recommend
+from metalens.session import materialize
 from metalens.sources.tables import fixture
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -640,13 +641,32 @@ def q_rankml_topk(spark, sf):
     from metalens.plans.rankml import candidate_frame, fit_ranker, ranked_top_k, score_candidates, training_frame
     ev = _mdbase_evals(spark, sf)
     pv = _pipe_vecs(spark, sf)
-    frame = training_frame(ev, _dataset_vecs(spark, sf), pv, RANK_N_MODELS, METRIC)
+    frame = materialize(training_frame(ev, _dataset_vecs(spark, sf), pv, RANK_N_MODELS, METRIC))
     model = fit_ranker(frame)
     q = fixture(spark, sf, "vectors").filter(F.col("dataset_id") == QUERY_DATASET).select("embedding").first()
     cands = candidate_frame(ev, pv, list(q[0]) if q else [], None, METRIC)
     return ranked_top_k(score_candidates(model, cands), ev, TOTAL_N_CONFIGS, "predicted", METRIC)
 
 
+HASH_POSITIONS = [0, 1]
+
+
+@register("rankml_pairwise")
+def q_rankml_pairwise(spark, sf):
+    """Ranking by boosted trees on within-dataset pairs, with the hashes of the last two steps as categories."""
+    from metalens.operators.configs import step_hashes
+    from metalens.plans.pairwise import fit_pairwise, hash_columns
+    from metalens.plans.rankml import candidate_frame, ranked_top_k, training_frame
+    ev = _mdbase_evals(spark, sf)
+    pv = _pipe_vecs(spark, sf)
+    hashes = hash_columns(step_hashes(_steps(spark, sf), _params(spark, sf)), HASH_POSITIONS)
+    names = hashes.columns[1:]
+    ranker = fit_pairwise(training_frame(ev, _dataset_vecs(spark, sf), pv, RANK_N_MODELS, METRIC).join(hashes, "pipeline_id"), names)
+    q = fixture(spark, sf, "vectors").filter(F.col("dataset_id") == QUERY_DATASET).select("embedding").first()
+    cands = candidate_frame(ev, pv, list(q[0]) if q else [], None, METRIC).join(hashes, "pipeline_id")
+    return ranked_top_k(ranker.score(cands), ev, TOTAL_N_CONFIGS, "predicted", METRIC)
+
+
 # --- learner API over a leave-out view ----------------------------------------------------
 
 def _view(spark, sf):

@@ -158,3 +158,12 @@ def test_quality_model_on_awkward_and_empty_tables(spark):
     docs, labels = _quality_frames(spark, _quality_rows(200) + [(1000 + i, t, None, None, None) for i, (_, t) in enumerate(awkward_rows())])
     out = quality_model.score_quality(docs, labels).collect()
     assert len(out) == 200 + len(awkward_rows()) and all(np.isfinite([r.text_score, r.meta_score, r.score]).all() for r in out)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 23])
+def test_labels_meet_their_texts_whatever_the_filter_lets_through(spark, bits):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(5, "again"), (None, "none")], "doc_id long, text string")
+    said = spark.createDataFrame([(i, i % 2) for i in range(0, 600, 7)], "doc_id long, toxic int")
+    got = toxicity.with_labels(docs, said, bits).select("doc_id", "text", "toxic")
+    assert sorted(got.collect()) == sorted(docs.join(said, "doc_id").select("doc_id", "text", "toxic").collect())
+    assert toxicity.with_labels(docs, said.limit(0), bits).count() == 0
