@@ -10,11 +10,13 @@ tokenizer's own rules cut as well, so the ids are those of the whole text:
 * "words" (white space is dropped): before a run of ASCII white space.
 * Any other tokenizer encodes whole texts.
 
-Chunks that are new are encoded in one call, as one text with an added token
+Both also cut between plain letters and plain signs, which their rules never put
+in one piece. A new chunk of plain letters is one piece, so the model alone gives
+its ids; other new chunks are encoded in one call, as one text with an added token
 between them: the library takes added tokens out first, so each chunk gets its
-own ids. The strings of added tokens get those tokens' ids, as the library gives
-them. A chunk that holds one is encoded alone; texts are not cut if an added
-token has white space in it or takes in what stands beside it.
+own ids. A text that holds the string of an added token is encoded whole, and
+gets that token's ids as the library gives them; no text is cut if an added token
+has white space in it or takes in what stands beside it.
 
 Cases: an empty text has no ids; nulls must be made empty before; very long texts
 are encoded like others, in one slice of their own.
@@ -38,12 +40,20 @@ ENCODE_BYTES = 2 << 20
 #: Distinct chunks whose ids a worker remembers; beyond, it keeps the half that it met most often.
 MEMORY = 600_000
 
-#: White space and control characters that count differently in different libraries, or would clash with the mark.
-_ODD = r"[\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space and control characters that count differently in different libraries, and the two signs among the Latin-1 letters.
+_ODD = r"[\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{d7}\x{f7}]"
 #: ASCII white space before which each kind of tokenizer cuts.
 _SPACES = {"spaced": b" \t\n\f\r", "words": b" \t\n\v\f\r"}
 #: Bytes that may be part of what ``_ODD`` finds.
 _ODD_BYTES = bytes([0, 0x0B, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
+_ODD_AFTER_C3 = bytes([0x97, 0xB7])
+#: Letters for which lower case and composition are plain (ASCII, and those that UTF-8 writes with 0xC3), and signs that no rule treats apart.
+_LETTERS, _SIGNS = bytes([*range(65, 91), *range(97, 123), 0xC3]), b".,;:!?%#$*&|<>()"
+_PIECE = {"spaced": "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$", "words": "^[ \\t\\n\\v\\f\\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+$"}
+
+#: Byte-level BPE writes each byte as a character: printable Latin-1 ones as themselves, the others in order from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -108,9 +118,9 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, chunks: list[str], apart: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, number of each) of chunks; ``apart`` if they hold added tokens."""
-        if self.mark is None or apart:
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each) of chunks without added tokens."""
+        if self.mark is None:
             own = self.whole(chunks)
             return np.concatenate([np.empty(0, np.int32), *own]), np.fromiter(map(len, own), np.int64, len(own))
         mark, mark_id = self.mark
@@ -118,11 +128,27 @@ class Encoder:
         is_mark = ids == mark_id
         return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
 
+    def _pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that the rules leave in one piece: the model alone decides on them."""
+        if self.chunking == "words":
+            chunks = [c.strip().lower() for c in chunks]
+        tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
+        for piece in "\n".join(chunks).encode().decode("latin-1").translate(_BYTE_CHARS).split(chr(_BYTE_CHARS[10])):
+            tokens = tokenize(piece)
+            sizes.append(len(tokens))
+            flat += [t.id for t in tokens]
+        return np.array(flat, np.int32), np.array(sizes, np.int64)
+
     def _odd(self, texts: pa.Array, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Numbers of the texts that have to be encoded whole."""
-        at = np.unique(np.searchsorted(offsets, np.flatnonzero(_table(_ODD_BYTES)[data]), side="right") - 1)
+        hits = [np.flatnonzero(_table(_ODD_AFTER_C3)[data[1:]] & (data[:-1] == 0xC3))]
+        if self.chunking == "spaced":
+            hits.append(np.flatnonzero(_table(_ODD_BYTES)[data]))
+        at = np.unique(np.searchsorted(offsets, np.concatenate(hits), side="right") - 1)
         found = pc.match_substring_regex(texts.take(pa.array(at)), _ODD) if len(at) else pa.array([], pa.bool_())
-        return at[found.to_numpy(zero_copy_only=False).astype(bool)]
+        odd = [at[found.to_numpy(zero_copy_only=False).astype(bool)]]
+        odd += [np.flatnonzero(pc.match_substring(texts, t).to_numpy(zero_copy_only=False)) for t in self.added]
+        return np.unique(np.concatenate(odd))
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """The numbers of distinct chunks; new ones are encoded."""
@@ -132,13 +158,10 @@ class Encoder:
         new = np.flatnonzero(numbers < 0)
         if len(new):
             fresh = [chunks[i] for i in new.tolist()]
-            every = "\n".join(fresh)
-            found = [t for t in self.added if t in every]  # rarely any
-            apart = [c for c in fresh if any(t in c for t in found)] if found else []
-            plain = [c for c in fresh if not any(t in c for t in found)] if found else fresh
-            for some in (plain, apart):
+            piece = pc.match_substring_regex(pa.array(fresh), _PIECE[self.chunking]).to_pylist()
+            for some, encode in (([c for c, p in zip(fresh, piece, strict=True) if p], self._pieces), ([c for c, p in zip(fresh, piece, strict=True) if not p], self._encoded)):
                 if some:
-                    ids, sizes = self._encoded(some, some is apart)
+                    ids, sizes = encode(some)
                     self.known.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some)), strict=True))
                     self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
                     self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
@@ -163,7 +186,7 @@ class Encoder:
             own = self.whole(texts.to_pylist())
             return np.concatenate([np.empty(0, np.int32), *own]), np.array([len(x) for x in own], np.int64)
         offsets, data = _bytes_of(texts)
-        odd = self._odd(texts, offsets, data) if self.chunking == "spaced" else np.empty(0, np.int64)
+        odd = self._odd(texts, offsets, data)
         if len(odd):  # put in at the end
             whole = self.whole(texts.take(pa.array(odd)).to_pylist())
             is_odd = np.zeros(len(texts), bool)
@@ -172,6 +195,9 @@ class Encoder:
             offsets, data = _bytes_of(texts)
         space = _table(_SPACES[self.chunking])[data]
         cut = np.concatenate((space[:1], space[1:] & ~space[:-1]))
+        letter, sign = _table(_LETTERS)[data], _table(_SIGNS)[data]
+        letter[1:] |= data[:-1] == 0xC3
+        cut[1:] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         begins = np.flatnonzero(cut)
         ends = np.append(begins, len(data)).astype(np.int32)
