@@ -49,6 +49,8 @@ STARTS = (4, 5)
 #: A token is frequent in a text if it comes at least once in so many words; "*" marks that as a token of its own.
 FREQUENT = 250
 LABEL_ACCURACY = 0.97
+#: Bits of the filter that keeps most unlabelled texts out of the join with labels; a row for each 64 of them is broadcast.
+FILTER_BITS = 1 << 23
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumb", "loser", "scum", "bastard", "bitch", "asshole", "trash", "filth", "vermin",
            "idiota", "imbécil", "estúpido", "estúpida", "cabrón", "basura", "crétin", "connard", "salaud", "ordure", "stupide",
@@ -248,6 +250,20 @@ class ToxicityModel:
         return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def with_labels(rows: DataFrame, said: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` (doc_id, text) that ``said`` (doc_id, toxic) has labels for, with them.
+
+    A bit set of hashed labelled ids, of a fixed size, holds back other rows before
+    texts are shuffled; the few that it lets through fall out in the join.
+    """
+    def bit(doc_id: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(bits))
+
+    words = said.select(bit("doc_id").alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("mask"))
+    maybe = rows.withColumn("bit", bit("doc_id")).withColumn("word", F.floor(F.col("bit") / 64)).join(F.broadcast(words), "word")
+    return maybe.filter(F.expr("getbit(mask, cast(bit % 64 AS int)) = 1")).select("doc_id", "text").join(said, "doc_id")
+
+
 def _chosen(rows: DataFrame, n: int) -> DataFrame:
     """At most ``n`` rows by hash of doc_id."""
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -255,11 +271,14 @@ def _chosen(rows: DataFrame, n: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column] = is_held_out, max_labelled: int = MAX_LABELLED,
           max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, seed: int = 11) -> ToxicityModel:
-    """Fit on the rows of ``docs`` (doc_id, text) that aren't held out, with ``labels`` (doc_id, toxic)."""
+    """Fit on the rows of ``docs`` (doc_id, text) that aren't held out, with ``labels`` (doc_id, toxic).
+
+    Of two labels of a doc_id the larger counts. Rows to fit on are drawn by hash of doc_id.
+    """
     said = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
     said = written(said, "toxic-labels")
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    labelled = written(rows.join(said, "doc_id"), "toxic-labelled")
+    labelled = written(with_labels(rows, said), "toxic-labelled")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
@@ -291,22 +310,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
                         names=["doc_id", "votes", "toxic", "tokens"])
         return run
 
-    unknown = F.lit(None).cast("int")
-    everything = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unknown.alias("toxic"))
+    everything = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("int").alias("toxic"))
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
-    patterns = everything.mapInArrow(observe(False), schema).groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 2^N_VOTERS rows
-    said_patterns = known.mapInArrow(observe(False), schema).groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
-    left = {(r["votes"], -1): r["n"] for r in patterns}
-    for r in said_patterns:  # labelled rows count with their label
-        left[(r["votes"], -1)] -= r["n"]
-        left[(r["votes"], r["toxic"])] = r["n"]
+    said = said.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    voted = everything.mapInArrow(observe(False), schema).select("doc_id", "votes").join(said, "doc_id", "left")  # ids and votes alone are shuffled
+    left = {(r["votes"], -1 if r["toxic"] is None else r["toxic"]): r["n"] for r in voted.groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()}  # at most 3 * 2^N_VOTERS rows
     keys = [k for k, n in left.items() if n > 0]
     seen, said_as = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
     model = LabelModel().fit(seen, np.array([left[k] for k in keys], float), said_as)
 
     n_unknown = sum(n for (_, label), n in left.items() if label < 0)
-    sample = everything.join(said.select("doc_id"), "doc_id", "left_anti").sample(min(1.0, max_unlabelled / max(n_unknown, 1)), seed)
-    to_fit = known.join(_chosen(said, max_labelled).select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "toxic")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < min(1.0, max_unlabelled / max(n_unknown, 1)) * (1 << 30)
+    sample = everything.filter(drawn).join(said.select("doc_id"), "doc_id", "left_anti")
+    to_fit = known.join(_chosen(said, max_labelled).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "toxic")
     examples = to_fit.mapInArrow(observe(True), schema).unionByName(sample.mapInArrow(observe(True), schema))
     posterior = dict(zip(keys, model.posterior(seen, said_as).tolist(), strict=True))
     table = docs.sparkSession.createDataFrame([(v, label, p) for (v, label), p in posterior.items()], "votes long, label int, p double")
