@@ -10,7 +10,9 @@ beyond (query, stored), and no vector passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +71,79 @@ def most_similar(sims: DataFrame, n: int, by: str = "cosine", id_col: str = "dat
     order = [F.col(by).asc() if ascending else F.col(by).desc(), F.col(id_col).asc()]
     top = sims.filter(F.col(by).isNotNull()).orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+#: Stored vectors that a task holds while queries stream past them, about; and queries compared at once.
+SHARD_ROWS, MIN_SHARDS, QUERY_BLOCK = 65_536, 16, 256
+
+
+def many_vs_all(vectors: DataFrame, is_query: Callable[[Column], Column], n: int | None = None, by: str = "cosine", vec_col: str = "embedding",
+                id_col: str = "dataset_id", gamma: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(query_id, dataset_id, value): each query dataset against all others, exactly.
+
+    ``is_query`` names the queries by id. ``by`` is cosine, euclidean or kernel;
+    ``n`` keeps each query's n nearest (ties: smaller id). Stored vectors are dealt
+    to shards by hash, and a copy of the queries streams past each shard in blocks,
+    so a task holds one shard and the work is queries x rows, in matrix products.
+    A shard sends on n rows per query. Vectors that are null, or hold a null or
+    non-finite component, take no part, nor do zero ones for the cosine; a dataset
+    is compared with vectors of its own length.
+    """
+    if by not in ("cosine", "euclidean", "kernel"):
+        raise ValueError(f"no similarity {by}")
+    x = F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(
+        (F.size("x") > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))))
+    if by == "cosine":
+        rows = rows.filter(F.exists("x", lambda e: e != 0))
+    shards = max(MIN_SHARDS, -(-rows.count() // shard_rows))
+    stored = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.size("x").alias("dims"), F.lit(0).alias("kind"), "id", "x")
+    asked = rows.filter(is_query(F.col("id"))).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("x").alias("dims"), F.lit(1).alias("kind"), "id", "x")
+    both = stored.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dims", "kind", "id")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def scaled(x):
+            return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] if by == "cosine" else x
+
+        now, parts, own = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                shard, dims, kind = keys[a].tolist()
+                ids = batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False)
+                x = scaled(batch.column(4).slice(a, b - a).flatten().to_numpy().reshape(-1, dims))
+                if (shard, dims) != now:
+                    now, parts, own = (shard, dims), [], None
+                if kind == 0:
+                    parts.append((ids, x))
+                    continue
+                if own is None:
+                    if not parts:
+                        continue
+                    own, parts = tuple(np.concatenate(p) for p in zip(*parts, strict=True)), []
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    q, q_ids = x[at:at + QUERY_BLOCK], ids[at:at + QUERY_BLOCK]
+                    if by == "cosine":
+                        value = q @ own[1].T
+                    else:
+                        value = np.stack([np.sqrt(np.einsum("ij,ij->i", own[1] - v, own[1] - v)) for v in q])
+                        value = np.exp(-gamma * value) if by == "kernel" else value
+                    far = np.where(own[0][None, :] == q_ids[:, None], np.inf, value if by == "euclidean" else -value)
+                    order = np.argsort(far, axis=1, kind="stable")[:, :n]  # stored ids ascend, so ties go to the smaller
+                    row = np.repeat(np.arange(len(q)), order.shape[1])
+                    col = order.ravel()
+                    other = np.isfinite(far[row, col])
+                    row, col = row[other], col[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(own[0][col]), pa.array(value[row, col])], names=["query_id", "dataset_id", "value"])
+
+    out = both.mapInArrow(run, "query_id long, dataset_id long, value double")
+    if n is None:
+        return out
+    order = Window.partitionBy("query_id").orderBy(F.col("value").asc() if by == "euclidean" else F.col("value").desc(), F.col("dataset_id").asc())
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalens.functions.regret import ranking_score, rnd
+from metalens.functions.regret import ranking_score, rnd, valid_score
 from metalens.operators.sequence import blocked_rank
 from metalens.operators.store import global_row_number
 from metalens.session import materialize
@@ -88,6 +88,57 @@ def lodo_average_regret(evals: DataFrame, pipelines: DataFrame, k: int = 25, min
                     F.col("n_evals").cast("long").alias("n_evals"), "heldout_score"))
 
 
+def _own_scores(evals: DataFrame, metric: str) -> DataFrame:
+    """(held_out_id, pipeline_id, heldout_score): each dataset's mean stored score of a pipeline."""
+    e = evals.filter(F.col("metric") == metric)
+    return e.groupBy(F.col("dataset_id").alias("held_out_id"), "pipeline_id").agg(F.avg("score").alias("heldout_score"))
+
+
+def lodo_top_similarity(evals: DataFrame, neighbours: DataFrame, k: int = 25, metric: str = "neg_log_loss") -> DataFrame:
+    """Top-``k`` most-similar-datasets recommendations for every held-out dataset.
+
+    ``neighbours`` has (query_id, dataset_id, rank): the n datasets nearest to each
+    held-out one, itself excluded, so nothing of it takes part. Each neighbour
+    lends its own ranking's next ``k div n`` pipelines a round; every dataset's
+    ranking is cut at the depth that any list can reach, once for all, and meets
+    the neighbour lists in one equi-join. Returns held_out_id, rank, pipeline_id,
+    dataset_id (the lender) and heldout_score.
+    """
+    held = neighbours.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    near = neighbours.join(held, "query_id").withColumn("c", F.greatest(F.floor(F.lit(k) / F.col("n")), F.lit(1)))
+    # a dataset that lends c a round is asked for ceil(k / c) rounds at most, fewer than k + c pipelines
+    best = evals.filter((F.col("metric") == metric) & valid_score("score")).groupBy("dataset_id", "pipeline_id").agg(F.max("score").alias("best"))
+    w = Window.partitionBy("dataset_id").orderBy(F.col("best").desc(), F.col("pipeline_id").asc())
+    ranked = best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= 2 * k)
+    lists = near.select("query_id", "dataset_id", F.col("rank").alias("sim_rank"), "c").join(ranked, "dataset_id")
+    lists = lists.filter(F.col("pos") <= F.ceil(F.lit(k) / F.col("c")) * F.col("c")).withColumn("round", F.floor((F.col("pos") - 1) / F.col("c")))
+    first = lists.groupBy("query_id", "pipeline_id").agg(F.min(F.struct("round", "sim_rank", "pos", "dataset_id")).alias("p"))
+    order = Window.partitionBy("query_id").orderBy("p.round", "p.sim_rank", "p.pos")
+    top = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return (top.select(F.col("query_id").alias("held_out_id"), F.col("rank").cast("long").alias("rank"), "pipeline_id", F.col("p.dataset_id").alias("dataset_id"))
+            .join(_own_scores(evals, metric), ["held_out_id", "pipeline_id"], "left"))
+
+
+def lodo_utility(evals: DataFrame, sims: DataFrame, k: int = 25, metric: str = "neg_log_loss", higher_is_better: bool = True) -> DataFrame:
+    """Top-``k`` similarity-weighted recommendations for every held-out dataset.
+
+    ``sims`` has (query_id, dataset_id, value): each held-out dataset's similarity
+    to every other one. A held-out dataset is not among its own others, so its part
+    is out of sums and counts alike. Evaluations are summed per (dataset,
+    pipeline) before they meet the similarities; the join is that of the stated
+    held-out datasets with all evaluations. Returns held_out_id, rank, pipeline_id, utility, n_evals and heldout_score.
+    """
+    r = with_regret(evals, metric).withColumn("u", ranking_score("regret", higher_is_better))
+    own = r.groupBy("dataset_id", "pipeline_id").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("c"))
+    pairs = own.join(sims, "dataset_id")
+    scores = pairs.groupBy("query_id", "pipeline_id").agg((F.sum(F.col("value") * F.col("s")) / F.sum("c")).alias("utility"), F.sum("c").alias("n_evals"))
+    scores = scores.withColumn("utility", rnd("utility"))
+    order = Window.partitionBy("query_id").orderBy(F.col("utility").desc(), F.col("pipeline_id").asc())
+    top = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return (top.select(F.col("query_id").alias("held_out_id"), F.col("rank").cast("long").alias("rank"), "pipeline_id", "utility", F.col("n_evals").cast("long").alias("n_evals"))
+            .join(_own_scores(evals, metric), ["held_out_id", "pipeline_id"], "left"))
+
+
 def lodo_summary(recs: DataFrame, evals: DataFrame, metric: str = "neg_log_loss") -> DataFrame:
     """Per held-out dataset: best stored score among its recommendations and its regret."""
     from metalens.operators.store import dataset_bounds

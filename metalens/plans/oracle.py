@@ -736,3 +736,35 @@ SELECT dataset_id, held, row_id, size, pos, round(value, 6) AS value FROM vals J
 
 ORACLE["encoded_frame"] = _encoding(10)
 ORACLE["encoded_target"] = _encoding(3)
+
+
+_SIMILAR = """
+pairs AS (
+  SELECT q.dataset_id AS query_id, v.dataset_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS value
+  FROM {source} q JOIN {source} v ON q.dataset_id <> v.dataset_id WHERE q.dataset_id % 20 = 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, dataset_id) AS rank FROM pairs) WHERE rank <= 5)"""
+_LODO = with_fixtures("evaluations", "vectors") + """,
+e AS (SELECT * FROM evaluations WHERE metric = 'neg_log_loss'),
+stored AS (SELECT * FROM vectors WHERE dataset_id IN (SELECT dataset_id FROM evaluations)),""" + _SIMILAR.format(source="stored") + """,
+own AS (SELECT dataset_id AS held_out_id, pipeline_id, avg(score) AS heldout_score FROM e GROUP BY 1, 2)"""
+
+ORACLE["similarity_many"] = with_fixtures("vectors") + "," + _SIMILAR.format(source="vectors") + """
+SELECT query_id, rank, dataset_id, round(value, 8) AS value FROM near"""
+
+ORACLE["lodo_top_similarity"] = _LODO + """,
+best AS (SELECT dataset_id, pipeline_id, row_number() OVER (PARTITION BY dataset_id ORDER BY max(score) DESC, pipeline_id) AS pos FROM e GROUP BY 1, 2),
+sized AS (SELECT *, greatest(25 // count(*) OVER (PARTITION BY query_id), 1) AS c FROM near),
+lists AS (SELECT query_id, rank AS sim_rank, dataset_id, pipeline_id, pos, (pos - 1) // c AS turn FROM sized JOIN best USING (dataset_id)),
+firsts AS (SELECT query_id, pipeline_id, min(struct_pack(turn := turn, sim_rank := sim_rank, pos := pos, dataset_id := dataset_id)) AS f FROM lists GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f) AS rank FROM firsts)
+SELECT query_id AS held_out_id, rank, pipeline_id, f.dataset_id AS dataset_id, round(heldout_score, 10) AS heldout_score
+FROM top LEFT JOIN own ON held_out_id = query_id AND own.pipeline_id = top.pipeline_id WHERE rank <= 25"""
+ORACLE["lodo_top_similarity"] = ORACLE["lodo_top_similarity"].replace("rank, pipeline_id, f.dataset_id", "rank, top.pipeline_id AS pipeline_id, f.dataset_id")
+
+ORACLE["lodo_utility"] = _LODO + """,
+bounds AS (SELECT dataset_id, min(score) AS lo, max(score) AS hi FROM e GROUP BY 1),
+u AS (SELECT e.dataset_id, pipeline_id, 1 - CASE WHEN hi > lo THEN (hi - score) / (hi - lo) ELSE 0.0 END AS u FROM e JOIN bounds USING (dataset_id)),
+scored AS (SELECT query_id, pipeline_id, round(avg(round(value, 10) * u), 10) AS utility, count(*) AS n_evals FROM u JOIN pairs USING (dataset_id) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, pipeline_id) AS rank FROM scored)
+SELECT query_id AS held_out_id, rank, top.pipeline_id AS pipeline_id, utility, n_evals, round(heldout_score, 10) AS heldout_score
+FROM top LEFT JOIN own ON held_out_id = query_id AND own.pipeline_id = top.pipeline_id WHERE rank <= 25"""

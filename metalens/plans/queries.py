@@ -648,6 +648,42 @@ def q_rankml_topk(spark, sf):
     return ranked_top_k(score_candidates(model, cands), ev, TOTAL_N_CONFIGS, "predicted", METRIC)
 
 
+# --- similarity of many datasets, leave-one-out of the learners that use it ---------------------
+
+N_NEAREST = 5
+
+
+def _held_out(dataset_id):
+    return dataset_id % 20 == 0
+
+
+@register("similarity_many")
+def q_similarity_many(spark, sf):
+    """The most similar datasets of every dataset whose id is divisible by 20, among all."""
+    from metalens.operators.similarity import many_vs_all
+    out = many_vs_all(fixture(spark, sf, "vectors"), _held_out, N_NEAREST)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "dataset_id", rnd("value", 8).alias("value"))
+
+
+@register("lodo_top_similarity")
+def q_lodo_top_similarity(spark, sf):
+    from metalens.operators.similarity import many_vs_all
+    from metalens.plans.lodo import lodo_top_similarity
+    ev = _evals(spark, sf)
+    near = many_vs_all(recommend.known_vectors(fixture(spark, sf, "vectors"), ev), _held_out, N_NEAREST)
+    return lodo_top_similarity(ev, near, TOTAL_N_CONFIGS, METRIC).withColumn("heldout_score", rnd("heldout_score"))
+
+
+@register("lodo_utility")
+def q_lodo_utility(spark, sf):
+    from metalens.operators.similarity import many_vs_all
+    from metalens.plans.lodo import lodo_utility
+    ev = _evals(spark, sf)
+    sims = many_vs_all(recommend.known_vectors(fixture(spark, sf, "vectors"), ev), _held_out)
+    out = lodo_utility(ev, sims.withColumn("value", rnd("value")), TOTAL_N_CONFIGS, METRIC)
+    return out.withColumn("heldout_score", rnd("heldout_score"))
+
+
 HASH_POSITIONS = [0, 1]
 
 
