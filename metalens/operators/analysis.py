@@ -294,3 +294,59 @@ def cd_groups(ranks: DataFrame, n_datasets: int, alpha: float = 0.05) -> DataFra
     return (expanded.join(members, "pos")
             .select(F.col("group").cast("long"), F.col("start").cast("long"), LEARNER, "avg_rank",
                     F.lit(cd).alias("cd")))
+
+
+def signed_rank_sums(scores: DataFrame, control: str, blocks: int = 64, score_col: str = "score") -> DataFrame:
+    """Wilcoxon signed-rank sums of every other learner against ``control``.
+
+    ``scores`` has one row per (learner, dataset). Differences are control minus
+    learner on the datasets that both have a usable score for; zeros are left out,
+    and equal absolute differences share their mean rank. A learner's differences
+    are ranked in blocks of their value (approximate quantiles), so no window holds
+    all datasets. Returns (learner, n, w_plus, w_minus, ties): ties is the sum of
+    t^3 - t over groups of t equal absolute differences.
+    """
+    usable = scores.filter(valid_score(score_col))
+    own = usable.filter(F.col(LEARNER) == control).select("dataset_id", F.col(score_col).alias("_control"))
+    d = usable.filter(F.col(LEARNER) != control).join(own, "dataset_id").withColumn("_d", F.col("_control") - F.col(score_col)).filter("_d <> 0")
+    values = d.groupBy(LEARNER, F.abs("_d").alias("a")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("_d") > 0).cast("long")).alias("plus"))
+    cuts = values.groupBy(LEARNER).agg(F.percentile_approx("a", [i / blocks for i in range(1, blocks)], 10_000).alias("cuts"))
+    values = values.join(cuts, LEARNER).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col("a")))).drop("cuts")
+    counts = values.groupBy(LEARNER, "block").agg(F.sum("t").alias("n"))
+    earlier = Window.partitionBy(LEARNER).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(LEARNER, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(LEARNER, "block").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("_below", F.coalesce(F.sum("t").over(inside), F.lit(0))).join(counts, [LEARNER, "block"])
+    rank = F.col("before") + F.col("_below") + (F.col("t") + 1) / 2
+    return ranked.groupBy(LEARNER).agg(F.sum("t").alias("n"), F.sum(rank * F.col("plus")).alias("w_plus"), F.sum(rank * (F.col("t") - F.col("plus"))).alias("w_minus"),
+                                       F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+
+
+def signed_rank_tail(n: int, w: float) -> float:
+    """P(W <= w) for the smaller of two signed-rank sums of ``n`` untied differences, by counting rank subsets."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return sum(ways[:int(w) + 1]) / 2**n
+
+
+def signed_rank_tests(scores: DataFrame, control: str, alpha: float = 0.05, exact_up_to: int = 25, score_col: str = "score") -> DataFrame:
+    """Each learner against ``control``: two-sided signed-rank test, Bonferroni over the tests made.
+
+    Up to ``exact_up_to`` untied differences the tail is counted, beyond it is the
+    normal one with tie correction. Returns (learner, n, w_plus, w_minus, z, p,
+    p_adjusted, differs). Only one row of sums per learner reaches the driver.
+    """
+    spark, rows = scores.sparkSession, signed_rank_sums(scores, control, score_col=score_col).collect()
+    learners = [r[0] for r in scores.filter(F.col(LEARNER) != control).select(LEARNER).distinct().collect()]
+    sums, out = {r[LEARNER]: r for r in rows}, []
+    for name in sorted(learners):
+        r = sums.get(name)
+        n, plus, minus, ties = (int(r["n"]), float(r["w_plus"]), float(r["w_minus"]), int(r["ties"])) if r else (0, 0.0, 0.0, 0)
+        spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+        z = (plus - n * (n + 1) / 4) / math.sqrt(spread) if spread > 0 else 0.0
+        p = min(1.0, 2 * signed_rank_tail(n, min(plus, minus))) if 0 < n <= exact_up_to and not ties else math.erfc(abs(z) / math.sqrt(2))
+        adjusted = min(1.0, p * len(learners))
+        out.append((name, n, plus, minus, z, p, adjusted, adjusted < alpha))
+    return spark.createDataFrame(out, f"{LEARNER} string, n long, w_plus double, w_minus double, z double, p double, p_adjusted double, differs boolean")

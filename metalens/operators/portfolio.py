@@ -1,6 +1,7 @@
 """Greedy portfolio over a long results matrix (dataset_id, pipeline_id, regret).
 
-Missing (dataset, pipeline) cells are failures with regret 1. Since every
+Missing (dataset, pipeline) cells, and those whose regret is null or NaN, are
+failures with regret 1. Since every
 dataset's best-so-far starts at 1, a missing cell can never improve it, so the
 matrix stays sparse: a round only touches present cells.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metalens.functions.regret import ROUND_DIGITS
+from metalens.functions.regret import ROUND_DIGITS, regret_or_one
 from metalens.session import ensure_checkpoint_dir
 
 
@@ -33,7 +34,7 @@ def greedy_portfolio(matrix: DataFrame, k: int, candidates: DataFrame | None = N
     """
     spark = matrix.sparkSession
     ensure_checkpoint_dir(spark)
-    m = matrix.select("dataset_id", "pipeline_id", "regret").checkpoint()
+    m = matrix.select("dataset_id", "pipeline_id", regret_or_one("regret").alias("regret")).checkpoint()
     cands = (candidates if candidates is not None else m.select("pipeline_id")).select("pipeline_id").distinct()
     n_cands = cands.count()
     if k > n_cands:

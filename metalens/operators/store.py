@@ -97,17 +97,18 @@ def top_n_per_dataset(evals: DataFrame, n: int, metric: str, score_col: str = "s
     shuffle: each map task forwards at most ``n`` rows per dataset, so even a
     dataset holding a third of all rows costs only n x (map tasks) rows after
     the exchange. Ties are broken by pipeline id and then the record id.
+    Scores that aren't usable (null, NaN, infinite) are no candidates.
     """
     order = [F.col(score_col).desc()] + [F.col(c).asc() for c in tie_cols]
     w = Window.partitionBy("dataset_id").orderBy(*order)
-    return (evals.filter(F.col("metric") == metric)
+    return (evals.filter((F.col("metric") == metric) & valid_score(score_col))
             .withColumn("position", F.row_number().over(w))
             .filter(F.col("position") <= n))
 
 
 def top_n_global(evals: DataFrame, n: int, metric: str) -> DataFrame:
-    """Best ``n`` records over all selected datasets together (``TakeOrdered``)."""
-    return (evals.filter(F.col("metric") == metric)
+    """Best ``n`` records with a usable score over all selected datasets together (``TakeOrdered``)."""
+    return (evals.filter((F.col("metric") == metric) & valid_score("score"))
             .orderBy(F.col("score").desc(), F.col("pipeline_id").asc(), F.col("eval_id").asc())
             .limit(n))
 

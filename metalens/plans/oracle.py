@@ -679,15 +679,14 @@ JOIN ({ORACLE["avg_ranks"]}) a USING (metalearner_name)
 JOIN (SELECT metalearner_name, CAST(sum(CAST(position = 1 AS BIGINT)) AS BIGINT) AS n_first
       FROM ({ORACLE["learner_positions"]}) lp GROUP BY 1) w USING (metalearner_name)"""
 
-from metalens.operators.analysis import critical_difference as _cdiff  # noqa: E402
-
-# q_alpha for the five learners of the results stand-in, same function as the Spark side.
-_Q5 = _cdiff(5, 1) / (5 * 6 / 6.0) ** 0.5
+# Fixed values from published tables: q at 0.05 for five learners (Nemenyi), and the normal deviate of a
+# two-sided test at 0.05 over four comparisons (Bonferroni).
+_Q5, _Z4 = 2.728, 2.4977
 
 ORACLE["cd_groups"] = _PROCESSED + f""",
 ranks AS (SELECT metalearner_name, round(avg(rank), 10) AS avg_rank FROM rk GROUP BY 1),
 kn AS (SELECT (SELECT count(*) FROM ranks) AS k, (SELECT count(DISTINCT dataset_id) FROM p) AS n),
-c AS (SELECT {_Q5!r} * sqrt(k * (k + 1) / (6.0 * n)) AS cd FROM kn),
+c AS (SELECT {_Q5} * sqrt(k * (k + 1) / (6.0 * n)) AS cd FROM kn),
 r AS (SELECT metalearner_name, avg_rank, row_number() OVER (ORDER BY avg_rank, metalearner_name) AS pos FROM ranks),
 e AS (SELECT a.*, a.pos - 1 + (SELECT count(*) FROM r b, c WHERE b.pos >= a.pos AND b.avg_rank - a.avg_rank < c.cd) AS run_end
       FROM r a),
@@ -695,7 +694,7 @@ s AS (SELECT *, coalesce(max(run_end) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED
       FROM e),
 st AS (SELECT pos AS start, run_end, row_number() OVER (ORDER BY pos) AS grp FROM s
        WHERE run_end > prev_end AND run_end > pos)
-SELECT st.grp AS "group", st.start, r.metalearner_name, r.avg_rank, round(c.cd, 10) AS cd
+SELECT st.grp AS "group", st.start, r.metalearner_name, r.avg_rank, round(c.cd, 2) AS cd
 FROM st JOIN r ON r.pos BETWEEN st.start AND st.run_end, c"""
 
 
@@ -768,3 +767,12 @@ scored AS (SELECT query_id, pipeline_id, round(avg(round(value, 10) * u), 10) AS
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, pipeline_id) AS rank FROM scored)
 SELECT query_id AS held_out_id, rank, top.pipeline_id AS pipeline_id, utility, n_evals, round(heldout_score, 10) AS heldout_score
 FROM top LEFT JOIN own ON held_out_id = query_id AND own.pipeline_id = top.pipeline_id WHERE rank <= 25"""
+
+ORACLE["signed_rank"] = _PROCESSED + f""",
+d AS (SELECT o.metalearner_name, c.score - o.score AS d FROM p o JOIN p c USING (dataset_id) WHERE c.metalearner_name = 'view' AND o.metalearner_name <> 'view' AND c.score <> o.score),
+r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY metalearner_name, abs(d)) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY metalearner_name, abs(d)) AS t
+      FROM d WINDOW w AS (PARTITION BY metalearner_name ORDER BY abs(d))),
+s AS (SELECT metalearner_name, count(*) AS n, coalesce(sum(rank) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(rank) FILTER (WHERE d < 0), 0) AS w_minus, sum(t * t - 1) AS ties
+      FROM r GROUP BY 1),
+z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24 - ties / 48.0) AS z FROM s)
+SELECT metalearner_name, n, round(w_plus, 1) AS w_plus, round(w_minus, 1) AS w_minus, round(z, 8) AS z, abs(z) > {_Z4} AS differs FROM z"""

@@ -917,4 +917,15 @@ def q_cd_groups(spark, sf):
     processed = _processed(spark, sf)
     ranks = average_ranks(processed).select("metalearner_name", rnd("avg_rank").alias("avg_rank"))
     n = processed.select(F.count_distinct("dataset_id")).first()[0]  # one bounded scalar
-    return cd_groups(ranks, int(n)).withColumn("cd", rnd("cd"))
+    return cd_groups(ranks, int(n)).withColumn("cd", rnd("cd", 2))
+
+
+CONTROL = "view"
+
+
+@register("signed_rank")
+def q_signed_rank(spark, sf):
+    """Every learner against a control over all datasets, at 0.05 after Bonferroni (normal tails)."""
+    from metalens.operators.analysis import signed_rank_tests
+    out = signed_rank_tests(_processed(spark, sf), CONTROL, exact_up_to=0)
+    return out.select("metalearner_name", "n", rnd("w_plus", 1).alias("w_plus"), rnd("w_minus", 1).alias("w_minus"), rnd("z", 8).alias("z"), "differs")

@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metalens.functions.regret import valid_score
 from metalens.operators.store import relevance_labels, top_n_per_dataset
 
 
@@ -74,8 +75,8 @@ def score_candidates(model, cands: DataFrame) -> DataFrame:
 
 
 def mean_gap_to_best(evals: DataFrame, metric: str = "neg_log_loss") -> DataFrame:
-    """Per pipeline: mean over its evaluations of (its dataset's best score - score)."""
-    e = evals.filter(F.col("metric") == metric)
+    """Per pipeline: mean over its evaluations with a usable score of (its dataset's best score - score)."""
+    e = evals.filter((F.col("metric") == metric) & valid_score("score"))
     best = e.groupBy("dataset_id").agg(F.max("score").alias("best"))
     return (e.join(best, "dataset_id").groupBy("pipeline_id")
             .agg(F.avg(F.col("best") - F.col("score")).alias("gap")))

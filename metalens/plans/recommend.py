@@ -101,7 +101,7 @@ def top_similarity(evals: DataFrame, nearest: DataFrame, total_n_configs: int =
     c = max(total_n_configs // n, 1)
     depth = -(-total_n_configs // c) * c
     near = F.broadcast(nearest.select("dataset_id", F.col("rank").alias("sim_rank")))
-    best = (evals.filter(F.col("metric") == metric).join(near.select("dataset_id"), "dataset_id", "left_semi")
+    best = (evals.filter((F.col("metric") == metric) & valid_score(score_col)).join(near.select("dataset_id"), "dataset_id", "left_semi")
             .groupBy("dataset_id", "pipeline_id").agg(F.max(score_col).alias("best")))
     w = Window.partitionBy("dataset_id").orderBy(F.col("best").desc(), F.col("pipeline_id").asc())
     ranked = (best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= depth)
@@ -121,17 +121,18 @@ def results_matrix(evals: DataFrame, n_pipes: int, metric: str = "neg_log_loss",
 
     Candidates are the union of every dataset's top ``n_pipes`` pipelines. A
     candidate's score on a dataset is the mean of its evaluations there (the
-    stored stand-in for a fresh k-fold fit); regret is normalised by the
-    dataset's min and max over candidate scores. Cells without a score are
-    absent and mean regret 1 (failure).
+    stored stand-in for a fresh k-fold fit, of usable scores only); regret is
+    normalised by the dataset's min and max over candidate scores. Cells without
+    a score are absent and mean regret 1 (failure). For a metric whose low scores
+    are good, scores are turned round first.
     """
     from metalens.operators.store import candidate_set
-    e = evals.filter(F.col("metric") == metric)
-    cands = candidate_set(evals, n_pipes, metric)
+    e = evals.filter((F.col("metric") == metric) & valid_score("score"))
+    if not higher_is_better:
+        e = e.withColumn("score", -F.col("score"))
+    cands = candidate_set(e, n_pipes, metric)
     perf = (e.join(cands, "pipeline_id", "left_semi")
             .groupBy("dataset_id", "pipeline_id").agg(F.avg("score").alias("score")))
     r = perf.join(dataset_bounds(perf), "dataset_id").withColumn(
-        "regret", normalized_regret("score", "min_score", "max_score"))
-    if not higher_is_better:
-        r = r.withColumn("regret", F.lit(1.0) - F.col("regret"))
+        "regret", regret_or_one(normalized_regret("score", "min_score", "max_score")))
     return r.select("dataset_id", "pipeline_id", "regret")

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metalens.functions.regret import valid_score
 from metalens.operators import store
 from metalens.operators.views import MetaView, partial_view
 from metalens.sources import schemas
@@ -45,7 +46,9 @@ class MetaStore:
         return cls(spark, root)
 
     def evaluations(self) -> DataFrame:
-        return self.spark.read.schema(schemas.EVALUATIONS).parquet(self._p("evaluations"))
+        """All evaluations; a NaN score is a missing one, as in the CSV reader."""
+        rows = self.spark.read.schema(schemas.EVALUATIONS).parquet(self._p("evaluations"))
+        return rows.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
     def datasets(self) -> DataFrame:
         return self.spark.read.schema(schemas.DATASET_LOOKUP).parquet(self._p("datasets"))
@@ -110,7 +113,7 @@ class MetaStore:
             out = distinct.agg(F.avg("score").alias("score"), F.min("logs_name").alias("logs_name"))
         if top_n is not None:
             best = Window.partitionBy("dataset_id", "metric").orderBy(F.col("score").desc(), F.col("pipeline_id").asc(), F.col("logs_name").asc())
-            out = out.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= top_n)
+            out = out.filter(valid_score("score")).withColumn("position", F.row_number().over(best)).filter(F.col("position") <= top_n)
         return out
 
     def view(self, keep: DataFrame) -> MetaView:
@@ -146,10 +149,10 @@ class MetaStore:
         return self.evaluations().join(runs, "logs_name", "left_semi")
 
     def add_run_top(self, records: DataFrame, n: int) -> DataFrame:
-        """Append only the ``n`` best records (by score, ties by pipeline name)
+        """Append only the ``n`` best records (by usable score, ties by pipeline name)
         of each run in ``records`` (a finished search run's table part)."""
         w = Window.partitionBy("logs_name").orderBy(F.col("score").desc(), F.col("pipeline").asc())
-        best = records.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+        best = records.filter(valid_score("score")).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
         return self.add_evaluations(best)
 
     def add_dataset_characterizations(self, method: str, chars: DataFrame) -> None:
