@@ -742,7 +742,7 @@ pairs AS (
   SELECT q.dataset_id AS query_id, v.dataset_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS value
   FROM {source} q JOIN {source} v ON q.dataset_id <> v.dataset_id WHERE q.dataset_id % 20 = 0),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, dataset_id) AS rank FROM pairs) WHERE rank <= 5)"""
-_LODO = with_fixtures("evaluations", "vectors") + """,
+_LODO_SIMILAR = with_fixtures("evaluations", "vectors") + """,
 e AS (SELECT * FROM evaluations WHERE metric = 'neg_log_loss'),
 stored AS (SELECT * FROM vectors WHERE dataset_id IN (SELECT dataset_id FROM evaluations)),""" + _SIMILAR.format(source="stored") + """,
 own AS (SELECT dataset_id AS held_out_id, pipeline_id, avg(score) AS heldout_score FROM e GROUP BY 1, 2)"""
@@ -750,7 +750,7 @@ own AS (SELECT dataset_id AS held_out_id, pipeline_id, avg(score) AS heldout_sco
 ORACLE["similarity_many"] = with_fixtures("vectors") + "," + _SIMILAR.format(source="vectors") + """
 SELECT query_id, rank, dataset_id, round(value, 8) AS value FROM near"""
 
-ORACLE["lodo_top_similarity"] = _LODO + """,
+ORACLE["lodo_top_similarity"] = _LODO_SIMILAR + """,
 best AS (SELECT dataset_id, pipeline_id, row_number() OVER (PARTITION BY dataset_id ORDER BY max(score) DESC, pipeline_id) AS pos FROM e GROUP BY 1, 2),
 sized AS (SELECT *, greatest(25 // count(*) OVER (PARTITION BY query_id), 1) AS c FROM near),
 lists AS (SELECT query_id, rank AS sim_rank, dataset_id, pipeline_id, pos, (pos - 1) // c AS turn FROM sized JOIN best USING (dataset_id)),
@@ -760,7 +760,7 @@ SELECT query_id AS held_out_id, rank, pipeline_id, f.dataset_id AS dataset_id, r
 FROM top LEFT JOIN own ON held_out_id = query_id AND own.pipeline_id = top.pipeline_id WHERE rank <= 25"""
 ORACLE["lodo_top_similarity"] = ORACLE["lodo_top_similarity"].replace("rank, pipeline_id, f.dataset_id", "rank, top.pipeline_id AS pipeline_id, f.dataset_id")
 
-ORACLE["lodo_utility"] = _LODO + """,
+ORACLE["lodo_utility"] = _LODO_SIMILAR + """,
 bounds AS (SELECT dataset_id, min(score) AS lo, max(score) AS hi FROM e GROUP BY 1),
 u AS (SELECT e.dataset_id, pipeline_id, 1 - CASE WHEN hi > lo THEN (hi - score) / (hi - lo) ELSE 0.0 END AS u FROM e JOIN bounds USING (dataset_id)),
 scored AS (SELECT query_id, pipeline_id, round(avg(round(value, 10) * u), 10) AS utility, count(*) AS n_evals FROM u JOIN pairs USING (dataset_id) GROUP BY 1, 2),
@@ -776,3 +776,29 @@ s AS (SELECT metalearner_name, count(*) AS n, coalesce(sum(rank) FILTER (WHERE d
       FROM r GROUP BY 1),
 z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24 - ties / 48.0) AS z FROM s)
 SELECT metalearner_name, n, round(w_plus, 1) AS w_plus, round(w_minus, 1) AS w_minus, round(z, 8) AS z, abs(z) > {_Z4} AS differs FROM z"""
+
+
+def _lodo_portfolio_sql(k: int) -> str:
+    """Greedy picks of every held-out dataset from all other datasets' cells, one by one."""
+    parts = [_MATRIX + """,
+held AS (SELECT DISTINCT dataset_id AS held_out_id FROM m WHERE dataset_id % 20 = 0),
+best1 AS MATERIALIZED (SELECT held_out_id, dataset_id, 1.0 AS best FROM held, (SELECT DISTINCT dataset_id FROM m) WHERE dataset_id <> held_out_id),
+total AS (SELECT held_out_id, count(*) AS others FROM best1 GROUP BY 1),
+pick0 AS (SELECT NULL AS held_out_id, NULL AS pipeline_id, NULL AS position, NULL AS gain WHERE false)"""]
+    for i in range(1, k + 1):
+        parts.append(f"""
+gain{i} AS (
+  SELECT held_out_id, pipeline_id, round(sum(greatest(best - regret, 0.0)), 10) AS gain FROM best{i} JOIN m USING (dataset_id)
+  WHERE (held_out_id, pipeline_id) NOT IN (SELECT (held_out_id, pipeline_id) FROM pick{i - 1}) GROUP BY 1, 2),
+pick{i} AS MATERIALIZED (
+  SELECT * FROM pick{i - 1} UNION ALL
+  SELECT held_out_id, pipeline_id, {i}, gain FROM (SELECT *, row_number() OVER (PARTITION BY held_out_id ORDER BY gain DESC, pipeline_id) AS nth FROM gain{i}) WHERE nth = 1),
+best{i + 1} AS MATERIALIZED (
+  SELECT held_out_id, dataset_id, least(best, coalesce(regret, 1.0)) AS best
+  FROM best{i} JOIN (SELECT held_out_id, pipeline_id FROM pick{i} WHERE position = {i}) USING (held_out_id) LEFT JOIN m USING (dataset_id, pipeline_id))""")
+    return ",".join(parts) + f"""
+SELECT held_out_id, CAST(position AS BIGINT) AS position, pipeline_id, gain, round(others - sum(gain) OVER (PARTITION BY held_out_id ORDER BY position), 10) AS total_regret
+FROM pick{k} JOIN total USING (held_out_id)"""
+
+
+ORACLE["lodo_portfolio"] = _lodo_portfolio_sql(3)

@@ -684,6 +684,15 @@ def q_lodo_utility(spark, sf):
     return out.withColumn("heldout_score", rnd("heldout_score"))
 
 
+@register("lodo_portfolio")
+def q_lodo_portfolio(spark, sf):
+    """Greedy portfolios with each dataset whose id is divisible by 20 held out in turn."""
+    from metalens.operators.portfolio import lodo_portfolios
+    m = recommend.results_matrix(_evals(spark, sf), MATRIX_N, METRIC).withColumn("regret", rnd("regret"))
+    held = m.filter(_held_out(F.col("dataset_id"))).select(F.col("dataset_id").alias("held_out_id"))
+    return lodo_portfolios(m, held, PORTFOLIO_K).withColumn("gain", rnd("gain"))
+
+
 HASH_POSITIONS = [0, 1]
 
 

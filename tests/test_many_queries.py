@@ -94,3 +94,19 @@ def test_leave_one_out_utility_equals_separate_runs(spark, evals, stored):
         own = one_vs_all(stored.filter(F.col("dataset_id") != h), stored.filter(F.col("dataset_id") == h))
         for r in recommend.utility_online(recommend.utility_scores(rest, pipes, own), 6).collect():
             assert got[h, r["rank"]] == (r.pipeline_id, pytest.approx(r.utility, abs=1e-9))
+
+
+@pytest.mark.parametrize(("seed", "density"), [(1, 0.9), (2, 0.4), (3, 0.15)])
+def test_leave_one_out_portfolios_equal_separate_greedy_runs(spark, seed, density):
+    from metalens.operators.portfolio import greedy_portfolio, lodo_portfolios
+
+    rng = random.Random(seed)
+    cells = [(d, p, rng.choice([0.0, 0.25, 0.5, 0.75, round(rng.random(), 2)])) for d in range(9) for p in range(8) if rng.random() < density]
+    matrix = spark.createDataFrame(cells, "dataset_id long, pipeline_id long, regret double")
+    held = spark.createDataFrame([(0,), (3,), (6,), (99,)], "held_out_id long")
+    got = {}
+    for r in lodo_portfolios(matrix, held, 3).collect():
+        got.setdefault(r.held_out_id, []).append((r.position, r.pipeline_id, round(r.gain, 9), round(r.total_regret, 9)))
+    for h in (0, 3, 6, 99):
+        own = greedy_portfolio(matrix.filter(F.col("dataset_id") != h), 3).collect()
+        assert sorted(got[h]) == [(r.position, r.pipeline_id, round(r.gain, 9), round(r.total_regret, 9)) for r in own]
