@@ -322,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     n_unknown = sum(n for (_, label), n in left.items() if label < 0)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < min(1.0, max_unlabelled / max(n_unknown, 1)) * (1 << 30)
     sample = everything.filter(drawn).join(said.select("doc_id"), "doc_id", "left_anti")
-    to_fit = known.join(_chosen(said, max_labelled).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "toxic")
+    to_fit = known.join(F.broadcast(_chosen(said, max_labelled).select("doc_id")), "doc_id", "left_semi")  # at most max_labelled ids.select("doc_id", "text", "toxic")
     examples = to_fit.mapInArrow(observe(True), schema).unionByName(sample.mapInArrow(observe(True), schema))
     posterior = dict(zip(keys, model.posterior(seen, said_as).tolist(), strict=True))
     table = docs.sparkSession.createDataFrame([(v, label, p) for (v, label), p in posterior.items()], "votes long, label int, p double")
