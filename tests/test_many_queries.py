@@ -96,6 +96,26 @@ def test_leave_one_out_utility_equals_separate_runs(spark, evals, stored):
             assert got[h, r["rank"]] == (r.pipeline_id, pytest.approx(r.utility, abs=1e-9))
 
 
+def test_leave_one_out_utility_of_vectors_equals_that_of_similarities_without_rows_for_them(spark):
+    rng = random.Random(5)
+    rows = [*vectors(), (8, [1.0, 2.0, 0.0, -1.0]), (20, [1.0, 1.0, 0.0, 2.0]), (40, [2.0, 3.0]), (None, [1.0] * 4)]  # ids that come twice, also of two lengths
+    stored = spark.createDataFrame(rows, VECTORS).repartition(3)
+    cells = [(i, rng.choice([*range(90), 240, 260, 261, 500, None]), rng.choice([1, 1, 2, 3, *range(4, 20), None]), rng.choice([None, *[rng.random()] * 9]), rng.choice(["neg_log_loss"] * 4 + ["other"]))
+             for i in range(1500)]
+    evals = spark.createDataFrame(cells, EVALS)
+
+    def is_held(i):
+        return i % 20 == 0
+
+    sims = many_vs_all(stored.filter("dataset_id IS NOT NULL"), is_held).withColumn("value", F.round("value", 10))
+    want = sorted(map(tuple, lodo.lodo_utility(evals, sims, 6).collect()), key=lambda r: (r[0], r[2]))
+    for sizes in ({}, {"held_block": 2, "stream_rows": 400, "chunk": 7}):
+        out = lodo.lodo_utility_of_vectors(evals, stored, is_held, 6, **sizes)
+        got = sorted(map(tuple, out.collect()), key=lambda r: (r[0], r[2]))
+        assert [(r[0], r[2], r[1], r[4]) for r in got] == [(r[0], r[2], r[1], r[4]) for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-10) and [r[5] for r in got] == [r[5] for r in want]
+
+
 @pytest.mark.parametrize(("seed", "density"), [(1, 0.9), (2, 0.4), (3, 0.15)])
 def test_leave_one_out_portfolios_equal_separate_greedy_runs(spark, seed, density):
     from metalens.operators.portfolio import greedy_portfolio, lodo_portfolios
