@@ -322,41 +322,48 @@ def decision_tree_f1(cells: DataFrame, folds: DataFrame, max_depth: int = 8, n_b
     Gini trees on equal-width bin edges are grown level by level for every
     dataset and fold at once. Each row appears once per fold, as a training
     row (fold != f) or as a test row (fold == f); test rows descend the same
-    splits. A level is: class counts per (dataset, fold, node, attr, bin) from
-    the training rows, the best split per node (fixed-width left sums, no bin x
-    class grid), and the children assignment by one join. The assignment is
-    written every level so the lineage stays one level long. Impure nodes
-    with a valid split are split until ``max_depth``; a leaf predicts its
-    majority class (ties: smallest label).
+    splits. Rows carry their own bins and, being alike in all that a tree can
+    see, are counted once with their number; so no level joins rows with cells.
+    A level is: class counts per (dataset, fold, node, attr, bin) from the
+    training rows, the best split per node (fixed-width left sums, no bin x class
+    grid), and the children assignment by a join with the splits. Assignment,
+    majorities and splits are written every level, so the lineage stays one level
+    long and small tables are known to be small. Impure nodes with a valid split
+    are split until ``max_depth``; a leaf predicts its majority class (ties:
+    smallest label).
     """
     from metalens.session import materialize
 
-    bx = materialize(_bins(cells, n_bins).select("dataset_id", "row_id", "attr", "bin"))
-    k_folds = folds.select("dataset_id", "fold").distinct()
+    own = (_bins(cells, n_bins).groupBy("dataset_id", "row_id")
+           .agg(F.sort_array(F.collect_list(F.struct("attr", "bin"))).alias("cells")))
+    rows = (folds.select("dataset_id", "row_id", "y", F.col("fold").alias("own_fold")).join(own, ["dataset_id", "row_id"], "left")
+            .groupBy("dataset_id", "own_fold", "y", "cells").agg(F.count(F.lit(1)).alias("n")))
+    rows = materialize(rows)
+    k_folds = materialize(rows.select("dataset_id", "own_fold").distinct()).withColumnRenamed("own_fold", "f")
     asg = materialize(
-        folds.select("dataset_id", "row_id", "y", F.col("fold").alias("own_fold"))
-        .join(k_folds.withColumnRenamed("fold", "f"), "dataset_id")
-        .select("dataset_id", F.col("f").alias("fold"), "row_id", "y",
+        rows.join(k_folds, "dataset_id")
+        .select("dataset_id", F.col("f").alias("fold"), "y", "cells", "n",
                 (F.col("own_fold") == F.col("f")).alias("is_test"), F.lit(1).cast("long").alias("node")))
     keys = ["dataset_id", "fold", "node"]
     majorities, finished = [], []
     for depth in range(max_depth + 1):
         train = asg.filter(~F.col("is_test"))
-        node_cls = train.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
-        majority = node_cls.groupBy(*keys).agg(
+        node_cls = train.groupBy(*keys, "y").agg(F.sum("n").alias("n"))
+        majority = materialize(node_cls.groupBy(*keys).agg(
             F.min_by("y", F.struct((-F.col("n")).alias("neg_n"), F.col("y"))).alias("y_hat"),
-            F.count(F.lit(1)).alias("n_classes"))
+            F.count(F.lit(1)).alias("n_classes")))
         majorities.append(majority.select(*keys, "y_hat"))
         if depth == max_depth:
             finished.append(asg)
             break
         impure = majority.filter(F.col("n_classes") > 1).select(*keys)
-        counts = (train.join(impure, keys, "left_semi").join(bx, ["dataset_id", "row_id"])
-                  .groupBy(*keys, "attr", "bin", "y").agg(F.count(F.lit(1)).alias("n")))
+        counts = (train.join(impure, keys, "left_semi").select(*keys, "y", "n", F.inline("cells"))
+                  .groupBy(*keys, "attr", "bin", "y").agg(F.sum("n").alias("n")))
         splits = materialize(_best_splits(counts, keys))
         finished.append(asg.join(splits, keys, "left_anti"))
-        moved = (asg.join(splits, keys).join(bx, ["dataset_id", "row_id", "attr"])
-                 .select("dataset_id", "fold", "row_id", "y", "is_test",
+        moved = (asg.join(splits, keys)
+                 .withColumn("bin", F.explode(F.expr("transform(filter(cells, c -> c.attr = attr), c -> c.bin)")))
+                 .select("dataset_id", "fold", "y", "cells", "n", "is_test",
                          (F.col("node") * 2 + (F.col("bin") > F.col("edge")).cast("long")).alias("node")))
         asg = materialize(moved)
     leaves = majorities[0]
@@ -365,16 +372,16 @@ def decision_tree_f1(cells: DataFrame, folds: DataFrame, max_depth: int = 8, n_b
     final = finished[0]
     for fr in finished[1:]:
         final = final.unionByName(fr)
-    pred = (final.filter(F.col("is_test")).join(leaves, keys)
-            .select("dataset_id", "fold", "y", "y_hat"))
+    pred = materialize(final.filter(F.col("is_test")).join(leaves, keys)
+                       .groupBy("dataset_id", "fold", "y", "y_hat").agg(F.sum("n").alias("n")))
     labels = (pred.select("dataset_id", "fold", F.col("y").alias("c"))
               .unionByName(pred.select("dataset_id", "fold", F.col("y_hat").alias("c"))).distinct())
-    stats = pred.groupBy("dataset_id", "fold").agg(F.count(F.lit(1)).alias("_n"))  # folds with test rows
+    stats = pred.groupBy("dataset_id", "fold").agg(F.sum("n").alias("_n"))  # folds with test rows
     per_c = (labels.join(pred, ["dataset_id", "fold"])
              .groupBy("dataset_id", "fold", "c").agg(
-                 F.sum(((F.col("y") == F.col("c")) & (F.col("y_hat") == F.col("c"))).cast("long")).alias("tp"),
-                 F.sum(((F.col("y") != F.col("c")) & (F.col("y_hat") == F.col("c"))).cast("long")).alias("fp"),
-                 F.sum(((F.col("y") == F.col("c")) & (F.col("y_hat") != F.col("c"))).cast("long")).alias("fn")))
+                 F.sum(((F.col("y") == F.col("c")) & (F.col("y_hat") == F.col("c"))).cast("long") * F.col("n")).alias("tp"),
+                 F.sum(((F.col("y") != F.col("c")) & (F.col("y_hat") == F.col("c"))).cast("long") * F.col("n")).alias("fp"),
+                 F.sum(((F.col("y") == F.col("c")) & (F.col("y_hat") != F.col("c"))).cast("long") * F.col("n")).alias("fn")))
     f1 = per_c.withColumn("f1", F.when((2 * F.col("tp") + F.col("fp") + F.col("fn")) > 0,
                                        2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
                           .otherwise(F.lit(0.0)))
