@@ -49,8 +49,8 @@ STARTS = (4, 5)
 #: A token is frequent in a text if it comes at least once in so many words; "*" marks that as a token of its own.
 FREQUENT = 250
 LABEL_ACCURACY = 0.97
-#: Bits of the filter that keeps most unlabelled texts out of the join with labels; a row for each 64 of them is broadcast.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps most unlabelled texts out of the join with labels: at least, at most, and per label. A row for each 64 of them is broadcast.
+FILTER_BITS, MAX_FILTER_BITS, BITS_PER_LABEL = 1 << 23, 1 << 26, 8
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumb", "loser", "scum", "bastard", "bitch", "asshole", "trash", "filth", "vermin",
            "idiota", "imbécil", "estúpido", "estúpida", "cabrón", "basura", "crétin", "connard", "salaud", "ordure", "stupide",
@@ -121,10 +121,12 @@ def token_counts(labelled: DataFrame) -> DataFrame:
                 known: dict[str, int] = {}
                 own = [[known.setdefault(t, len(known)) for t in ts] for ts in tokens_of_words(words)]
                 row, token, frequent = _occurring(codes, offsets, own)
+                names = list(known)
                 for mark, chosen in (("", slice(None)), ("*", frequent)):
                     bad = np.bincount(token[chosen], weights=toxic[row[chosen] + start], minlength=len(known)).astype(np.int64)
                     total = np.bincount(token[chosen], minlength=len(known))
-                    yield pa.RecordBatch.from_arrays([pa.array([mark + t for t in known], pa.string()), pa.array(bad), pa.array(total - bad)], names=["token", "toxic", "clean"])
+                    has = np.flatnonzero(total)  # most tokens are frequent in no text
+                    yield pa.RecordBatch.from_arrays([pa.array([mark + names[i] for i in has.tolist()], pa.string()), pa.array(bad[has]), pa.array((total - bad)[has])], names=["token", "toxic", "clean"])
 
     counted = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "token string, toxic long, clean long")
     return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -250,18 +252,24 @@ class ToxicityModel:
         return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def filter_bits(n_labels: int) -> int:
+    """Size of the filter: a power of two, so many bits per label within the bounds."""
+    return min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (BITS_PER_LABEL * n_labels - 1).bit_length()))
+
+
 def with_labels(rows: DataFrame, said: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``rows`` (doc_id, text) that ``said`` (doc_id, toxic) has labels for, with them.
 
-    A bit set of hashed labelled ids, of a fixed size, holds back other rows before
-    texts are shuffled; the few that it lets through fall out in the join.
+    A bit set of hashed labelled ids holds back other rows before texts are
+    shuffled; the few that it lets through fall out in the join. Labels grow with
+    the texts, so the join deals both by id at every size.
     """
     def bit(doc_id: str) -> Column:
         return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(bits))
 
     words = said.select(bit("doc_id").alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("mask"))
     maybe = rows.withColumn("bit", bit("doc_id")).withColumn("word", F.floor(F.col("bit") / 64)).join(F.broadcast(words), "word")
-    return maybe.filter(F.expr("getbit(mask, cast(bit % 64 AS int)) = 1")).select("doc_id", "text").join(said, "doc_id")
+    return maybe.filter(F.expr("getbit(mask, cast(bit % 64 AS int)) = 1")).select("doc_id", "text").join(said.hint("merge"), "doc_id")
 
 
 def _chosen(rows: DataFrame, n: int) -> DataFrame:
@@ -278,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     said = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
     said = written(said, "toxic-labels")
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    labelled = written(with_labels(rows, said), "toxic-labelled")
+    labelled = written(with_labels(rows, said, filter_bits(said.count())), "toxic-labelled")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
@@ -321,8 +329,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
 
     n_unknown = sum(n for (_, label), n in left.items() if label < 0)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < min(1.0, max_unlabelled / max(n_unknown, 1)) * (1 << 30)
-    sample = everything.filter(drawn).join(said.select("doc_id"), "doc_id", "left_anti")
-    to_fit = known.join(F.broadcast(_chosen(said, max_labelled).select("doc_id")), "doc_id", "left_semi")  # at most max_labelled ids.select("doc_id", "text", "toxic")
+    unlabelled = everything.select("doc_id").filter(drawn).join(said.select("doc_id"), "doc_id", "left_anti")  # about max_unlabelled ids, drawn from ids alone
+    sample = everything.join(F.broadcast(unlabelled.distinct()), "doc_id", "left_semi")
+    to_fit = known.join(F.broadcast(_chosen(said, max_labelled).select("doc_id")), "doc_id", "left_semi")  # at most max_labelled ids
     examples = to_fit.mapInArrow(observe(True), schema).unionByName(sample.mapInArrow(observe(True), schema))
     posterior = dict(zip(keys, model.posterior(seen, said_as).tolist(), strict=True))
     table = docs.sparkSession.createDataFrame([(v, label, p) for (v, label), p in posterior.items()], "votes long, label int, p double")

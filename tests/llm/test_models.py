@@ -89,6 +89,24 @@ def test_toxicity_trains_on_awkward_tables(spark):
     assert none.score < 0.5
 
 
+def test_toxicity_deals_labelled_texts_alike_at_every_size(spark):
+    docs, labels = _frames(spark, _corpus(300))
+    found = toxicity.with_labels(docs, labels)
+    assert found.count() == labels.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan  # few labels would be broadcast, many would not
+    assert toxicity.filter_bits(0) == toxicity.filter_bits(1000) == toxicity.FILTER_BITS
+    assert toxicity.filter_bits(toxicity.FILTER_BITS) == 8 * toxicity.FILTER_BITS == toxicity.MAX_FILTER_BITS == toxicity.filter_bits(10**9)
+
+
+def test_toxicity_counts_only_tokens_that_occur(spark):
+    own = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))  # no word is frequent in it
+    labelled = spark.createDataFrame([(own, 1), (own + " scumbag scumbag scumbag", 0)], "text string, toxic int")
+    counts = {r.token: (r.toxic, r.clean) for r in toxicity.token_counts(labelled).collect()}
+    assert counts["wordaa"] == (1, 1) and counts["scumbag"] == (0, 1) and counts["*scumbag"] == (0, 1)
+    assert "*wordaa" not in counts and all(a + b for a, b in counts.values())
+
+
 def test_label_model_recovers_accuracies_and_ties_correlated_voters():
     rng = np.random.default_rng(4)
     n, k = 20_000, 5
