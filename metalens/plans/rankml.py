@@ -5,17 +5,20 @@ labels n..1 (query id = dataset); features are the dataset's characterization
 vector followed by the pipeline's characterization vector. pyspark.ml has no
 pairwise ranker, so a pointwise gradient-boosted regressor is fit on the
 relevance labels with the reference's settings (150 rounds, step 0.1, depth 8).
+Its loss is squared, so rows with equal features teach it what one row of their
+mean relevance and their number as weight does; they are fitted as that row.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metalens.functions.regret import valid_score
 from metalens.operators.store import relevance_labels, top_n_per_dataset
+from metalens.session import ensure_checkpoint_dir, materialize
 
 
 def training_frame(evals: DataFrame, dataset_vecs: DataFrame, pipe_vecs: DataFrame, n_models: int,
@@ -35,20 +38,34 @@ def training_frame(evals: DataFrame, dataset_vecs: DataFrame, pipe_vecs: DataFra
 
 # Ranker settings (rounds, step size, depth).
 RANKER_ROUNDS, RANKER_STEP, RANKER_DEPTH = 150, 0.1, 8
+#: Rows that a task of a ranker holds: one task per core between these. Every task sends on the sums of all nodes in every level.
+MIN_TASK_ROWS, MAX_TASK_ROWS = 8_192, 1_000_000
+
+
+def task_count(spark: SparkSession, n_rows: int) -> int:
+    """Tasks among which a ranker deals its rows."""
+    return max(1, -(-n_rows // MAX_TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n_rows // MIN_TASK_ROWS)))
+
+
+def alike_rows(frame: DataFrame) -> DataFrame:
+    """(features, relevance, weight): rows with equal features as one, their mean relevance and their number."""
+    n = F.count(F.lit(1))
+    mean = F.when(F.count("relevance") == n, F.avg("relevance"))  # a missing relevance stays missing
+    return frame.groupBy("features").agg(mean.alias("relevance"), n.cast("double").alias("weight"))
 
 
 def fit_ranker(frame: DataFrame, max_iter: int = RANKER_ROUNDS, step_size: float = RANKER_STEP,
                max_depth: int = RANKER_DEPTH,
                seed: int = 0, checkpoint_interval: int = 10):
-    """Pointwise GBT regressor on relevance labels.
+    """Pointwise GBT regressor on relevance labels, alike rows as one.
 
     Uses the session's reliable checkpoint folder for the boosting lineage.
     """
-    from metalens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(frame.sparkSession)
-    data = frame.select(array_to_vector("features").alias("features"), F.col("relevance").alias("label"))
-    gbt = GBTRegressor(maxIter=max_iter, stepSize=step_size, maxDepth=max_depth, seed=seed,
-                       checkpointInterval=checkpoint_interval, cacheNodeIds=True)
+    rows = materialize(alike_rows(frame))
+    data = rows.repartition(task_count(frame.sparkSession, rows.count())).select(array_to_vector("features").alias("features"), F.col("relevance").alias("label"), "weight")
+    gbt = GBTRegressor(maxIter=max_iter, stepSize=step_size, maxDepth=max_depth, seed=seed, weightCol="weight",
+                       checkpointInterval=checkpoint_interval)
     return gbt.fit(data)
 
 
