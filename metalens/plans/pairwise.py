@@ -8,9 +8,9 @@ exp(-s_i) L_i. Both sums are running sums in the order of relevance. A round fit
 one tree to (-gradient / curvature) weighted by the curvature, so that each leaf
 holds its Newton step.
 
-The frame is dealt by dataset once and every round is checkpointed in the shared
-folder with that partitioning, so no round shuffles rows; a dataset has at most
-``n_models`` of them. Pipelines' step hashes are categorical dimensions of the
+A round deals the rows by dataset once, keeps them with their gradients while its
+tree is grown, and is checkpointed in the shared folder; a dataset has at most
+``n_models`` rows. Pipelines' step hashes are categorical dimensions of the
 trees: the ``max_categories`` most frequent ones of a position are told apart,
 all others are one category (a bound on the size of the model).
 """
@@ -27,7 +27,8 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalens.session import ensure_checkpoint_dir
+from metalens.plans.rankml import task_count
+from metalens.session import ensure_checkpoint_dir, materialize
 
 ROUNDS, STEP, DEPTH = 12, 0.3, 5
 MAX_CATEGORIES = 200
@@ -99,7 +100,8 @@ def fit_pairwise(frame: DataFrame, category_cols: Sequence[str] = (), rounds: in
     Without any pair of different relevance the ranker has no trees and scores 0.
     """
     ensure_checkpoint_dir(frame.sparkSession)
-    frame = frame.select("qid", "relevance", "features", *category_cols, F.lit(0.0).alias("score")).repartition("qid").checkpoint()
+    frame = materialize(frame.select("qid", "relevance", "features", *category_cols, F.lit(0.0).alias("score")))
+    tasks = task_count(frame.sparkSession, frame.count())
     known = {c: [r[c] for r in frame.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(max_categories).collect()] for c in category_cols}
     ranker = PairwiseRanker(None, list(category_cols), known, [], step)
     if frame.isEmpty():
@@ -113,10 +115,13 @@ def fit_pairwise(frame: DataFrame, category_cols: Sequence[str] = (), rounds: in
     grower = DecisionTreeRegressor(featuresCol="_x", labelCol="_target", weightCol="curvature", predictionCol="_leaf", maxDepth=depth, maxBins=max(64, max_categories + 2),
                                    minInstancesPerNode=min_rows, seed=seed)
     for _ in range(rounds):
-        pairs = pair_gradients(data).filter("curvature > 0").withColumn("_target", -F.col("gradient") / F.col("curvature"))
-        if not ranker.trees and pairs.isEmpty():
+        judged = pair_gradients(data.repartition(tasks, "qid")).persist()  # a tree reads its rows several times
+        pairs = judged.filter("curvature > 0").withColumn("_target", -F.col("gradient") / F.col("curvature"))
+        if ranker.trees or not pairs.isEmpty():
+            tree = grower.fit(pairs)
+            ranker.trees.append(tree)
+            data = tree.transform(judged).withColumn("score", F.col("score") + step * F.col("_leaf")).select("qid", "relevance", "score", "_x").checkpoint()
+        judged.unpersist()
+        if not ranker.trees:
             break
-        tree = grower.fit(pairs)
-        ranker.trees.append(tree)
-        data = tree.transform(data).withColumn("score", F.col("score") + step * F.col("_leaf")).drop("_leaf").checkpoint()
     return ranker

@@ -77,3 +77,40 @@ def test_frames_without_pairs(spark):
     alone = spark.createDataFrame([(q, q, 1.0, [float(q)]) for q in range(5)], schema)
     ranker = pairwise.fit_pairwise(alone, rounds=2)
     assert ranker.trees == [] and {r.predicted for r in ranker.score(alone).collect()} == {0.0}
+
+
+def test_a_round_reads_its_gradients_from_memory(spark, monkeypatch):
+    schema = "qid long, pipeline_id long, relevance double, features array<double>, hash_0 string"
+    plans, own = [], pairwise.DecisionTreeRegressor.fit
+
+    def fit(self, rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return own(self, rows, *rest)
+
+    monkeypatch.setattr(pairwise.DecisionTreeRegressor, "fit", fit)
+    ranker = pairwise.fit_pairwise(spark.createDataFrame(planted(20, 1), schema), ["hash_0"], rounds=2, depth=2)
+    assert len(ranker.trees) == len(plans) == 2
+    assert all("InMemoryTableScan" in p for p in plans)
+
+
+def test_pointwise_ranker_fits_alike_rows_as_one_with_the_same_result(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = random.Random(5)
+    rows = [([float(i % 7), float(i % 3)], float(i % 7) + rng.gauss(0, 1)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "features array<double>, relevance double")
+    seen, own = [], GBTRegressor.fit
+
+    def fit(self, data, *rest):
+        seen.append(data.count())
+        return own(self, data, *rest)
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    model = fit_ranker(frame, max_iter=8, step_size=0.3, max_depth=3)
+    assert seen == [21]  # not 400
+    data = frame.select(array_to_vector("features").alias("features"), F.col("relevance").alias("label"))
+    plain = own(GBTRegressor(maxIter=8, stepSize=0.3, maxDepth=3, seed=0), data)
+    asked = frame.select("features").distinct().withColumn("pipeline_id", F.col("features")[0] * 10 + F.col("features")[1])
+    got, want = ({r.pipeline_id: r.predicted for r in score_candidates(m, asked).collect()} for m in (model, plain))
+    assert len(got) == 21 and got == pytest.approx(want, abs=1e-9)
