@@ -63,7 +63,8 @@ def fit_ranker(frame: DataFrame, max_iter: int = RANKER_ROUNDS, step_size: float
     """
     ensure_checkpoint_dir(frame.sparkSession)
     rows = materialize(alike_rows(frame))
-    data = rows.repartition(task_count(frame.sparkSession, rows.count())).select(array_to_vector("features").alias("features"), F.col("relevance").alias("label"), "weight")
+    dealt = rows.repartition(task_count(frame.sparkSession, rows.count()), "features").sortWithinPartitions("features")  # the same places for the same rows
+    data = dealt.select(array_to_vector("features").alias("features"), F.col("relevance").alias("label"), "weight")
     gbt = GBTRegressor(maxIter=max_iter, stepSize=step_size, maxDepth=max_depth, seed=seed, weightCol="weight",
                        checkpointInterval=checkpoint_interval)
     return gbt.fit(data)
