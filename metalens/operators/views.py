@@ -1,4 +1,4 @@
-"""Leave-out views of a metadatabase: consistent filtered DataFrames, nothing written."""
+"""Leave-out views of a metadatabase: consistent filtered DataFrames, nothing written unless asked for."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metalens.functions.hashing import MODULUS, seeded_hash
+from metalens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -16,8 +17,8 @@ class MetaView:
 
     ``keep`` is a one-column DataFrame of kept dataset ids (the ids **kept**).
     Pipelines are those with at least one kept evaluation. Dropping the view
-    object restores the full metadatabase; no files are copied or rewritten,
-    so concurrent users never see each other's views.
+    object restores the full metadatabase; none of its files are copied or
+    rewritten, so concurrent users never see each other's views.
     """
 
     evaluations: DataFrame
@@ -28,9 +29,17 @@ class MetaView:
 
 
 def partial_view(evals: DataFrame, datasets: DataFrame, pipelines: DataFrame, keep: DataFrame,
-                 dataset_chars: DataFrame | None = None, pipeline_chars: DataFrame | None = None) -> MetaView:
+                 dataset_chars: DataFrame | None = None, pipeline_chars: DataFrame | None = None, stored: bool = False) -> MetaView:
+    """The view of the datasets in ``keep``.
+
+    ``stored`` writes the kept ids and evaluations once to the checkpoint folder,
+    for users that read them several times: otherwise every reader joins the
+    evaluations with ``keep`` again, in the stage of its own joins.
+    """
     keep = keep.select(F.col(keep.columns[0]).alias("dataset_id"))
+    keep = materialize(keep) if stored else keep
     ev = evals.join(keep, "dataset_id", "left_semi")
+    ev = materialize(ev) if stored else ev
     ds = datasets.join(keep, "dataset_id", "left_semi")
     pipes = pipelines.join(ev.select("pipeline_id"), "pipeline_id", "left_semi")
     dc = dataset_chars.join(keep, "dataset_id", "left_semi") if dataset_chars is not None else None

@@ -3,7 +3,8 @@ the online phase; both return DataFrames (rank, pipeline_id, score).
 
 A learner is a thin holder of lazy plans: fitting stores DataFrames (or, for
 the portfolio and the ranker, a small computed result), recommending composes
-the online plan on top. Nothing is collected except bounded outputs.
+the online plan on top (the utility learner writes the small tables that several
+joins need). Nothing is collected except bounded outputs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from metalens.operators.portfolio import greedy_portfolio
 from metalens.operators.similarity import most_similar, one_vs_all
 from metalens.operators.views import MetaView
 from metalens.plans import recommend
+from metalens.session import materialize
 
 
 class Learner:
@@ -70,7 +72,8 @@ class UtilityEstimateLearner(Learner):
         """``query_vector``: one row with the vector column (the new dataset)."""
         stored = recommend.known_vectors(self.view.dataset_chars, self.view.evaluations)
         sims = one_vs_all(stored, query_vector, vec_col=self.vec_col)
-        scores = recommend.utility_scores(self.view.evaluations, self.view.pipelines, sims, self.metric,
+        pipelines = materialize(self.view.pipelines.select("pipeline_id"))  # their join ends before that with the scores
+        scores = recommend.utility_scores(self.view.evaluations, pipelines, sims, self.metric,
                                           self.higher_is_better, self.similarity)
         return recommend.utility_online(scores, total_n_configs).withColumnRenamed("utility", "score")
 

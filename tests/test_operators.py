@@ -514,6 +514,43 @@ def test_similarity_learners_on_store_characterizations(spark):
     assert [r["rank"] for r in u] == [1, 2, 3] and len(t) == 4
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_utility_learner_has_one_join_a_stage(spark, stored):
+    """Joins on one key run in one stage, whose tasks hold all their sides; so what they need is written first."""
+    from metalens.operators.views import partial_view
+    from metalens.plans.learners import UtilityEstimateLearner
+    rows = [(i, d, p, -0.1 * ((3 * d + p) % 5) - d, "m" if i % 7 else "other", "r") for i, (d, p) in
+            enumerate((d, p) for d in range(9) for p in range(6))]
+    rows += [(100, 2, 3, None, "m", "r"), (101, None, 3, -0.5, "m", "r"), (102, 4, None, -0.5, "m", "r"), (103, 4, 5, -4.2, "m", "r")]
+    ev = spark.createDataFrame(rows, EVAL_DDL)
+    ds = spark.createDataFrame([(f"d{d}", d) for d in range(9)], "dataset string, dataset_id long")
+    pipes = spark.createDataFrame([(f"p{p}", p) for p in range(8)], "pipeline string, pipeline_id long")
+    vectors = {d: [1.0, d / 4] for d in range(6)}  # datasets 6 to 8 have none
+    chars = spark.createDataFrame(list(vectors.items()), "dataset_id long, embedding array<double>")
+    known = [r for r in rows if r[1] in range(1, 6) and r[4] == "m"]
+    want = {p: [] for p in range(6)}
+    for _, d, p, score, _, _ in known:
+        own = [r[3] for r in known if r[1] == d and r[3] is not None]
+        regret = 1.0 if score is None else (max(own) - score) / (max(own) - min(own))
+        cosine = 1 / math.hypot(*vectors[d])  # the query is (1, 0)
+        if p is not None:
+            want[p].append(cosine * (1 - regret))
+    want = {p: sum(u) / len(u) for p, u in want.items()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = partial_view(ev, ds, pipes, ds.filter("dataset_id > 0").select("dataset_id"), dataset_chars=chars, stored=stored)
+        out = UtilityEstimateLearner(metric="m").fit(view).recommend(chars.filter("dataset_id = 0"), total_n_configs=8)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        got = out.orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r["pipeline_id"] for r in got] == sorted(want, key=lambda p: (-round(want[p], 10), p))
+    assert [r["score"] for r in got] == pytest.approx([want[r["pipeline_id"]] for r in got], abs=1e-9)
+    # Evaluations with the datasets' bounds, lookup with scores; a view that isn't stored joins the kept ids too.
+    assert plan.count("SortMergeJoin") == (2 if stored else 3), plan
+
+
 def test_rankml_learner_mechanics(spark):
     from metalens.operators.views import partial_view
     from metalens.plans.learners import RankMLLearner
